@@ -5,20 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .oracles import ORACLE_SQL
+from .quality_rules import judge_documents
+from .sentencepiece_codec import round_trip_digest
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """Path of the public 32k piece model on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(_table(spark, sf_dir, "documents")).drop("host", "host_rate")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digest(_table(spark, sf_dir, "documents"), piece_model())
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
