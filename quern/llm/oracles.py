@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, quality_rules, substring_dedup
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,7 +45,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY r, doc_id
 """
 
+SUBSTRING_DEDUP = rf"""
+WITH tokens AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, p, array_to_string(w[p:p + {substring_dedup.WINDOW - 1}], ' ') AS g
+            FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - {substring_dedup.WINDOW - 2}, 1))) AS p FROM tokens)),
+firsts AS (SELECT g, min({{'d': doc_id, 'p': p}}) AS f FROM windows WHERE doc_id IS NOT NULL GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + {substring_dedup.WINDOW})) AS q FROM windows JOIN firsts USING (g)
+         WHERE doc_id > f.d OR (doc_id = f.d AND p > f.p)),
+placed AS (SELECT r, doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM tokens),
+kept AS (SELECT p.r, count(g.q) AS n_removed, string_agg(word, ' ' ORDER BY p.q) FILTER (g.q IS NULL) AS text
+         FROM placed p LEFT JOIN gone g ON p.r = g.r AND p.q = g.q GROUP BY p.r)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM tokens t LEFT JOIN kept k USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": QUALITY_RULES,
+    "op7_substring_dedup": SUBSTRING_DEDUP,
     "op9_line_dedup": LINE_DEDUP,
 }

@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .oracles import ORACLE_SQL
 from .quality_rules import judge_documents
 from .sentencepiece_codec import round_trip_digest
+from .substring_dedup import dedup_substrings
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -39,6 +40,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -48,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_quality_rules": op3_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
