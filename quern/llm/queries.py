@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .additive_ann import nearest
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .oracles import ORACLE_SQL
+from .pii import pii_report
 from .quality_rules import judge_documents
 from .sentencepiece_codec import round_trip_digest
 from .substring_dedup import dedup_substrings
@@ -45,15 +47,26 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = pii_report(_table(spark, sf_dir, "documents"))
+    return report.withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_quality_rules": op3_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_additive_ann": op8_additive_ann,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
