@@ -134,16 +134,31 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     return out.groupBy("id", "row").agg(F.collect_set("place").alias("places"))
 
 
+def _with_kept(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batches: int, runs: LineRuns | None) -> DataFrame:
+    """``docs`` with ``_quern_n`` (lines), ``_quern_rest`` (places that stay) and ``_quern_text`` (what they join to)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    gone = dropped_lines(own, min_chars, batches, runs).select(F.col("id").alias("_quern_id"), F.col("row").alias("_quern_row"), F.col("places").alias("_quern_places"))
+    keyed = docs.withColumns({"_quern_key": F.col(id_col).cast("long"), "_quern_hash": F.xxhash64(text)})
+    joined = keyed.join(gone, (F.col("_quern_key") == F.col("_quern_id")) & (F.col("_quern_hash") == F.col("_quern_row")), "left")
+    joined = joined.withColumn("_quern_lines", F.split(text, "\n", -1)).withColumn("_quern_n", F.size("_quern_lines"))
+    rest = F.array_except(F.sequence(F.lit(0), F.col("_quern_n") - 1), F.coalesce("_quern_places", F.array().cast("array<int>")))
+    joined = joined.withColumn("_quern_rest", rest)
+    kept = F.array_join(F.transform("_quern_rest", lambda i: F.get("_quern_lines", i)), "\n")
+    return joined.withColumn("_quern_text", F.when(F.col("_quern_places").isNull(), text).otherwise(kept))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text), one row per row of ``docs``.
 
     A key held by several documents keeps its lines in the smallest id only.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gone = dropped_lines(own, min_chars, batches, runs)
-    joined = own.withColumn("row", F.xxhash64("text")).join(gone, ["id", "row"], "left").withColumn("lines", F.split("text", "\n", -1))
-    n = F.size("lines")
-    rest = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("places", F.array().cast("array<int>")))
-    joined = joined.withColumn("rest", rest)
-    kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform("rest", lambda i: F.get("lines", i)), "\n"))
-    return joined.select(F.col("id").alias("doc_id"), n.cast("long").alias("n_lines"), (n - F.size("rest")).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    done = _with_kept(docs.select(id_col, text_col), id_col, text_col, min_chars, batches, runs)
+    n = F.col("_quern_n")
+    return done.select(F.col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n_lines"), (n - F.size("_quern_rest")).cast("long").alias("n_dropped"), F.col("_quern_text").alias("kept_text"))
+
+
+def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
+    """``docs`` with the text column less its repeated lines; no row goes and other columns stay."""
+    done = _with_kept(docs, id_col, text_col, min_chars, batches, runs)
+    return done.withColumn(text_col, F.when(F.col("_quern_places").isNull(), F.col(text_col)).otherwise(F.col("_quern_text"))).select(*docs.columns)

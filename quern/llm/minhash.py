@@ -7,14 +7,17 @@ their Jaccard similarity.  Values are banded; documents that share a band are
 candidates, and every link is confirmed on the full sets.
 
 Cost at scale.  Equal sets are folded into one node first (map-side combined),
-so copies cost one row each and no pairs.  A bucket of n nodes is first tied to
-one node of it, n - 1 pairs.  Only nodes that this leaves in another component
-than their bucket's main one are compared further, with the nodes of other
-components in their buckets, and only where sizes and 252-bit sketches allow
-the threshold; these are join conditions, so rejected pairs are never rows.
-Nothing is capped: a pair in a common bucket is either in one component already,
-compared, or ruled out by size (exact) or sketch (8 standard deviations).
-With the defaults a pair at similarity 0.8 shares no band once in 2 * 10**5.
+so copies cost one row each and no pairs.  Nodes of a bucket, and of two adjacent
+bands in common, are first tied to the first node there: at most a row a node and
+band.  Only nodes that this leaves in another component than their bucket's main
+one are compared further, with the nodes of other components in their buckets,
+and only where sizes and 2048-bit sketches (one bit of each value of a longer
+min-max signature, made for bucket mates alone) allow the threshold; these are
+join conditions, so rejected pairs are never rows.  Nothing is capped: a pair in
+a common bucket is in one component already, or compared, or ruled out by size
+(exact) or by sketch (over 4 standard deviations).  With the defaults a pair at
+similarity 0.8 shares no band, or fails the sketch, once in 5 * 10**4; a more
+similar pair far less often.
 
 Defined results.  Null, empty or blank texts have an empty set, link with
 nothing and are kept.  Fewer words than a shingle: the whole sequence is the one
@@ -39,12 +42,12 @@ from .words import Words, chunked_words, mix, spans_hash
 PERMUTATIONS = 126
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Differing sketch bits of 252 beyond which a pair at the threshold does not fall: mean 25, deviation 4.8.
-SKETCH_SLACK = 66
+SKETCH_PERMUTATIONS = 1024
+SKETCH_LONGS = 2 * SKETCH_PERMUTATIONS // 64
 
 _RNG = np.random.default_rng(97)
-_A = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
+_A = _RNG.integers(0, 2**32, SKETCH_PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 2**32, SKETCH_PERMUTATIONS, dtype=np.uint32)
 _BAND_WEIGHTS = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND_SALTS = _RNG.integers(0, 2**64, BANDS, dtype=np.uint64)
 
@@ -63,22 +66,35 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def signature(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
-    """2P values, minimum and maximum in turn."""
+def signature(shingles: np.ndarray, permutations: int = PERMUTATIONS, block: int = 1 << 19) -> np.ndarray:
+    """Two values a permutation, minimum and maximum in turn."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    low, high = np.full(PERMUTATIONS, 2**32 - 1, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
-    for i in range(0, len(x), block):
-        values = _A[:, None] * x[None, i : i + block]
-        values += _B[:, None]
+    low, high = np.full(permutations, 2**32 - 1, np.uint32), np.zeros(permutations, np.uint32)
+    step = max(1, block // permutations)
+    for i in range(0, len(x), step):
+        values = _A[:permutations, None] * x[None, i : i + step]
+        values += _B[:permutations, None]
         np.minimum(low, values.min(1), out=low)
         np.maximum(high, values.max(1), out=high)
     return np.stack([low, high], 1).ravel()
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each value of a long signature, as longs."""
+    bits = (signature(shingles, SKETCH_PERMUTATIONS) * np.uint32(2654435761)) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def sketch_slack(percent: int, deviations: float = 4.2) -> int:
+    """Differing bits that a pair at the threshold stays within."""
+    bits, differ = 64 * SKETCH_LONGS, (100 - percent) / 200
+    return int(np.ceil(bits * differ + deviations * np.sqrt(bits * differ * (1 - differ))))
+
+
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
-            ids, counts, sums, keys, sketches = batch.column(0), [], [], [], []
+            ids, counts, sums, keys = batch.column(0), [], [], []
             for _, _, words in chunked_words(batch.column(1), fold=True):
                 for s in shingle_sets(words, k):
                     counts.append(len(s))
@@ -87,14 +103,12 @@ def _signatures(k: int):
                         values = signature(s)
                         rows = values.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)
                         keys.append(mix((mix(rows) * _BAND_WEIGHTS).sum(1, dtype=np.uint64) + _BAND_SALTS).view(np.int64))
-                        bits = (values * np.uint32(2654435761)) >> np.uint32(31)
-                        sketches.append(np.packbits(np.pad(bits, (0, 256 - len(bits))).astype(np.uint8)).view(np.int64))
             full = np.array(counts, np.int64) > 0
             lists = lambda parts, each: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * each)]).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
             f = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists(keys, BANDS), lists(sketches, 4)],
-                ["id", "n", "f1", "f2", "bands", "sketch"],
+                [ids, pa.array(counts, pa.int64()), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists(keys, BANDS)],
+                ["id", "n", "f1", "f2", "bands"],
             )
 
     return run
@@ -106,7 +120,9 @@ def _sets(k: int):
             for a, b, words in chunked_words(batch.column(1), fold=True):
                 sets = [s.view(np.int64) for s in shingle_sets(words, k)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+                bits = [sketch(s.view(np.uint64)) for s in sets]
+                lists = [pa.ListArray.from_arrays(pa.array(x), pa.array(np.concatenate(y))) for x, y in ((ends, sets), (np.arange(len(sets) + 1, dtype=np.int32) * SKETCH_LONGS, bits))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["id", "shingles", "sketch"])
 
     return run
 
@@ -128,25 +144,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     can be reached over links; ``kept`` marks that document.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = base.mapInArrow(_signatures(shingle_words), "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    sig = base.mapInArrow(_signatures(shingle_words), "id long, n long, f1 long, f2 long, bands array<long>")
     sig = materialize(sig, "minmax")
 
     taking = sig.where("n > 0 and id is not null")
     folded = taking.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
     nodes = materialize(taking.join(folded, ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n"]), "nodes")
 
-    rows = nodes.select("id", "n", F.explode("bands").alias("key"))
+    bands = nodes.select("id", "n", "bands", F.posexplode("bands").alias("i", "key"))
+    rows = bands.select("id", "n", "key", F.xxhash64("key", F.get("bands", F.pmod(F.col("i") + 1, F.lit(BANDS)))).alias("fine"))
     shared = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep")
     hits = materialize(rows.join(shared, "key"), "hits")
 
     wanted = hits.select("id").distinct()
-    sets = base.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, shingles array<long>")
+    sets = base.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, shingles array<long>, sketch array<long>")
     sets = materialize(sets, "sets")
 
-    # One pair a node: with the first node of the buckets that it shares most often.
-    ties = hits.where("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("c"))
-    ties = ties.groupBy("id").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("rep"))
-    tied = materialize(_confirmed(ties.select(F.col("id").alias("a"), F.col("rep").alias("b")), sets, percent), "tied")
+    # Ties: with the first node of the buckets that a node shares most often, and with the first of each pair of adjacent bands.
+    most = hits.where("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("c"))
+    most = most.groupBy("id").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("rep"))
+    finest = hits.groupBy("fine").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("fine", "first")
+    finest = hits.join(finest, "fine").where("id <> first").select("id", F.col("first").alias("rep"))
+    ties = most.union(finest).distinct().select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    tied = materialize(_confirmed(ties, sets, percent), "tied")
     labels = components(tied, "a", "b")
 
     # What is left: nodes outside the main component of a bucket, against the other components there.
@@ -154,17 +174,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = hits.select("key", "id", "n").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    mixed = placed.join(main, "key").join(nodes.select("id", "n", "sketch"), ["id", "n"])
+    mixed = placed.join(main, "key").join(sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch"), ["id", "n"])
     mixed = materialize(mixed, "mixed")
     one = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("ka"))
     two = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"), (F.col("component") == F.col("main")).alias("in_main"))
-    differing = sum(F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(4))
+    differing = sum(F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(SKETCH_LONGS))
     fits = (
         (F.col("ca") != F.col("cb"))
         & (F.col("in_main") | (F.col("a") < F.col("b")))
         & (F.col("na") * 100 >= F.col("nb") * percent)
         & (F.col("nb") * 100 >= F.col("na") * percent)
-        & (differing <= SKETCH_SLACK)
+        & (differing <= sketch_slack(percent))
     )
     rest = one.join(two, (one["key"] == two["key"]) & fits).select("a", "b").distinct()
     found = materialize(_confirmed(rest, sets, percent), "found")
@@ -177,3 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id stands for its near-duplicate group, with all their columns."""
+    gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_quern_gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_quern_gone"), "left_anti")

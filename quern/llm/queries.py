@@ -11,10 +11,14 @@ from .additive_ann import nearest
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .oracles import ORACLE_SQL
+from .ordinal_quality import fit_on, grade_of_labels, graded
+from .packing import pack
 from .pii import pii_report
 from .quality_rules import judge_documents
 from .sentencepiece_codec import round_trip_digest
 from .substring_dedup import dedup_substrings
+from .url_filter import fit_on as fit_urls
+from .url_filter import judge_urls
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -34,10 +38,28 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled urls are those of pages whose document, named by number in the path, is in ``labels``."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    blocked = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = pages.select("url", F.regexp_extract("url", r"/(\d{1,18})(?=\D|$)", 1).alias("number")).where("number <> ''").withColumn("doc_id", F.col("number").cast("long"))
+    labelled = labelled.join(labels.select("doc_id", blocked.alias("blocked")), "doc_id")
+    return judge_urls(pages, fit_urls(labelled, "url", "blocked")).drop("block_probability")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return graded(docs, fit_on(docs, grade_of_labels(_table(spark, sf_dir, "labels")), 3))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(_table(spark, sf_dir, "documents"), piece_model())
 
@@ -63,7 +85,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_additive_ann": op8_additive_ann,
