@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import FX_TO_USD, PERIODS_PER_YEAR
 
@@ -21,7 +22,7 @@ YEARLY = re.compile(r"(?i)\b(?:annual|annually|annum|year|yearly|yr)\b")
 MONTHLY, DAILY = re.compile(r"(?i)\b(?:month|monthly)\b"), re.compile(r"(?i)\b(?:day|daily|per diem)\b")
 BANDS = {"year": (30_000, 1_500_000), "month": (2_000, 100_000), "day": (200, 4_000), "hour": (10, 500)}
 WINDOW = 100
-MINED = "struct<salary_min:double,salary_max:double,salary_currency:string,salary_period:string,confidence:double>"
+MINED = T.StructType([T.StructField(n, t) for n, t in (("salary_min", T.DoubleType()), ("salary_max", T.DoubleType()), ("salary_currency", T.StringType()), ("salary_period", T.StringType()), ("confidence", T.DoubleType()))])
 
 
 def usd_yearly(low: Column, high: Column, currency: Column, period: Column) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words of the French test.
 FRENCH_TITLE = r"(?iu)^\s*(ingénieure?|développeu(r|se)|programmeu(r|se)|analyste|spécialiste|conseill(er|ère)|stagiaire|adjointe?|chef|responsable|technicien(ne)?|gestionnaire|direct(eur|rice)|architecte|scientifique des données)"
@@ -94,7 +95,7 @@ def markdown_of(page: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(parser.out)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_markdown(page: pd.Series) -> pd.Series:
     return page.map(markdown_of)
 

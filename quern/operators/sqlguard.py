@@ -38,10 +38,8 @@ def _nodes(plan) -> list:
             out.append(e)
             kids = e.children()
             stack += [kids.apply(i) for i in range(kids.size())]
-            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery"):
-                inner = e.plan() if hasattr(e, "plan") else None
-                if inner is not None:
-                    todo.append(inner)
+            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery"):
+                todo.append(e.plan())
     return out
 
 
