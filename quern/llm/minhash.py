@@ -13,7 +13,8 @@ band.  Only nodes that this leaves in another component than their bucket's main
 one are compared further, with the nodes of other components in their buckets,
 and only where sizes and 2048-bit sketches (one bit of each value of a longer
 min-max signature, made for bucket mates alone) allow the threshold; these are
-join conditions, so rejected pairs are never rows.  Nothing is capped: a pair in
+join conditions, so rejected pairs are never rows, and a pair is one row however
+many buckets it shares.  Nothing is capped: a pair in
 a common bucket is in one component already, or compared, or ruled out by size
 (exact) or by sketch (over 4 standard deviations).  With the defaults a pair at
 similarity 0.8 shares no band, or fails the sketch, once in 5 * 10**4; a more
@@ -174,10 +175,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = hits.select("key", "id", "n").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    mixed = placed.join(main, "key").join(sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch"), ["id", "n"])
+    mixed = placed.join(main, "key").join(sets.select("id", F.size("shingles").cast("long").alias("n"), "sketch"), ["id", "n"]).join(nodes.select("id", "n", "bands"), ["id", "n"])
     mixed = materialize(mixed, "mixed")
-    one = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("ka"))
-    two = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"), (F.col("component") == F.col("main")).alias("in_main"))
+    one = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("ka"), F.col("bands").alias("ba"))
+    two = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("kb"), F.col("bands").alias("bb"), (F.col("component") == F.col("main")).alias("in_main"))
     differing = sum(F.bit_count(F.get("ka", F.lit(i)).bitwiseXOR(F.get("kb", F.lit(i)))) for i in range(SKETCH_LONGS))
     fits = (
         (F.col("ca") != F.col("cb"))
@@ -185,6 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (F.col("na") * 100 >= F.col("nb") * percent)
         & (F.col("nb") * 100 >= F.col("na") * percent)
         & (differing <= sketch_slack(percent))
+        & (one["key"] == F.array_min(F.array_intersect("ba", "bb")))
     )
     rest = one.join(two, (one["key"] == two["key"]) & fits).select("a", "b").distinct()
     found = materialize(_confirmed(rest, sets, percent), "found")
