@@ -146,9 +146,9 @@ def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, row, extra): places of disclosing terms in the texts that hold any."""
     held = own.select("id", "row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     hits = held.join(terms.select("term", "action"), "term").groupBy("id", "row", "action").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    hits = materialize(hits, "held")
+    hits = materialize(hits.withColumnRenamed("id", "h_id").withColumnRenamed("row", "h_row"), "held")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    placed = own.withColumnRenamed("id", "own_id").join(hits, own["id"].eqNullSafe(hits["id"]) & (own["row"] == hits["row"])).select(hits["id"], hits["row"], "action", "text", pattern.alias("pattern"))
+    placed = own.join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row"))).select("id", "row", "action", "text", pattern.alias("pattern"))
     placed = placed.withColumn("spans", matches(F.col("text"), F.col("pattern"), "term"))
     spans = F.transform("spans", lambda s: F.struct(F.col("action").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     return placed.select("id", "row", spans.alias("spans")).groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("extra"))
@@ -163,7 +163,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     if terms.isEmpty():
         return found.withColumn("extra", none)
     extra = _term_spans(own, terms).withColumnRenamed("id", "e_id").withColumnRenamed("row", "e_row")
-    joined = found.join(extra, found["id"].eqNullSafe(extra["e_id"]) & (found["row"] == extra["e_row"]), "left")
+    joined = found.join(extra, F.col("id").eqNullSafe(F.col("e_id")) & (F.col("row") == F.col("e_row")), "left")
     free = F.filter("extra", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return joined.select("id", "row", "spans", F.coalesce(F.array_sort(free, lambda a, b: F.when(a["start"] < b["start"], -1).otherwise(1)), none).alias("extra"))
 
