@@ -157,3 +157,15 @@ def bootstrap(df: DataFrame, value: str, key: str, replicates: int = 200, seed:
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("x"), key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
     means = rows.groupBy("r").agg((F.sum(F.col("x") * weight(F.col("r"))) / F.sum(weight(F.col("r")))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def principal_plane(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Two principal components of complete, standardised rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    full = df.na.drop(subset=columns)
+    stages = [VectorAssembler(inputCols=columns, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), PCA(k=2, inputCol="_z", outputCol="_p")]
+    p = vector_to_array(F.col("_p"))
+    return Pipeline(stages=stages).fit(full).transform(full).select(*df.columns, F.get(p, F.lit(0)).alias("pc1"), F.get(p, F.lit(1)).alias("pc2"))

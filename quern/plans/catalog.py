@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, learning, postings, retrieving, statistics, tables
+from . import enrichment, features, learning, postings, retrieving, statistics, tables
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "features", "learning", "postings", "retrieving", "statistics", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "enrichment", "features", "learning", "postings", "retrieving", "statistics", "tables"]
