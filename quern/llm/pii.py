@@ -11,16 +11,16 @@ term, and over the whole corpus
 
     disclosure(entity, term) = PMI(entity; term) / IC(entity)
 
-with probabilities from how many distinct texts hold the term, and how many
-distinct contexts hold the entity, and both (copies are counted once).  It is 1
-when the term never occurs without the entity.  Terms that occur with an entity
-in ``MIN_SUPPORT`` contexts or more and reach ``GENERALISE`` are generalised to a
-placeholder wherever they occur, those that reach ``REMOVE`` are removed.
-
-Cost at scale.  Patterns run once over each text and leave a narrow table.  The
-corpus counts look up only terms that have the support; that table is broadcast
-if its files are small enough for the session's limit and merge-joined
-otherwise.  Pairs are counted with map-side combining; an entity in a third of
+with probabilities from how many texts hold the term, the entity, and both.  It is
+1 when the term never occurs without the entity.  Terms that occur with an entity
+in ``MIN_SUPPORT`` different contexts or more (those of copies are one) and reach
+``GENERALISE`` are generalised to a placeholder wherever they occur, those that
+reach ``REMOVE`` are removed.
+
+Cost at scale.  Patterns run once over each text and leave a narrow table.  Terms
+are counted over the corpus with map-side combining, then joined to those that
+have the support.  The table of disclosing terms is broadcast if its files are
+small enough for the session's limit and merge-joined otherwise.  Pairs are counted with map-side combining; an entity in a third of
 all rows costs one row a context.
 
 Defined results.  Null texts are empty and have no spans; ids may be null or
@@ -126,25 +126,29 @@ def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SU
     """(term, action, disclosure) of the terms that give an entity away; action is term (generalised) or gone (removed)."""
     spark = own.sparkSession
     near = found.select(F.explode("near").alias("n")).select("n.entity", "n.terms", F.xxhash64("n.terms").alias("context"))
-    near = near.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    pairs = materialize(pairs.join(entities, "entity"), "pairs")
+    near = near.groupBy("entity", "context").agg(F.first("terms").alias("terms"), F.count("*").alias("c"))
+    entities = near.groupBy("entity").agg(F.sum("c").alias("n_entity"))
+    pairs = near.select("entity", "c", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("c").alias("n_both"), F.count("*").alias("contexts"))
+    pairs = materialize(pairs.where(F.col("contexts") >= min_support).join(entities, "entity"), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, action string, disclosure double")
-    texts = found.select("row").distinct().count()
-    held = own.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    counts = held.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(max(2, texts)))
-    mutual = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    counts = _held(own).groupBy("term").agg(F.count("*").alias("n_term"))
+    total = F.lit(float(max(2, found.count())))
+    mutual = F.log2(F.least("n_both", "n_term") * total / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.greatest(F.lit(2.0), total / F.col("n_entity")))
     scored = pairs.join(counts, "term").groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return materialize(scored.select("term", F.when(F.col("disclosure") >= remove, "gone").otherwise("term").alias("action"), "disclosure"), "terms")
 
 
+def _held(own: DataFrame) -> DataFrame:
+    """(id, row, term): the distinct terms of each text."""
+    found = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))
+    return own.select("id", "row", F.explode(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).alias("term"))
+
+
 def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, row, extra): places of disclosing terms in the texts that hold any."""
-    held = own.select("id", "row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
+    held = _held(own)
     hits = held.join(terms.select("term", "action"), "term").groupBy("id", "row", "action").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     hits = materialize(hits.withColumnRenamed("id", "h_id").withColumnRenamed("row", "h_row"), "held")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
