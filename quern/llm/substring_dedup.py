@@ -6,12 +6,14 @@ words has one anchor inside it that its words alone determine: equal windows
 have equal anchors at equal places.  Anchors that occur once cannot lie in a
 repeat; the join of documents on anchors keeps those that occur again.
 
-Extension.  A kept anchor is extended left and right to each window of
-``WINDOW`` words that it is the anchor of, up to ``WINDOW - ANCHOR`` words either
-way.  Extensions are matched by 128-bit hashes of the whole window, for all
-partners of an anchor at once and not pair by pair, so a passage held by m
-documents costs m rows, not m * m.  Adjacent matched windows join up to maximal
-repeats; every word of a repeat that also starts earlier is removed.
+Extension.  A kept anchor is extended left and right over all windows that it is
+the anchor of, up to ``WINDOW - ANCHOR`` words either way.  Extensions are matched
+by 128-bit hashes of their words, for all partners of an anchor at once and not
+pair by pair, so a passage held by m documents costs m rows, not m * m.  Where an
+anchor has extensions that differ, at the ends of repeats, the first document of
+each is compared window by window with the others, so that a match is extended
+just as far as it goes.  Adjacent matches join up to maximal repeats; every word
+of a repeat that also starts earlier is removed.
 
 Cost at scale.  Documents with equal word sequences are folded first: a copy is
 decided by its fingerprint and extends nothing.  About one word in seven is an
@@ -105,7 +107,7 @@ def _scan(window: int, anchor: int):
 
 
 def _extend(window: int, anchor: int):
-    """Second pass over documents with repeated anchors: hashes of the windows of those anchors."""
+    """Second pass over documents with repeated anchors: each anchor's extension, and the windows in it."""
 
     def run(batches):
         for batch in batches:
@@ -121,12 +123,20 @@ def _extend(window: int, anchor: int):
                 for i in np.flatnonzero(count).tolist():
                     x, y = edges[i], edges[i + 1]
                     keep[x:y] = np.isin(grams[places[x:y]], again[cut[i] : cut[i + 1]])
-                starts, text = starts[keep], text[keep]
-                k1 = spans_hash(words.hashes, starts, starts + window)
-                k2 = spans_hash(mix(words.hashes ^ np.uint64(0xA0761D6478BD642F)), starts, starts + window)
+                starts, text, places = starts[keep], text[keep], places[keep]
+                fresh = np.ones(len(starts), bool)
+                fresh[1:] = (starts[1:] != starts[:-1] + 1) | (places[1:] != places[:-1]) | (text[1:] != text[:-1])
+                head = np.flatnonzero(fresh)
+                bounds = np.append(head, len(starts))
+                size = np.diff(bounds)
+                other = mix(words.hashes ^ np.uint64(0xA0761D6478BD642F))
+                longs = lambda x: pa.array(x.view(np.int64))
+                whole = [longs(spans_hash(h, starts[head], starts[head] + size - 1 + window)) for h in (words.hashes, other)]
+                each = [_lists(spans_hash(h, starts, starts + window).view(np.int64), bounds) for h in (words.hashes, other)]
+                t = text[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[a:b][text]), pa.array(rows[a:b][text]), pa.array((starts - words.bounds[text]).astype(np.int32))],
-                    ["k1", "k2", "id", "row", "start"],
+                    [longs(grams[places[head]]), *whole, pa.array(ids[a:b][t]), pa.array(rows[a:b][t]), pa.array((starts[head] - words.bounds[t]).astype(np.int32)), pa.array(size.astype(np.int32)), *each],
+                    ["h", "k1", "k2", "id", "row", "start", "m", "w1", "w2"],
                 )
 
     return run
@@ -139,12 +149,13 @@ def _remove(window: int):
         for batch in batches:
             copies = pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False)
             counts = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
-            starts, cut = pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+            starts, sizes = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False) for i in (3, 4))
+            cut = np.concatenate([[0], np.cumsum(counts)])
             for a, b, words in chunked_words(batch.column(1)):
                 n = np.diff(words.bounds)
                 first = np.repeat(words.bounds[:-1], counts[a:b]) + starts[cut[a] : cut[b]]
                 size = len(words.hashes) + 1
-                covered = np.cumsum(np.bincount(first, minlength=size) - np.bincount(first + window, minlength=size)[:size])[:-1] > 0
+                covered = np.cumsum(np.bincount(first, minlength=size) - np.bincount(first + sizes[cut[a] : cut[b]] - 1 + window, minlength=size)[:size])[:-1] > 0
                 covered |= np.repeat(copies[a:b] & (n >= window), n)
                 removed = np.concatenate([[0], np.cumsum(covered)])[words.bounds]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.diff(removed)), joined(words, ~covered)], ["doc_id", "n_words", "n_removed", "kept_text"])
@@ -163,17 +174,28 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scanned = materialize(scanned.where(F.col("n") >= window), "anchors")
     same = ["f1", "f2", "n"]
     firsts = scanned.groupBy(*same).agg(F.min("id").alias("first"))
-    copies = scanned.select("id", "row", *same).join(firsts, same).where("id > first").select("id", "row", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    copies = scanned.select("id", "row", *same).join(firsts, same).where("id > first").select("id", "row", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("sizes"))
     leading = scanned.join(firsts.withColumnRenamed("first", "id"), [*same, "id"], "left_semi")
 
     seeds = leading.select("id", "row", F.explode("anchors").alias("h"))
     again = seeds.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     wanted = seeds.join(again, "h").groupBy("id", "row").agg(F.collect_set("h").alias("wanted"))
 
-    windows = own.join(wanted, ["id", "row"]).select("id", "text", "row", "wanted").mapInArrow(_extend(window, anchor), "k1 long, k2 long, id long, row long, start int")
-    windows = materialize(windows, "windows")
-    earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("m"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "m")
-    later = windows.join(earliest, ["k1", "k2"]).where((F.col("id") > F.col("m.id")) | ((F.col("id") == F.col("m.id")) & (F.col("start") > F.col("m.start"))))
-    cuts = later.groupBy("id", "row").agg(F.collect_set("start").alias("starts")).select("id", "row", F.lit(False).alias("copy"), "starts")
+    runs = own.join(wanted, ["id", "row"]).select("id", "text", "row", "wanted").mapInArrow(_extend(window, anchor), "h long, k1 long, k2 long, id long, row long, start int, m int, w1 array<long>, w2 array<long>")
+    runs = materialize(runs, "extensions")
+    extent = ["h", "k1", "k2"]
+    later = lambda first: (F.col("id") > F.col(f"{first}.id")) | ((F.col("id") == F.col(f"{first}.id")) & (F.col("start") > F.col(f"{first}.start")))
+    first = runs.groupBy(*extent).agg(F.min(F.struct("id", "start")).alias("f"))
+    whole = runs.select(*extent, "id", "row", "start", "m").join(first, extent).where(later("f")).select("id", "row", "start", "m")
+
+    differing = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    leads = first.join(differing, "h").select(*extent, F.col("f.id").alias("id"), F.col("f.start").alias("start"))
+    single = runs.join(leads, [*extent, "id", "start"]).select("id", "row", "start", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    single = materialize(single.select("w.w1", "w.w2", "id", "row", (F.col("start") + F.col("i")).alias("start")), "windows")
+    earliest = single.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("e"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", "e")
+    partly = single.join(earliest, ["w1", "w2"]).where(later("e")).select("id", "row", "start", F.lit(1).alias("m"))
+
+    cuts = whole.union(partly).groupBy("id", "row").agg(F.collect_set(F.struct("start", "m")).alias("cut"))
+    cuts = cuts.select("id", "row", F.lit(False).alias("copy"), F.col("cut.start").alias("starts"), F.col("cut.m").alias("sizes"))
     decided = own.join(cuts.union(copies.distinct()), ["id", "row"], "left")
-    return decided.select("id", "text", "copy", "starts").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return decided.select("id", "text", "copy", "starts", "sizes").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
