@@ -5,23 +5,29 @@ the lengths of pieces and matches in turn give every match its place in code
 points.  Lookbehind and possessive quantifiers keep each pattern linear in the
 text; they match what the plain patterns match.
 
-Information-theoretic sanitisation.  Each matched value is a protected entity.
-A word of ``TERM_CHARS`` letters or more within ``CONTEXT`` characters of it is a
-term, and over the whole corpus
+Information-theoretic sanitisation.  Each matched value is a protected entity, and
+so are its group (an address's domain, a network of IPs, a card's issuer, a phone
+number without its last digits) and its kind: what a value seen once cannot show,
+its group or kind can.  A word of ``TERM_CHARS`` letters or more within ``CONTEXT``
+characters of a value is a term, and over the whole corpus
 
     disclosure(entity, term) = PMI(entity; term) / IC(entity)
 
-with probabilities from how many texts hold the term, the entity, and both.  It is
-1 when the term never occurs without the entity.  Terms that occur with an entity
-in ``MIN_SUPPORT`` different contexts or more (those of copies are one) and reach
-``GENERALISE`` are generalised to a placeholder wherever they occur, those that
-reach ``REMOVE`` are removed.
+with probabilities from how many distinct texts hold the term, the entity, and
+both; copies of a text are one.  It is 1 when the term never occurs without the
+entity.  A pair needs ``MIN_SUPPORT`` texts that hold both.  A value in two texts
+needs both of them, and a value in one text counts with the words it is made of
+alone; of such a term's texts half must hold the value.  A pair of a group or kind
+must be no chance as well: ``SURE_BITS`` bound the odds of drawing it.  Terms that
+reach ``GENERALISE`` are generalised to a placeholder wherever they occur, those
+that reach ``REMOVE`` are removed.
 
 Cost at scale.  Patterns run once over each text and leave a narrow table.  Terms
 are counted over the corpus with map-side combining, then joined to those that
-have the support.  The table of disclosing terms is broadcast if its files are
-small enough for the session's limit and merge-joined otherwise.  Pairs are counted with map-side combining; an entity in a third of
-all rows costs one row a context.
+have the support; texts that are copies are read once more to count them once.
+The table of disclosing terms is broadcast if its files are small enough for the
+session's limit and merge-joined otherwise.  Pairs are counted with map-side
+combining, at most one row for a text, entity and term.
 
 Defined results.  Null texts are empty and have no spans; ids may be null or
 repeat, each row is searched on its own (rows with equal id and text alike).
@@ -43,6 +49,7 @@ CONTEXT = 64
 MIN_SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.9
+SURE_BITS = 20
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -114,36 +121,74 @@ def _context_terms(text: Column, span: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" | ", left, right), F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))
 
 
+def _group(kind: Column, value: Column) -> Column:
+    """What the values of one owner tend to share; null where there is nothing."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 3))
+        .when(kind == "card", F.substring(digits, 1, 6))
+        .when(kind == "phone", F.substring(digits, F.lit(1), F.length(digits) - 4))
+    )
+
+
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, row, text) of the texts, and the written table (id, row, spans, near) of what is in them."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     found = own.select("id", "row", "text", base_spans(F.col("text")).alias("spans"))
-    near = F.transform("spans", lambda s: F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), _context_terms(F.col("text"), s).alias("terms")))
+    near = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _context_terms(F.col("text"), s).alias("terms")))
     return own, materialize(found.select("id", "row", "spans", near.alias("near")), "spans")
 
 
+def _entities(texts: DataFrame) -> DataFrame:
+    """(row, entity, level, words, beside), once a text and entity: the words that a value (level 0) is made of, and the terms near it."""
+    near = texts.select("row", F.explode("near").alias("n")).select("row", "n.kind", "n.value", "n.terms")
+    level = lambda number, *of: F.struct(F.concat_ws(":", F.lit(number), *of).alias("entity"), F.lit(number).alias("level"))
+    levels = F.array(level(0, "kind", "value"), level(1, "kind", _group(F.col("kind"), F.col("value"))), level(2, "kind"))
+    each = near.select("row", "value", "terms", F.explode(levels).alias("l")).withColumn("value", F.when(F.col("l.level") == 0, F.col("value")))
+    once = each.groupBy("row", "l.entity", "l.level").agg(F.max("value").alias("value"), F.array_distinct(F.flatten(F.collect_set("terms"))).alias("beside"))
+    return once.select("row", "entity", "level", F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(0)).alias("words"), "beside")
+
+
+def _pairs(each: DataFrame, min_support: int) -> DataFrame:
+    """(entity, level, term, n_both, n_entity) of the pairs that have the support."""
+    entities = each.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    own = F.coalesce(F.array_contains("words", F.col("term")), F.lit(False))
+    pairs = each.select("entity", "level", "words", F.explode("beside").alias("term")).groupBy("entity", "level", "term").agg(F.count("*").alias("n_both"), F.max(own).alias("own"))
+    rare = (F.col("level") == 0) & (F.col("n_both") == F.col("n_entity")) & ((F.col("n_entity") > 1) | F.col("own"))
+    return pairs.join(entities, "entity").where((F.col("n_both") >= min_support) | rare).select("entity", "level", "term", "n_both", "n_entity")
+
+
+def _term_counts(own: DataFrame) -> DataFrame:
+    """(term, n_term): in how many distinct texts each term is."""
+    counts = _held(own).groupBy("term").agg(F.count("*").alias("n"))
+    copies = own.groupBy("row").agg((F.count("*") - 1).alias("over")).where("over > 0")
+    again = own.join(copies, "row").groupBy("row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("over").alias("over"))
+    again = _held(again, "over").groupBy("term").agg(F.sum("over").alias("over"))
+    return counts.join(again, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("n_term"))
+
+
 def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, action, disclosure) of the terms that give an entity away; action is term (generalised) or gone (removed)."""
     spark = own.sparkSession
-    near = found.select(F.explode("near").alias("n")).select("n.entity", "n.terms", F.xxhash64("n.terms").alias("context"))
-    near = near.groupBy("entity", "context").agg(F.first("terms").alias("terms"), F.count("*").alias("c"))
-    entities = near.groupBy("entity").agg(F.sum("c").alias("n_entity"))
-    pairs = near.select("entity", "c", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("c").alias("n_both"), F.count("*").alias("contexts"))
-    pairs = materialize(pairs.where(F.col("contexts") >= min_support).join(entities, "entity"), "pairs")
+    texts = found.where(F.size("near") > 0).groupBy("row").agg(F.first("near").alias("near"))
+    pairs = materialize(_pairs(materialize(_entities(texts), "entities"), min_support), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, action string, disclosure double")
-    counts = _held(own).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(max(2, found.count())))
-    mutual = F.log2(F.least("n_both", "n_term") * total / (F.col("n_entity") * F.col("n_term")))
+    total = F.lit(float(max(2, found.select("row").distinct().count())))
+    share, chance = F.col("n_both") / F.col("n_term"), F.col("n_entity") / total
+    mutual = F.log2(share / chance)
     content = F.log2(F.greatest(F.lit(2.0), total / F.col("n_entity")))
-    scored = pairs.join(counts, "term").groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    others = F.when(share < 1, (F.col("n_term") - F.col("n_both")) * F.log2((1 - share) / (1 - chance))).otherwise(0.0)
+    sure = F.when(F.col("level") == 0, (F.col("n_entity") >= min_support) | (share >= 0.5)).otherwise((share > chance) & (F.col("n_both") * mutual + others >= SURE_BITS))
+    scored = pairs.join(_term_counts(own), "term").where(sure).groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return materialize(scored.select("term", F.when(F.col("disclosure") >= remove, "gone").otherwise("term").alias("action"), "disclosure"), "terms")
 
 
-def _held(own: DataFrame) -> DataFrame:
-    """(id, row, term): the distinct terms of each text."""
+def _held(own: DataFrame, *more: str) -> DataFrame:
+    """(id, row, more.., term): the distinct terms of each text."""
     found = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))
-    return own.select("id", "row", F.explode(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).alias("term"))
+    return own.select("id", "row", *more, F.explode(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).alias("term"))
 
 
 def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:

@@ -394,3 +394,35 @@ def test_terms_that_give_an_entity_away(docs):
     assert clean[43] == "one two" and clean[41] is None
     assert clean[51] == "mail <EMAIL>, <IP> or <PHONE>; <CARD>"
     assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == docs.count()
+
+
+def word_of(i):
+    return "".join(chr(97 + (i // 26**k) % 26) for k in range(4))
+
+
+def marked_words(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in pii.pii_report(rows).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("term")]
+        out[r.doc_id] = {texts[r.doc_id][int(a) : int(b)] for _, a, b in spans}
+    return out
+
+
+def test_terms_of_values_that_are_seen_once_or_twice(spark):
+    """Unique addresses share a domain; a value in two texts; a name that the address is made of; a signature with the same words around it."""
+    clean = [f"plain {word_of(i)} words" for i in range(60)]
+    texts = [f"{word_of(100 + i)} asks Zorblatt at u{i}@acme.example for {word_of(200 + i)}" for i in range(12)]
+    texts += [f"{word_of(300 + i)} then Quillfeather 9.8.7.6 {word_of(400 + i)}" for i in range(2)]
+    texts += ["Brambleby writes from brambleby@else.example", "mail one@lone.example or more"]
+    signature = "\n-- -- -- -- -- --\nHartwhistle Lane office, +44 20 7946 0958"
+    texts += [f"{word_of(500 + i)} {'. ' * 40}{signature}" for i in range(5)]
+    got = marked_words(spark, clean + texts)
+    assert all("Zorblatt" in got[60 + i] for i in range(12))
+    assert all(got[72 + i] >= {"Quillfeather"} for i in range(2))
+    assert "Brambleby" in got[74] and got[75] == set()
+    assert all({"Hartwhistle", "Lane"} <= got[76 + i] for i in range(5))
+    assert not any(got[i] for i in range(60))
+    copied = marked_words(spark, clean + ["mail one@lone.example or more"] * 5)
+    assert not any(copied.values())
+
