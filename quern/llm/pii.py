@@ -8,16 +8,17 @@ text; they match what the plain patterns match.
 Information-theoretic sanitisation.  Each matched value is a protected entity, and
 so are its group (an address's domain, a network of IPs, a card's issuer, a phone
 number without its last digits) and its kind: what a value seen once cannot show,
-its group or kind can.  A word of ``TERM_CHARS`` letters or more within ``CONTEXT``
-characters of a value is a term, and over the whole corpus
+its group or kind can.  A word of ``TERM_CHARS`` letters or more outside the values is
+a term, and over the whole corpus
 
     disclosure(entity, term) = PMI(entity; term) / IC(entity)
 
 with probabilities from how many distinct texts hold the term, the entity, and
-both; copies of a text are one.  It is 1 when the term never occurs without the
+both, anywhere in the text; copies of a text are one.  It is 1 when the term never occurs without the
 entity.  A pair needs ``MIN_SUPPORT`` texts that hold both.  A value in two texts
 needs both of them, and a value in one text counts with the words it is made of
-alone; of such a term's texts half must hold the value.  A pair of a group or kind
+alone; such a term must be within ``CONTEXT`` characters of the value once, and half
+of its texts must hold the value.  A pair of a group or kind
 must be no chance as well: ``SURE_BITS`` bound the odds of drawing it.  Terms that
 reach ``GENERALISE`` are generalised to a placeholder wherever they occur, those
 that reach ``REMOVE`` are removed.
@@ -26,8 +27,10 @@ Cost at scale.  Patterns run once over each text and leave a narrow table.  Term
 are counted over the corpus with map-side combining, then joined to those that
 have the support; texts that are copies are read once more to count them once.
 The table of disclosing terms is broadcast if its files are small enough for the
-session's limit and merge-joined otherwise.  Pairs are counted with map-side
-combining, at most one row for a text, entity and term.
+session's limit and merge-joined otherwise.  Of the texts, those are shuffled that
+have copies or hold such a term, and few others.  Only texts with personal data are
+joined, a text's terms to its entities, and of these pairs only such as can reach
+``generalise``: a term in more texts than that leaves room for makes no row.
 
 Defined results.  Null texts are empty and have no spans; ids may be null or
 repeat, each row is searched on its own (rows with equal id and text alike).
@@ -50,6 +53,7 @@ MIN_SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.9
 SURE_BITS = 20
+SLOTS = 1 << 20
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -112,13 +116,18 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.when(text.rlike(guard), _passing(matches(text, F.lit(pattern), kind), ok)).otherwise(none) for kind, (pattern, guard, ok) in BASE.items()))
 
 
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))
+
+
 def _context_terms(text: Column, span: Column) -> Column:
     """Distinct lower-cased terms near a span; words that the window cuts do not count."""
     left = F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), span["start"]))
     right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
     left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
     right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" | ", left, right), F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))
+    return _terms(F.concat_ws(" | ", left, right))
 
 
 def _group(kind: Column, value: Column) -> Column:
@@ -133,11 +142,17 @@ def _group(kind: Column, value: Column) -> Column:
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, row, text) of the texts, and the written table (id, row, spans, near) of what is in them."""
+    """(id, row, text) of the texts, and the written table (id, row, spans, near, terms, inner) of what is in them.
+
+    Of texts with spans, terms are those outside the spans and inner those inside alone.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     found = own.select("id", "row", "text", base_spans(F.col("text")).alias("spans"))
     near = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _context_terms(F.col("text"), s).alias("terms")))
-    return own, materialize(found.select("id", "row", "spans", near.alias("near")), "spans")
+    found = found.withColumn("all", F.when(F.size("spans") > 0, _terms(F.col("text"))))
+    terms = F.when(F.size("spans") > 0, _terms(_rewritten(F.col("text"), F.col("spans"), dict.fromkeys(BASE, "|"))))
+    found = found.select("id", "row", "spans", near.alias("near"), "all", terms.alias("terms"))
+    return own, materialize(found.select("id", "row", "spans", "near", "terms", F.array_except("all", "terms").alias("inner")), "spans")
 
 
 def _entities(texts: DataFrame) -> DataFrame:
@@ -150,45 +165,59 @@ def _entities(texts: DataFrame) -> DataFrame:
     return once.select("row", "entity", "level", F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(0)).alias("words"), "beside")
 
 
-def _pairs(each: DataFrame, min_support: int) -> DataFrame:
-    """(entity, level, term, n_both, n_entity) of the pairs that have the support."""
-    entities = each.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    own = F.coalesce(F.array_contains("words", F.col("term")), F.lit(False))
-    pairs = each.select("entity", "level", "words", F.explode("beside").alias("term")).groupBy("entity", "level", "term").agg(F.count("*").alias("n_both"), F.max(own).alias("own"))
-    rare = (F.col("level") == 0) & (F.col("n_both") == F.col("n_entity")) & ((F.col("n_entity") > 1) | F.col("own"))
-    return pairs.join(entities, "entity").where((F.col("n_both") >= min_support) | rare).select("entity", "level", "term", "n_both", "n_entity")
+def _near_rows(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts that may be in ``rows``: a broadcast of at most ``SLOTS`` numbers spares the others the exact join's shuffle."""
+    slot = F.pmod("row", F.lit(SLOTS)).alias("slot")
+    return own.withColumn("slot", slot).join(F.broadcast(rows.select(slot).distinct()), "slot", "left_semi").drop("slot")
 
 
-def _term_counts(own: DataFrame) -> DataFrame:
-    """(term, n_term): in how many distinct texts each term is."""
+def _term_counts(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, n_term): in how many distinct texts each term is, outside personal data."""
     counts = _held(own).groupBy("term").agg(F.count("*").alias("n"))
     copies = own.groupBy("row").agg((F.count("*") - 1).alias("over")).where("over > 0")
-    again = own.join(copies, "row").groupBy("row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("over").alias("over"))
-    again = _held(again, "over").groupBy("term").agg(F.sum("over").alias("over"))
-    return counts.join(again, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("n_term"))
+    again = _near_rows(own, copies).join(copies, "row").groupBy("row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("over").alias("over"))
+    over = _held(again, "over").select("term", "over").unionByName(texts.select(F.explode("inner").alias("term"), F.lit(1).cast("long").alias("over")))
+    over = over.groupBy("term").agg(F.sum("over").alias("over"))
+    return counts.join(over, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("n_term"))
+
+
+def _pairs(own: DataFrame, texts: DataFrame, total: Column, min_support: int, generalise: float) -> DataFrame:
+    """(entity, level, term, n_both, n_entity, n_term) of the pairs that have the support."""
+    each = materialize(_entities(texts), "entities")
+    entities = each.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # No term in more texts reaches ``generalise``, even if the entity is in none without it.
+    most = total * F.pow(F.greatest(F.lit(2.0), total / F.col("n_entity")), F.lit(-generalise)) * (1 + 1e-9)
+    rare = (F.col("level") == 0) & (F.col("n_entity") < min_support)
+    most = F.when(rare, F.least(most, 2.0 * F.col("n_entity"))).otherwise(most)
+    least = F.when(rare, F.col("n_entity")).otherwise(F.lit(min_support))
+    each = each.join(entities, "entity").select("row", "entity", "level", "n_entity", rare.alias("rare"), F.when(rare, F.col("beside")).alias("beside"), "words", most.alias("most"), least.alias("least"))
+    held = texts.select("row", F.explode("terms").alias("term")).join(_term_counts(own, texts), "term").withColumnRenamed("row", "h_row")
+    near = F.coalesce(F.array_contains("beside", F.col("term")) & ((F.col("n_entity") > 1) | F.array_contains("words", F.col("term"))), F.lit(False))
+    can = (F.col("row") == F.col("h_row")) & (F.col("n_term") <= F.col("most")) & (F.col("n_term") >= F.col("least")) & (~F.col("rare") | (F.col("n_entity") > 1) | near)
+    pairs = each.join(held, can).groupBy("entity", "level", "rare", "least", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both"), F.max(near).alias("near"))
+    return pairs.where((F.col("n_both") >= F.col("least")) & (~F.col("rare") | F.col("near"))).select("entity", "level", "term", "n_both", "n_entity", "n_term")
 
 
 def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, action, disclosure) of the terms that give an entity away; action is term (generalised) or gone (removed)."""
     spark = own.sparkSession
-    texts = found.where(F.size("near") > 0).groupBy("row").agg(F.first("near").alias("near"))
-    pairs = materialize(_pairs(materialize(_entities(texts), "entities"), min_support), "pairs")
+    texts = found.where(F.size("near") > 0).groupBy("row").agg(*(F.first(c).alias(c) for c in ("near", "terms", "inner")))
+    total = F.lit(float(max(2, found.select("row").distinct().count())))
+    pairs = materialize(_pairs(own, texts, total, min_support, generalise), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, action string, disclosure double")
-    total = F.lit(float(max(2, found.select("row").distinct().count())))
     share, chance = F.col("n_both") / F.col("n_term"), F.col("n_entity") / total
     mutual = F.log2(share / chance)
     content = F.log2(F.greatest(F.lit(2.0), total / F.col("n_entity")))
     others = F.when(share < 1, (F.col("n_term") - F.col("n_both")) * F.log2((1 - share) / (1 - chance))).otherwise(0.0)
     sure = F.when(F.col("level") == 0, (F.col("n_entity") >= min_support) | (share >= 0.5)).otherwise((share > chance) & (F.col("n_both") * mutual + others >= SURE_BITS))
-    scored = pairs.join(_term_counts(own), "term").where(sure).groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    scored = pairs.where(sure).groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return materialize(scored.select("term", F.when(F.col("disclosure") >= remove, "gone").otherwise("term").alias("action"), "disclosure"), "terms")
 
 
 def _held(own: DataFrame, *more: str) -> DataFrame:
     """(id, row, more.., term): the distinct terms of each text."""
-    found = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))
-    return own.select("id", "row", *more, F.explode(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).alias("term"))
+    return own.select("id", "row", *more, F.explode(_terms(F.col("text"))).alias("term"))
 
 
 def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
@@ -197,7 +226,7 @@ def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
     hits = held.join(terms.select("term", "action"), "term").groupBy("id", "row", "action").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     hits = materialize(hits.withColumnRenamed("id", "h_id").withColumnRenamed("row", "h_row"), "held")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    placed = own.join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row"))).select("id", "row", "action", "text", pattern.alias("pattern"))
+    placed = _near_rows(own, hits.select(F.col("h_row").alias("row"))).join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row"))).select("id", "row", "action", "text", pattern.alias("pattern"))
     placed = placed.withColumn("spans", matches(F.col("text"), F.col("pattern"), "term"))
     spans = F.transform("spans", lambda s: F.struct(F.col("action").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     return placed.select("id", "row", spans.alias("spans")).groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("extra"))
@@ -232,12 +261,12 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias("doc_id"), *counts, base.alias("base"), every.alias("spans"))
 
 
-def _rewritten(text: Column, spans: Column) -> Column:
+def _rewritten(text: Column, spans: Column, placeholders: dict[str, str] = PLACEHOLDERS) -> Column:
     """The text with each span replaced by its kind's placeholder; of overlapping spans the first, then longest, counts."""
 
     def step(acc: Column, s: Column) -> Column:
         mark = F.lit("")
-        for kind, word in PLACEHOLDERS.items():
+        for kind, word in placeholders.items():
             mark = F.when(s["kind"] == kind, F.lit(word)).otherwise(mark)
         between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(between, mark)).alias("out")))

@@ -426,3 +426,15 @@ def test_terms_of_values_that_are_seen_once_or_twice(spark):
     copied = marked_words(spark, clean + ["mail one@lone.example or more"] * 5)
     assert not any(copied.values())
 
+
+def test_terms_far_from_the_values(spark):
+    """A name in the first line and the address at the end; an address's own words are not terms of the text."""
+    clean = [f"plain {word_of(i)} words" for i in range(60)]
+    filler = lambda i: " ".join(word_of(1000 + 20 * i + j) for j in range(20))
+    texts = [f"Wetherspool\n{filler(i)}\nw.w@acme.example" for i in range(6)] + ["example of a plain text"]
+    texts += [f"Ottoline {filler(10 + i)} 7.7.7.7" for i in range(4)] + [f"Ottoline at 7.7.7.7 {word_of(900 + i)}" for i in range(2)]
+    got = marked_words(spark, clean + texts)
+    assert all("Wetherspool" in got[60 + i] for i in range(6))
+    assert got[66] == set()
+    assert all("Ottoline" in got[67 + i] for i in range(6))
+    assert not any(got[i] for i in range(60))
