@@ -4,15 +4,18 @@ A vector is coded as a sum of one full-dimensional codeword from each of
 ``CODEBOOKS`` codebooks.  The codebooks start as residual k-means and are refitted
 together by least squares; codes are found by beam search over the codebooks.
 Beside its code a vector stores the ratio of its norm to its code's, which puts
-the length that coding loses back into the score.  A query's products with all
-codewords make a table; a coded vector's score is the sum of one entry a
-codebook, times that ratio.  The best ``candidates`` by that score are reranked
-by exact inner products on the original vectors, in double precision.
+the length that coding loses back into the score, and the length of what is left,
+which bounds the score's error.  A query's products with all codewords make a
+table; a coded vector's score is the sum of one entry a codebook, times that ratio.
+The best ``candidates`` of a block by that score are scored exactly, in double
+precision; so is every other row that the bound does not place below the k-th of
+these, however many they are.  No neighbour is lost to the codes.
 
 Cost at scale.  The fit uses ``FIT_ROWS`` rows (those with the smallest hashed
-ids); every row is coded.  Codes are about 30 bytes a row, packed in blocks of
-``BLOCK_ROWS``; queries are packed too, and each task scores one block of queries
-against one block of codes.  Original vectors are moved for candidates only.
+ids); every row is coded.  Codes and vectors are packed in blocks of ``BLOCK_BYTES``
+of vectors; queries are packed too, and each task scores one block of queries
+against one block of rows and returns k rows a query.  A block is sent once for
+``QUERY_ROWS`` queries.
 Tied scores go to the smaller id in every step, so any number of equal vectors
 gives the same result.
 
@@ -35,8 +38,8 @@ from .scratch import materialize
 
 CODEBOOKS, CODEWORDS, BEAM = 24, 128, 8
 FIT_ROWS = 8192
-BLOCK_ROWS = 65536
-QUERY_ROWS = 256
+BLOCK_BYTES = 1 << 24
+QUERY_ROWS = 512
 CANDIDATES = 400
 
 
@@ -98,21 +101,25 @@ def _encoder(books: np.ndarray):
                 part = batch.slice(i, 1024)
                 x = _matrix(part.column(1), books.shape[2]).astype(np.float32)
                 codes = encode(x, books)
-                made = np.linalg.norm(decode(codes, books), axis=1)
-                ratio = np.linalg.norm(x, axis=1) / np.where(made > 0, made, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio.astype(np.float32))], ["id", "code", "ratio"])
+                decoded = decode(codes, books)
+                made, size = np.linalg.norm(decoded, axis=1), np.linalg.norm(x, axis=1)
+                ratio = (size / np.where(made > 0, made, 1)).astype(np.float32)
+                # The second term covers what single precision loses.
+                error = np.linalg.norm(x - ratio[:, None] * decoded, axis=1) + 1e-4 * (size + ratio * np.abs(books).max() * len(books))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio), pa.array(error.astype(np.float32)), part.column(1)], ["id", "code", "ratio", "error", "vector"])
 
     return run
 
 
 def _pack_codes(table: pa.Table) -> pa.Table:
     table = table.sort_by("id")
-    joined = lambda name: b"".join(table[name].to_pylist())
-    return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()]), "codes": pa.array([joined("code")]), "ratios": pa.array([table["ratio"].to_numpy().tobytes()])})
+    packed = lambda name: pa.array([table[name].to_numpy().tobytes()])
+    vectors = pc.list_flatten(table["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
+    return pa.table({"block": table["block"][:1], "ids": packed("id"), "codes": pa.array([b"".join(table["code"].to_pylist())]), "ratios": packed("ratio"), "errors": packed("error"), "rows": pa.array([vectors.tobytes()])})
 
 
 def _pack_queries(table: pa.Table) -> pa.Table:
-    vectors = pc.list_flatten(table["vector"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float32)
+    vectors = pc.list_flatten(table["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
     return pa.table({"group": table["group"][:1], "queries": pa.array([table["id"].to_numpy().tobytes()]), "vectors": pa.array([vectors.tobytes()])})
 
 
@@ -125,28 +132,54 @@ def best_of(scores: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: count - len(above)]])
 
 
-def _scorer(books: np.ndarray, candidates: int, slice_rows: int = 64):
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed in the order of the dimensions, so that equal vectors score alike."""
+    out = np.zeros(len(rows))
+    for j in range(len(query)):
+        out += query[j] * rows[:, j]
+    return out
+
+
+def _exact_best(query: np.ndarray, approximate: np.ndarray, errors: np.ndarray, rows: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k best rows; rows at -inf take no part.  What the error bound leaves open is scored exactly."""
+    length = np.linalg.norm(query)
+    first = best_of(approximate, max(k, candidates))
+    first = first[approximate[first] > -np.inf]
+    if len(first) >= k:
+        least = np.partition(rows[first] @ query, len(first) - k)[len(first) - k]
+        places = np.flatnonzero((approximate + length * errors >= least - 1e-9 * abs(least)) & (approximate > -np.inf))
+        near = rows[places] @ query
+        least = np.partition(near, len(near) - k)[len(near) - k]
+        places = places[near >= least - 1e-9 * length * np.linalg.norm(rows[places], axis=1).max()]
+    else:
+        places = np.sort(first)
+    scores = _products(rows[places], query)
+    best = best_of(scores, k)
+    return places[best], scores[best]
+
+
+def _scorer(books: np.ndarray, k: int, candidates: int, slice_rows: int = 64):
     def run(batches):
         for batch in batches:
-            for queries, vectors, ids, codes, ratios in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                queries, ids, ratios = np.frombuffer(queries, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(ratios, np.float32)
-                vectors = np.frombuffer(vectors, np.float32).reshape(len(queries), -1)
+            for queries, vectors, ids, codes, ratios, errors, rows in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                queries, ids = np.frombuffer(queries, np.int64), np.frombuffer(ids, np.int64)
+                ratios, errors = np.frombuffer(ratios, np.float32), np.frombuffer(errors, np.float32)
+                vectors, rows = np.frombuffer(vectors).reshape(len(queries), -1), np.frombuffer(rows).reshape(len(ids), -1)
                 codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
                 for i in range(0, len(queries), slice_rows):
-                    tables = np.einsum("qd,mkd->mqk", vectors[i : i + slice_rows], books, optimize=True)
+                    tables = np.einsum("qd,mkd->mqk", vectors[i : i + slice_rows].astype(np.float32), books, optimize=True)
                     scores = np.zeros((tables.shape[1], len(ids)), np.float32)
                     for table, code in zip(tables, codes, strict=True):
                         scores += table[:, code]
                     scores *= ratios
                     out_query, out_id, out_score = [], [], []
-                    for query, row in zip(queries[i : i + slice_rows], scores, strict=True):
+                    for query, vector, row in zip(queries[i : i + slice_rows], vectors[i : i + slice_rows], scores, strict=True):
                         row[ids == query] = -np.inf
-                        best = best_of(row, candidates)
-                        best = best[row[best] > -np.inf]
+                        best, exact = _exact_best(vector, row, errors, rows, k, candidates)
                         out_query.append(np.full(len(best), query))
                         out_id.append(ids[best])
-                        out_score.append(row[best])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_query, out_id, out_score)], ["query_id", "id", "approximate"])
+                        out_score.append(exact)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_query, out_id, out_score)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -171,21 +204,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sample = base.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
     books = fit(_matrix(sample["vector"].combine_chunks(), width).astype(np.float32), codebooks, min(codewords, max(1, sample.num_rows)))
 
-    blocks = max(1, -(-common["count"] // BLOCK_ROWS))
-    coded = base.select("id", "vector").mapInArrow(_encoder(books), "id long, code binary, ratio float")
-    coded = coded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_pack_codes, "block int, ids binary, codes binary, ratios binary")
+    blocks = max(1, -(-common["count"] * width * 8 // BLOCK_BYTES))
+    coded = base.select("id", "vector").mapInArrow(_encoder(books), "id long, code binary, ratio float, error float, vector array<double>")
+    coded = coded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_pack_codes, "block int, ids binary, codes binary, ratios binary, errors binary, rows binary")
     asking = base.where("asks").select("id", "vector")
     groups = max(1, -(-asking.count() // QUERY_ROWS))
     asked = asking.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("group").applyInArrow(_pack_queries, "group int, queries binary, vectors binary")
 
     grid = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = coded.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    scored = grid.join(cells, ["group", "block"]).select("queries", "vectors", "ids", "codes", "ratios").mapInArrow(_scorer(books, candidates), "query_id long, id long, approximate float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "id")
-    found = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "id")
-
-    exact = found.join(base.select("id", "vector"), "id").join(asking.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
-    product = F.aggregate(F.zip_with("query", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = exact.select("query_id", F.col("id").alias("vec_id"), product.alias("score"))
+    scored = grid.join(cells, ["group", "block"]).select("queries", "vectors", "ids", "codes", "ratios", "errors", "rows").mapInArrow(_scorer(books, k, candidates), "query_id long, vec_id long, score double")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

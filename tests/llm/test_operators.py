@@ -319,6 +319,22 @@ def test_nearest_neighbours(spark):
     assert additive_ann.nearest(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_in_a_large_group_of_near_copies(spark):
+    """More near-equal vectors than candidates: the codes cannot order them, the error bound keeps them all."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[:1500] = x[0] + 0.01 * rng.normal(size=(1500, 32)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in additive_ann.nearest(frame, F.col("vec_id") % 100 == 0, k=10, candidates=40, codebooks=4, codewords=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    y = x.astype(float)
+    for q in range(0, 3000, 100):
+        s = y @ y[q]
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(3000), -s))[:10].tolist()
+
+
 def brute_lines(rows, least=10):
     spaces = " \t\n\x0b\x0c\r"
     key = lambda x: fold(x.strip(spaces))
