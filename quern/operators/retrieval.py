@@ -122,15 +122,15 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
 def dense_top_k(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, item_id: str, item_vector: str, k: int = FIRST_PASS, where: Column | None = None, max_queries: int = 10_000) -> DataFrame:
     """Exact top k by dot product; items are filtered before they are scored.
 
-    A stated query table is scored against all items in one pass: it is packed into
-    one row, whose size is bounded by ``max_queries``; a larger table is an error to
-    split, as a broadcast of it would grow without bound.
+    Queries are packed into rows of about ``max_queries``, as many as they need; each
+    packed row is scored against all items.  Up to ``max_queries`` it is one row, which
+    is broadcast; more are joined without a broadcast.
     """
     pool = items if where is None else items.where(where)
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"over {max_queries} queries: score them in parts")
-    packed = queries.agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))).alias("_qs"))
-    scored = pool.join(F.broadcast(packed)).select(F.col(item_id).alias("item"), F.col(item_vector).alias("_v"), F.explode("_qs").alias("_q"))
+    blocks = max(1, -(-queries.count() // max_queries))
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")
+    packed = queries.groupBy(block).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))).alias("_qs")).drop("_block")
+    scored = pool.crossJoin(F.broadcast(packed) if blocks == 1 else packed.hint("shuffle_replicate_nl")).select(F.col(item_id).alias("item"), F.col(item_vector).alias("_v"), F.explode("_qs").alias("_q"))
     scored = scored.select(F.col("_q.q").alias("query"), "item", F.round(dot(F.col("_q.v"), F.col("_v")), 4).alias("score"))
     return top_k(scored, "query", "item", "score", k)
 

@@ -39,14 +39,14 @@ r AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY
 """
 
 
-def _sparse(spark, sf, k=10):
-    docs, items = fixtures.table(spark, sf, "documents"), fixtures.table(spark, sf, "benchmark").where("item_id < 50")
+def _sparse(spark, sf, k=10, which="true"):
+    docs, items = fixtures.table(spark, sf, "documents"), fixtures.table(spark, sf, "benchmark").where(which)
     return retrieval.sparse_top_k(items, retrieval.bm25_weights(docs, "doc_id", "text"), "item_id", "text", "doc_id", k)
 
 
 @query(f"WITH {_BM25} SELECT query, item, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return _sparse(spark, sf)
+    return _sparse(spark, sf, which="item_id < 50")
 
 
 def _legs(spark, sf):
@@ -111,7 +111,7 @@ def rerank_overlap(spark, sf):
 @query()
 def hydrate_parents(spark, sf):
     chunks = retrieval.chunk(fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang")), "doc_id", "title", "text", child=lambda t: retrieval.fixed_width(t, 1024))
-    items = fixtures.table(spark, sf, "benchmark").where("item_id < 10")
+    items = fixtures.table(spark, sf, "benchmark")
     ranked = retrieval.sparse_top_k(items, retrieval.bm25_weights(chunks.select("child_chunk_id", "child_text"), "child_chunk_id", "child_text"), "item_id", "text", "child_chunk_id", 20)
     children = ranked.withColumnRenamed("item", "child_chunk_id").join(chunks.select("child_chunk_id", "parent_chunk_id"), "child_chunk_id")
     return retrieval.hydrate(children, chunks.select("parent_chunk_id", "parent_text"), "score", 5)

@@ -90,3 +90,23 @@ def test_stream_folds_each_file_once(spark, tmp_path):
         spark.sql(f"SELECT 'a' AS id, DATE '{day}' AS snapshot_date").coalesce(1).write.mode("append").parquet(f"{root}/in")
         incremental.fold_snapshots(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, f"{root}/state", f"{root}/cp")
     assert spark.read.parquet(f"{root}/state/v=1").first().times_seen == 2
+
+
+def test_dense_search_in_query_blocks(spark):
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 5)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    search = lambda n: sorted(map(tuple, retrieval.dense_top_k(frame, frame, "vec_id", "embedding", "vec_id", "embedding", 5, max_queries=n).select("query", "item", "score", "rank").collect()))
+    assert len(search(100)) == 300
+    assert search(7) == search(100)
+
+
+def test_searches_without_sql_take_every_item(spark, tmp_path):
+    from quern.plans import retrieving
+
+    source = "/root/testdata/sf0.001"
+    (tmp_path / "documents.parquet").symlink_to(f"{source}/documents.parquet")
+    items = spark.read.parquet(f"{source}/benchmark.parquet").withColumn("item_id", F.col("item_id") + 30)
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    every = {r.item_id for r in items.collect()}
+    for search in (retrieving.rerank_overlap, retrieving.hydrate_parents):
+        assert {r.query for r in search(spark, str(tmp_path)).select("query").distinct().collect()} == every
