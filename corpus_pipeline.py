@@ -62,7 +62,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the fitted classifier; the tests hold each stage against a brute-force version.
+#: SQL cannot express the fitted classifier; the tests check columns, row counts, tokens and ids of the stages on sf0.001.
 ORACLE_SQL: str | None = None
 
 
