@@ -6,21 +6,21 @@ words has one anchor inside it that its words alone determine: equal windows
 have equal anchors at equal places.  Anchors that occur once cannot lie in a
 repeat; the join of documents on anchors keeps those that occur again.
 
-Extension.  A kept anchor is extended left and right over all windows that it is
-the anchor of, up to ``WINDOW - ANCHOR`` words either way.  Extensions are matched
-by 128-bit hashes of their words, for all partners of an anchor at once and not
+Extension.  An anchor is extended left and right over all windows that it is
+the anchor of, up to ``WINDOW - ANCHOR`` words either way.  Extensions of one
+anchor are matched by a hash of their words, for all partners at once and not
 pair by pair, so a passage held by m documents costs m rows, not m * m.  Where an
 anchor has extensions that differ, at the ends of repeats, the first document of
 each is compared window by window with the others, so that a match is extended
-just as far as it goes.  Adjacent matches join up to maximal repeats; every word
-of a repeat that also starts earlier is removed.
+just as far as it goes.  Matches that are adjacent in a document and in what they
+match are joined: these are the maximal repeats, spans of at least ``WINDOW``
+words with the place of the earliest occurrence.  Every word of a repeat goes.
 
-Cost at scale.  Documents with equal word sequences are folded first: a copy is
-decided by its fingerprint and extends nothing.  About one word in seven is an
-anchor; anchors are counted with map-side combining, then joined back by an
-equi-join that adaptive execution splits for passages that many documents hold.
-Texts are shuffled twice, to the
-anchors wanted of them and to the words they lose, as neither has a size bound.
+Cost at scale.  About one word in seven is an anchor; a row of it is three longs
+and three numbers.  Anchors are counted with map-side combining, then joined back
+by an equi-join that adaptive execution splits for passages that many documents
+hold.  Texts are shuffled twice, to the windows wanted of them and to the repeats
+they lose, as neither has a size bound.  Each table is deleted once it has been read.
 
 Defined results.  Null, empty and short texts have no window and stay whole.
 Rows that share an id are one document for the order: equal starts in them are
@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 from .words import Words, chunked_words, mix, spans_hash
 
 WINDOW = 20
@@ -64,16 +64,6 @@ def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.n
     return starts[inside], place[inside], grams
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
-
-
-def _whole(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints of the word sequences of all texts."""
-    a, b = words.bounds[:-1], words.bounds[1:]
-    return spans_hash(words.hashes, a, b), spans_hash(mix(words.hashes ^ np.uint64(0xA0761D6478BD642F)), a, b)
-
-
 def joined(words: Words, kept: np.ndarray) -> pa.StringArray:
     """Kept words of each text, joined by one space."""
     starts, ends = words.starts[kept], words.ends[kept]
@@ -88,114 +78,152 @@ def joined(words: Words, kept: np.ndarray) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(full), pa.py_buffer(offsets), pa.py_buffer(data[stay].tobytes()))
 
 
+_SECOND = np.uint64(0xA0761D6478BD642F)
+
+
+def extensions(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, hash of the anchor, hash of all words) of the extension of every anchor."""
+    starts, places, grams = anchors_of(words, window, anchor)
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))[starts]
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (starts[1:] != starts[:-1] + 1) | (places[1:] != places[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(fresh)
+    size = np.diff(np.append(head, len(starts)))
+    first = starts[head]
+    return text[head], first, size, grams[places[head]], spans_hash(mix(words.hashes ^ _SECOND), first, first + size - 1 + window)
+
+
 def _scan(window: int, anchor: int):
-    """First pass: word counts, fingerprints and anchors."""
+    """First pass: every anchor with its extension."""
 
     def run(batches):
         for batch in batches:
             for a, b, words in chunked_words(batch.column(1)):
-                _, places, grams = anchors_of(words, window, anchor)
-                places = np.unique(places)
-                f1, f2 = _whole(words)
-                own = grams[places].view(np.int64) if len(places) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(words.bounds)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(own, np.searchsorted(places, words.bounds)), batch.column(2).slice(a, b - a)],
-                    ["id", "n", "f1", "f2", "anchors", "row"],
-                )
+                text, first, size, gram, whole = extensions(words, window, anchor)
+                if not len(text):
+                    continue
+                columns = [pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - words.bounds[text]).astype(np.int32)), pa.array(size.astype(np.int32))]
+                found = pa.StructArray.from_arrays(columns, ["h", "k", "start", "m"])
+                bounds = pa.array(np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(bounds, found)], ["id", "row", "found"])
 
     return run
 
 
-def _extend(window: int, anchor: int):
-    """Second pass over documents with repeated anchors: each anchor's extension, and the windows in it."""
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(how many items each row has, the items' fields) of lists of structs; null lists are empty."""
+    items = pc.list_flatten(column)
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return count, {f.name: items.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(items.type)}
+
+
+def _windows(window: int):
+    """Second pass: each window of the extensions that are wanted of a text, by two hashes."""
 
     def run(batches):
         for batch in batches:
-            ids, rows, wanted = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            count, wanted = _flat(batch.column(3))
+            cut = np.concatenate([[0], np.cumsum(count)])
             for a, b, words in chunked_words(batch.column(1)):
-                starts, places, grams = anchors_of(words, window, anchor)
-                again = pc.list_flatten(wanted.slice(a, b - a)).to_numpy(zero_copy_only=False).view(np.uint64)
-                count = pc.fill_null(pc.list_value_length(wanted.slice(a, b - a)), 0).to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(b - a), np.diff(words.bounds))[starts]
-                keep = np.zeros(len(starts), bool)
-                cut = np.concatenate([[0], np.cumsum(count)])
-                edges = np.searchsorted(text, np.arange(b - a + 1))
-                for i in np.flatnonzero(count).tolist():
-                    x, y = edges[i], edges[i + 1]
-                    keep[x:y] = np.isin(grams[places[x:y]], again[cut[i] : cut[i + 1]])
-                starts, text, places = starts[keep], text[keep], places[keep]
-                fresh = np.ones(len(starts), bool)
-                fresh[1:] = (starts[1:] != starts[:-1] + 1) | (places[1:] != places[:-1]) | (text[1:] != text[:-1])
-                head = np.flatnonzero(fresh)
-                bounds = np.append(head, len(starts))
-                size = np.diff(bounds)
-                other = mix(words.hashes ^ np.uint64(0xA0761D6478BD642F))
-                longs = lambda x: pa.array(x.view(np.int64))
-                whole = [longs(spans_hash(h, starts[head], starts[head] + size - 1 + window)) for h in (words.hashes, other)]
-                each = [_lists(spans_hash(h, starts, starts + window).view(np.int64), bounds) for h in (words.hashes, other)]
-                t = text[head]
-                yield pa.RecordBatch.from_arrays(
-                    [longs(grams[places[head]]), *whole, pa.array(ids[a:b][t]), pa.array(rows[a:b][t]), pa.array((starts[head] - words.bounds[t]).astype(np.int32)), pa.array(size.astype(np.int32)), *each],
-                    ["h", "k1", "k2", "id", "row", "start", "m", "w1", "w2"],
-                )
+                size = wanted["m"][cut[a] : cut[b]].astype(np.int64)
+                text = np.repeat(np.repeat(np.arange(b - a), count[a:b]), size)
+                inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                place = np.repeat(wanted["start"][cut[a] : cut[b]], size) + inner
+                at = words.bounds[text] + place
+                hashes = [pa.array(spans_hash(h, at, at + window).view(np.int64)) for h in (words.hashes, mix(words.hashes ^ _SECOND))]
+                yield pa.RecordBatch.from_arrays([*hashes, batch.column(0).take(pa.array(a + text)), batch.column(2).take(pa.array(a + text)), pa.array(place.astype(np.int32))], ["w1", "w2", "id", "row", "start"])
 
     return run
 
 
-def _remove(window: int):
-    """Last pass: removed words and what is left.  A copy loses all its words, as each of its windows starts earlier."""
+def _maximal(window: int):
+    """Joins the matches of each document to maximal repeats: adjacent windows with adjacent sources."""
 
     def run(batches):
         for batch in batches:
-            copies = pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False)
-            counts = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
-            starts, sizes = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False) for i in (3, 4))
-            cut = np.concatenate([[0], np.cumsum(counts)])
-            for a, b, words in chunked_words(batch.column(1)):
-                n = np.diff(words.bounds)
-                first = np.repeat(words.bounds[:-1], counts[a:b]) + starts[cut[a] : cut[b]]
-                size = len(words.hashes) + 1
-                covered = np.cumsum(np.bincount(first, minlength=size) - np.bincount(first + sizes[cut[a] : cut[b]] - 1 + window, minlength=size)[:size])[:-1] > 0
-                covered |= np.repeat(copies[a:b] & (n >= window), n)
-                removed = np.concatenate([[0], np.cumsum(covered)])[words.bounds]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.diff(removed)), joined(words, ~covered)], ["doc_id", "n_words", "n_removed", "kept_text"])
+            count, x = _flat(batch.column(2))
+            doc = np.repeat(np.arange(len(count)), count)
+            start, m, source = (x[name].astype(np.int64) for name in ("start", "m", "source_start"))
+            order = np.lexsort((start, source - start, x["source_id"], doc))
+            doc, start, m, source, source_id = doc[order], start[order], m[order], source[order], x["source_id"][order]
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (source_id[1:] != source_id[:-1]) | (source[1:] - start[1:] != source[:-1] - start[:-1]) | (start[1:] > start[:-1] + m[:-1])
+            head = np.flatnonzero(fresh)
+            last = np.append(head[1:], len(doc)) - 1
+            length = start[last] + m[last] - 1 + window - start[head] if len(head) else start
+            columns = [pa.array(start[head].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(source_id[head]), pa.array(source[head].astype(np.int32))]
+            spans = pa.StructArray.from_arrays(columns, ["start", "length", "source_id", "source_start"])
+            bounds = pa.array(np.searchsorted(doc[head], np.arange(len(count) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, spans)], ["id", "row", "repeats"])
 
     return run
 
 
+def _remove(batches):
+    """Last pass: removed words and what is left."""
+    for batch in batches:
+        counts, spans = _flat(batch.column(2))
+        cut = np.concatenate([[0], np.cumsum(counts)])
+        for a, b, words in chunked_words(batch.column(1)):
+            n = np.diff(words.bounds)
+            first = np.repeat(words.bounds[:-1], counts[a:b]) + spans["start"][cut[a] : cut[b]]
+            size = len(words.hashes) + 1
+            steps = np.bincount(first, minlength=size) - np.bincount(first + spans["length"][cut[a] : cut[b]], minlength=size)
+            covered = np.cumsum(steps)[:-1] > 0
+            removed = np.concatenate([[0], np.cumsum(covered)])[words.bounds]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.diff(removed)), joined(words, ~covered)], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, row); ``row`` is a hash of the text, which tells rows of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+
+
+REPEATS = "repeats array<struct<start: int, length: int, source_id: long, source_start: int>>"
+
+
+def _repeats(own: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(id, row, repeats): the maximal repeats of each text that has any, ``repeats`` as written table."""
+    taking = own.where("id is not null")
+    scanned = materialize(taking.select("id", "text", "row").mapInArrow(_scan(window, anchor), "id long, row long, found array<struct<h: long, k: long, start: int, m: int>>"), "anchors")
+    again = scanned.select(F.explode("found.h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    runs = materialize(scanned.select("id", "row", F.inline("found")).join(again, "h"), "runs")
+    discard(scanned)
+
+    extent = ["h", "k"]
+    first = materialize(runs.groupBy(*extent).agg(F.min(F.struct("id", "start")).alias("f")), "firsts")
+    kinds = first.groupBy("h").agg((F.count("*") > 1).alias("differs"))
+    first_known = first.join(kinds, "h").select(*extent, F.col("f.id").alias("source_id"), F.col("f.start").alias("source_start"), "differs")
+    later = (F.col("id") > F.col("source_id")) | ((F.col("id") == F.col("source_id")) & (F.col("start") > F.col("source_start")))
+    matched = runs.join(first_known, extent).withColumn("later", later).where("later or differs")
+    matched = materialize(matched.select("id", "row", "start", "m", "later", "source_id", "source_start"), "matched")
+    discard(runs, first)
+
+    leads = matched.where("not later").groupBy("id", "row").agg(F.collect_set(F.struct("start", "m")).alias("wanted"))
+    single = own.join(leads, ["id", "row"]).select("id", "text", "row", "wanted").mapInArrow(_windows(window), "w1 long, w2 long, id long, row long, start int")
+    single = materialize(single, "windows")
+    earliest = single.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    earliest = earliest.select("w1", "w2", F.col("f.id").alias("source_id"), F.col("f.start").alias("source_start"))
+    partly = single.join(earliest, ["w1", "w2"]).where(later).select("id", "row", "start", F.lit(1).alias("m"), "source_id", "source_start")
+
+    pieces = matched.where("later").select("id", "row", "start", "m", "source_id", "source_start").union(partly)
+    pieces = pieces.groupBy("id", "row").agg(F.collect_set(F.struct("start", "m", "source_id", "source_start")).alias("pieces"))
+    repeats = materialize(pieces.mapInArrow(_maximal(window), f"id long, row long, {REPEATS}"), "repeats")
+    discard(matched, single)
+    return repeats
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, start, length, source_id, source_start) of every maximal repeat, in words; the source is the earliest place."""
+    return _repeats(_texts(docs, id_col, text_col), window, anchor).select(F.col("id").alias("doc_id"), F.inline("repeats")).distinct()
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text), one row per row of ``docs``.
 
     A word goes when a window of ``window`` words over it also starts earlier: in a
     smaller id, or earlier in the same document.  Windows are those of the input.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    scanned = own.where("id is not null").mapInArrow(_scan(window, anchor), "id long, n long, f1 long, f2 long, anchors array<long>, row long")
-    scanned = materialize(scanned.where(F.col("n") >= window), "anchors")
-    same = ["f1", "f2", "n"]
-    firsts = scanned.groupBy(*same).agg(F.min("id").alias("first"))
-    copies = scanned.select("id", "row", *same).join(firsts, same).where("id > first").select("id", "row", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("sizes"))
-    leading = scanned.join(firsts.withColumnRenamed("first", "id"), [*same, "id"], "left_semi")
-
-    seeds = leading.select("id", "row", F.explode("anchors").alias("h"))
-    again = seeds.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wanted = seeds.join(again, "h").groupBy("id", "row").agg(F.collect_set("h").alias("wanted"))
-
-    runs = own.join(wanted, ["id", "row"]).select("id", "text", "row", "wanted").mapInArrow(_extend(window, anchor), "h long, k1 long, k2 long, id long, row long, start int, m int, w1 array<long>, w2 array<long>")
-    runs = materialize(runs, "extensions")
-    extent = ["h", "k1", "k2"]
-    later = lambda first: (F.col("id") > F.col(f"{first}.id")) | ((F.col("id") == F.col(f"{first}.id")) & (F.col("start") > F.col(f"{first}.start")))
-    first = runs.groupBy(*extent).agg(F.min(F.struct("id", "start")).alias("f"))
-    whole = runs.select(*extent, "id", "row", "start", "m").join(first, extent).where(later("f")).select("id", "row", "start", "m")
-
-    differing = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    leads = first.join(differing, "h").select(*extent, F.col("f.id").alias("id"), F.col("f.start").alias("start"))
-    single = runs.join(leads, [*extent, "id", "start"]).select("id", "row", "start", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
-    single = materialize(single.select("w.w1", "w.w2", "id", "row", (F.col("start") + F.col("i")).alias("start")), "windows")
-    earliest = single.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("e"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", "e")
-    partly = single.join(earliest, ["w1", "w2"]).where(later("e")).select("id", "row", "start", F.lit(1).alias("m"))
-
-    cuts = whole.union(partly).groupBy("id", "row").agg(F.collect_set(F.struct("start", "m")).alias("cut"))
-    cuts = cuts.select("id", "row", F.lit(False).alias("copy"), F.col("cut.start").alias("starts"), F.col("cut.m").alias("sizes"))
-    decided = own.join(cuts.union(copies.distinct()), ["id", "row"], "left")
-    return decided.select("id", "text", "copy", "starts", "sizes").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    own = _texts(docs, id_col, text_col)
+    decided = own.join(_repeats(own, window, anchor), ["id", "row"], "left")
+    return decided.select("id", "text", "repeats").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -276,6 +276,31 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def check_spans(spark, rows):
+    """Spans are earlier texts word for word, cover what brute force removes, and are joined where they adjoin."""
+    words = {d: WORD.findall(t or "") for d, t in rows}
+    covered, spans = defaultdict(set), defaultdict(list)
+    for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.length >= 20 and (r.source_id, r.source_start) < (r.doc_id, r.start)
+        assert words[r.doc_id][r.start : r.start + r.length] == words[r.source_id][r.source_start : r.source_start + r.length]
+        covered[r.doc_id] |= set(range(r.start, r.start + r.length))
+        spans[r.doc_id, r.source_id, r.source_start - r.start].append((r.start, r.start + r.length))
+    assert {d: len(c) for d, c in covered.items()} == {d: n for d, _, n, _ in brute_substrings(rows, 20) if n}
+    for of_one in spans.values():
+        of_one.sort()
+        assert all(b0 > a1 - 19 for (_, a1), (b0, _) in zip(of_one, of_one[1:], strict=False))
+    return spans
+
+
+def test_repeated_spans(spark):
+    rng = random.Random(16)
+    text = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passage, twice = text(90), text(25)
+    rows = [(1, text(30) + passage + text(10)), (2, passage), (3, text(7) + passage[10:70] + text(9) + twice + text(3) + twice), (4, text(50) + passage[:19])]
+    spans = check_spans(spark, [(d, " ".join(w)) for d, w in rows])
+    assert dict(spans) == {(2, 1, 30): [(0, 90)], (3, 1, 33): [(7, 67)], (3, 3, -28): [(104, 129)]}
+
+
 def test_substring_dedup_of_overlapping_repeats(spark):
     """Pieces of one long text in random order, so that repeats begin and end anywhere."""
     rng = random.Random(6)
@@ -289,6 +314,7 @@ def test_substring_dedup_of_overlapping_repeats(spark):
         rows.append((d, " ".join(own)))
     got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows, 20)
+    check_spans(spark, rows)
 
 
 def test_nearest_neighbours(spark):
