@@ -44,8 +44,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exprs import let
-from .scratch import materialize
+from .exprs import between, let, parted, running
+from .scratch import discard, materialize
 
 TERM_CHARS = 4
 CONTEXT = 64
@@ -68,17 +68,16 @@ def matches(text: Column, pattern: Column, kind: str) -> Column:
     """Structs (kind, start, end, value) of the leftmost non-overlapping matches, in code points."""
 
     def placed(found: Column) -> Column:
-        def walk(pieces: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(pieces, i))
-                end = start + F.length(F.get(found, i))
-                one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def of_steps(steps: Column) -> Column:
+            def at_ends(ends: Column) -> Column:
+                one = lambda v, i: F.struct(F.lit(kind).alias("kind"), (F.get(ends, i + 1) - F.length(v)).alias("start"), F.get(ends, i + 1).alias("end"), v.alias("value"))
+                return F.transform(found, one)
 
-            begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda acc: acc["out"])
+            return let(running(steps, F.lit(0), lambda a, b: a + b), at_ends)
 
-        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(let(F.split(text, pattern, -1), walk))
+        pieces = F.split(text, pattern, -1)
+        steps = let(pieces, lambda p: F.transform(found, lambda v, i: F.length(F.get(p, i)) + F.length(v)))
+        return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(let(steps, of_steps))
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
@@ -121,12 +120,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda w: F.lower(w)))
 
 
-def _context_terms(text: Column, span: Column) -> Column:
-    """Distinct lower-cased terms near a span; words that the window cuts do not count."""
-    left = F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), span["start"]))
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
+def _context_terms(parts: Column, size: Column, span: Column) -> Column:
+    """Distinct lower-cased terms near a span of a parted text; words that the window cuts do not count."""
+    left = between(parts, F.greatest(F.lit(0), span["start"] - CONTEXT), span["start"])
+    right = between(parts, span["end"], F.least(size, span["end"] + CONTEXT))
     left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
+    right = F.when(span["end"] + CONTEXT <= size, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
     return _terms(F.concat_ws(" | ", left, right))
 
 
@@ -148,7 +147,8 @@ def find_base(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     found = own.select("id", "row", "text", base_spans(F.col("text")).alias("spans"))
-    near = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _context_terms(F.col("text"), s).alias("terms")))
+    beside = lambda parts, size: F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), _context_terms(parts, size, s).alias("terms")))
+    near = F.when(F.size("spans") > 0, let(parted(F.col("text")), lambda parts: let(F.length("text"), lambda size: beside(parts, size)))).otherwise(F.array().cast("array<struct<kind:string,value:string,terms:array<string>>>"))
     found = found.withColumn("all", F.when(F.size("spans") > 0, _terms(F.col("text"))))
     terms = F.when(F.size("spans") > 0, _terms(_rewritten(F.col("text"), F.col("spans"), dict.fromkeys(BASE, "|"))))
     found = found.select("id", "row", "spans", near.alias("near"), "all", terms.alias("terms"))
@@ -175,7 +175,7 @@ def _term_counts(own: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, n_term): in how many distinct texts each term is, outside personal data."""
     counts = _held(own).groupBy("term").agg(F.count("*").alias("n"))
     copies = own.groupBy("row").agg((F.count("*") - 1).alias("over")).where("over > 0")
-    again = _near_rows(own, copies).join(copies, "row").groupBy("row").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("over").alias("over"))
+    again = _near_rows(own, copies).groupBy("row").agg(F.min("id").alias("id"), F.min("text").alias("text")).join(copies, "row")
     over = _held(again, "over").select("term", "over").unionByName(texts.select(F.explode("inner").alias("term"), F.lit(1).cast("long").alias("over")))
     over = over.groupBy("term").agg(F.sum("over").alias("over"))
     return counts.join(over, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("n_term"))
@@ -222,7 +222,9 @@ def _held(own: DataFrame, *more: str) -> DataFrame:
 
 def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, row, extra): places of disclosing terms in the texts that hold any."""
-    held = _held(own)
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("slot")
+    # A broadcast of at most ``SLOTS`` numbers; what it lets through is joined by the terms themselves.
+    held = _held(own).withColumn("slot", slot).join(F.broadcast(terms.select(slot).distinct()), "slot", "left_semi")
     hits = held.join(terms.select("term", "action"), "term").groupBy("id", "row", "action").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     hits = materialize(hits.withColumnRenamed("id", "h_id").withColumnRenamed("row", "h_row"), "held")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
@@ -242,8 +244,27 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return found.withColumn("extra", none)
     extra = _term_spans(own, terms).withColumnRenamed("id", "e_id").withColumnRenamed("row", "e_row")
     joined = found.join(extra, F.col("id").eqNullSafe(F.col("e_id")) & (F.col("row") == F.col("e_row")), "left")
-    free = F.filter("extra", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return joined.select("id", "row", "spans", F.coalesce(F.array_sort(free, lambda a, b: F.when(a["start"] < b["start"], -1).otherwise(1)), none).alias("extra"))
+    return joined.select("id", "row", "spans", F.coalesce(_free(F.col("extra"), F.col("spans")), none).alias("extra"))
+
+
+def _ordered(spans: Column, own: Column | None = None) -> Column:
+    """Spans by start, then longest first, as structs (start, less, end, kind, value, own)."""
+    own = F.lit(True) if own is None else own
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), own.alias("own"))))
+
+
+def _free(extra: Column, spans: Column) -> Column:
+    """The extra spans that overlap no base span, by start."""
+    last = F.lit(2**31 - 1)
+
+    def of_all(every: Column) -> Column:
+        before = running(F.transform(every, lambda s: F.when(s["own"], F.lit(0)).otherwise(s["end"])), F.lit(0), lambda a, b: F.greatest(a, b))
+        after = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(s["own"], last).otherwise(s["start"]))), last, lambda a, b: F.least(a, b)))
+        return let(before, lambda b: let(after, lambda a: F.filter(every, lambda s, i: s["own"] & (F.get(b, i) <= s["start"]) & (F.get(a, i + 1) >= s["end"]))))
+
+    both = F.array_sort(F.concat(_ordered(extra), _ordered(spans, F.lit(False))))
+    plain = lambda xs: F.transform(xs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return plain(F.when(F.size(spans) == 0, _ordered(extra)).otherwise(let(both, of_all)))
 
 
 def written(spans: Column, kind: Column | None = None) -> Column:
@@ -264,17 +285,19 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _rewritten(text: Column, spans: Column, placeholders: dict[str, str] = PLACEHOLDERS) -> Column:
     """The text with each span replaced by its kind's placeholder; of overlapping spans the first, then longest, counts."""
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.lit("")
+    def mark(s: Column) -> Column:
+        out = F.lit("")
         for kind, word in placeholders.items():
-            mark = F.when(s["kind"] == kind, F.lit(word)).otherwise(mark)
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(between, mark)).alias("out")))
-
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    # What is left after the last span begins where the walk ended.
-    return F.aggregate(ordered, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+            out = F.when(s["kind"] == kind, F.lit(word)).otherwise(out)
+        return out
+
+    def of_parts(parts: Column, ordered: Column, at: Column) -> Column:
+        one = lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(between(parts, F.get(at, i), s["start"]), mark(s)))
+        # What is left after the last span begins at the furthest end.
+        return F.concat(F.array_join(F.transform(ordered, one), ""), between(parts, F.element_at(at, -1), F.length(text)))
+
+    ends = lambda ordered: running(F.transform(ordered, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    return let(parted(text), lambda parts: let(_ordered(spans), lambda ordered: let(ends(ordered), lambda at: of_parts(parts, ordered, at))))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
