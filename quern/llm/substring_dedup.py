@@ -187,29 +187,31 @@ def _repeats(own: DataFrame, window: int, anchor: int) -> DataFrame:
     taking = own.where("id is not null")
     scanned = materialize(taking.select("id", "text", "row").mapInArrow(_scan(window, anchor), "id long, row long, found array<struct<h: long, k: long, start: int, m: int>>"), "anchors")
     again = scanned.select(F.explode("found.h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # Counts are written before they are joined: only a join of two plain shuffles is split where a key is hot.
+    again = materialize(again, "again")
     runs = materialize(scanned.select("id", "row", F.inline("found")).join(again, "h"), "runs")
-    discard(scanned)
+    discard(scanned, again)
 
     extent = ["h", "k"]
     first = materialize(runs.groupBy(*extent).agg(F.min(F.struct("id", "start")).alias("f")), "firsts")
-    kinds = first.groupBy("h").agg((F.count("*") > 1).alias("differs"))
+    kinds = materialize(first.groupBy("h").agg((F.count("*") > 1).alias("differs")), "kinds")
     first_known = first.join(kinds, "h").select(*extent, F.col("f.id").alias("source_id"), F.col("f.start").alias("source_start"), "differs")
     later = (F.col("id") > F.col("source_id")) | ((F.col("id") == F.col("source_id")) & (F.col("start") > F.col("source_start")))
     matched = runs.join(first_known, extent).withColumn("later", later).where("later or differs")
     matched = materialize(matched.select("id", "row", "start", "m", "later", "source_id", "source_start"), "matched")
-    discard(runs, first)
+    discard(runs, first, kinds)
 
     leads = matched.where("not later").groupBy("id", "row").agg(F.collect_set(F.struct("start", "m")).alias("wanted"))
     single = own.join(leads, ["id", "row"]).select("id", "text", "row", "wanted").mapInArrow(_windows(window), "w1 long, w2 long, id long, row long, start int")
     single = materialize(single, "windows")
     earliest = single.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    earliest = earliest.select("w1", "w2", F.col("f.id").alias("source_id"), F.col("f.start").alias("source_start"))
+    earliest = materialize(earliest.select("w1", "w2", F.col("f.id").alias("source_id"), F.col("f.start").alias("source_start")), "earliest")
     partly = single.join(earliest, ["w1", "w2"]).where(later).select("id", "row", "start", F.lit(1).alias("m"), "source_id", "source_start")
 
     pieces = matched.where("later").select("id", "row", "start", "m", "source_id", "source_start").union(partly)
     pieces = pieces.groupBy("id", "row").agg(F.collect_set(F.struct("start", "m", "source_id", "source_start")).alias("pieces"))
     repeats = materialize(pieces.mapInArrow(_maximal(window), f"id long, row long, {REPEATS}"), "repeats")
-    discard(matched, single)
+    discard(matched, single, earliest)
     return repeats
 
 
