@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def components(edges: DataFrame, a: str, b: str, jumps: int = 3) -> DataFrame:
@@ -21,10 +21,13 @@ def components(edges: DataFrame, a: str, b: str, jumps: int = 3) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        point = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "points")
+        first = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "points")
+        point = first
         for _ in range(jumps):
             point = point.join(point.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p"))
         point = materialize(point, "points")
+        discard(first)
+        old = [] if labels is None else [labels]
         if labels is None:
             labels = point.select(F.col("u").alias("vertex"), F.col("p").alias("component"))
         else:
@@ -34,7 +37,9 @@ def components(edges: DataFrame, a: str, b: str, jumps: int = 3) -> DataFrame:
         to_u = point.select("u", F.col("p").alias("pu"))
         to_v = point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         drawn = edges.join(to_u, "u").join(to_v, "v").where("pu <> pv")
-        edges = materialize(drawn.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")
+        left = materialize(drawn.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")
+        discard(point, edges, *old)
+        edges = left
     if labels is None:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return labels

@@ -17,13 +17,16 @@ join conditions, so rejected pairs are never rows, and a pair is one row however
 many buckets it shares.  Nothing is capped: a pair in
 a common bucket is in one component already, or compared, or ruled out by size
 (exact) or by sketch (over 4 standard deviations).  With the defaults a pair at
-similarity 0.8 shares no band, or fails the sketch, once in 5 * 10**4; a more
-similar pair far less often.
+similarity 0.8 shares no band, or fails the sketch, once in 5 * 10**4, and once in
+2.5 * 10**4 if its sets are small (for 4 of 5 shingles minimum and maximum are not
+independent: both agree with 0.6, not 0.64); a more similar pair far less often.
 
 Defined results.  Null, empty or blank texts have an empty set, link with
 nothing and are kept.  Fewer words than a shingle: the whole sequence is the one
 shingle.  Rows that share an id are one node: a link of either text is a link of
 the id.  A row without id takes no part, has no component and is kept.
+``keep_one_of_each`` works on texts instead, so a text goes only if a near copy of
+it, or of a near copy, stays; of rows with equal id and text one stays.
 Columns other than id and text are not read, so their names cannot clash.
 """
 
@@ -37,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialize
+from .exprs import WORD
+from .scratch import discard, materialize
 from .words import Words, chunked_words, mix, spans_hash
 
 PERMUTATIONS = 126
@@ -150,6 +154,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     taking = sig.where("n > 0 and id is not null")
     folded = taking.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
+    # An id that owns several sets ties together the nodes that these were folded into.
+    several = sig.where("id is not null").groupBy("id").agg((F.min("f1") != F.max("f1")).alias("several")).where("several").select("id")
+    owned = taking.select("id", "f1", "f2", "n").join(several, "id").join(folded.withColumnRenamed("id", "rep"), ["f1", "f2", "n"]).where("id <> rep")
+    owned = materialize(owned.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "owned")
     nodes = materialize(taking.join(folded, ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n"]), "nodes")
 
     bands = nodes.select("id", "n", "bands", F.posexplode("bands").alias("i", "key"))
@@ -168,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     finest = hits.join(finest, "fine").where("id <> first").select("id", F.col("first").alias("rep"))
     ties = most.union(finest).distinct().select(F.col("id").alias("a"), F.col("rep").alias("b"))
     tied = materialize(_confirmed(ties, sets, percent), "tied")
-    labels = components(tied, "a", "b")
+    labels = components(tied.union(owned), "a", "b")
 
     # What is left: nodes outside the main component of a bucket, against the other components there.
     known = labels.withColumnRenamed("vertex", "id")
@@ -190,18 +198,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rest = one.join(two, (one["key"] == two["key"]) & fits).select("a", "b").distinct()
     found = materialize(_confirmed(rest, sets, percent), "found")
+    discard(hits, sets, tied, mixed)
     if not found.isEmpty():
         labels = components(found.union(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b"))), "a", "b")
 
     groups = nodes.select("f1", "f2", "n", F.col("id").alias("rep"))
-    out = sig.select("id", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")
-    out = out.join(labels.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    out = sig.select("id", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left").withColumn("vertex", F.coalesce("rep", "id"))
+    out = out.join(labels, "vertex", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "vertex")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its near-duplicate group, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_quern_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_quern_gone"), "left_anti")
+    """One row of each near-duplicate group of texts, that of the smallest id, with all its columns.
+
+    Rows without id or without words all stay.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    names = ["_quern_id", "_quern_key", "_quern_check"]
+    marked = docs.withColumns(dict(zip(names, (F.col(id_col).cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)))
+    takes = F.col("_quern_id").isNotNull() & text.rlike(WORD)
+    texts = marked.where(takes)
+    groups = near_duplicates(texts.select("_quern_key", text.alias("_quern_text")), "_quern_key", "_quern_text", shingle_words, percent)
+    groups = groups.select(F.col("doc_id").alias("_quern_key"), "component_id").distinct()
+    rows = texts.select(*names).distinct()
+    best = rows.join(groups, "_quern_key").groupBy("component_id").agg(F.min(F.struct("_quern_id", "_quern_key")).alias("best")).select("best.*")
+    # Different texts of one key (a collision of the hash) all stay.
+    unsure = rows.groupBy("_quern_key").agg((F.min("_quern_check") != F.max("_quern_check")).alias("unsure")).where("unsure")
+    best = best.union(rows.join(unsure, "_quern_key").select("_quern_id", "_quern_key"))
+    one_each = texts.dropDuplicates(names).join(best, ["_quern_id", "_quern_key"], "left_semi")
+    return one_each.select(*docs.columns).union(marked.where(~takes).select(*docs.columns))

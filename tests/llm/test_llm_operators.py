@@ -115,6 +115,38 @@ def test_near_duplicates_links_mixed_buckets(spark):
     assert got == root
 
 
+def test_near_duplicates_of_ids_that_own_several_texts(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"n{rng.randrange(10_000)}" for _ in range(40))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(3, one), (5, one), (5, two), (7, two), (9, ""), (9, two), (11, three), (11, four), (12, three), (13, four + " more"), (1, ""), (15, None), (20, text())]
+    sets, root = brute_components(rows, 4, 80)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=4).collect()
+    assert len(got) == len(rows)
+    assert all((r.component_id, r.kept) == (root[r.doc_id], root[r.doc_id] == r.doc_id) for r in got)
+    assert root[9] == root[7] == 3 and root[13] == root[12] == 11
+
+
+def test_keep_one_of_each_loses_no_text(spark, docs):
+    """By rows, not by ids: what goes has a near copy that stays, in the group of texts that are linked."""
+    rng = random.Random(13)
+    text = lambda: " ".join(f"k{rng.randrange(10_000)}" for _ in range(40))
+    one, two = text(), text()
+    rows = [(3, one, "a"), (5, one, "b"), (5, two, "c"), (7, two, "d"), (8, two + " and", "e"), (3, one, "a"), (30, "", "f"), (30, "", "f"), (None, one, "g"), (31, None, "h"), (32, "b c", "i"), (33, "B c", "j")]
+    kept = minhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, rep string"))
+    assert kept.columns == ["doc_id", "text", "rep"]
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([(3, one, "a"), (5, two, "c"), (30, "", "f"), (30, "", "f"), (None, one, "g"), (31, None, "h"), (32, "b c", "i")], key=repr)
+    distinct = sorted({t for d, t in corpus() if d is not None and WORD.search(t or "")})
+    _, root = brute_components(list(enumerate(distinct)), 5, 80)
+    groups = defaultdict(set)
+    for d, t in corpus():
+        if d is not None and WORD.search(t or ""):
+            groups[root[distinct.index(t)]].add((d, t))
+    want = [min(g) for g in groups.values()]
+    got = [(r.doc_id, r.text) for r in minhash.keep_one_of_each(docs).collect() if r.doc_id is not None and WORD.search(r.text or "")]
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in want) and len(got) == len(want)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
     assert minhash.keep_one_of_each(empty).columns == empty.columns
