@@ -12,7 +12,8 @@ pass that writes (hash, id, place), partitioned by batch.  A line that a large
 share of all documents hold is combined before the shuffle when owners are
 found; the join that marks its lines is an equi-join that adaptive execution
 splits.  Batches are ``BATCHES`` quantiles of the id, at any input size, and
-``LineRuns`` takes further batches later.
+``LineRuns`` takes further batches later.  Runs have as many buckets as the session
+has shuffle partitions, so merging spreads as all other work does.
 
 Defined results.  Null and empty texts are one empty line, which is too short
 to be a key and stays.  Lines of an id that several rows share count as lines of
@@ -28,12 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exprs import SPACE_CHARS, fold, hash_pair
-from .scratch import materialize, new_path
+from .scratch import delete, discard, materialize, new_path
 
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
-BUCKETS = 16
 HASH = ["h1", "h2"]
 
 
@@ -45,14 +45,17 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Sorted runs of the line hashes seen so far, by level."""
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS, fanout: int = FANOUT) -> None:
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT) -> None:
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, hashes: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, "run")
         dealt = hashes.select(*HASH).repartition(self.buckets, *HASH)
-        dealt.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", new_path(self.spark, "run")).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def runs(self) -> list[str]:
@@ -88,9 +91,10 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"drop table {name}")
+            delete(self.spark, self.paths.pop(name))
 
     def close(self) -> None:
-        """Forget the runs; their files go with the application's folder."""
+        """Forget the runs and delete their files."""
         self._drop(self.runs())
         self.levels = []
 
@@ -118,16 +122,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     edges = sorted(set(row.edges or [])) if row else []
     keyed = materialize(keyed.withColumn("batch", _batch_of(F.col("id"), edges)), "lines", "batch")
     found = []
-    for i in range(len(edges) + 1):
-        batch = keyed.where(F.col("batch") == i).drop("batch")
-        owners = batch.groupBy(*HASH).agg(F.min("id").alias("owner"), F.max("id").alias("last"))
-        owners = materialize(runs.marked(owners), "owners")
-        runs.add(owners.where(~F.col("seen")))
-        shared = owners.where("seen or owner < last").select(*HASH, F.when(~F.col("seen"), F.col("owner")).alias("owner"))
-        gone = batch.join(shared, HASH).where("owner is null or id > owner").select("id", "row", "place")
-        found.append(materialize(gone, "gone"))
-    if own:
-        runs.close()
+    try:
+        for i in range(len(edges) + 1):
+            batch = keyed.where(F.col("batch") == i).drop("batch")
+            owners = batch.groupBy(*HASH).agg(F.min("id").alias("owner"), F.max("id").alias("last"))
+            owners = materialize(runs.marked(owners), "owners")
+            if i < len(edges) or not own:
+                runs.add(owners.where(~F.col("seen")))
+            shared = owners.where("seen or owner < last").select(*HASH, F.when(~F.col("seen"), F.col("owner")).alias("owner"))
+            gone = batch.join(shared, HASH).where("owner is null or id > owner").select("id", "row", "place")
+            found.append(materialize(gone, "gone"))
+            discard(owners)
+    finally:
+        if own:
+            runs.close()
+    discard(keyed)
     out = found[0]
     for part in found[1:]:
         out = out.union(part)

@@ -60,8 +60,12 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return table
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote; nothing that is still to run may read them."""
     for table in tables:
-        fs, where = _fs(table.sparkSession, table._quern_path)
-        fs.delete(where, True)
+        delete(table.sparkSession, table._quern_path)

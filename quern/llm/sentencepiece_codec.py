@@ -5,8 +5,11 @@ start of a run of spaces: texts fall into words there, and equal words of a
 batch are encoded once.  All words sit in one flat array of symbols.  A round
 finds each word's smallest pair rank (a segmented minimum, leftmost on ties),
 merges there in all words at once, closes the gaps, and looks up the two pairs
-that changed; words without a pair leave.  Words of over ``LONG`` symbols (text
-without spaces) would take as many rounds, so a heap does the same merges there.
+that changed; words without a pair leave.  A word of over ``LONG`` symbols (text
+without spaces) would take as many rounds as it has merges.  Its rounds take the
+minimum over a neighbourhood instead of the word: whatever could reach a pair before
+its turn begins with a pair of smaller rank within the longest piece's length, so a
+pair that is smallest there merges now, in all neighbourhoods at once.
 
 The model file is read on the driver and travels as bytes; only BPE models with
 byte fallback and the identity normaliser are accepted.  Memory is bounded by a
@@ -20,7 +23,6 @@ text columns are read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 
 import numpy as np
@@ -101,7 +103,13 @@ class Codec:
                     keys.append(own[p[:k]] * n + own[p[k:]])
                     merged.append(i)
         self._table(np.array(keys, np.int64), np.array(merged, np.int64))
-        self.known = dict(zip(keys, merged, strict=True))
+        self.reach = max(len(p) for p in own)
+        #: Pieces that some pair of no greater rank takes up: after each merge of one, order has to be looked at anew.
+        self.early = np.zeros(n, bool)
+        made = np.array(merged, np.int64)
+        for part in (np.array(keys, np.int64) // n, np.array(keys, np.int64) % n):
+            single = self.rank[part]
+            self.early[part[(self.rank[made] <= single) & self._is_made(part, made)]] = True
         self.byte = np.zeros(256, np.int64)
         surface = []
         for i in range(n):
@@ -128,6 +136,11 @@ class Codec:
                 slot = (slot + 1) & self.mask
             self.keys[slot], self.merged[slot] = key, value
 
+    @staticmethod
+    def _is_made(part: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        """Whether each piece is itself made of a pair."""
+        return np.isin(part, merged)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -151,15 +164,14 @@ class Codec:
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over words of the given lengths; all symbols that are left, and how many a word has."""
         words = np.repeat(np.arange(len(lengths)), lengths)
-        left = [self._heap(symbols[a : a + k]) if k > LONG else None for a, k in zip((np.cumsum(lengths) - lengths)[lengths > LONG].tolist(), lengths[lengths > LONG].tolist(), strict=True)]
-        done_words = [np.repeat(np.flatnonzero(lengths > LONG), [len(x) for x in left])] if left else []
-        done_symbols = list(left)
-        short = lengths[words] <= LONG
-        symbols, words = symbols[short], words[short]
-        same = np.append(words[1:] == words[:-1], False) if len(words) else np.zeros(0, bool)
-        made = np.full(len(symbols), -1, np.int64)
-        at = np.flatnonzero(same)
-        made[at] = self.pairs(symbols[at], symbols[at + 1])
+        long = lengths[words] > LONG
+        done_words, done_symbols = [], []
+        if long.any():
+            left, of = self._merge_long(symbols[long], words[long])
+            done_words.append(of)
+            done_symbols.append(left)
+            symbols, words = symbols[~long], words[~long]
+        made = self._made(symbols, words)
         while len(symbols):
             starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
             best = np.minimum.reduceat(self._order(made, np.arange(len(symbols))), starts)
@@ -176,42 +188,59 @@ class Codec:
                 places = best & ((np.int64(1) << _PLACE) - 1)
             if not len(symbols):
                 break
-            symbols[places] = made[places]
-            keep = np.ones(len(symbols), bool)
-            keep[places + 1] = False
-            places = places - np.arange(len(places))
-            symbols, words, made = symbols[keep], words[keep], made[keep]
-            made[places] = -1
-            changed = np.concatenate([places[places > 0] - 1, places[places < len(symbols) - 1]])
-            changed = changed[words[changed] == words[changed + 1]]
-            made[changed] = self.pairs(symbols[changed], symbols[changed + 1])
+            symbols, words, made = self._merged(symbols, words, made, places)
         if not done_words:
             return symbols, np.zeros(len(lengths), np.int64)
         words, symbols = np.concatenate(done_words), np.concatenate(done_symbols)
         order = np.argsort(words, kind="stable")
         return symbols[order], np.bincount(words, minlength=len(lengths))
 
-    def _heap(self, symbols: np.ndarray) -> np.ndarray:
-        """The same merges in one long word, by a heap of pairs over a linked list."""
-        n, sym = len(symbols), symbols.tolist()
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        rank = self.rank
-        heap = [(int(rank[p]), i, p, sym[i], sym[i + 1]) for i, p in enumerate(self.pairs(symbols[:-1], symbols[1:]).tolist()) if p >= 0]
-        heapq.heapify(heap)
-        while heap:
-            _, i, piece, x, y = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != x or j < 0 or sym[j] != y:
-                continue
-            sym[i], sym[j], after[i] = piece, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0:
-                    p = self.known.get(sym[a] * self.size + sym[b], -1) if sym[a] < self.size and sym[b] < self.size else -1
-                    if p >= 0:
-                        heapq.heappush(heap, (int(rank[p]), a, p, sym[a], sym[b]))
-        return np.array([s for s in sym if s >= 0], np.int64)
+    def _made(self, symbols: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The piece that each symbol makes with the next one of its word, or -1."""
+        made = np.full(len(symbols), -1, np.int64)
+        at = np.flatnonzero(words[1:] == words[:-1])
+        made[at] = self.pairs(symbols[at], symbols[at + 1])
+        return made
+
+    def _merged(self, symbols: np.ndarray, words: np.ndarray, made: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, words, made) after the pairs at ``places`` (ascending, not overlapping) have merged."""
+        symbols[places] = made[places]
+        keep = np.ones(len(symbols), bool)
+        keep[places + 1] = False
+        places = places - np.arange(len(places))
+        symbols, words, made = symbols[keep], words[keep], made[keep]
+        made[places] = -1
+        changed = np.unique(np.concatenate([places[places > 0] - 1, places[places < len(symbols) - 1]]))
+        made[changed] = -1
+        changed = changed[words[changed] == words[changed + 1]]
+        made[changed] = self.pairs(symbols[changed], symbols[changed + 1])
+        return symbols, words, made
+
+    def _merge_long(self, symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, words) after all merges of long words; in a round every pair merges that is smallest around itself.
+
+        Of equal pairs in a row every other one merges, from the row's first, as one after the other would.
+        """
+        made = self._made(symbols, words)
+        while (made >= 0).any():
+            order = self._order(made, np.arange(len(symbols)))
+            # The minimum over ``reach`` symbols either way; another word's pairs can only make a pair wait.
+            low = np.concatenate([np.full(self.reach, _NONE), order, np.full(self.reach, _NONE)])
+            width, span = 1, 2 * self.reach + 1
+            while 2 * width <= span:
+                low = np.minimum(low[:-width], low[width:])
+                width *= 2
+            low = np.minimum(low[: len(order)], low[span - width : span - width + len(order)])
+            first = order == low
+            ready = (made >= 0) & ((order >> _PLACE) == (low >> _PLACE)) & (first | ~self.early[made])
+            chain = np.zeros(len(order), bool)
+            chain[1:] = (made[1:] >= 0) & (order[1:] >> _PLACE == order[:-1] >> _PLACE) & (made[:-1] >= 0) & (words[1:] == words[:-1])
+            head = np.maximum.accumulate(np.where(chain, 0, np.arange(len(order))))
+            # A pair of a row merges if all before it in the row are ready, at even distance from the first.
+            blocked = np.concatenate([[0], np.cumsum(~ready)])
+            places = np.flatnonzero(ready & (blocked[1:] == blocked[head]) & ((np.arange(len(order)) - head) % 2 == 0))
+            symbols, words, made = self._merged(symbols, words, made, places)
+        return symbols, words
 
     def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and where each word's begin."""
