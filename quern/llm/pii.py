@@ -15,7 +15,10 @@ a term, and over the whole corpus
 
 with probabilities from how many distinct texts hold the term, the entity, and
 both, anywhere in the text; copies of a text are one.  It is 1 when the term never occurs without the
-entity.  A pair needs ``MIN_SUPPORT`` texts that hold both.  A value in two texts
+entity.  A share of the entity's information alone would loosen as the corpus grows
+(a third of it is 4 bits among 10**4 texts and 10 among 10**10), so a term also must
+leave no more than ``LEFT_BITS`` of uncertainty: -log2 of the share of its texts that
+hold the entity.  A pair needs ``MIN_SUPPORT`` texts that hold both.  A value in two texts
 needs both of them, and a value in one text counts with the words it is made of
 alone; such a term must be within ``CONTEXT`` characters of the value once, and half
 of its texts must hold the value.  A pair of a group or kind
@@ -52,6 +55,7 @@ CONTEXT = 64
 MIN_SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.9
+LEFT_BITS = 2
 SURE_BITS = 20
 SLOTS = 1 << 20
 
@@ -187,6 +191,7 @@ def _pairs(own: DataFrame, texts: DataFrame, total: Column, min_support: int, ge
     entities = each.groupBy("entity").agg(F.count("*").alias("n_entity"))
     # No term in more texts reaches ``generalise``, even if the entity is in none without it.
     most = total * F.pow(F.greatest(F.lit(2.0), total / F.col("n_entity")), F.lit(-generalise)) * (1 + 1e-9)
+    most = F.least(most, F.col("n_entity") * 2.0**LEFT_BITS)
     rare = (F.col("level") == 0) & (F.col("n_entity") < min_support)
     most = F.when(rare, F.least(most, 2.0 * F.col("n_entity"))).otherwise(most)
     least = F.when(rare, F.col("n_entity")).otherwise(F.lit(min_support))
@@ -211,7 +216,7 @@ def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SU
     content = F.log2(F.greatest(F.lit(2.0), total / F.col("n_entity")))
     others = F.when(share < 1, (F.col("n_term") - F.col("n_both")) * F.log2((1 - share) / (1 - chance))).otherwise(0.0)
     sure = F.when(F.col("level") == 0, (F.col("n_entity") >= min_support) | (share >= 0.5)).otherwise((share > chance) & (F.col("n_both") * mutual + others >= SURE_BITS))
-    scored = pairs.where(sure).groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    scored = pairs.where(sure & (share >= 2.0**-LEFT_BITS)).groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return materialize(scored.select("term", F.when(F.col("disclosure") >= remove, "gone").otherwise("term").alias("action"), "disclosure"), "terms")
 
 
