@@ -7,11 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lets import let
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def unicode(pattern: str) -> str:
+    """The pattern with classes and boundaries that know all letters and spaces, as the JVM takes it."""
+    return "(?iU)" + pattern[4:] if pattern.startswith("(?i)") else "(?U)" + pattern
+
+
 @dataclass(frozen=True)
 class FirstMatch:
     """The value of the first rule whose pattern occurs in the text, else the default.
@@ -25,7 +32,7 @@ class FirstMatch:
     def column(self, text: Column) -> Column:
         out = F.lit(self.default)
         for value, pattern in reversed(self.rules):
-            out = F.when(text.rlike(pattern), F.lit(value)).otherwise(out)
+            out = F.when(text.rlike(unicode(pattern)), F.lit(value)).otherwise(out)
         return out
 
     def sql(self, text: str) -> str:
@@ -35,14 +42,19 @@ class FirstMatch:
 
 @dataclass(frozen=True)
 class AllMatches:
-    """The values of all rules whose patterns occur, in rule order; null when none does."""
+    """The values of all rules whose patterns occur, in rule order; null when none does.
+
+    ``spelled`` has DuckDB conditions, over ``{t}``, of the values whose patterns look ahead, which its engine cannot.
+    """
 
     rules: tuple[tuple[str, str], ...]
+    spelled: tuple[tuple[str, str], ...] = ()
 
     def column(self, text: Column) -> Column:
-        found = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(v)) for v, p in self.rules)))
-        return F.when(F.size(found) > 0, found)
+        found = F.array_compact(F.array(*(F.when(text.rlike(unicode(p)), F.lit(v)) for v, p in self.rules)))
+        return let(found, lambda x: F.when(F.size(x) > 0, x))
 
     def sql(self, text: str) -> str:
-        items = ", ".join(f"CASE WHEN regexp_matches({text}, {quoted(p)}) THEN {quoted(v)} END" for v, p in self.rules)
+        own = dict(self.spelled)
+        items = ", ".join(f"CASE WHEN {own[v].format(t=text) if v in own else f'regexp_matches({text}, {quoted(p)})'} THEN {quoted(v)} END" for v, p in self.rules)
         return f"(SELECT CASE WHEN len(l) > 0 THEN l END FROM (SELECT list_filter([{items}], lambda x: x IS NOT NULL) AS l))"

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import operator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import FX_TO_USD, PERIODS_PER_YEAR
-
-# Patterns, bands and weights of the salary miner.
-AMOUNT = r"\d[\d,]*(?:\.\d+)?\s?[kKmM]?"
-CURRENCY = r"(?:US\$|C\$|CA\$|\$|USD|CAD)"
-RANGE = re.compile(rf"{CURRENCY}\s*({AMOUNT})\s*(?:-|–|—|to)\s*(?:{CURRENCY}\s*)?({AMOUNT})")
-ANCHOR = re.compile(r"(?i)\b(?:salary|compensation|pay range|base pay|base salary|annual (?:base|salary|pay)|target (?:earnings|pay)|expected (?:salary|compensation)|wage|hourly rate|range is)\b")
-CANADIAN = re.compile(r"(?i)\bCAD\b|\bCDN\b|C\$|CA\$|\bCanadian\b")
-HOURLY = re.compile(r"(?i)\b(?:hour|hourly|hr)\b|/h")
-YEARLY = re.compile(r"(?i)\b(?:annual|annually|annum|year|yearly|yr)\b")
-MONTHLY, DAILY = re.compile(r"(?i)\b(?:month|monthly)\b"), re.compile(r"(?i)\b(?:day|daily|per diem)\b")
+from .lets import let, running_sum
+from .rules import unicode
+
+# Patterns, words, bands and weights of the salary miner.
+NUMBER = r"\d{1,3}(?:[,.]?\d{3})*(?:\.\d{1,2})?(?:\s?[KkMm]\b)?"
+BEFORE = r"(?:\$\s?(?:USD|CAD|US|CDN)?\s?|USD\s?\$?\s?|CAD\s?\$?\s?|US\$\s?|CA\$\s?|C\$\s?)"
+AFTER = r"(?:\s?(?:USD|CAD|US|CDN|US\s?dollars?|Canadian\s?dollars?))?"
+BETWEEN = r"\s*(?:[-–—]|to|–|—)\s*"
+RANGE = rf"(?i){BEFORE}({NUMBER}){AFTER}{BETWEEN}(?:{BEFORE})?({NUMBER}){AFTER}"
+ANCHOR = (
+    r"(?i)\b(?:salary|compensation|pay\s+range|base\s+pay|base\s+salary|annual\s+(?:base|salary|pay)|target\s+(?:earnings|pay)"
+    r"|expected\s+(?:salary|compensation)|wage|hourly\s+rate|range\s+is)\b"
+)
+CANADIAN = ("CAD", "CDN", "C$", "CA$", "CANADIAN")
 BANDS = {"year": (30_000, 1_500_000), "month": (2_000, 100_000), "day": (200, 4_000), "hour": (10, 500)}
-WINDOW = 100
-MINED = T.StructType([T.StructField(n, t) for n, t in (("salary_min", T.DoubleType()), ("salary_max", T.DoubleType()), ("salary_currency", T.StringType()), ("salary_period", T.StringType()), ("confidence", T.DoubleType()))])
+WINDOW, HOURLY_BELOW = 100, 5_000
 
 
 def usd_yearly(low: Column, high: Column, currency: Column, period: Column) -> tuple[Column, Column]:
@@ -43,55 +45,73 @@ def parse_amount(text: Column) -> Column:
     return F.regexp_replace(bare, "[km]$", "").try_cast("double") * factor
 
 
-def _amount(text: str) -> float | None:
-    bare = re.sub(r"[,\s]", "", text).lower()
-    factor = {"k": 1e3, "m": 1e6}.get(bare[-1:], 1.0)
-    try:
-        return float(bare.rstrip("km")) * factor
-    except ValueError:
-        return None
-
-
-def _period(window: str, high: float) -> str:
-    if HOURLY.search(window) and not YEARLY.search(window):
-        return "hour"
-    if YEARLY.search(window):
-        return "year"
-    if MONTHLY.search(window):
-        return "month"
-    if DAILY.search(window):
-        return "day"
-    return "hour" if high < 5000 else "year"
-
-
-def mine(text: str | None) -> dict | None:
-    """The best anchored range of one text; the earliest of equal scores."""
-    best = None
-    for match in RANGE.finditer(text or ""):
-        low, high = _amount(match[1]), _amount(match[2])
-        if low is None or high is None:
-            continue
-        low, high = min(low, high), max(low, high)
-        begin = max(0, match.start() - WINDOW)
-        window = text[begin : match.end() + WINDOW]
-        anchor = ANCHOR.search(window)
-        if not anchor:
-            continue
-        period = _period(window, high)
-        if not BANDS[period][0] <= high <= BANDS[period][1]:
-            continue
-        distance = min(abs(begin + anchor.start() - match.start()), 100)
-        score = (1.0 if period == "year" else 0.7) * (1 - distance / 200)
-        if best is None or score > best[0]:
-            best = (score, {"salary_min": low, "salary_max": high, "salary_currency": "CAD" if CANADIAN.search(window) else "USD", "salary_period": period, "confidence": round(min(0.95, 0.7 + 0.25 * score), 3)})
-    return best and best[1]
-
-
-@F.pandas_udf(MINED)
-def mine_salary(text: pd.Series) -> pd.DataFrame:
-    """``mine`` over Arrow batches; offsets of all matches have no built-in expression."""
-    names = ["salary_min", "salary_max", "salary_currency", "salary_period", "confidence"]
-    return pd.DataFrame([mine(t) or dict.fromkeys(names) for t in text], columns=names)
+def _period(window: Column, high: Column) -> Column:
+    """What the words near a range say of its period; a value too small for a year is an hour's."""
+    low = F.lower(window)
+    says = lambda *words: functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words))
+    hourly = says("hour", "/hr") | (~says("/yr") & says("/h"))
+    return F.when(hourly & ~says("annual", "per year"), "hour").when(says("month"), "month").when(says("day"), "day").when(high < HOURLY_BELOW, "hour").otherwise("year")
+
+
+def _plausible(period: Column, value: Column) -> Column:
+    out = F.lit(False)
+    for name, (low, high) in BANDS.items():
+        out = out | ((period == name) & value.between(low, high))
+    return out
+
+
+def _ranges(text: Column) -> Column:
+    """Structs (low, high, start, end) of all ranges of a text that are two numbers, in order."""
+    pattern = F.lit(unicode(RANGE))
+    every = lambda g: F.regexp_extract_all(text, pattern, F.lit(g))
+
+    def placed(pieces: Column) -> Column:
+        def of_ranges(found: Column) -> Column:
+            steps = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m["0"]))
+
+            def at_starts(starts: Column) -> Column:
+                def one(m: Column, i: Column) -> Column:
+                    a, b = parse_amount(m["1"]), parse_amount(m["2"])
+                    start = F.get(starts, i) + F.length(F.get(pieces, i))
+                    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), (a.isNotNull() & b.isNotNull()).alias("whole"), start.alias("start"), (start + F.length(m["0"])).alias("end"))
+
+                return F.filter(F.transform(found, one), lambda m: m["whole"])
+
+            return let(let(steps, running_sum), at_starts)
+
+        return let(F.arrays_zip(every(0).alias("0"), every(1).alias("1"), every(2).alias("2")), of_ranges)
+
+    return let(F.split(text, pattern, -1), placed)
+
+
+def mine_salary(text: Column) -> Column:
+    """struct(salary_min, salary_max, salary_currency, salary_period, confidence) of the best anchored range, or null.
+
+    Ranges nearer to their anchor score higher, and years above other periods; the earliest of equal scores counts.
+    """
+
+    def with_window(m: Column) -> Column:
+        begin = F.greatest(F.lit(0), m["start"] - WINDOW)
+        window = F.substring(text, begin + 1, m["end"] + WINDOW - begin)
+        return let(window, lambda w: F.struct(m.alias("m"), w.alias("window"), F.regexp_instr(w, F.lit(unicode(ANCHOR))).alias("anchor"), _period(w, m["high"]).alias("period"), (m["start"] - begin).alias("at")))
+
+    def scored(x: Column, i: Column) -> Column:
+        far = F.least(F.abs(x["anchor"] - 1 - x["at"]), F.lit(100))
+        score = F.when(x["period"] == "year", 1.0).otherwise(0.7) * (1 - far / 200)
+        upper = F.upper(x["window"])
+        canadian = functools.reduce(operator.or_, (F.contains(upper, F.lit(w)) for w in CANADIAN))
+        mined = F.struct(
+            x["m"]["low"].alias("salary_min"),
+            x["m"]["high"].alias("salary_max"),
+            F.when(canadian, "CAD").otherwise("USD").alias("salary_currency"),
+            x["period"].alias("salary_period"),
+            F.round(F.least(F.lit(0.95), 0.7 + 0.25 * score), 3).alias("confidence"),
+        )
+        return F.struct(score.alias("score"), (-i).alias("order"), mined.alias("mined"))
+
+    usable = lambda x: (x["anchor"] > 0) & _plausible(x["period"], x["m"]["high"])
+    best = F.array_max(F.transform(F.filter(F.transform(_ranges(text), with_window), usable), scored))
+    return F.when(text.rlike(unicode(RANGE)), best["mined"])
 
 
 #: The unanchored range that SQL can express too: groups 1 and 2 are its ends.

@@ -11,9 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rules import unicode
+
 # Words of the French test.
-FRENCH_TITLE = r"(?iu)^\s*(ingénieure?|développeu(r|se)|programmeu(r|se)|analyste|spécialiste|conseill(er|ère)|stagiaire|adjointe?|chef|responsable|technicien(ne)?|gestionnaire|direct(eur|rice)|architecte|scientifique des données)"
-FRENCH_WORDS = r"(?iu)\b(nous|avec|notre|leur|cette|votre|pour|dans|qui|sont|aux?|des|été|être|équipe|expérience|exigences|responsabilités)\b"
+FRENCH_TITLE = (
+    r"(?i)^\s*(ingénieur(e)?|développeur(euse)?|programmeur(euse)?|analyste|spécialiste|conseiller(ère)?|stagiaire|adjoint(e)?|chef"
+    r"|responsable|technicien(ne)?|gestionnaire|directeur(rice)?|architecte|scientifique des données)\b"
+)
+FRENCH_WORDS = r"(?i)\b(nous|avec|notre|leur|cette|votre|pour|dans|qui|sont|aux?|des|été|être|équipe|développ|expérience|exigences|responsabilités)\b"
 FRENCH_CHARS, FRENCH_HITS = 800, 5
 
 
@@ -36,9 +41,9 @@ def parse_epoch_ms(value: Column) -> Column:
 
 
 def is_french(title: Column, text: Column, region: Column, location: Column) -> Column:
-    hits = F.regexp_count(F.substring(F.coalesce(text, F.lit("")), 1, FRENCH_CHARS), F.lit(FRENCH_WORDS))
+    hits = F.regexp_count(F.substring(F.coalesce(text, F.lit("")), 1, FRENCH_CHARS), F.lit(unicode(FRENCH_WORDS)))
     there = (F.coalesce(region, F.lit("")) == "QC") | F.lower(F.coalesce(location, F.lit(""))).contains("québec")
-    return F.coalesce(title, F.lit("")).rlike(FRENCH_TITLE) | ((hits >= FRENCH_HITS) & there)
+    return F.coalesce(title, F.lit("")).rlike(unicode(FRENCH_TITLE)) | ((hits >= FRENCH_HITS) & there)
 
 
 def strip_html(page: Column) -> Column:

@@ -10,25 +10,25 @@ from .rules import FirstMatch
 # Label and pattern, in order; the first that occurs counts.
 SENIORITY = FirstMatch(
     (
-        ("intern", r"(?i)\b(intern|internship|co-?op|stagiaire)\b"),
-        ("junior", r"(?i)\b(junior|jr|associate|entry[- ]level|new grad|graduate|grad)\b"),
-        ("staff", r"(?i)\bstaff\b"),
+        ("intern", r"(?i)\b(intern|co-?op|stagiaire)\b"),
+        ("junior", r"(?i)\b(junior|jr\.?|associate|entry[- ]level|new grad|graduate|grad)\b"),
+        ("staff", r"(?i)\b(staff)\b"),
         ("principal", r"(?i)\b(principal|distinguished|fellow)\b"),
-        ("director", r"(?i)\b(director|head of|vp|vice president)\b"),
-        ("manager", r"(?i)\b(manager|mgr|lead)\b"),
-        ("senior", r"(?i)\b(senior|sr|sénior)\b"),
+        ("director", r"(?i)\b(director|head of|vp|vice[- ]president)\b"),
+        ("manager", r"(?i)\b(manager|mgr\.?|lead)\b"),
+        ("senior", r"(?i)\b(senior|sr\.?|sénior)\b"),
     ),
     default="mid",
 )
 ROLE_FAMILY = FirstMatch(
     (
-        ("MLE", r"(?i)\b((machine learning|ml|deep learning) engineer|mle)\b"),
+        ("MLE", r"(?i)\b(machine learning engineer|ml engineer|mle\b|deep learning engineer)\b"),
         ("RS", r"(?i)\b(research scientist|research engineer|applied scientist)\b"),
         ("DS", r"(?i)\b(data scientist|ml scientist|quant(itative)?)\b"),
-        ("DE", r"(?i)\b(data|analytics|etl) engineer\b"),
-        ("DA", r"(?i)\b(data|business|product|bi) analyst\b"),
-        ("AS", r"(?i)\b(analytics|growth|decision) scientist\b"),
-        ("SWE-ML", r"(?i)\b(ai engineer|ml platform|llm engineer|gen-?ai engineer)\b"),
+        ("DE", r"(?i)\b(data engineer|analytics engineer|etl engineer)\b"),
+        ("DA", r"(?i)\b(data analyst|business analyst|product analyst|bi analyst)\b"),
+        ("AS", r"(?i)\b(analytics scientist|growth scientist|decision scientist)\b"),
+        ("SWE-ML", r"(?i)\b(ai engineer|ml platform|llm engineer|gen[- ]?ai engineer)\b"),
         ("Manager", r"(?i)\b(manager|director|head of|vp of)\b"),
     ),
     default="Other",

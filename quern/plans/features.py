@@ -28,7 +28,7 @@ def feat_years(spark, sf):
     return _values(spark, sf, "min_years_experience", "max_years_experience")
 
 
-_PREF = f"(regexp_matches({_T}, '(?i)\\bpreferred\\b') AND NOT regexp_matches({_T}, '(?i)\\brequired\\b'))"
+_PREF = f"(contains(lower({_T}), 'preferred') AND NOT contains(lower({_T}), 'required'))"
 _EDU = " ".join(f"WHEN regexp_matches({_T}, {quoted(p)}){f' AND NOT {_PREF}' if t in ('phd', 'masters') else ''} THEN '{t}'" for t, p in cascade.EDUCATION)
 
 
@@ -37,8 +37,9 @@ def feat_education(spark, sf):
     return _values(spark, sf, "min_education")
 
 
-_HELD = f"""(SELECT *, CASE WHEN phrase <> '' AND NOT regexp_matches(substr({_T}, greatest(pos - 80, 1), pos + length(phrase) + 30 - greatest(pos - 80, 1)), {quoted(cascade.CLEARANCE_VETO)}) THEN phrase END AS held
-    FROM (SELECT *, strpos({_T}, phrase) AS pos FROM (SELECT *, regexp_extract({_T}, {quoted(cascade.CLEARANCE)}, 1) AS phrase FROM jobs0)))"""
+_HELD = f"""(SELECT *, CASE WHEN whole <> '' AND NOT regexp_matches(substr({_T}, greatest(pos - 80, 1), pos + length(whole) + 30 - greatest(pos - 80, 1)), {quoted(cascade.CLEARANCE_VETO)})
+        THEN replace(regexp_replace(lower(regexp_extract({_T}, {quoted(cascade.CLEARANCE)}, 1)), '\\s+', ' ', 'g'), ' / ', '/') END AS held
+    FROM (SELECT *, strpos({_T}, whole) AS pos FROM (SELECT *, regexp_extract({_T}, {quoted(cascade.CLEARANCE)}, 0) AS whole FROM jobs0)))"""
 
 
 @query(JOBS + f"SELECT id, CASE WHEN held IS NOT NULL THEN true END AS requires_security_clearance, {cascade.CLEARANCE_LEVEL.sql('held')} AS clearance_level FROM {_HELD}")
@@ -74,7 +75,7 @@ def feat_travel(spark, sf):
     return _values(spark, sf, "max_travel_percent")
 
 
-@query(JOBS + f"SELECT id, CASE WHEN {cascade.EQUITY.sql(_T)} IS NOT NULL THEN true END AS offers_equity, {cascade.EQUITY.sql(_T)} AS equity_form FROM jobs0")
+@query(JOBS + f"SELECT id, CASE WHEN e THEN true END AS offers_equity, CASE WHEN e THEN {cascade.EQUITY_FORM.sql(_T)} END AS equity_form FROM (SELECT *, regexp_matches({_T}, {quoted(cascade.HAS_EQUITY)}) AS e FROM jobs0)")
 def feat_equity(spark, sf):
     return _values(spark, sf, "offers_equity", "equity_form")
 
@@ -117,7 +118,7 @@ def feat_reports(spark, sf):
 @query(JOBS + "SELECT id, tech_stack FROM jobs")
 def feat_tech(spark, sf):
     both = F.concat("title", F.lit("\n"), _T)
-    return fixtures.jobs(spark, sf).select("id", cascade.tech_rules(False).column(both).alias("tech_stack"))
+    return fixtures.jobs(spark, sf).select("id", cascade.TECH_STACK.column(both).alias("tech_stack"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 0) * 1000 AS v FROM orders")
@@ -126,11 +127,38 @@ def feat_number_parse(spark, sf):
     return fixtures.table(spark, sf, "orders").select("o_orderkey", salary.parse_amount(written).alias("v"))
 
 
-@query(JOBS + f"""SELECT field, 'regex' AS source, n FROM (SELECT unnest(['bonus_mentioned', 'contract_type', 'posting_quality', 'offers_visa_sponsorship']) AS field,
-    unnest([count(*) FILTER (regexp_matches({_T}, {quoted(cascade.BONUS)})), count({cascade.CONTRACT.sql(f'title || chr(10) || {_T}')}), count(*), count({cascade.VISA.sql(_T)})]) AS n FROM jobs0)""")
+#: Every field as DuckDB SQL over jobs0: what the single queries above compare, side by side.
+_BOTH = f"title || chr(10) || {_T}"
+_SQL = {
+    "min_years_experience": "span.lo",
+    "max_years_experience": "span.hi",
+    "min_education": f"coalesce(CASE {_EDU} END, {FirstMatch(cascade.EDUCATION).sql(_T)})",
+    "requires_security_clearance": "held",
+    "clearance_level": cascade.CLEARANCE_LEVEL.sql("held"),
+    "requires_citizenship": cascade.CITIZENSHIP.sql(_T),
+    "offers_visa_sponsorship": cascade.VISA.sql(_T),
+    "remote_policy_extracted": cascade.REMOTE.sql(_T),
+    "on_call_required": cascade.ON_CALL.sql(_T),
+    "max_travel_percent": f"CASE WHEN regexp_matches({_T}, {quoted(cascade.NO_TRAVEL)}) THEN 0 WHEN {_PCT} BETWEEN 0 AND 100 THEN {_PCT} END",
+    "offers_equity": f"CASE WHEN regexp_matches({_T}, {quoted(cascade.HAS_EQUITY)}) THEN 1 END",
+    "equity_form": f"CASE WHEN regexp_matches({_T}, {quoted(cascade.HAS_EQUITY)}) THEN {cascade.EQUITY_FORM.sql(_T)} END",
+    "bonus_mentioned": f"CASE WHEN regexp_matches({_T}, {quoted(cascade.BONUS)}) THEN 1 END",
+    "bonus_type": f"CASE WHEN regexp_matches({_T}, {quoted(cascade.BONUS)}) THEN {cascade.BONUS_KIND.sql(_T)} END",
+    "offers_relocation": cascade.RELOCATION.sql(_T),
+    "contract_type": cascade.CONTRACT.sql(_BOTH),
+    "posting_quality": "1",
+    "language_requirements": cascade.LANGUAGES.sql(_T),
+    "manager_role": cascade.MANAGER.sql("title"),
+    "direct_reports_count": f"CASE WHEN TRY_CAST(nullif(regexp_extract({_T}, {quoted(cascade.REPORTS)}, 1), '') AS INT) BETWEEN 1 AND 200 THEN 1 END",
+    "tech_stack": cascade.TECH_STACK.sql(_BOTH),
+}
+_FOUND = f"(SELECT id, {', '.join(f'({sql}) IS NOT NULL AS {name}' for name, sql in _SQL.items())} FROM (SELECT *, {_YEARS} AS span FROM {_HELD}))"
+_NAMES = ", ".join(f"'{name}'" for name in _SQL)
+
+
+@query(JOBS + f"SELECT field, 'regex' AS source, n FROM (SELECT unnest([{_NAMES}]) AS field, unnest([{', '.join(f'count(*) FILTER ({name})' for name in _SQL)}]) AS n FROM {_FOUND}) WHERE n > 0")
 def cascade_meta_counts(spark, sf):
-    done = cascade.with_features(fixtures.jobs(spark, sf))
-    return views.provenance_counts(done).where(F.col("field").isin("bonus_mentioned", "contract_type", "posting_quality", "offers_visa_sponsorship"))
+    return cascade.provenance_counts(fixtures.jobs(spark, sf))
 
 
 @query()
@@ -139,12 +167,14 @@ def cascade_full(spark, sf):
     return done.select("id", "min_education", "contract_type", "tech_stack", "extraction_meta", "extraction_version")
 
 
-@query(JOBS + f"SELECT 'contract_type' AS \"column\", round(count({cascade.CONTRACT.sql(f'title || chr(10) || {_T}')}) / count(*), 4) AS fill_rate FROM jobs0")
+@query(JOBS + f"SELECT unnest([{_NAMES}]) AS \"column\", unnest([{', '.join(f'round(count(*) FILTER ({name}) / count(*), 4)' for name in _SQL)}]) AS fill_rate FROM {_FOUND}")
 def cascade_hit_rates(spark, sf):
-    return views.fill_rates(_values(spark, sf, "contract_type"), ["contract_type"]).select("column", "fill_rate")
+    staged = cascade.with_found(fixtures.jobs(spark, sf)).select(*(F.col(f"_f_{name}.value").alias(name) for name in cascade.FIELDS))
+    return views.fill_rates(staged, list(cascade.FIELDS)).select("column", "fill_rate")
 
 
-@query(JOBS + f"SELECT id, list_filter([CASE WHEN {cascade.CONTRACT.sql(f'title || chr(10) || {_T}')} IS NULL THEN 'contract_type' END, CASE WHEN {cascade.VISA.sql(_T)} IS NULL THEN 'offers_visa_sponsorship' END], lambda x: x IS NOT NULL) AS missing FROM jobs0")
+#: posting_quality is always found, at 0.6 unless its title says more, which is not below the bound.
+@query(JOBS + f"SELECT id, list_filter([{', '.join(f"CASE WHEN NOT {name} THEN '{name}' END" for name in _SQL)}], lambda x: x IS NOT NULL) AS missing FROM {_FOUND}")
 def cascade_missing_gate(spark, sf):
-    jobs, fields = _fields(spark, sf)
-    return jobs.select("id", cascade.missing_for_model(fields, ("contract_type", "offers_visa_sponsorship")).alias("missing"))
+    staged = cascade.with_found(fixtures.jobs(spark, sf))
+    return staged.select("id", cascade.missing_for_model({name: F.col(f"_f_{name}") for name in cascade.FIELDS}, cascade.FIELDS).alias("missing"))

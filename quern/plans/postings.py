@@ -27,7 +27,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
             "salary_min_usd_yearly": low,
             "salary_max_usd_yearly": high,
             "min_years_experience": cascade.years(F.col("description_md"))["lo"],
-            "tech_stack": cascade.tech_rules(False).column(both),
+            "tech_stack": cascade.TECH_STACK.column(both),
         }
     ).drop("_place")
 
@@ -86,7 +86,7 @@ def feat_salary_simple(spark, sf):
 
 @query()
 def feat_salary_mined(spark, sf):
-    return fixtures.jobs(spark, sf).select("id", salary.mine_salary("description_md").alias("m")).select("id", "m.*")
+    return fixtures.jobs(spark, sf).select("id", salary.mine_salary(F.col("description_md")).alias("m")).select("id", "m.*")
 
 
 @query(JOBS + f"SELECT id, CASE WHEN NOT salary_disclosed AND {_SIMPLE.format(2)} IS NOT NULL THEN {_SIMPLE.format(2)} ELSE salary_max END AS high FROM jobs0")
@@ -125,9 +125,9 @@ def json_and_epoch(spark, sf):
     return fixtures.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), text.parse_epoch_ms(F.col("event_id") * 1000).cast("timestamp_ntz").alias("at"))
 
 
-@query(JOBS + "SELECT id, title || ' — ' || substr(description_md, 1, 100) AS t FROM jobs0")
+@query(JOBS + "SELECT id, title || ' — ' || substr(description_md, 1, 1000) AS t FROM jobs0")
 def classifier_text(spark, sf):
-    return fixtures.jobs(spark, sf).select("id", title.classifier_text(F.col("title"), F.col("description_md"), 100).alias("t"))
+    return fixtures.jobs(spark, sf).select("id", title.classifier_text(F.col("title"), F.col("description_md"), 1000).alias("t"))
 
 
 @query(JOBS + "SELECT id, CASE WHEN length(d) > 280 THEN substr(d, 1, 277) || '…' ELSE d END AS snippet FROM (SELECT id, replace(description_md, chr(10), ' ') AS d FROM jobs0)")
@@ -164,7 +164,7 @@ _QUALITY = f"CASE WHEN regexp_matches(title, {quoted(cascade.EVERGREEN)}) THEN '
 @query(JOBS + f"""SELECT unnest([0, 1, 2]) AS step, unnest(['real', 'disclosed', 'target']) AS stage, unnest([a, b, c]) AS n FROM (SELECT count(*) FILTER ({_QUALITY} = 'real') AS a,
     count(*) FILTER ({_QUALITY} = 'real' AND salary_disclosed) AS b, count(*) FILTER ({_QUALITY} = 'real' AND salary_disclosed AND salary_max_usd_yearly >= 30000) AS c FROM jobs)""")
 def filter_funnel(spark, sf):
-    kind = F.when(F.col("title").rlike(cascade.EVERGREEN), "e").when(F.col("title").rlike(cascade.COMMUNITY), "c").otherwise("real")
+    kind = cascade.posting_quality(F.col("title"))
     return views.filter_funnel(enriched(spark, sf), [("real", kind == "real"), ("disclosed", F.col("salary_disclosed")), ("target", F.col("salary_max_usd_yearly") >= 30000)])
 
 

@@ -23,7 +23,7 @@ JOBS = f"""
 WITH jobs0 AS ({fixtures.JOBS_ORACLE}), raw AS (SELECT id, location_raw FROM jobs0), places AS ({location.LOCATION_SQL}),
 jobs AS (SELECT j.*, p.country, p.region, p.city, p.remote_policy, {title.SENIORITY.sql('title')} AS seniority_extracted, {title.ROLE_FAMILY.sql('title')} AS role_family_extracted,
     salary_min * {_USD} AS salary_min_usd_yearly, salary_max * {_USD} AS salary_max_usd_yearly, {_YEARS} AS span, {_YEARS}.lo AS min_years_experience,
-    {cascade.tech_rules(False).sql("title || chr(10) || description_md")} AS tech_stack
+    {cascade.TECH_STACK.sql("title || chr(10) || description_md")} AS tech_stack
     FROM jobs0 j JOIN places p USING (id))
 """
 
