@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,20 +120,57 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, item_id: str, item_vector: str, k: int = FIRST_PASS, where: Column | None = None, max_queries: int = 10_000) -> DataFrame:
-    """Exact top k by dot product; items are filtered before they are scored.
-
-    Queries are packed into rows of about ``max_queries``, as many as they need; each
-    packed row is scored against all items.  Up to ``max_queries`` it is one row, which
-    is broadcast; more are joined without a broadcast.
+def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Rows of about ``size`` keys and vectors each, as lists."""
+    own = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-own.count() // size))
+    dealt = own.withColumn("_block", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+    return dealt.groupBy("_block").agg(F.collect_list("k").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_values"), F.max(F.size("v")).alias(f"{name}_width")).drop("_block")
+
+
+def _block_scorer(k: int, own: bool):
+    """The k best items of each query of a block of queries among a block of items; ties to the smaller item."""
+
+    def run(batches):
+        for batch in batches:
+            for q_keys, q_values, q_width, keys, values, width in zip(*(batch.column(i) for i in range(6)), strict=True):
+                names, items = np.array(q_keys.as_py()), np.array(keys.as_py())
+                queries = q_values.values.to_numpy(zero_copy_only=False).reshape(len(names), q_width.as_py())
+                vectors = values.values.to_numpy(zero_copy_only=False).reshape(len(items), width.as_py())
+                order = np.argsort(items, kind="stable")
+                items, vectors = items[order], vectors[order]
+                out = []
+                for name, query, row in zip(names, queries, queries @ vectors.T, strict=True):
+                    if not own:
+                        row[items == name] = -np.inf
+                    keep = min(k, len(row))
+                    least = np.partition(row, len(row) - keep)[len(row) - keep]
+                    # Products of the near ones are summed again in one order, so that equal vectors score alike.
+                    near = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf))
+                    scores = np.zeros(len(near))
+                    for d in range(len(query)):
+                        scores += query[d] * vectors[near, d]
+                    best = np.argsort(-scores, kind="stable")[:keep]
+                    out.append((np.repeat(name, len(best)), items[near[best]], scores[best]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "item", "score"])
+
+    return run
+
+
+def dense_top_k(queries: DataFrame, items: DataFrame, query_id: str, query_vector: str, item_id: str, item_vector: str, k: int = FIRST_PASS, where: Column | None = None, own: bool = True, query_rows: int = 1024, item_rows: int = 16_384) -> DataFrame:
+    """(query, item, score, rank): exact top k by dot product; items are filtered before they are scored.
+
+    Queries and items are packed in blocks; a task scores one block of queries against
+    one block of items and returns k rows a query, so no pair is ever a row.  Without
+    ``own`` an item of the query's own id is no candidate.  Ranks go by the full score.
     """
     pool = items if where is None else items.where(where)
-    blocks = max(1, -(-queries.count() // max_queries))
-    block = F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")
-    packed = queries.groupBy(block).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))).alias("_qs")).drop("_block")
-    scored = pool.crossJoin(F.broadcast(packed) if blocks == 1 else packed.hint("shuffle_replicate_nl")).select(F.col(item_id).alias("item"), F.col(item_vector).alias("_v"), F.explode("_qs").alias("_q"))
-    scored = scored.select(F.col("_q.q").alias("query"), "item", F.round(dot(F.col("_q.v"), F.col("_v")), 4).alias("score"))
-    return top_k(scored, "query", "item", "score", k)
+    asked, held = _packed(queries, query_id, query_vector, query_rows, "q"), _packed(pool, item_id, item_vector, item_rows, "i")
+    cells = asked.crossJoin(held).select("q_keys", "q_values", "q_width", "i_keys", "i_values", "i_width")
+    kinds = dict(queries.dtypes)[query_id], dict(items.dtypes)[item_id]
+    scored = cells.mapInArrow(_block_scorer(k, own), f"query {kinds[0]}, item {kinds[1]}, score double")
+    return top_k(scored, "query", "item", "score", k).withColumn("score", F.round("score", 4))
 
 
 # --- words ------------------------------------------------------------------------------
@@ -156,10 +194,10 @@ def bm25_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sparse_top_k(queries: DataFrame, weights: DataFrame, query_id: str, query_text: str, item_id: str, k: int = FIRST_PASS) -> DataFrame:
-    """Dot product over shared terms; a query term counts once."""
+    """Dot product over shared terms; a query term counts once.  Ranks go by ten decimals, below which sums depend on their order."""
     asked = terms(queries, query_id, query_text).select(F.col(query_id).alias("query"), "term")
-    scored = asked.join(weights, "term").groupBy("query", F.col(item_id).alias("item")).agg(F.round(F.sum("weight"), 4).alias("score"))
-    return top_k(scored, "query", "item", "score", k)
+    scored = asked.join(weights, "term").groupBy("query", F.col(item_id).alias("item")).agg(F.round(F.sum("weight"), 10).alias("score"))
+    return top_k(scored, "query", "item", "score", k).withColumn("score", F.round("score", 4))
 
 
 # --- fusion, reranking, hydration -------------------------------------------------------
@@ -171,8 +209,8 @@ def fuse(legs: dict[str, DataFrame], k: int = RRF_K, top: int = FIRST_PASS) -> D
     for name, leg in legs.items():
         own = leg.select("query", "item", "rank", *(F.col("score").alias(f"{n}_score") if n == name else F.lit(None).cast("double").alias(f"{n}_score") for n in legs))
         rows = own if rows is None else rows.unionByName(own)
-    fused = rows.groupBy("query", "item").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("rrf_score"), *(F.max(f"{n}_score").alias(f"{n}_score") for n in legs))
-    return top_k(fused, "query", "item", "rrf_score", top)
+    fused = rows.groupBy("query", "item").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 14).alias("rrf_score"), *(F.max(f"{n}_score").alias(f"{n}_score") for n in legs))
+    return top_k(fused, "query", "item", "rrf_score", top).withColumn("rrf_score", F.round("rrf_score", 8))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
@@ -215,7 +253,11 @@ def first_per_item(ranked: DataFrame, item: str, k: int) -> DataFrame:
 def query_metrics(ranked: DataFrame, relevant: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 20), ndcg_at: int = 10) -> DataFrame:
     """(query, n_relevant, recall@k.., rr, ndcg) of each query that has relevant items."""
     size = relevant.groupBy("query").agg(F.count("*").alias("n_relevant"))
-    hits = ranked.join(relevant.select("query", "item"), ["query", "item"], "left_semi")
+    return hit_metrics(ranked.join(relevant.select("query", "item"), ["query", "item"], "left_semi"), size, cutoffs, ndcg_at)
+
+
+def hit_metrics(hits: DataFrame, size: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 20), ndcg_at: int = 10) -> DataFrame:
+    """``query_metrics`` from the relevant rows of rankings and (query, n_relevant), where relevant pairs are too many to list."""
     gain = F.when(F.col("rank") <= ndcg_at, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     per = hits.groupBy("query").agg(*(F.count_if(F.col("rank") <= k).alias(f"_h{k}") for k in cutoffs), F.min("rank").alias("_first"), F.sum(gain).alias("_dcg"))
     ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(ndcg_at)).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)

@@ -13,7 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 # Words that no statement may hold.
 DENIED = ("insert", "update", "delete", "drop", "create", "alter", "truncate", "merge", "copy", "attach", "detach", "pragma", "install", "load", "export", "import", "call", "grant", "revoke", "vacuum", "set")
 MAX_ROWS, TIMEOUT_S = 1000, 5.0
+#: What may be called: aggregates, windows and plain functions of values; nothing that reaches the JVM, files, time or the session.
+FUNCTIONS = frozenset(
+    """
+    abs any any_value approx_count_distinct approx_percentile array array_agg array_contains array_distinct array_join array_max array_min
+    array_position array_size array_sort arrays_overlap avg bit_length bool_and bool_or btrim bround cardinality cast ceil ceiling char_length
+    character_length coalesce collect_list collect_set concat concat_ws contains corr count count_if count_min_sketch covar_pop covar_samp
+    cume_dist date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank
+    element_at endswith every exists exp explode extract filter first first_value float floor format_number get greatest hour if ifnull
+    ilike initcap instr int isnan isnotnull isnull kurtosis lag last last_day last_value lcase lead least left length levenshtein like ln
+    locate log log10 log2 lower lpad ltrim make_date max max_by mean median min min_by minute mod mode month months_between nth_value ntile
+    nullif nvl nvl2 percent_rank percentile percentile_approx percentile_cont percentile_disc pmod position posexplode pow power quarter
+    rank regexp regexp_count regexp_extract regexp_like regexp_replace regr_slope repeat replace reverse right rlike round row_number rpad
+    rtrim second sequence sign signum size skewness slice some split split_part sqrt startswith std stddev stddev_pop stddev_samp string
+    substr substring substring_index sum timestamp to_date to_timestamp transform translate trim trunc try_cast try_divide ucase unnest
+    upper var_pop var_samp variance weekday weekofyear width_bucket year
+    """.split()
+)
 _ROOTS = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "UnresolvedWith", "Distinct", "Filter", "UnresolvedHaving", "SubqueryAlias", "WithWindowDefinition", "Offset")
+_WRAPPERS = ("Distinct", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "UnresolvedWith")
 
 
 class UnsafeSql(ValueError):
@@ -52,8 +70,12 @@ def validate(spark: SparkSession, sql: str, table: str, columns: list[str]) -> s
     if denied:
         raise UnsafeSql(f"{denied[1].lower()} is not allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if plan.getClass().getSimpleName() not in _ROOTS:
-        raise UnsafeSql(f"only SELECT is allowed, not {plan.getClass().getSimpleName()}")
+    root = plan
+    # A set operation is no SELECT, also where it is made distinct, sorted or cut.
+    while (kind := root.getClass().getSimpleName()) in _ROOTS and kind in _WRAPPERS:
+        root = root.children().apply(0)
+    if kind not in _ROOTS:
+        raise UnsafeSql(f"only SELECT is allowed, not {kind}")
     nodes = _nodes(plan)
     known = set(re.findall(r"(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\(", text))
     aliases = {n.name() for n in nodes if n.getClass().getSimpleName() == "Alias"} | {n.alias() for n in nodes if n.getClass().getSimpleName() == "SubqueryAlias"}
@@ -63,6 +85,10 @@ def validate(spark: SparkSession, sql: str, table: str, columns: list[str]) -> s
             name = node.tableName()
             if name != table and name not in known:
                 raise UnsafeSql(f"table {name} is not allowed")
+        elif kind == "UnresolvedFunction":
+            called = node.nameParts().mkString(".").lower()
+            if called not in FUNCTIONS:
+                raise UnsafeSql(f"function {called} is not allowed")
         elif kind in ("UnresolvedTableValuedFunction", "UnresolvedInlineTable"):
             raise UnsafeSql(f"{kind} is not allowed")
         elif kind == "UnresolvedAttribute":

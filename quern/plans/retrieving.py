@@ -9,13 +9,14 @@ from ..operators import retrieval
 from .registry import query
 
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
-_PAIRS = f"SELECT q.vec_id AS query, v.vec_id AS item, round({_DOT}, 4) AS score, q.label AS ql, v.label AS vl FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id >= 20"
-_RANKED = "SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank{} FROM ({})"
+#: Every vector whose id is divisible by 100 asks; every other vector is a candidate.
+_PAIRS = f"SELECT q.vec_id AS query, v.vec_id AS item, {_DOT} AS score, q.label AS ql, v.label AS vl FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id"
+_RANKED = "SELECT query, item, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank{} FROM ({})"
 
 
 def _dense(spark, sf, k=10, where=None):
     vectors = fixtures.table(spark, sf, "embeddings")
-    return retrieval.dense_top_k(vectors.where("vec_id < 20"), vectors.where("vec_id >= 20"), "vec_id", "embedding", "vec_id", "embedding", k, where)
+    return retrieval.dense_top_k(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", "vec_id", "embedding", k, where, own=False)
 
 
 @query(f"SELECT * FROM ({_RANKED.format('', _PAIRS)}) WHERE rank <= 10")
@@ -33,20 +34,20 @@ d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS
 tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
 w AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS weight FROM tf JOIN df USING (term) JOIN dl USING (doc_id), c),
-q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id < 50),
-s AS (SELECT query, doc_id AS item, round(sum(weight), 4) AS score FROM q JOIN w USING (term) GROUP BY ALL),
-r AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s)
+q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+s AS (SELECT query, doc_id AS item, round(sum(weight), 10) AS score FROM q JOIN w USING (term) GROUP BY ALL),
+r AS (SELECT query, item, round(score, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s)
 """
 
 
-def _sparse(spark, sf, k=10, which="true"):
-    docs, items = fixtures.table(spark, sf, "documents"), fixtures.table(spark, sf, "benchmark").where(which)
+def _sparse(spark, sf, k=10):
+    docs, items = fixtures.table(spark, sf, "documents"), fixtures.table(spark, sf, "benchmark")
     return retrieval.sparse_top_k(items, retrieval.bm25_weights(docs, "doc_id", "text"), "item_id", "text", "doc_id", k)
 
 
 @query(f"WITH {_BM25} SELECT query, item, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return _sparse(spark, sf, which="item_id < 50")
+    return _sparse(spark, sf)
 
 
 def _legs(spark, sf):
@@ -60,33 +61,38 @@ def _legs(spark, sf):
 _FUSED = f"""a AS (SELECT * FROM ({_RANKED.format(', vl', _PAIRS)}) WHERE rank <= 50),
 b AS (SELECT * FROM (SELECT query, item, -vl AS score, row_number() OVER (PARTITION BY query ORDER BY -vl DESC, item) AS rank FROM a) WHERE rank <= 30),
 u AS (SELECT query, item, rank, score AS ds, NULL AS ss FROM a UNION ALL SELECT query, item, rank, NULL, CAST(score AS DOUBLE) FROM b),
-f AS (SELECT query, item, round(sum(1.0 / (60 + rank)), 8) AS rrf_score, max(ds) AS dense_score, max(ss) AS sparse_score FROM u GROUP BY ALL),
+f AS (SELECT query, item, round(sum(1.0 / (60 + rank)), 14) AS rrf_score, max(ds) AS dense_score, max(ss) AS sparse_score FROM u GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, item) AS rank FROM f)"""
 
 
-@query(f"WITH {_FUSED} SELECT query, item, rrf_score, dense_score, sparse_score, rank FROM fused WHERE rank <= 100")
+@query(f"WITH {_FUSED} SELECT query, item, round(rrf_score, 8) AS rrf_score, dense_score, sparse_score, rank FROM fused WHERE rank <= 100")
 def rrf_fuse(spark, sf):
     return retrieval.fuse(_legs(spark, sf))
 
 
-def _relevant(spark, sf):
+def _metrics(spark, sf):
+    """Relevant are the other vectors of the query's label: labels are compared and counted, pairs are not listed."""
     v = fixtures.table(spark, sf, "embeddings").select("vec_id", "label")
-    return v.where("vec_id < 20").select(F.col("vec_id").alias("query"), "label").join(v.where("vec_id >= 20").select(F.col("vec_id").alias("item"), "label"), "label").select("query", "item")
+    asking = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"))
+    sizes = v.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("n_relevant"))
+    known = asking.join(sizes, "ql").where("n_relevant > 0")
+    hits = _dense(spark, sf, 20).join(known, "query").join(v.select(F.col("vec_id").alias("item"), "label"), "item").where("ql = label")
+    return retrieval.hit_metrics(hits, known.select("query", "n_relevant"))
 
 
-_NDCG = f"""WITH top AS (SELECT * FROM ({_RANKED.format(', ql = vl AS rel', _PAIRS)}) WHERE rank <= 20), n AS (SELECT q.vec_id AS query, count(*) AS n_relevant FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id < 20 AND v.vec_id >= 20 GROUP BY 1)
+_NDCG = f"""WITH top AS (SELECT * FROM ({_RANKED.format(', ql = vl AS rel', _PAIRS)}) WHERE rank <= 20), n AS (SELECT q.vec_id AS query, count(*) AS n_relevant FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id GROUP BY 1)
 SELECT query, n_relevant, {', '.join(f'round(coalesce(count(*) FILTER (rel AND rank <= {k}), 0) / n_relevant, 6) AS recall_{k}' for k in (5, 10, 20))}, round(coalesce(1 / min(rank) FILTER (rel), 0), 6) AS rr,
 round(coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN top USING (query) GROUP BY query, n_relevant"""
 
 
 @query(_NDCG)
 def recall_mrr_ndcg(spark, sf):
-    return retrieval.query_metrics(_dense(spark, sf, 20), _relevant(spark, sf))
+    return _metrics(spark, sf)
 
 
 @query(f"SELECT count(*) AS n_queries, round(avg(recall_5), 4) AS recall_5, round(avg(recall_10), 4) AS recall_10, round(avg(recall_20), 4) AS recall_20, round(avg(rr), 4) AS rr, round(avg(ndcg), 4) AS ndcg FROM ({_NDCG})")
 def variant_summary(spark, sf):
-    return retrieval.summarise(retrieval.query_metrics(_dense(spark, sf, 20), _relevant(spark, sf)))
+    return retrieval.summarise(_metrics(spark, sf))
 
 
 @query("SELECT doc_id, p AS place, substr(text, CAST(p * 4096 + 1 AS BIGINT), 4096) AS piece FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 4096) AS BIGINT))) AS p FROM documents WHERE length(text) > 0)")

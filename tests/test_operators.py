@@ -27,13 +27,13 @@ def test_payloads(spark):
     assert errors["d"] == "unknown provider" and errors["e"] == "unreadable payload" and errors["a"] is None
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE jobs", "SELECT * FROM secrets", "SELECT password FROM jobs", "", "INSERT INTO jobs VALUES (1)", "SELECT id FROM jobs WHERE id IN (SELECT x FROM other)"])
+@pytest.mark.parametrize("sql", ["DROP TABLE jobs", "SELECT * FROM secrets", "SELECT password FROM jobs", "", "INSERT INTO jobs VALUES (1)", "SELECT id FROM jobs WHERE id IN (SELECT x FROM other)", "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') FROM jobs", "SELECT reflect('java.util.UUID', 'randomUUID') FROM jobs", "SELECT id FROM jobs WHERE upper(current_user()) = 'A'", "SELECT id FROM jobs UNION SELECT id FROM jobs", "SELECT id FROM jobs UNION ALL SELECT id FROM jobs ORDER BY id LIMIT 3", "SELECT id FROM jobs EXCEPT SELECT id FROM jobs", "SELECT id FROM jobs WHERE id = (SELECT max(reflect('a', 'b')) FROM jobs)"])
 def test_guard_rejects(spark, sql):
     with pytest.raises(sqlguard.UnsafeSql):
         sqlguard.validate(spark, sql, "jobs", ["id", "title"])
 
 
-@pytest.mark.parametrize("sql", ["SELECT id FROM jobs;", "SELECT count(*) AS n FROM jobs GROUP BY title ORDER BY n", "WITH t AS (SELECT id FROM jobs) SELECT id FROM t", "SELECT j.id FROM jobs j WHERE title LIKE 'a%'"])
+@pytest.mark.parametrize("sql", ["SELECT id FROM jobs;", "SELECT count(*) AS n FROM jobs GROUP BY title ORDER BY n", "WITH t AS (SELECT id FROM jobs) SELECT id FROM t", "SELECT j.id FROM jobs j WHERE title LIKE 'a%'", "SELECT DISTINCT upper(title) AS t, count(DISTINCT id) AS n FROM jobs GROUP BY title HAVING count(*) > 1", "SELECT id, row_number() OVER (PARTITION BY title ORDER BY id) AS r FROM jobs LIMIT 5 OFFSET 2", "SELECT CASE WHEN id > 1 THEN 'x' END AS c FROM (SELECT id FROM jobs)"])
 def test_guard_accepts(spark, sql):
     assert sqlguard.validate(spark, sql, "jobs", ["id", "title"])
 
@@ -47,6 +47,24 @@ def test_guarded_execution_and_questions(spark):
     assert sqlguard.ask(jobs, "?", None, ["id"]).error
 
 
+def test_dense_search_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x[50:90] = x[7]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "i long, v array<double>")
+    got = {}
+    for r in retrieval.dense_top_k(frame.where("i % 100 = 0 or i = 7"), frame, "i", "v", "i", "v", 12, F.col("i") < 250, own=False, query_rows=2, item_rows=64).collect():
+        got[r.query, r.rank] = (r.item, r.score)
+    for q in (0, 7, 100, 200):
+        s = x @ x[q]
+        s[[q, *range(250, 300)]] = -np.inf
+        want = np.lexsort((np.arange(300), -np.round(s, 12)))[:12]
+        assert [got[q, k + 1] for k in range(12)] == [(int(i), round(float(s[i]), 4)) for i in want]
+    assert retrieval.dense_top_k(frame.where("false"), frame, "i", "v", "i", "v", 3).count() == 0
+
+
 def test_splitter_and_chunks(spark):
     text = "\n## A\n" + "one two. " * 60 + "\n## B\n" + "x" * 300
     pieces = retrieval.split_text(text, 200, 20)
@@ -95,7 +113,7 @@ def test_stream_folds_each_file_once(spark, tmp_path):
 def test_dense_search_in_query_blocks(spark):
     rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 5)]) for i in range(60)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    search = lambda n: sorted(map(tuple, retrieval.dense_top_k(frame, frame, "vec_id", "embedding", "vec_id", "embedding", 5, max_queries=n).select("query", "item", "score", "rank").collect()))
+    search = lambda n: sorted(map(tuple, retrieval.dense_top_k(frame, frame, "vec_id", "embedding", "vec_id", "embedding", 5, query_rows=n).select("query", "item", "score", "rank").collect()))
     assert len(search(100)) == 300
     assert search(7) == search(100)
 
