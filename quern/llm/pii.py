@@ -187,20 +187,24 @@ def _term_counts(own: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _pairs(own: DataFrame, texts: DataFrame, total: Column, min_support: int, generalise: float) -> DataFrame:
     """(entity, level, term, n_both, n_entity, n_term) of the pairs that have the support."""
-    each = materialize(_entities(texts), "entities")
-    entities = each.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    every = materialize(_entities(texts), "entities")
+    # Counts are written before they are joined: only a join of two plain shuffles is split where a kind is in a third of all texts.
+    entities = materialize(every.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity_counts")
     # No term in more texts reaches ``generalise``, even if the entity is in none without it.
     most = total * F.pow(F.greatest(F.lit(2.0), total / F.col("n_entity")), F.lit(-generalise)) * (1 + 1e-9)
     most = F.least(most, F.col("n_entity") * 2.0**LEFT_BITS)
     rare = (F.col("level") == 0) & (F.col("n_entity") < min_support)
     most = F.when(rare, F.least(most, 2.0 * F.col("n_entity"))).otherwise(most)
     least = F.when(rare, F.col("n_entity")).otherwise(F.lit(min_support))
-    each = each.join(entities, "entity").select("row", "entity", "level", "n_entity", rare.alias("rare"), F.when(rare, F.col("beside")).alias("beside"), "words", most.alias("most"), least.alias("least"))
+    each = every.join(entities, "entity").select("row", "entity", "level", "n_entity", rare.alias("rare"), F.when(rare, F.col("beside")).alias("beside"), "words", most.alias("most"), least.alias("least"))
     held = texts.select("row", F.explode("terms").alias("term")).join(_term_counts(own, texts), "term").withColumnRenamed("row", "h_row")
     near = F.coalesce(F.array_contains("beside", F.col("term")) & ((F.col("n_entity") > 1) | F.array_contains("words", F.col("term"))), F.lit(False))
     can = (F.col("row") == F.col("h_row")) & (F.col("n_term") <= F.col("most")) & (F.col("n_term") >= F.col("least")) & (~F.col("rare") | (F.col("n_entity") > 1) | near)
     pairs = each.join(held, can).groupBy("entity", "level", "rare", "least", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both"), F.max(near).alias("near"))
-    return pairs.where((F.col("n_both") >= F.col("least")) & (~F.col("rare") | F.col("near"))).select("entity", "level", "term", "n_both", "n_entity", "n_term")
+    pairs = pairs.where((F.col("n_both") >= F.col("least")) & (~F.col("rare") | F.col("near"))).select("entity", "level", "term", "n_both", "n_entity", "n_term")
+    written = materialize(pairs, "pairs")
+    discard(every, entities)
+    return written
 
 
 def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -208,7 +212,7 @@ def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SU
     spark = own.sparkSession
     texts = found.where(F.size("near") > 0).groupBy("row").agg(*(F.first(c).alias(c) for c in ("near", "terms", "inner")))
     total = F.lit(float(max(2, found.select("row").distinct().count())))
-    pairs = materialize(_pairs(own, texts, total, min_support, generalise), "pairs")
+    pairs = _pairs(own, texts, total, min_support, generalise)
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, action string, disclosure double")
     share, chance = F.col("n_both") / F.col("n_term"), F.col("n_entity") / total
@@ -217,7 +221,9 @@ def disclosing_terms(own: DataFrame, found: DataFrame, min_support: int = MIN_SU
     others = F.when(share < 1, (F.col("n_term") - F.col("n_both")) * F.log2((1 - share) / (1 - chance))).otherwise(0.0)
     sure = F.when(F.col("level") == 0, (F.col("n_entity") >= min_support) | (share >= 0.5)).otherwise((share > chance) & (F.col("n_both") * mutual + others >= SURE_BITS))
     scored = pairs.where(sure & (share >= 2.0**-LEFT_BITS)).groupBy("term").agg(F.max(mutual / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return materialize(scored.select("term", F.when(F.col("disclosure") >= remove, "gone").otherwise("term").alias("action"), "disclosure"), "terms")
+    terms = materialize(scored.select("term", F.when(F.col("disclosure") >= remove, "gone").otherwise("term").alias("action"), "disclosure"), "terms")
+    discard(pairs)
+    return terms
 
 
 def _held(own: DataFrame, *more: str) -> DataFrame:
@@ -272,7 +278,7 @@ def _free(extra: Column, spans: Column) -> Column:
     return plain(F.when(F.size(spans) == 0, _ordered(extra)).otherwise(let(both, of_all)))
 
 
-def written(spans: Column, kind: Column | None = None) -> Column:
+def listed(spans: Column, kind: Column | None = None) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"] if kind is None else kind, s["start"], s["end"])), ",")
 
@@ -282,8 +288,8 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = find_pii(docs, id_col, text_col, **limits)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in BASE]
-    base = written(F.col("spans"))
-    every = F.when(F.size("extra") == 0, base).otherwise(F.concat_ws(",", F.when(F.size("spans") > 0, base), written(F.col("extra"), F.lit("term"))))
+    base = listed(F.col("spans"))
+    every = F.when(F.size("extra") == 0, base).otherwise(F.concat_ws(",", F.when(F.size("spans") > 0, base), listed(F.col("extra"), F.lit("term"))))
     return found.select(F.col("id").alias("doc_id"), *counts, base.alias("base"), every.alias("spans"))
 
 
