@@ -19,8 +19,12 @@ against one block of rows and returns k rows a query.  A block is sent once for
 Tied scores go to the smaller id in every step, so any number of equal vectors
 gives the same result.
 
-Defined results.  Vectors that are null, empty, zero, hold a null or non-finite
-component, or differ in length from most vectors take no part, nor do null ids.
+Defined results.  Vectors that are null, empty, zero, or hold a null or non-finite
+component take no part, nor do null ids.  Vectors of another length have no product
+with a query, so each length is searched among its own, with codebooks of its own.
+Vectors are coded in units of their largest component, so their size is no matter;
+where a k-th score is out of the range in which bounds hold (zero, tiny or not
+finite), all rows are scored exactly.  A score that is no number comes last.
 Rows that share an id count once, with the smallest vector.  Fewer candidates
 than asked for are all returned; an empty table gives no rows.  Only the id and
 vector columns are read.
@@ -94,19 +98,27 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def in_units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in units of their largest component, in single precision; those components)."""
+    scale = np.abs(x).max(1)
+    return (x / scale[:, None]).astype(np.float32), scale
+
+
 def _encoder(books: np.ndarray):
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                x = _matrix(part.column(1), books.shape[2]).astype(np.float32)
+                x, scale = in_units(_matrix(part.column(1), books.shape[2]))
                 codes = encode(x, books)
                 decoded = decode(codes, books)
                 made, size = np.linalg.norm(decoded, axis=1), np.linalg.norm(x, axis=1)
-                ratio = (size / np.where(made > 0, made, 1)).astype(np.float32)
+                ratio = size / np.where(made > 0, made, 1)
                 # The second term covers what single precision loses.
                 error = np.linalg.norm(x - ratio[:, None] * decoded, axis=1) + 1e-4 * (size + ratio * np.abs(books).max() * len(books))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio), pa.array(error.astype(np.float32)), part.column(1)], ["id", "code", "ratio", "error", "vector"])
+                with np.errstate(over="ignore"):
+                    ratio, error = ratio * scale, error * scale
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio), pa.array(error), part.column(1)], ["id", "code", "ratio", "error", "vector"])
 
     return run
 
@@ -140,21 +152,27 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exact_best(query: np.ndarray, approximate: np.ndarray, errors: np.ndarray, rows: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the k best rows; rows at -inf take no part.  What the error bound leaves open is scored exactly."""
-    length = np.linalg.norm(query)
-    first = best_of(approximate, max(k, candidates))
-    first = first[approximate[first] > -np.inf]
-    if len(first) >= k:
-        least = np.partition(rows[first] @ query, len(first) - k)[len(first) - k]
-        places = np.flatnonzero((approximate + length * errors >= least - 1e-9 * abs(least)) & (approximate > -np.inf))
-        near = rows[places] @ query
-        least = np.partition(near, len(near) - k)[len(near) - k]
-        places = places[near >= least - 1e-9 * length * np.linalg.norm(rows[places], axis=1).max()]
-    else:
-        places = np.sort(first)
-    scores = _products(rows[places], query)
-    best = best_of(scores, k)
+def _exact_best(query: np.ndarray, approximate: np.ndarray, errors: np.ndarray, rows: np.ndarray, taking: np.ndarray, k: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k best rows among those ``taking`` part; what the error bound leaves open is scored exactly.
+
+    ``approximate`` is in units of the query's largest component.
+    """
+    scale = np.abs(query).max()
+    unit = query / scale
+    with np.errstate(all="ignore"):
+        reach = approximate + np.linalg.norm(unit) * errors
+        reach = np.where(taking, np.where(np.isfinite(reach), reach, np.inf), -np.inf)
+        places = np.flatnonzero(taking)
+        if len(places) > k:
+            first = best_of(np.where(taking, np.where(np.isfinite(approximate), approximate, np.inf), -np.inf), max(k, candidates))
+            first = first[taking[first]]
+            near = rows[first] @ unit
+            least = np.partition(near, len(near) - k)[len(near) - k]
+            if np.isfinite(near).all() and 1e-290 < abs(least) * min(scale, 1) and abs(least) * max(scale, 1) < 1e300:
+                places = np.flatnonzero(reach >= least - 1e-9 * abs(least))
+        scores = _products(rows[places], query)
+    none = np.isnan(scores)
+    best = np.lexsort((places, -scores, none))[:k] if none.any() else best_of(scores, k)
     return places[best], scores[best]
 
 
@@ -163,19 +181,18 @@ def _scorer(books: np.ndarray, k: int, candidates: int, slice_rows: int = 64):
         for batch in batches:
             for queries, vectors, ids, codes, ratios, errors, rows in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 queries, ids = np.frombuffer(queries, np.int64), np.frombuffer(ids, np.int64)
-                ratios, errors = np.frombuffer(ratios, np.float32), np.frombuffer(errors, np.float32)
+                ratios, errors = np.frombuffer(ratios), np.frombuffer(errors)
                 vectors, rows = np.frombuffer(vectors).reshape(len(queries), -1), np.frombuffer(rows).reshape(len(ids), -1)
                 codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
                 for i in range(0, len(queries), slice_rows):
-                    tables = np.einsum("qd,mkd->mqk", vectors[i : i + slice_rows].astype(np.float32), books, optimize=True)
+                    tables = np.einsum("qd,mkd->mqk", in_units(vectors[i : i + slice_rows])[0], books, optimize=True)
                     scores = np.zeros((tables.shape[1], len(ids)), np.float32)
                     for table, code in zip(tables, codes, strict=True):
                         scores += table[:, code]
-                    scores *= ratios
                     out_query, out_id, out_score = [], [], []
                     for query, vector, row in zip(queries[i : i + slice_rows], vectors[i : i + slice_rows], scores, strict=True):
-                        row[ids == query] = -np.inf
-                        best, exact = _exact_best(vector, row, errors, rows, k, candidates)
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            best, exact = _exact_best(vector, row * ratios, errors, rows, ids != query, k, candidates)
                         out_query.append(np.full(len(best), query))
                         out_id.append(ids[best])
                         out_score.append(exact)
@@ -195,17 +212,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     base = base.where(F.col("id").isNotNull() & _usable(F.col("vector")))
     base = materialize(base.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")), "vectors")
-    common = base.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    width = common.width
-    base = base.where(F.size("vector") == width)
+    # One row a length; a table of vectors has one length, or few.
+    lengths = base.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in lengths:
+        out = out.union(_nearest_of(base.where(F.size("vector") == length.width), length.width, length["count"], k, candidates, codebooks, codewords))
+    return out
+
+
+def _nearest_of(base: DataFrame, width: int, count: int, k: int, candidates: int, codebooks: int, codewords: int) -> DataFrame:
+    """``nearest`` among (id, vector, asks) of one length."""
     sample = base.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
-    books = fit(_matrix(sample["vector"].combine_chunks(), width).astype(np.float32), codebooks, min(codewords, max(1, sample.num_rows)))
+    books = fit(in_units(_matrix(sample["vector"].combine_chunks(), width))[0], codebooks, min(codewords, max(1, sample.num_rows)))
 
-    blocks = max(1, -(-common["count"] * width * 8 // BLOCK_BYTES))
-    coded = base.select("id", "vector").mapInArrow(_encoder(books), "id long, code binary, ratio float, error float, vector array<double>")
+    blocks = max(1, -(-count * width * 8 // BLOCK_BYTES))
+    coded = base.select("id", "vector").mapInArrow(_encoder(books), "id long, code binary, ratio double, error double, vector array<double>")
     coded = coded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_pack_codes, "block int, ids binary, codes binary, ratios binary, errors binary, rows binary")
     asking = base.where("asks").select("id", "vector")
     groups = max(1, -(-asking.count() // QUERY_ROWS))
@@ -214,5 +235,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     grid = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = coded.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     scored = grid.join(cells, ["group", "block"]).select("queries", "vectors", "ids", "codes", "ratios", "errors", "rows").mapInArrow(_scorer(books, k, candidates), "query_id long, vec_id long, score double")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    last = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

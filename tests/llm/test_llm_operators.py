@@ -374,9 +374,32 @@ def test_nearest_neighbours(spark):
     assert [r.vec_id for r in found[100]][:9] == list(range(200, 209))
     few = additive_ann.nearest(frame.where("vec_id < 3"), F.col("vec_id") == 0, k=10, codebooks=2, codewords=4).collect()
     assert len(few) == 2
+    assert additive_ann.nearest(frame.where("vec_id = 5003"), F.lit(True)).count() == 0
     assert additive_ann.nearest(frame.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e200, 1e-200, 1e-160])
+def test_nearest_neighbours_of_any_size_and_length(spark, scale):
+    """Sizes beyond single precision, products that overflow or vanish, two lengths: always what brute force gives."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 16)) * scale
+    x[5] = x[6]
+    y = rng.normal(size=(40, 4)) * scale
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+    got = defaultdict(list)
+    for r in additive_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7, candidates=10, codebooks=4, codewords=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for base, z in ((0, x), (1000, y)):
+        for q in range(0, len(z), 20):
+            with np.errstate(all="ignore"):
+                s = np.zeros(len(z))
+                for d in range(z.shape[1]):
+                    s += z[q, d] * z[:, d]
+            order = [i for i in np.lexsort((np.arange(len(z)), -s, np.isnan(s))) if i != q][:7]
+            assert [v for v, _ in got[base + q]] == [base + i for i in order]
+            assert all(a == s[i] or (a != a and s[i] != s[i]) for (_, a), i in zip(got[base + q], order, strict=True))
+
+
 def test_nearest_neighbours_in_a_large_group_of_near_copies(spark):
     """More near-equal vectors than candidates: the codes cannot order them, the error bound keeps them all."""
     rng = np.random.default_rng(9)
