@@ -12,7 +12,8 @@ without a shuffle; the weights are 2**BITS floats, whatever the input.
 
 Defined results.  A null text has no features and is scored by its length of 0.
 Rows are scored each on its own, whatever their ids.  Ratings that repeat an id
-count by their lowest grade; without ratings of two grades everything is kept.
+count by their lowest grade, and of texts that share a rated id the first in order is
+fitted; without ratings of two grades everything is kept.
 Other columns pass through untouched.
 """
 
@@ -30,7 +31,7 @@ from .words import chunked_words
 
 BITS = 17
 FIT_ROWS = 8000
-MIN_TEXTS = 20
+MIN_SHARE = 1 / 12
 STEPS, RATE, L2 = 150, 0.1, 3e-4
 KEEP = 0.5
 FEATURES = "id long, n_features int, buckets array<int>, values array<float>"
@@ -50,42 +51,45 @@ class Model:
         return sigmoid(x.scores(self.weights)[:, None] - self.thresholds[None, :])
 
 
+def likelihood(w: np.ndarray, x: Features, grade: np.ndarray, grades: int) -> tuple[float, np.ndarray]:
+    """(mean negative log-likelihood with its penalty, gradient) at weights, first threshold and logarithms of the gaps."""
+    size, n, k = len(w) - (grades - 1), x.count, grades - 1
+    theta = _thresholds(w[size:])
+    upper = np.concatenate([np.ones((n, 1)), sigmoid(x.scores(w[:size])[:, None] - theta), np.zeros((n, 1))], 1)
+    slope = upper * (1 - upper)
+    row = np.arange(n)
+    chance = np.maximum(upper[row, grade] - upper[row, grade + 1], 1e-9)
+    by_score = -(slope[row, grade] - slope[row, grade + 1]) / chance / n
+    by_theta = np.zeros(k)
+    for i in range(k):
+        low, high = grade == i + 1, grade == i
+        by_theta[i] = (slope[low, i + 1] / chance[low]).sum() / n - (slope[high, i + 1] / chance[high]).sum() / n
+    g = np.zeros_like(w)
+    g[:size] = x.gradient(by_score, size) + L2 * w[:size]
+    tail = np.cumsum(by_theta[::-1])[::-1]
+    g[size] = tail[0]
+    g[size + 1 :] = tail[1:] * np.exp(w[size + 1 :])
+    return float(-np.log(chance).mean() + L2 / 2 * (w[:size] ** 2).sum()), g
+
+
+def _thresholds(w: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.append(w[0], np.exp(w[1:])))
+
+
 def fit(x: Features, grade: np.ndarray, grades: int) -> Model:
-    """Maximum likelihood with an L2 penalty; features of fewer than ``MIN_TEXTS`` rows stay at 0."""
+    """Maximum likelihood with an L2 penalty; features of fewer texts than ``MIN_SHARE`` of the rarest grade's stay at 0."""
     size = 1 << BITS
     if x.count == 0 or grade.min() == grade.max():
         return Model(None, np.zeros(grades - 1))
-    seen = np.bincount(x.buckets, minlength=size) >= MIN_TEXTS
+    counts = np.bincount(grade, minlength=grades)
+    seen = np.bincount(x.buckets, minlength=size) >= MIN_SHARE * counts[counts > 0].min()
     keep = seen[x.buckets]
     x = Features(x.rows[keep], x.buckets[keep], x.values[keep], x.count)
-    n, k = x.count, grades - 1
-    share = np.array([(grade >= i + 1).mean() for i in range(k)]).clip(1e-3, 1 - 1e-3)
+    share = np.array([(grade >= i + 1).mean() for i in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     start = np.concatenate([np.zeros(size), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
-
-    def unpack(w: np.ndarray) -> np.ndarray:
-        return np.cumsum(np.append(w[size], np.exp(w[size + 1 :])))
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        theta = unpack(w)
-        upper = np.concatenate([np.ones((n, 1)), sigmoid(x.scores(w[:size])[:, None] - theta), np.zeros((n, 1))], 1)
-        slope = upper * (1 - upper)
-        row = np.arange(n)
-        chance = np.maximum(upper[row, grade] - upper[row, grade + 1], 1e-9)
-        by_score = -(slope[row, grade] - slope[row, grade + 1]) / chance / n
-        by_theta = np.zeros(k)
-        for i in range(k):
-            low, high = grade == i + 1, grade == i
-            by_theta[i] = (slope[low, i + 1] / chance[low]).sum() / n - (slope[high, i + 1] / chance[high]).sum() / n
-        g = np.zeros_like(w)
-        g[:size] = x.gradient(by_score, size) + L2 * w[:size]
-        tail = np.cumsum(by_theta[::-1])[::-1]
-        g[size] = tail[0]
-        g[size + 1 :] = tail[1:] * np.exp(w[size + 1 :])
-        return 0.0, g
-
-    w = adam(loss, start, STEPS, RATE)
-    return Model(w[:size].astype(np.float32), unpack(w))
+    w = adam(lambda w: likelihood(w, x, grade, grades), start, STEPS, RATE)
+    return Model(w[:size].astype(np.float32), _thresholds(w[size:]))
 
 
 def _featurise(batches):
@@ -107,7 +111,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_
     rated = rated.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id")).limit(rows)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # A broadcast of at most ``rows`` pairs of numbers.
-    chosen = own.join(F.broadcast(rated), "id").select("id", "text", "grade")
+    chosen = own.join(F.broadcast(rated.select("id")), "id").groupBy("id").agg(F.min("text").alias("text"))
     features = chosen.select("id", "text").mapInArrow(_featurise, FEATURES)
     table = features.toArrow().sort_by("id")
     grade = dict(zip(*(c.to_pylist() for c in rated.toArrow().select(["id", "grade"]).columns), strict=True))
