@@ -3,8 +3,15 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written and read again as the next one's docs.  All
 but the last return the columns of ``documents``.  Each stage works on all that
-its predecessor kept.  No stage drops a row for being empty or without an id, and
-``n_chars`` follows the text wherever a stage changes it.
+its predecessor kept.
+
+Defined results.  Ids may be null or repeat: rows are judged, cleaned and sanitised
+each on its own, and near copies are found among texts, so a text goes only where a
+near copy of it stays.  Of rows with equal id and text one stays; of a group of near
+copies, the smallest id.  Rows without id, or without words, go for what the
+classifier says of them alone.  Empty tables give empty ones.  Columns beyond id and
+text pass through, whatever their names; ``n_chars`` follows the text wherever a
+stage changes it.
 """
 
 from __future__ import annotations
@@ -62,7 +69,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the fitted classifier; the tests check columns, row counts, tokens and ids of the stages on sf0.001.
+#: SQL cannot express the fitted classifier; the tests hold the rows of each stage against plain versions on a small corpus.
 ORACLE_SQL: str | None = None
 
 
