@@ -78,7 +78,7 @@ def trainer(kind: str, label: str, seed: int = 42, **settings):
     if kind == "ridge":
         return LinearRegression(**common, regParam=settings.pop("regParam", 0.1), elasticNetParam=0.0, **settings)
     if kind == "forest":
-        return RandomForestRegressor(**common, numTrees=settings.pop("numTrees", 50), featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxDepth=settings.pop("maxDepth", 8), seed=seed, **settings)
+        return RandomForestRegressor(**common, numTrees=settings.pop("numTrees", 500), featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxDepth=settings.pop("maxDepth", 30), seed=seed, **settings)
     if kind == "boosted":
         return GBTRegressor(**common, maxIter=settings.pop("maxIter", 20), maxDepth=settings.pop("maxDepth", 4), seed=seed, **settings)
     raise ValueError(f"no trainer {kind}")

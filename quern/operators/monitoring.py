@@ -10,6 +10,32 @@ DRIFT, DRIFT_SHARE, EPSILON = 0.20, 0.30, 1e-6
 MIN_LIFT, MAX_LOSS = 0.01, -0.02
 
 
+# What is watched for drift.
+TRACKED_NUMERIC = (
+    "salary_min_usd_yearly",
+    "salary_max_usd_yearly",
+    "predicted_salary_usd_v1",
+    "min_years_experience",
+    "seniority_confidence_v1",
+    "role_family_confidence_v1",
+)
+TRACKED_CATEGORICAL = (
+    "country",
+    "remote_policy",
+    "source",
+    "seniority_extracted",
+    "role_family_extracted",
+    "seniority_label_v1",
+    "role_family_v1",
+    "salary_disclosed",
+)
+
+
+def tracked(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Of the watched columns, the numeric and the categorical ones that the table has."""
+    return [c for c in TRACKED_NUMERIC if c in df.columns], [c for c in TRACKED_CATEGORICAL if c in df.columns]
+
+
 def _psi(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """Sum of (p - q) ln(p / q) over levels of either side; a is the reference."""
     left, right = (x.groupBy("level").agg(F.count("*").alias(n)) for x, n in ((a, "p"), (b, "q")))

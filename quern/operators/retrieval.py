@@ -153,7 +153,8 @@ def _block_scorer(k: int, own: bool):
                     best = np.argsort(-scores, kind="stable")[:keep]
                     out.append((np.repeat(name, len(best)), items[near[best]], scores[best]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "item", "score"])
+                    kinds = (q_keys.type.value_type, keys.type.value_type, pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["query", "item", "score"])
 
     return run
 

@@ -105,6 +105,11 @@ def retrieval_filter(countries=(), seniorities=(), roles=(), salary_gte: float |
     return out
 
 
+def bound(jobs: DataFrame, sql: str, **values: object) -> DataFrame:
+    """A statement over ``{jobs}`` with named parameters (``:name``); values are bound, never written into the text."""
+    return jobs.sparkSession.sql(sql, args=values, jobs=jobs)
+
+
 def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, fill_rate, n_distinct) in one pass over the rows."""
     aggs = [a for c in columns for a in (F.count(c).alias(f"n_{c}"), F.count_distinct(F.col(c).cast("string")).alias(f"d_{c}"))]
@@ -113,10 +118,6 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(stacked.alias("s")).select("s.*")
 
 
-def provenance_counts(df: DataFrame, meta: str = "extraction_meta") -> DataFrame:
-    return df.select(F.explode(meta).alias("field", "m")).groupBy("field", F.col("m.source").alias("source")).agg(F.count("*").alias("n"))
-
-
 def value_counts(df: DataFrame, column: str, n: int = 8) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column), F.lit("<missing>")).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 

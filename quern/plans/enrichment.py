@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..operators import ingest, stats
-from .registry import query
+from ..functions import cascade, text
+from ..operators import indexing, ingest, models, retrieval, sqlguard, stats, views
+from ..sources import payloads
+from .postings import enriched
+from .registry import JOBS, query
 
 
 def _extracted(spark, sf):
@@ -36,9 +41,153 @@ def enriched_table(spark, sf):
 
 @query()
 def match_cards(spark, sf):
+    """Cards of the postings that a question finds by its words."""
     jobs = ingest.normalize(_extracted(spark, sf))
-    hits = jobs.where("salary_max_usd_yearly is not null").select("id", (F.col("salary_max_usd_yearly") / 1e6).alias("score"))
-    return ingest.matches(jobs, hits, 10)
+    question = spark.createDataFrame([(0, "remote machine learning engineer with PyTorch and Kubernetes")], "q int, question string")
+    weights = retrieval.bm25_weights(jobs.select("id", F.concat_ws(" ", "title", "description_md").alias("words")), "id", "words")
+    hits = retrieval.sparse_top_k(question, weights, "q", "question", "id", 25)
+    return ingest.matches(jobs, hits.select(F.col("item").alias("id"), "score"), 10)
+
+
+@query(JOBS + """SELECT id, company_slug, company_name, title, url, country, region, city, remote_policy, source, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') AS posted_at, round(salary_min_usd_yearly, 4) AS salary_min_usd_yearly,
+    round(salary_max_usd_yearly, 4) AS salary_max_usd_yearly, salary_disclosed, seniority_extracted, role_family_extracted, CASE WHEN k % 3 <> 0 THEN round(predicted_salary_usd_v1, 0) END AS predicted_salary_usd_v1 FROM jobs""")
+def payload_projection(spark, sf):
+    jobs = enriched(spark, sf).withColumn("predicted_salary_usd_v1", F.when(F.col("k") % 3 == 0, float("nan")).otherwise(F.round("predicted_salary_usd_v1", 0)))
+    return indexing.payload(jobs).withColumns({c: F.round(c, 4) for c in ("salary_min_usd_yearly", "salary_max_usd_yearly")})
+
+
+@query()
+def search_end_to_end(spark, sf):
+    """Every benchmark text against the chunks of every document: dense, sparse, fused, reranked, hydrated."""
+    docs = fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang"))
+    chunks = retrieval.chunk(docs, "doc_id", "title", "text")
+    return indexing.search(fixtures.table(spark, sf, "benchmark"), chunks, retrieval.hashing_embedder(64), retrieval.lexical_overlap, "item_id", "text", 5).drop("parent_text")
+
+
+@query(JOBS + "SELECT id, title FROM jobs WHERE country = 'US' AND salary_max_usd_yearly >= 100000 AND contains(lower(title), 'engineer') ORDER BY id LIMIT 40")
+def search_bound(spark, sf):
+    text = "SELECT id, title FROM {jobs} WHERE country = :country AND salary_max_usd_yearly >= :least AND contains(lower(title), :words) ORDER BY id LIMIT 40"
+    return views.bound(enriched(spark, sf), text, country="US", least=100_000, words="engineer")
+
+
+@query("SELECT o_orderkey, o_orderdate AS plain, o_orderdate - INTERVAL 2 HOUR AS shifted, CAST(NULL AS TIMESTAMP) AS broken FROM orders")
+def iso_dates(spark, sf):
+    orders = fixtures.table(spark, sf, "orders")
+    written = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    read = lambda c: text.parse_iso(c).cast("timestamp_ntz")
+    return orders.select("o_orderkey", read(F.concat(written, F.lit("Z"))).alias("plain"), read(F.concat(written, F.lit("+02:00"))).alias("shifted"), read(F.concat(F.lit("on "), written)).alias("broken"))
+
+
+_TAXONOMY = {"python": "Python", "sql": "SQL", "aws": "Cloud", "pytorch": "Deep Learning", "kafka": "Streaming"}
+_TAXONOMY_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _TAXONOMY.items()) + "}"
+
+
+@query(JOBS + f"SELECT id, coalesce(tech_stack, []) AS skills, list_filter(list_transform(coalesce(tech_stack, []), lambda s: {_TAXONOMY_SQL}[lower(s)]), lambda x: x IS NOT NULL) AS families FROM jobs")
+def skills_mapped(spark, sf):
+    """Blanks and nulls go, versions and capitals do not matter, each family once."""
+    noisy = F.concat(F.transform(F.coalesce("tech_stack", F.array().cast("array<string>")), lambda s: F.concat(F.lit(" "), s, F.lit(" 3. "))), F.array(F.lit(None).cast("string"), F.lit("  ")))
+    jobs = enriched(spark, sf)
+    return jobs.select("id", text.clean_list(F.col("tech_stack")).alias("skills"), text.map_skills(noisy, _TAXONOMY).alias("families"))
+
+
+@query(JOBS + "SELECT id, CASE WHEN k % 4 = 0 THEN 'Given title' ELSE title END AS title FROM jobs")
+def override_merge(spark, sf):
+    given = F.when(F.col("k") % 4 == 0, "Given title").when(F.col("k") % 4 == 1, "  ")
+    return enriched(spark, sf).select("id", text.override(given, F.col("title")).alias("title"))
+
+
+@query(JOBS + "SELECT id, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS value, CASE WHEN k % 2 = 0 THEN 0.8 ELSE 0.9 END AS confidence FROM jobs0")
+def confidence_merge(spark, sf):
+    """The surer of two tiers; the first on ties."""
+    part = lambda value, confidence: F.struct(F.lit(value).alias("value"), confidence.alias("confidence"), F.lit("r").alias("rule_id"))
+    merged = cascade.merge(part("a", F.lit(0.8)), part("b", F.when(F.col("k") % 4 == 0, 0.8).when(F.col("k") % 2 == 0, 0.7).otherwise(0.9)))
+    return fixtures.jobs(spark, sf).select("id", merged.alias("m")).select("id", "m.value", "m.confidence")
+
+
+_NORM = "sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))"
+
+
+@query(f"SELECT vec_id, round({_NORM}, 4) AS before, 1.0 AS after FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS embedding FROM embeddings)")
+def renormalised(spark, sf):
+    vectors = fixtures.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    norm = lambda v: F.round(F.sqrt(retrieval.dot(v, v)), 4)
+    return vectors.select("vec_id", norm(F.col("v")).alias("before"), norm(retrieval.renormalized(F.col("v"))).alias("after"))
+
+
+_SLICES = "[e[1:16], e[17:32], e[33:48], e[49:64]]"
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform([q[1:16], q[17:32]], lambda a: list_max(list_transform({_SLICES}, lambda b: list_dot_product(a, b))))), 4) AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)")
+def late_interaction(spark, sf):
+    """Two token vectors of a question against four of every passage."""
+    vectors = fixtures.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    part = lambda v, i: F.slice(v, 16 * i + 1, 16)
+    asked = vectors.where("vec_id = 0").select(F.array(part("e", 0), part("e", 1)).alias("q"))
+    return vectors.join(F.broadcast(asked)).select("vec_id", F.round(retrieval.max_sim(F.col("q"), F.array(*(part("e", i) for i in range(4)))), 4).alias("score"))
+
+
+@query("""WITH l AS (SELECT l_suppkey AS query, l_partkey AS item, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS rank FROM lineitem),
+f AS (SELECT query, item, min(rank) AS r FROM l GROUP BY ALL) SELECT * FROM (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY r, item) AS rank FROM f) WHERE rank <= 20""")
+def ranked_once(spark, sf):
+    own = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    ranked = fixtures.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("part"), F.row_number().over(own).alias("rank"))
+    return retrieval.first_per_item(ranked, "part", 20)
+
+
+@query(JOBS + "SELECT id, greatest(0.0, round(predicted_salary_usd_v1, 0) - 50000) AS low, round(predicted_salary_usd_v1, 0) + 50000 AS high FROM jobs0")
+def salary_bands(spark, sf):
+    low, high = models.salary_band(F.round("predicted_salary_usd_v1", 0), F.lit(50_000.0))
+    return fixtures.jobs(spark, sf).select("id", low.alias("low"), high.alias("high"))
+
+
+_GREEN = '{"jobs": [{"absolute_url": "https://x/1", "title": "Miller", "location": {"name": "Boston, MA"}, "content": "&lt;p&gt;Grind&lt;/p&gt;", "first_published": "2026-05-01T00:00:00Z", "pay_input_ranges": [{"min_cents": 10000000, "max_cents": 12000000, "currency_type": "USD", "interval": "annual"}]}, {"title": "no url"}]}'
+_LEVER = '[{"text": "Baker", "hostedUrl": "https://y/1", "categories": {"location": "Remote", "commitment": "Full-time"}, "createdAt": 1777593600000, "description": "Bake", "salaryRange": {"min": 30, "max": 41.5, "currency": "CAD", "interval": "per-hour-wage"}}]'
+_ASHBY = '{"jobs": [{"jobUrl": "https://z/1", "title": "Sower", "isRemote": true, "location": "", "secondaryLocations": "[{\\"location\\":\\"Toronto\\"}]", "descriptionPlain": "Sow", "compensation": {"compensationTiers": [{"components": [{"compensationType": "Equity"}, {"compensationType": "Salary", "compensationValue": {"minValue": 1.0, "maxValue": 2.0, "currencyCode": "CAD", "interval": "1 WEEK"}}]}]}}]}'
+
+
+@query(
+    """SELECT * FROM (VALUES ('a', 'greenhouse', 'Miller', 'Boston, MA', 'Grind', 100000.0::DOUBLE, 120000.0::DOUBLE, 'USD', 'year'), ('b', 'lever', 'Baker', 'Remote', 'Commitment: Full-time' || chr(10) || chr(10) || 'Bake', 30.0, 41.5, 'CAD', 'hour'),
+('c', 'ashby', 'Sower', 'Remote – Toronto', 'Sow', 1.0, 2.0, 'CAD', NULL)) t(company_slug, source, title, location_raw, description_md, salary_min, salary_max, salary_currency, salary_period)"""
+)
+def board_payloads(spark, sf):
+    rows = [("a", "A", "greenhouse", _GREEN), ("b", "B", "lever", _LEVER), ("c", "C", "ashby", _ASHBY), ("d", "D", "none", "{}"), ("e", "E", "lever", "{broken")]
+    jobs, _ = payloads.extract_all(spark.createDataFrame(rows, "company_slug string, company_name string, provider string, payload string"))
+    return jobs.select("company_slug", "source", "title", "location_raw", "description_md", "salary_min", "salary_max", "salary_currency", "salary_period")
+
+
+@query("SELECT * FROM (VALUES ('a', 2, NULL), ('b', 0, 'unreadable payload'), ('c', 0, 'unknown provider')) t(company_slug, jobs, error)")
+def payload_errors(spark, sf):
+    two = _GREEN.replace('{"title": "no url"}', '{"title": "Second", "absolute_url": "https://x/2"}')
+    rows = [("a", "A", "greenhouse", two), ("b", "B", "lever", "{broken"), ("c", "C", "none", "{}")]
+    _, stats = payloads.extract_all(spark.createDataFrame(rows, "company_slug string, company_name string, provider string, payload string"))
+    return stats.select("company_slug", F.col("jobs").cast("int").alias("jobs"), "error")
+
+
+_STATEMENTS = (
+    ("plain", "SELECT country, count(*) AS n FROM jobs GROUP BY country", True),
+    ("semicolon", "SELECT title FROM jobs;", True),
+    ("two", "SELECT title FROM jobs; SELECT 1", False),
+    ("write", "DELETE FROM jobs", False),
+    ("other table", "SELECT * FROM secrets", False),
+    ("other column", "SELECT description_md FROM jobs", False),
+    ("jvm", "SELECT java_method('java.lang.System', 'exit', 0) FROM jobs", False),
+    ("union", "SELECT title FROM jobs UNION SELECT country FROM jobs", False),
+    ("with", "WITH t AS (SELECT title FROM jobs) SELECT title FROM t", True),
+    ("empty", "  ", False),
+)
+_STATEMENT_VALUES = ", ".join(f"('{name}', {str(ok).lower()})" for name, _, ok in _STATEMENTS)
+
+
+@query(f"SELECT * FROM (VALUES {_STATEMENT_VALUES}) t(statement, accepted)")
+def sqlguard_matrix(spark, sf):
+    def accepted(sql):
+        try:
+            sqlguard.validate(spark, sql, "jobs", ["country", "title"])
+        except (sqlguard.UnsafeSql, ParseException):
+            return False
+        return True
+
+    return spark.createDataFrame([(name, accepted(sql)) for name, sql, _ in _STATEMENTS], "statement string, accepted boolean")
 
 
 @query()

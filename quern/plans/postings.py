@@ -84,14 +84,30 @@ def feat_salary_simple(spark, sf):
     return fixtures.jobs(spark, sf).select("id", low.alias("low"), high.alias("high"))
 
 
-@query()
+_SAYS = "contains(low, '{}')"
+#: The derived texts hold one range at most, so the first match is the best one.
+_MINED = f"""m0 AS (SELECT *, regexp_extract(description_md, {quoted(salary.RANGE)}, 0) AS m FROM jobs0),
+m1 AS (SELECT *, strpos(description_md, m) - 1 AS s, replace(regexp_extract(m, {quoted(salary.RANGE)}, 1), ',', '')::DOUBLE AS a, replace(regexp_extract(m, {quoted(salary.RANGE)}, 2), ',', '')::DOUBLE AS b FROM m0 WHERE m <> ''),
+m2 AS (SELECT *, substr(description_md, greatest(s - 100, 0) + 1, s + length(m) + 100 - greatest(s - 100, 0)) AS w, s - greatest(s - 100, 0) AS place FROM m1),
+m3 AS (SELECT *, lower(w) AS low, strpos(w, regexp_extract(w, {quoted(salary.ANCHOR)}, 0)) - 1 AS anchor FROM m2 WHERE regexp_matches(w, {quoted(salary.ANCHOR)})),
+m4 AS (SELECT *, CASE WHEN ({_SAYS.format('hour')} OR {_SAYS.format('/hr')} OR (NOT {_SAYS.format('/yr')} AND {_SAYS.format('/h')})) AND NOT ({_SAYS.format('annual')} OR {_SAYS.format('per year')}) THEN 'hour'
+    WHEN {_SAYS.format('month')} THEN 'month' WHEN {_SAYS.format('day')} THEN 'day' WHEN greatest(a, b) < 5000 THEN 'hour' ELSE 'year' END AS period FROM m3),
+m5 AS (SELECT *, CASE WHEN period = 'year' THEN 1.0 ELSE 0.7 END * (1 - least(abs(anchor - place), 100) / 200) AS score FROM m4
+    WHERE greatest(a, b) BETWEEN CASE period WHEN 'year' THEN 30000 WHEN 'month' THEN 2000 WHEN 'day' THEN 200 ELSE 10 END AND CASE period WHEN 'year' THEN 1500000 WHEN 'month' THEN 100000 WHEN 'day' THEN 4000 ELSE 500 END),
+mined AS (SELECT id, least(a, b) AS salary_min, greatest(a, b) AS salary_max, CASE WHEN regexp_matches(upper(w), 'CAD|CDN|C\\$|CANADIAN') THEN 'CAD' ELSE 'USD' END AS salary_currency, period AS salary_period,
+    round(least(0.95, 0.7 + 0.25 * score), 3) AS confidence FROM m5)"""
+
+
+@query(JOBS + f", {_MINED} SELECT j.id, m.salary_min, m.salary_max, m.salary_currency, m.salary_period, m.confidence FROM jobs0 j LEFT JOIN mined m USING (id)")
 def feat_salary_mined(spark, sf):
     return fixtures.jobs(spark, sf).select("id", salary.mine_salary(F.col("description_md")).alias("m")).select("id", "m.*")
 
 
-@query(JOBS + f"SELECT id, CASE WHEN NOT salary_disclosed AND {_SIMPLE.format(2)} IS NOT NULL THEN {_SIMPLE.format(2)} ELSE salary_max END AS high FROM jobs0")
+@query(JOBS + f", {_MINED} SELECT j.id, CASE WHEN NOT j.salary_disclosed AND m.salary_max IS NOT NULL THEN m.salary_max ELSE j.salary_max END AS high FROM (SELECT id, k % 4 = 0 AS salary_disclosed, salary_max FROM jobs0) j LEFT JOIN mined m USING (id)")
 def salary_crossfill(spark, sf):
-    return fixtures.jobs(spark, sf).select("id", salary.cross_fill(F.col("salary_disclosed"), F.col("salary_max"), salary.simple_range(F.col("description_md"))[1]).alias("high"))
+    """Half of the postings whose text names a range disclose nothing themselves."""
+    jobs = fixtures.jobs(spark, sf).withColumn("salary_disclosed", F.col("k") % 4 == 0)
+    return jobs.select("id", salary.cross_fill(F.col("salary_disclosed"), F.col("salary_max"), salary.mine_salary(F.col("description_md"))["salary_max"]).alias("high"))
 
 
 @query(JOBS + f"SELECT id, CASE WHEN coalesce(remote_policy, x) = 'remote' AND country IN ('US', 'CA') THEN 'remote-na' ELSE coalesce(remote_policy, x) END AS policy FROM (SELECT *, {cascade.REMOTE.sql('description_md')} AS x FROM jobs)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..operators import monitoring, stats
+from ..operators import monitoring, sampling, stats
 from .postings import enriched
 from .registry import JOBS, query
 
@@ -30,6 +30,17 @@ def co_missing(spark, sf):
 _P = "o_totalprice"
 
 
+_VIF = ("l_quantity", "l_discount", "l_tax")
+_G = ", ".join(f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(_VIF) for j, b in enumerate(_VIF) if i <= j)
+
+
+@query(f"""WITH g AS (SELECT {_G} FROM lineitem), d AS (SELECT *, g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02) AS det FROM g)
+SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS "column", unnest([round(g00 * (g11 * g22 - g12 * g12) / det, 6), round(g11 * (g00 * g22 - g02 * g02) / det, 6), round(g22 * (g00 * g11 - g01 * g01) / det, 6)]) AS vif FROM d""")
+def vif_all(spark, sf):
+    found, _ = stats.vif(fixtures.table(spark, sf, "lineitem"), list(_VIF))
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in found.items()], "column string, vif double")
+
+
 @query(f"SELECT count({_P}) AS n, round(avg({_P}), 4) AS mean, median({_P}) AS median, round(stddev_samp({_P}), 4) AS sd, " + ", ".join(f"round(quantile_cont({_P}, {q / 100}), 4) AS p{q}" for q in (10, 25, 75, 90, 99)) + f", round(skewness({_P}), 6) AS skewness, round(kurtosis({_P}), 6) AS kurtosis FROM orders")
 def target_summary(spark, sf):
     return stats.target_summary(_orders(spark, sf), _P)
@@ -77,7 +88,7 @@ def grouped_medians(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap(fixtures.table(spark, sf, "customer"), "c_acctbal", "c_custkey", 50)
+    return stats.bootstrap(fixtures.table(spark, sf, "customer"), "c_acctbal", "c_custkey")
 
 
 # --- monitoring -------------------------------------------------------------------------
@@ -108,9 +119,39 @@ def psi_numeric(spark, sf):
     return monitoring.psi_numeric(*_sides(spark, sf), "value")
 
 
-@query()
+_HALF = "CAST(('0x' || substr(sha256('7::' || id), 1, 16)) AS UBIGINT) / 1.8446744073709552e19 < 0.5"
+_NUMERIC = ("salary_min_usd_yearly", "salary_max_usd_yearly", "predicted_salary_usd_v1", "min_years_experience")
+_CATEGORICAL = ("country", "remote_policy", "source", "seniority_extracted", "role_family_extracted", "salary_disclosed")
+
+
+def _tracked_sql(column):
+    if column in _NUMERIC:
+        cuts = f"(SELECT quantile_cont({column}, [{', '.join(str(i / 10) for i in range(1, 10))}]) FROM h WHERE half)"
+        level = f"CASE WHEN {column} IS NULL THEN -1 ELSE len(list_filter({cuts}, lambda x: x < {column})) END"
+    else:
+        level = f"coalesce(CAST({column} AS VARCHAR), '<missing>')"
+    levels = f"SELECT {level} AS level, count(*) FILTER (half) AS p, count(*) FILTER (NOT half) AS q FROM h GROUP BY 1"
+    return f"SELECT '{column}' AS \"column\", {_PSI} AS psi FROM ({levels}), (SELECT count(*) FILTER (half) AS np, count(*) FILTER (NOT half) AS nq FROM h)"
+
+
+_DRIFT = JOBS + f", h AS (SELECT *, {_HALF} AS half FROM jobs), report AS ({' UNION ALL '.join(_tracked_sql(c) for c in (*_NUMERIC, *_CATEGORICAL))}) "
+
+
+def _drift(spark, sf):
+    """All watched columns that derived postings have, between two hashed halves."""
+    rows = sampling.halves(enriched(spark, sf), 7, "id")
+    numeric, categorical = monitoring.tracked(rows)
+    return monitoring.drift_report(rows.where("half = 'reference'"), rows.where("half = 'current'"), numeric, categorical)
+
+
+@query(_DRIFT + 'SELECT "column", psi, psi >= 0.2 AS drifted FROM report')
+def drift_tracked(spark, sf):
+    return _drift(spark, sf)
+
+
+@query(_DRIFT + "SELECT count(*) AS n_columns, count(*) FILTER (psi >= 0.2) AS n_drifted, round(count(*) FILTER (psi >= 0.2) / count(*), 4) AS share, count(*) FILTER (psi >= 0.2) > 0 AS breach FROM report")
 def drift_share(spark, sf):
-    return monitoring.drift_priority(monitoring.drift_report(*_sides(spark, sf), ["value"], ["event_type"]))
+    return monitoring.drift_priority(_drift(spark, sf))
 
 
 _METRICS = (
