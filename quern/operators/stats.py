@@ -92,13 +92,22 @@ def chi_square(df: DataFrame, a: Column, b: Column) -> DataFrame:
     cells = df.groupBy(level(a).alias("a"), level(b).alias("b")).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
     total = cells.agg(F.sum("o").alias("n"))
-    # Levels of two categorical columns: every pair is a cell, seen or not.
-    grid = rows.crossJoin(cols).crossJoin(total).join(cells, ["a", "b"], "left")
-    sizes = grid.agg(F.count_distinct("a").alias("k"), F.count_distinct("b").alias("m")).select(((F.col("k") - 1) * (F.col("m") - 1)).alias("dof"))
     expected = F.col("ra") * F.col("cb") / F.col("n")
-    gap = F.abs(F.coalesce("o", F.lit(0)) - expected)
-    gap = gap - F.when(F.col("dof") == 1, F.least(F.lit(0.5), gap)).otherwise(0.0)
-    return grid.crossJoin(sizes).groupBy("dof").agg(F.round(F.sum(gap * gap / expected), 4).alias("statistic"))
+    known = cells.join(rows, "a").join(cols, "b").crossJoin(total).select("*", expected.alias("e"), F.abs(F.col("o") - expected).alias("gap"))
+    spared = lambda gap: F.least(F.lit(0.5), gap) * (2 * gap - F.least(F.lit(0.5), gap))
+    one = known.agg(
+        ((F.count_distinct("a") - 1) * (F.count_distinct("b") - 1)).alias("dof"),
+        F.sum(F.col("gap") * F.col("gap") / F.col("e")).alias("seen"),
+        (F.max("n") - F.sum("e")).alias("empty"),
+        F.sum(spared(F.col("gap")) / F.col("e")).alias("yates"),
+        F.max("gap").alias("g"),
+        (4 - F.count("*")).alias("unseen"),
+    )
+    # Pairs of levels that nobody has add what is expected of them, in all n less the others' expectations, and are never rows.
+    # In a 2 x 2 table all four gaps are one number, so it is also what is expected of an empty cell.
+    yates = F.col("yates") + F.when(F.col("unseen") > 0, F.col("unseen") * spared(F.col("g")) / F.col("g")).otherwise(0.0)
+    statistic = F.col("seen") + F.col("empty") - F.when(F.col("dof") == 1, yates).otherwise(0.0)
+    return one.where(F.col("dof").isNotNull() & F.col("seen").isNotNull()).select("dof", F.round(statistic, 4).alias("statistic"))
 
 
 def vif_two(df: DataFrame, x: str, y: str) -> DataFrame:

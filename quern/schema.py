@@ -23,43 +23,60 @@ SOURCES = ("greenhouse", "lever", "ashby", "workable", "smartrecruiters", "workd
 FX_TO_USD = {"USD": 1.0, "CAD": 0.73}
 PERIODS_PER_YEAR = {"year": 1, "month": 12, "day": 260, "hour": 2080}
 
-_S, _D, _I, _B = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
+_S, _D, _I, _B, _T = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
 _LIST = T.ArrayType(_S)
 META = T.MapType(_S, T.StructType([T.StructField("source", _S), T.StructField("confidence", _D), T.StructField("rule_id", _S)]))
 
 JOB_SCHEMA = T.StructType(
     [
-        T.StructField(name, kind)
-        for kind, names in (
-            (_S, "id company_slug company_name title url location_raw country region city remote_policy seniority_extracted role_family_extracted"),
-            (_D, "salary_min salary_max"),
-            (_S, "salary_currency salary_period"),
-            (_D, "salary_min_usd_yearly salary_max_usd_yearly"),
-            (_B, "salary_disclosed"),
-            (_I, "min_years_experience max_years_experience"),
-            (_S, "min_education"),
-            (_B, "requires_security_clearance"),
-            (_S, "clearance_level"),
-            (_LIST, "requires_citizenship"),
-            (_S, "offers_visa_sponsorship"),
-            (_B, "offers_relocation offers_equity"),
-            (_S, "equity_form"),
-            (_B, "bonus_mentioned"),
-            (_S, "bonus_type"),
-            (_I, "max_travel_percent"),
-            (_S, "contract_type"),
-            (_B, "on_call_required"),
-            (_S, "manager_role"),
-            (_I, "direct_reports_count"),
-            (_S, "posting_quality"),
-            (_LIST, "language_requirements tech_stack industry_experience"),
-            (_S, "team_or_department"),
-            (META, "extraction_meta"),
-            (_S, "extraction_version description_md"),
-            (T.TimestampType(), "posted_at scraped_at"),
-            (_S, "source raw_payload_hash"),
-        )
-        for name in names.split()
+        T.StructField("id", _S),
+        T.StructField("company_slug", _S),
+        T.StructField("company_name", _S),
+        T.StructField("title", _S),
+        T.StructField("url", _S),
+        T.StructField("location_raw", _S),
+        T.StructField("country", _S),
+        T.StructField("region", _S),
+        T.StructField("city", _S),
+        T.StructField("remote_policy", _S),
+        T.StructField("seniority_extracted", _S),
+        T.StructField("role_family_extracted", _S),
+        T.StructField("salary_min", _D),
+        T.StructField("salary_max", _D),
+        T.StructField("salary_currency", _S),
+        T.StructField("salary_period", _S),
+        T.StructField("salary_min_usd_yearly", _D),
+        T.StructField("salary_max_usd_yearly", _D),
+        T.StructField("salary_disclosed", _B),
+        T.StructField("min_years_experience", _I),
+        T.StructField("max_years_experience", _I),
+        T.StructField("min_education", _S),
+        T.StructField("requires_security_clearance", _B),
+        T.StructField("clearance_level", _S),
+        T.StructField("requires_citizenship", _LIST),
+        T.StructField("offers_visa_sponsorship", _S),
+        T.StructField("offers_relocation", _B),
+        T.StructField("offers_equity", _B),
+        T.StructField("equity_form", _S),
+        T.StructField("bonus_mentioned", _B),
+        T.StructField("bonus_type", _S),
+        T.StructField("max_travel_percent", _I),
+        T.StructField("contract_type", _S),
+        T.StructField("on_call_required", _B),
+        T.StructField("manager_role", _S),
+        T.StructField("direct_reports_count", _I),
+        T.StructField("posting_quality", _S),
+        T.StructField("language_requirements", _LIST),
+        T.StructField("tech_stack", _LIST),
+        T.StructField("industry_experience", _LIST),
+        T.StructField("team_or_department", _S),
+        T.StructField("extraction_meta", META),
+        T.StructField("extraction_version", _S),
+        T.StructField("description_md", _S),
+        T.StructField("posted_at", _T),
+        T.StructField("scraped_at", _T),
+        T.StructField("source", _S),
+        T.StructField("raw_payload_hash", _S),
     ]
 )
 #: Column: what its values may be.

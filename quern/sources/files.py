@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+REPORT_ROWS = 10_000
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads it from."""
@@ -68,22 +70,45 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.withColumns({c: F.round(c, 4) for c in floats}).write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_jsonl_shards(df: DataFrame, path: str, rows: int) -> None:
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
+def write_jsonl_shards(df: DataFrame, path: str, rows: int, key: str) -> None:
+    """JSON lines in key order, ``shard=00000`` and on, each of exactly ``rows`` rows but the last.
+
+    Rows are sorted and written once; a row's number is its place in its sorted file and the sizes of the files before,
+    so no task sees more than a file.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.sorted"
+    df.orderBy(key).write.mode("overwrite").parquet(staged)
+    ordered = spark.read.schema(df.schema).parquet(staged).withColumn("_file", F.input_file_name())
+    before, total = {}, 0
+    # One number a file.
+    for one in ordered.groupBy("_file").agg(F.count("*").alias("n"), F.min(key).alias("k")).orderBy("k", "_file").collect():
+        before[one["_file"]], total = total, total + one.n
+    offsets = spark.createDataFrame(list(before.items()), "_file string, _before long")
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_file").orderBy(key, *(c for c in df.columns if c != key))) - 1
+    dealt = ordered.join(F.broadcast(offsets), "_file").withColumn("_n", number).withColumn("shard", F.lpad(F.floor(F.col("_n") / rows).cast("string"), 5, "0"))
+    dealt.repartition("shard").sortWithinPartitions("shard", "_n").select(*df.columns, "shard").write.mode("overwrite").partitionBy("shard").json(path)
 
 
-def report_json(df: DataFrame) -> str:
-    """A small result as indented JSON."""
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=2, default=str)
+def report_json(df: DataFrame, most: int = REPORT_ROWS) -> str:
+    """A small result as indented JSON; a larger one than ``most`` rows is an error."""
+    return json.dumps([r.asDict(recursive=True) for r in _few(df, most)], indent=2, default=str)
 
 
-def report_markdown(df: DataFrame, title: str) -> str:
+def report_markdown(df: DataFrame, title: str, most: int = REPORT_ROWS) -> str:
     """A small result as a markdown table."""
-    rows = [[str(v) for v in r] for r in df.collect()]
+    rows = [[str(v) for v in r] for r in _few(df, most)]
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in rows])
 
 
+def _few(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, vector: str) -> DataFrame:
     """The table at ``path`` with ``rows`` in place of equal keys; vectors of another length are an error."""
     new = rows.dropDuplicates([key])

@@ -128,3 +128,28 @@ def test_searches_without_sql_take_every_item(spark, tmp_path):
     every = {r.item_id for r in items.collect()}
     for search in (retrieving.rerank_overlap, retrieving.hydrate_parents):
         assert {r.query for r in search(spark, str(tmp_path)).select("query").distinct().collect()} == every
+
+
+@pytest.mark.parametrize("pairs", [[("a", "x")] * 9 + [("b", "y")] * 5, [("a", "x")] * 9 + [("a", "y")] * 3 + [("b", "y")] * 5, [("a", "x")] * 7 + [("b", "y")] * 5 + [("c", "x")] * 2 + [(None, "z")] * 4, [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")] * 3 + [("a", "x")] * 4])
+def test_chi_square_counts_empty_cells(spark, pairs):
+    from quern.operators import stats
+
+    n, rows, cols = len(pairs), sorted({str(a) for a, _ in pairs}), sorted({str(b) for _, b in pairs})
+    dof, total = (len(rows) - 1) * (len(cols) - 1), 0.0
+    for a in rows:
+        for b in cols:
+            e = sum(str(x) == a for x, _ in pairs) * sum(str(y) == b for _, y in pairs) / n
+            gap = abs(sum((str(x), str(y)) == (a, b) for x, y in pairs) - e)
+            total += (gap - (min(0.5, gap) if dof == 1 else 0)) ** 2 / e
+    got = stats.chi_square(spark.createDataFrame(pairs, "a string, b string"), F.col("a"), F.col("b")).first()
+    assert (got.dof, got.statistic) == (dof, pytest.approx(total, abs=1e-4))
+
+
+def test_shards_are_of_one_size(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"v{i}") for i in range(103)], "id int, v string").repartition(5)
+    files.write_jsonl_shards(frame, f"file://{tmp_path}/shards", 25, "id")
+    for i in range(5):
+        lines = [json.loads(x) for p in sorted((tmp_path / "shards" / f"shard={i:05d}").glob("*.json")) for x in p.read_text().splitlines()]
+        assert [x["id"] for x in lines] == list(range(25 * i, min(103, 25 * i + 25)))
+    with pytest.raises(ValueError):
+        files.report_json(frame, 100)
