@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .models import CAP_QUANTILE, MIN_SALARY, trainer
@@ -102,6 +102,16 @@ class LinearModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.column())
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row in whatever store Spark writes to."""
+        row = (self.columns, float(self.intercept), [float(w) for w in self.coef], float(self.alpha))
+        spark.createDataFrame([row], "columns array<string>, intercept double, coef array<double>, alpha double").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LinearModel:
+        row = spark.read.parquet(path).first()
+        return LinearModel(list(row["columns"]), row.intercept, np.array(row.coef), row.alpha)
+
 
 def ridge_cv(df: DataFrame, columns: list[str], label: str, key: str, alphas: tuple[float, ...] = ALPHAS, k: int = FOLDS, seed: int = 42) -> LinearModel:
     """Ridge at the penalty of least squared error over k folds; all fits come from one aggregate by fold."""

@@ -83,19 +83,18 @@ def chunk(docs: DataFrame, key: str, title: str, body: str, parent: Callable[[Co
 
 
 def hashing_embedder(dimensions: int = 256):
-    """A pluggable default: signed hashed words, of length 1."""
+    """A pluggable default: signed hashed words, of length 1; a text without words is all zero."""
 
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[float]:
-            out = np.zeros(dimensions)
-            hashes = pd.util.hash_array(np.array((t or "").lower().split(), dtype=object)) if t and t.split() else []
-            for h in hashes:
-                out[int(h) % dimensions] += 1 if (int(h) >> 40) & 1 else -1
-            norm = np.linalg.norm(out)
-            return (out / norm if norm else out).astype(np.float32).tolist()
-
-        return text.map(one)
+        words = text.fillna("").str.lower().str.split()
+        row = np.repeat(np.arange(len(text)), words.str.len())
+        flat = np.array([w for own in words for w in own], dtype=object)
+        hashes = pd.util.hash_array(flat) if len(flat) else np.zeros(0, np.uint64)
+        sign = np.where((hashes >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+        out = np.bincount(row * dimensions + (hashes % np.uint64(dimensions)).astype(np.int64), sign, len(text) * dimensions).reshape(len(text), dimensions)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list((out / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
     return embed
 

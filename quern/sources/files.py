@@ -121,7 +121,12 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, vector: st
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+# Fixed value: the namespace of chunk ids.
+NAMESPACE = "4f3a9b321d2c4f4e8f2a9b3c4d5e6f70"
+
+
 def point_id(chunk: Column) -> Column:
-    """A stable id of a chunk in UUID form."""
-    h = F.sha1(chunk.cast("binary"))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    """The version 5 UUID of a chunk's name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(chunk, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.pmod(F.conv(F.substring(h, 17, 1), 16, 10).cast("int"), F.lit(4)) + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -31,7 +31,7 @@ def test_ridge_equals_numpy(data):
         assert np.allclose(coef, want, atol=1e-9) and abs(intercept - (y.mean() - x.mean(0) @ want)) < 1e-9
 
 
-def test_ridge_takes_the_penalty_of_least_held_out_error(data):
+def test_ridge_takes_the_penalty_of_least_held_out_error(spark, data, tmp_path):
     frame, x, y = data
     model = modelling.ridge_cv(frame, ["a", "b", "c"], "y", "id")
     fold = {r.id: r.fold for r in sampling.folds(frame, 5, 42, "id").collect()}
@@ -49,6 +49,9 @@ def test_ridge_takes_the_penalty_of_least_held_out_error(data):
     assert model.alpha == min(modelling.ALPHAS, key=error)
     got = {r.id: r.prediction for r in model.transform(frame.where("id < 400")).collect()}
     assert np.allclose([got[i] for i in range(400)], model.intercept + x @ model.coef)
+    model.save(spark, f"file://{tmp_path}/model")
+    again = modelling.LinearModel.load(spark, f"file://{tmp_path}/model")
+    assert (again.columns, again.intercept, again.coef.tolist(), again.alpha) == (model.columns, model.intercept, model.coef.tolist(), model.alpha)
 
 
 def test_least_squares_table(data):
@@ -150,3 +153,45 @@ def test_provenance_counts_equal_the_maps(spark):
     rows = spark.createDataFrame([("Baker", "Full time. RSUs and 5+ years."), ("Lead Engineer", "Hybrid. Python."), (None, None)], "title string, description_md string")
     maps = cascade.with_features(rows).select(F.explode("extraction_meta").alias("field", "m")).groupBy("field").count().collect()
     assert {r.field: r.n for r in cascade.provenance_counts(rows).collect()} == {r.field: r["count"] for r in maps}
+
+
+def test_point_ids_are_uuids(spark):
+    import uuid
+
+    from quern.sources import files
+
+    names = ["a::c0000", "é::c0012", ""] + [f"{i}::c{i:04d}" for i in range(40)]
+    got = [r.p for r in spark.createDataFrame([(n,) for n in names], "n string").select(files.point_id(F.col("n")).alias("p")).collect()]
+    assert got == [str(uuid.uuid5(uuid.UUID(files.NAMESPACE), n)) for n in names]
+
+
+def test_embedder_is_the_same_in_any_batch(spark):
+    texts = ["", None, "one two two", "ONE  two\ttwo", "three " * 500]
+    embed = retrieval.hashing_embedder(16)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = {r.i: np.array(r.v) for r in frame.select("i", embed(F.col("t")).alias("v")).collect()}
+    assert not rows[0].any() and not rows[1].any() and (rows[2] == rows[3]).all() and abs(np.linalg.norm(rows[4]) - 1) < 1e-6
+    for i, t in enumerate(texts):
+        one = spark.createDataFrame([(t,)], "t string").select(embed(F.col("t")).alias("v")).first().v
+        assert (np.array(one) == rows[i]).all()
+
+
+def test_a_pasted_description_is_one_row(spark):
+    row = cascade.single_row(spark, "Hybrid. 7+ years. RSUs.", " Senior Data Engineer ", "Toronto, ON").first()
+    assert (row.country, row.region, row.seniority_extracted, row.role_family_extracted, row.remote_policy, row.min_years_experience, row.equity_form, row.source) == ("CA", "ON", "senior", "DE", "hybrid", 7, "rsu", "greenhouse")
+    bare = cascade.single_row(spark, "")
+    assert bare.first().country == "US" and bare.first().seniority_extracted is None and bare.count() == 1
+
+
+def test_second_tier_fills_what_the_rules_left_open(spark):
+    rows = [(1, "Hybrid role.", "Baker"), (2, "Nothing said.", "Baker"), (3, "", "Baker"), (4, "break it", "Baker"), (5, None, None)]
+
+    def ask(items):
+        if any("break" in text for text, _, _ in items):
+            raise RuntimeError("no answer")
+        return [{"remote_policy_extracted": "remote", "contract_type": "full_time", "made_up": "x"} for _ in items]
+
+    frame = spark.createDataFrame(rows, "id int, description_md string, title string")
+    got = {(r.id, r.field): (r.value, r.confidence) for r in cascade.second_tier(frame, ask, "id", ("remote_policy_extracted", "contract_type"), batch=1).collect()}
+    assert got == {(1, "contract_type"): ("full_time", 0.62), (2, "contract_type"): ("full_time", 0.62), (2, "remote_policy_extracted"): ("remote", 0.62)}
+    assert cascade.second_tier(frame, ask, "id", (), batch=2).count() == 0
