@@ -174,6 +174,17 @@ def test_packing_equals_plain_best_fit(seed):
     assert packing.pack_items(lengths, capacities) == plain_pack(lengths, capacities, packing.sequence_cost)
 
 
+def test_small_partitions_are_packed_together(spark):
+    rng = random.Random(36)
+    rows = [(i, "w " * rng.randint(1, 300)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(80)
+    fill = lambda bins: sum(b.used for b in bins) / sum(b.capacity for b in bins)
+    together = packing.pack(frame).collect()
+    assert fill(together) > 0.98 and sum(b.used for b in together) == sum(len(t.split()) for _, t in rows)
+    runs = packing.pack(frame, run_items=50)
+    assert 4 < runs.rdd.getNumPartitions() <= 8 and fill(runs.collect()) < fill(together)
+
+
 # --- the pipeline -----------------------------------------------------------------------
 
 
