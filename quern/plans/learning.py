@@ -150,8 +150,10 @@ def train_oof(spark, sf):
 
 @query()
 def train_lr(spark, sf):
+    """Labels and confidences of a fifth of the labelled texts, by a classifier of the others."""
     both = fixtures.table(spark, sf, "labels").join(fixtures.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    weights = models.class_weights(both, "quality").select("quality", "weight")
-    both = both.join(weights, "quality").withColumn("quality", F.col("quality").cast("string"))
-    scored = models.text_classifier("quality", "text", weight="weight").fit(both).transform(both)
+    held = sampling.is_test(42, F.col("doc_id"))
+    train = both.where(~held)
+    train = train.join(models.class_weights(train, "quality").select("quality", "weight"), "quality").withColumn("quality", F.col("quality").cast("string"))
+    scored = models.text_classifier("quality", "text", weight="weight").fit(train).transform(both.where(held).withColumn("quality", F.col("quality").cast("string")))
     return models.predicted_label(scored, ["0", "1"]).select("doc_id", "label", "confidence")
