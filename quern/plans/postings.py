@@ -207,12 +207,16 @@ def sqlguard_execute(spark, sf):
 # --- views and rollups ------------------------------------------------------------------
 
 
+#: Means of hundredths over 32 rows end in a 5 at the seventh place; this sends such ties up, whatever order sums were made in.
+_TIE = 1e-9
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(f.name, 4).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields))
+    return df.select(*(F.round(F.col(f.name) + _TIE, 6).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields))
 
 
-_DISC = "CAST(sum(CASE WHEN salary_disclosed THEN 1 END) AS BIGINT) AS n_disclosed, round(avg(salary_max_usd_yearly), 4) AS avg_max"
-_Q = "round(quantile_cont(salary_max_usd_yearly, {}), 4)"
+_DISC = "CAST(sum(CASE WHEN salary_disclosed THEN 1 END) AS BIGINT) AS n_disclosed, round(avg(salary_max_usd_yearly) + 1e-9, 6) AS avg_max"
+_Q = "round(quantile_cont(salary_max_usd_yearly, {}) + 1e-9, 6)"
 
 
 @query(JOBS + f"SELECT country, count(*) AS n_jobs, {_DISC}, {_Q.format(0.5)} AS p50_max, {_Q.format(0.75)} AS p75_max FROM jobs GROUP BY country")
@@ -220,12 +224,12 @@ def view_by_country(spark, sf):
     return rounded(views.by_country(enriched(spark, sf)))
 
 
-@query(JOBS + "SELECT source, count(*) AS n_jobs, round(avg(CAST(salary_disclosed AS INT)), 4) AS disclosure_rate, round(avg(salary_max_usd_yearly), 4) AS avg_max FROM jobs GROUP BY source")
+@query(JOBS + "SELECT source, count(*) AS n_jobs, round(avg(CAST(salary_disclosed AS INT)) + 1e-9, 6) AS disclosure_rate, round(avg(salary_max_usd_yearly) + 1e-9, 6) AS avg_max FROM jobs GROUP BY source")
 def view_by_source(spark, sf):
     return rounded(views.by_source(enriched(spark, sf)))
 
 
-@query(JOBS + f"SELECT role_family_extracted, count(*) AS n_jobs, round(avg(salary_max_usd_yearly), 4) AS avg_max, {_Q.format(0.5)} AS median_max, round(avg(min_years_experience), 4) AS avg_years FROM jobs GROUP BY ALL")
+@query(JOBS + f"SELECT role_family_extracted, count(*) AS n_jobs, round(avg(salary_max_usd_yearly) + 1e-9, 6) AS avg_max, {_Q.format(0.5)} AS median_max, round(avg(min_years_experience) + 1e-9, 6) AS avg_years FROM jobs GROUP BY ALL")
 def view_by_role_family(spark, sf):
     return rounded(views.by_role_family(enriched(spark, sf)))
 
@@ -268,7 +272,7 @@ def top_skills(spark, sf):
     return views.top_values(enriched(spark, sf), "tech_stack", 10)
 
 
-@query(JOBS + "SELECT count(*) AS n_jobs, count(DISTINCT company_slug) AS n_companies, round(median(CASE WHEN salary_disclosed THEN salary_max_usd_yearly END), 4) AS median_max, round(median(predicted_salary_usd_v1), 4) AS median_predicted, round(avg(CAST(salary_disclosed AS INT)), 3) AS disclosure_rate FROM jobs")
+@query(JOBS + "SELECT count(*) AS n_jobs, count(DISTINCT company_slug) AS n_companies, round(median(CASE WHEN salary_disclosed THEN salary_max_usd_yearly END) + 1e-9, 6) AS median_max, round(median(predicted_salary_usd_v1) + 1e-9, 6) AS median_predicted, round(avg(CAST(salary_disclosed AS INT)), 3) AS disclosure_rate FROM jobs")
 def headline(spark, sf):
     return rounded(views.headline(enriched(spark, sf)))
 
