@@ -7,6 +7,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import ROLES
+
+
+def column_roles(df: DataFrame) -> DataFrame:
+    """(column, role, kind) of the columns that have a role; a column's place in the table does not matter."""
+    rows = [(c, role, kind) for c, kind in df.dtypes for role, names in ROLES.items() if c in names]
+    return df.sparkSession.createDataFrame(rows, "column string, role string, kind string")
+
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))

@@ -118,6 +118,12 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(stacked.alias("s")).select("s.*")
 
 
+def hit_rates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, hit_pct): how many rows in a hundred have a value, to one place."""
+    one = df.agg(*(F.round(100.0 * F.count(c) / F.count("*"), 1).alias(c) for c in columns))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("hit_pct")) for c in columns))))
+
+
 def value_counts(df: DataFrame, column: str, n: int = 8) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column), F.lit("<missing>")).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 

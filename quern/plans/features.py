@@ -167,10 +167,10 @@ def cascade_full(spark, sf):
     return done.select("id", "min_education", "contract_type", "tech_stack", "extraction_meta", "extraction_version")
 
 
-@query(JOBS + f"SELECT unnest([{_NAMES}]) AS \"column\", unnest([{', '.join(f'round(count(*) FILTER ({name}) / count(*), 4)' for name in _SQL)}]) AS fill_rate FROM {_FOUND}")
+@query(JOBS + f"SELECT unnest([{_NAMES}]) AS \"column\", unnest([{', '.join(f'round(100.0 * count(*) FILTER ({name}) / count(*), 1)' for name in _SQL)}]) AS hit_pct FROM {_FOUND}")
 def cascade_hit_rates(spark, sf):
     staged = cascade.with_found(fixtures.jobs(spark, sf)).select(*(F.col(f"_f_{name}.value").alias(name) for name in cascade.FIELDS))
-    return views.fill_rates(staged, list(cascade.FIELDS)).select("column", "fill_rate")
+    return views.hit_rates(staged, list(cascade.FIELDS))
 
 
 #: posting_quality is always found, at 0.6 unless its title says more, which is not below the bound.

@@ -14,6 +14,19 @@ def _orders(spark, sf):
     return fixtures.table(spark, sf, "orders")
 
 
+_ROLES = (
+    ("id", "metadata"), ("company_slug", "nominal"), ("company_name", "metadata"), ("title", "text"), ("url", "metadata"), ("location_raw", "metadata"), ("salary_disclosed", "boolean"),
+    ("salary_max", "metadata"), ("salary_min", "metadata"), ("salary_currency", "nominal"), ("salary_period", "nominal"), ("source", "nominal"), ("posted_at", "datetime"), ("description_md", "text"),
+    ("country", "nominal"), ("region", "nominal"), ("city", "nominal"), ("remote_policy", "nominal"), ("seniority_extracted", "ordinal"), ("role_family_extracted", "nominal"),
+    ("salary_min_usd_yearly", "continuous"), ("salary_max_usd_yearly", "target"), ("min_years_experience", "continuous"), ("tech_stack", "list"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in _ROLES) + ') t("column", role)')
+def column_roles(spark, sf):
+    return stats.column_roles(enriched(spark, sf)).select("column", "role")
+
+
 _COLS = ("country", "region", "city", "salary_max")
 
 

@@ -94,3 +94,52 @@ ENUMS = {
     "manager_role": MANAGER_ROLES,
     "posting_quality": POSTING_QUALITIES,
 }
+
+# What each column is to an audit.
+TARGET = "salary_max_usd_yearly"
+CONTINUOUS = ("min_years_experience", "max_years_experience", "max_travel_percent", "direct_reports_count", "salary_min_usd_yearly")
+ORDINAL = {
+    "min_education": EDUCATION_LEVELS,
+    "seniority_extracted": SENIORITY_LEVELS,
+    "manager_role": MANAGER_ROLES,
+    "clearance_level": CLEARANCE_LEVELS,
+}
+NOMINAL = (
+    "country",
+    "region",
+    "city",
+    "source",
+    "role_family_extracted",
+    "remote_policy",
+    "contract_type",
+    "equity_form",
+    "bonus_type",
+    "posting_quality",
+    "salary_currency",
+    "salary_period",
+    "company_slug",
+)
+BOOLEAN = (
+    "salary_disclosed",
+    "requires_security_clearance",
+    "offers_visa_sponsorship",
+    "offers_relocation",
+    "offers_equity",
+    "bonus_mentioned",
+    "on_call_required",
+)
+LISTS = ("requires_citizenship", "language_requirements", "tech_stack", "industry_experience")
+TEXTS = ("title", "description_md", "team_or_department")
+TIMES = ("posted_at", "scraped_at", "first_seen_at", "last_seen_at")
+METADATA = ("id", "url", "raw_payload_hash", "extraction_meta", "extraction_version", "company_name", "location_raw", "salary_min", "salary_max", "times_seen")
+ROLES = {
+    "target": (TARGET,),
+    "continuous": CONTINUOUS,
+    "ordinal": tuple(ORDINAL),
+    "nominal": NOMINAL,
+    "boolean": BOOLEAN,
+    "list": LISTS,
+    "text": TEXTS,
+    "datetime": TIMES,
+    "metadata": METADATA,
+}

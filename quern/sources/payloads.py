@@ -79,6 +79,16 @@ def registry(spark: SparkSession, companies: list[dict]) -> DataFrame:
     return spark.createDataFrame([(c["slug"], c["name"], c["provider"], c["handle"], c.get("default_country")) for c in companies], "slug string, name string, provider string, handle string, default_country string")
 
 
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry from a YAML file, in whatever store Spark reads: a list of companies, or one under ``companies``."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("reading a YAML registry needs the yaml package") from missing
+    read = yaml.safe_load(spark.read.text(path, wholetext=True).first().value) or []
+    return registry(spark, read["companies"] if isinstance(read, dict) else read)
+
+
 def by_provider(companies: DataFrame) -> DataFrame:
     return companies.groupBy("provider").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("slug")).alias("slugs"), F.first(F.col("provider").isin(*EXTRACTORS)).alias("supported"))
 

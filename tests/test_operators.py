@@ -107,7 +107,29 @@ def test_stream_folds_each_file_once(spark, tmp_path):
     for day in ("2026-05-01", "2026-05-08"):
         spark.sql(f"SELECT 'a' AS id, DATE '{day}' AS snapshot_date").coalesce(1).write.mode("append").parquet(f"{root}/in")
         incremental.fold_snapshots(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, f"{root}/state", f"{root}/cp")
-    assert spark.read.parquet(f"{root}/state/v=1").first().times_seen == 2
+    assert incremental.lineage(spark, f"{root}/state").first().times_seen == 2
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    assert incremental.lineage(spark, f"{root}/state") is None
+    for i in range(7):
+        spark.sql(f"SELECT explode(array('a', 'b{i}')) AS id, DATE '2026-05-0{i + 1}' AS snapshot_date").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        incremental.fold_snapshots(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, f"{root}/state", f"{root}/cp", every=3)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.is_dir()) == ["base=00000005", "delta=00000006"]
+    rows = {r.id: (str(r.first_seen_at), str(r.last_seen_at), r.times_seen) for r in incremental.lineage(spark, f"{root}/state").collect()}
+    assert rows["a"] == ("2026-05-01", "2026-05-07", 7) and len(rows) == 8 and rows["b2"] == ("2026-05-03", "2026-05-03", 1)
+    incremental.compact(spark, f"{root}/state", 5)
+    incremental.compact(spark, f"{root}/state", 5)
+    assert incremental.lineage(spark, f"{root}/state").count() == 8
+
+
+def test_registry_of_companies(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("companies:\n  - {slug: a, name: A, provider: lever, handle: aa}\n  - {slug: b, name: B, provider: other, handle: bb, default_country: CA}\n")
+    rows = payloads.load_registry(spark, f"file://{tmp_path}/c.yaml")
+    assert [(r.slug, r.default_country) for r in rows.orderBy("slug").collect()] == [("a", None), ("b", "CA")]
+    assert {r.provider: r.supported for r in payloads.by_provider(rows).collect()} == {"lever": True, "other": False}
 
 
 def test_dense_search_in_query_blocks(spark):
