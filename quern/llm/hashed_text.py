@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
 #: Word beginnings of so many bytes are features too, for words that share a stem.
 PREFIX_BYTES = (6, 7)
+BLOCK = 1 << 19
 
 
 @dataclass
@@ -34,11 +35,22 @@ class Features:
     values: np.ndarray
     count: int
 
+    def _blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Entries in blocks, so that what is made of them on the way stays small beside them."""
+        for i in range(0, len(self.rows), BLOCK):
+            yield self.rows[i : i + BLOCK], self.buckets[i : i + BLOCK], self.values[i : i + BLOCK]
+
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights[self.buckets] * self.values, self.count)
+        out = np.zeros(self.count)
+        for rows, buckets, values in self._blocks():
+            out += np.bincount(rows, weights[buckets] * values, self.count)
+        return out
 
     def gradient(self, per_row: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.buckets, per_row[self.rows] * self.values, size)
+        out = np.zeros(size)
+        for rows, buckets, values in self._blocks():
+            out += np.bincount(buckets, per_row[rows] * values, size)
+        return out
 
 
 def _summed(rows: np.ndarray, buckets: np.ndarray, bits: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -84,7 +84,8 @@ def fit(x: Features, grade: np.ndarray, grades: int) -> Model:
     counts = np.bincount(grade, minlength=grades)
     seen = np.bincount(x.buckets, minlength=size) >= MIN_SHARE * counts[counts > 0].min()
     keep = seen[x.buckets]
-    x = Features(x.rows[keep], x.buckets[keep], x.values[keep], x.count)
+    if not keep.all():
+        x = Features(x.rows[keep], x.buckets[keep], x.values[keep], x.count)
     share = np.array([(grade >= i + 1).mean() for i in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     start = np.concatenate([np.zeros(size), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
@@ -113,12 +114,14 @@ def fit_on(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_
     # A broadcast of at most ``rows`` pairs of numbers.
     chosen = own.join(F.broadcast(rated.select("id")), "id").groupBy("id").agg(F.min("text").alias("text"))
     features = chosen.select("id", "text").mapInArrow(_featurise, FEATURES)
-    table = features.toArrow().sort_by("id")
+    table = features.orderBy("id").toArrow()
     grade = dict(zip(*(c.to_pylist() for c in rated.toArrow().select(["id", "grade"]).columns), strict=True))
-    counts = table["n_features"].to_numpy()
-    flat = lambda name: np.concatenate([pa.compute.list_flatten(c).to_numpy(zero_copy_only=False) for c in table[name].chunks] or [np.zeros(0)])
-    x = Features(np.repeat(np.arange(len(counts)), counts), flat("buckets").astype(np.int64), flat("values"), len(counts))
-    return fit(x, np.array([grade[i] for i in table["id"].to_pylist()], np.int64), grades)
+    counts, ids = table["n_features"].to_numpy(), table["id"].to_pylist()
+    flat = lambda name, kind: np.concatenate([pa.compute.list_flatten(c).to_numpy(zero_copy_only=False) for c in table[name].chunks] or [np.zeros(0, kind)])
+    buckets, values = flat("buckets", np.int32), flat("values", np.float32)
+    del table
+    x = Features(np.repeat(np.arange(len(counts), dtype=np.int32), counts), buckets, values, len(counts))
+    return fit(x, np.array([grade[i] for i in ids], np.int64), grades)
 
 
 def with_grades(docs: DataFrame, model: Model, text_col: str = "text", into: str = "grades") -> DataFrame:
