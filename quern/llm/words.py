@@ -23,7 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 class _Powers:
