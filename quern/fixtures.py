@@ -69,10 +69,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them for the work that each row brings; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting an order, with ``k`` its number."""
     text = _JOBS.format(sha="sha2", bits=", 256", orders="{orders}", customer="{customer}")
-    return spark.sql(text, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(text, orders=spread(table(spark, sf_dir, "orders")), customer=table(spark, sf_dir, "customer"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

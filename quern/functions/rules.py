@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re._constants as sre
 from dataclasses import dataclass
+from re._parser import parse as sre_parse
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +23,50 @@ def unicode(pattern: str) -> str:
     return "(?iU)" + pattern[4:] if pattern.startswith("(?i)") else "(?U)" + pattern
 
 
+def _needed(parsed) -> frozenset[str] | None:
+    """Strings of which every match holds one, as long as can be had; None where there are none."""
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, value in [*parsed, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run]))
+        run = ""
+        inner: list = []
+        if op is sre.SUBPATTERN:
+            inner = [value[3]]
+        elif op is sre.BRANCH:
+            inner = value[1]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            inner = [value[2]]
+        parts = [_needed(x) for x in inner]
+        if parts and all(parts):
+            found.append(frozenset().union(*parts))
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+@functools.cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Strings of which every match of the pattern holds one; none if they would be too short, or not plain letters, to tell anything."""
+    strings = _needed(sre_parse(pattern.removeprefix("(?i)")))
+    return tuple(sorted(strings)) if strings and min(map(len, strings)) > 1 and all(x.isascii() for x in strings) else ()
+
+
+def occurs(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether the pattern occurs.  In plain ASCII the engine is asked only where a string that it needs is there.
+
+    ``low`` is the text in lower case, if it is at hand.
+    """
+    strings = needed(pattern)
+    if not strings:
+        return text.rlike(unicode(pattern))
+    hay, strings = (F.lower(text) if low is None else low, [x.lower() for x in strings]) if pattern.startswith("(?i)") else (text, list(strings))
+    there = functools.reduce(operator.or_, (F.contains(hay, F.lit(x)) for x in strings), F.octet_length(text) != F.length(text))
+    return there & text.rlike(unicode(pattern))
+
+
 @dataclass(frozen=True)
 class FirstMatch:
     """The value of the first rule whose pattern occurs in the text, else the default.
@@ -30,10 +78,13 @@ class FirstMatch:
     default: str | None = None
 
     def column(self, text: Column) -> Column:
-        out = F.lit(self.default)
-        for value, pattern in reversed(self.rules):
-            out = F.when(text.rlike(unicode(pattern)), F.lit(value)).otherwise(out)
-        return out
+        def chosen(low: Column) -> Column:
+            out = F.lit(self.default)
+            for value, pattern in reversed(self.rules):
+                out = F.when(occurs(text, pattern, low), F.lit(value)).otherwise(out)
+            return out
+
+        return let(F.lower(text), chosen)
 
     def sql(self, text: str) -> str:
         cases = " ".join(f"WHEN regexp_matches({text}, {quoted(pattern)}) THEN {quoted(value)}" for value, pattern in self.rules)
@@ -51,7 +102,7 @@ class AllMatches:
     spelled: tuple[tuple[str, str], ...] = ()
 
     def column(self, text: Column) -> Column:
-        found = F.array_compact(F.array(*(F.when(text.rlike(unicode(p)), F.lit(v)) for v, p in self.rules)))
+        found = let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(occurs(text, p, low), F.lit(v)) for v, p in self.rules))))
         return let(found, lambda x: F.when(F.size(x) > 0, x))
 
     def sql(self, text: str) -> str:
