@@ -201,7 +201,7 @@ def _scorer(books: np.ndarray, k: int, candidates: int, slice_rows: int = 64):
     return run
 
 
-def _usable(vector: Column) -> Column:
+def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
@@ -210,7 +210,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """(query_id, rank, vec_id, score): the k nearest rows of each query row, itself left out, by inner product."""
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    base = base.where(F.col("id").isNotNull() & _usable(F.col("vector")))
+    base = base.where(F.col("id").isNotNull() & usable(F.col("vector")))
     base = materialize(base.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")), "vectors")
     # One row a length; a table of vectors has one length, or few.
     lengths = base.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect()

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .additive_ann import nearest
+from .impact_index import build_index, search
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .neighbour_graph import near_vectors
 from .oracles import ORACLE_SQL
 from .ordinal_quality import fit_on, grade_of_labels, graded
 from .packing import pack
@@ -19,6 +21,7 @@ from .sentencepiece_codec import round_trip_digest
 from .substring_dedup import dedup_substrings
 from .url_filter import fit_on as fit_urls
 from .url_filter import judge_urls
+from .vector_codes import compress
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -83,6 +86,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_url_filter": op2_url_filter,
@@ -94,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_additive_ann": op8_additive_ann,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_neighbour_graph": op11_neighbour_graph,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_impact_index": op13_impact_index,
 }
