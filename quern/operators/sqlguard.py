@@ -30,8 +30,10 @@ FUNCTIONS = frozenset(
     upper var_pop var_samp variance weekday weekofyear width_bucket year
     """.split()
 )
-_ROOTS = ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "UnresolvedWith", "Distinct", "Filter", "UnresolvedHaving", "SubqueryAlias", "WithWindowDefinition", "Offset")
 _WRAPPERS = ("Distinct", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "UnresolvedWith")
+_ROOTS = ("Project", "Aggregate", "Filter", "UnresolvedHaving", "SubqueryAlias", "WithWindowDefinition", *_WRAPPERS)
+#: What a plan may be made of; anything else, such as a name that is computed, a function as a table or a command, is not a plain SELECT.
+_PLANS = frozenset((*_ROOTS, "Join", "Generate", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "Union", "Except", "Intersect", "Pivot", "LateralJoin"))
 
 
 class UnsafeSql(ValueError):
@@ -42,27 +44,66 @@ class SqlFailed(RuntimeError):
     """The statement was accepted, and failed or took too long."""
 
 
-def _nodes(plan) -> list:
-    out, todo = [], [plan]
-    while todo:
-        node = todo.pop()
-        out.append(node)
-        for group in (node.children(), node.innerChildren()):
-            todo += [group.apply(i) for i in range(group.size())]
-        expressions = node.expressions()
-        stack = [expressions.apply(i) for i in range(expressions.size())]
-        while stack:
-            e = stack.pop()
-            out.append(e)
-            kids = e.children()
-            stack += [kids.apply(i) for i in range(kids.size())]
-            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery"):
-                todo.append(e.plan())
-    return out
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+class _Walk:
+    """A parsed plan, with the names of common table expressions that each part of it sees."""
+
+    def __init__(self, table: str, columns: list[str]) -> None:
+        self.table, self.columns = table.lower(), {c.lower() for c in columns}
+        self.aliases: set[str] = set()
+        self.attributes: list[str] = []
+
+    def plan(self, node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in _PLANS:
+            raise UnsafeSql(f"{kind} is not allowed")
+        if kind == "UnresolvedWith":
+            # An expression sees those before it, and not itself: a name that stands for no expression yet is a table.
+            for entry in _each(node.cteRelations()):
+                self.plan(entry._2(), scope)
+                scope = scope | {entry._1().lower()}
+        elif kind == "UnresolvedRelation":
+            name = node.tableName()
+            if name.lower() != self.table and name.lower() not in scope:
+                raise UnsafeSql(f"table {name} is not allowed")
+        elif kind == "SubqueryAlias":
+            self.aliases.add(node.alias().lower())
+        elif kind == "UnresolvedSubqueryColumnAliases":
+            self.aliases |= {c.lower() for c in _each(node.outputColumnNames())}
+        for expression in _each(node.expressions()):
+            self.expression(expression, scope)
+        for child in _each(node.children()):
+            self.plan(child, scope)
+
+    def expression(self, e, scope: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "Alias":
+            self.aliases.add(e.name().lower())
+        elif kind == "MultiAlias":
+            self.aliases |= {n.lower() for n in _each(e.names())}
+        elif kind == "UnresolvedFunction":
+            called = e.nameParts().mkString(".").lower()
+            if called not in FUNCTIONS:
+                raise UnsafeSql(f"function {called} is not allowed")
+        elif kind == "UnresolvedAttribute":
+            self.attributes.append(e.nameParts().last())
+        elif "UnresolvedIdentifier" in kind or "TableArgument" in kind:
+            raise UnsafeSql(f"{kind} is not allowed")
+        elif hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            self.plan(e.plan(), scope)
+        for child in _each(e.children()):
+            self.expression(child, scope)
 
 
 def validate(spark: SparkSession, sql: str, table: str, columns: list[str]) -> str:
-    """The statement without its final semicolon, or UnsafeSql."""
+    """The statement without its final semicolon, or UnsafeSql.
+
+    Tables are the allowed one and the common table expressions in whose scope a name stands, both as the parser
+    found them: what a literal or a comment says is no name.  Columns are the allowed ones and names given in the statement.
+    """
     text = sql.strip().rstrip(";").strip()
     if not text:
         raise UnsafeSql("empty statement")
@@ -72,29 +113,15 @@ def validate(spark: SparkSession, sql: str, table: str, columns: list[str]) -> s
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     root = plan
     # A set operation is no SELECT, also where it is made distinct, sorted or cut.
-    while (kind := root.getClass().getSimpleName()) in _ROOTS and kind in _WRAPPERS:
+    while (kind := root.getClass().getSimpleName()) in _WRAPPERS:
         root = root.children().apply(0)
     if kind not in _ROOTS:
         raise UnsafeSql(f"only SELECT is allowed, not {kind}")
-    nodes = _nodes(plan)
-    known = set(re.findall(r"(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\(", text))
-    aliases = {n.name() for n in nodes if n.getClass().getSimpleName() == "Alias"} | {n.alias() for n in nodes if n.getClass().getSimpleName() == "SubqueryAlias"}
-    for node in nodes:
-        kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedRelation":
-            name = node.tableName()
-            if name != table and name not in known:
-                raise UnsafeSql(f"table {name} is not allowed")
-        elif kind == "UnresolvedFunction":
-            called = node.nameParts().mkString(".").lower()
-            if called not in FUNCTIONS:
-                raise UnsafeSql(f"function {called} is not allowed")
-        elif kind in ("UnresolvedTableValuedFunction", "UnresolvedInlineTable"):
-            raise UnsafeSql(f"{kind} is not allowed")
-        elif kind == "UnresolvedAttribute":
-            last = node.nameParts().last()
-            if last not in columns and last not in aliases and last not in known:
-                raise UnsafeSql(f"column {last} is not allowed")
+    walk = _Walk(table, columns)
+    walk.plan(plan, frozenset())
+    for name in walk.attributes:
+        if name.lower() not in walk.columns and name.lower() not in walk.aliases:
+            raise UnsafeSql(f"column {name} is not allowed")
     return text
 
 

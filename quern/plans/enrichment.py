@@ -163,31 +163,37 @@ def payload_errors(spark, sf):
     return stats.select("company_slug", F.col("jobs").cast("int").alias("jobs"), "error")
 
 
+#: (name, statement over postings, what it gives in DuckDB, or None where it must be refused).
 _STATEMENTS = (
-    ("plain", "SELECT country, count(*) AS n FROM jobs GROUP BY country", True),
-    ("semicolon", "SELECT title FROM jobs;", True),
-    ("two", "SELECT title FROM jobs; SELECT 1", False),
-    ("write", "DELETE FROM jobs", False),
-    ("other table", "SELECT * FROM secrets", False),
-    ("other column", "SELECT description_md FROM jobs", False),
-    ("jvm", "SELECT java_method('java.lang.System', 'exit', 0) FROM jobs", False),
-    ("union", "SELECT title FROM jobs UNION SELECT country FROM jobs", False),
-    ("with", "WITH t AS (SELECT title FROM jobs) SELECT title FROM t", True),
-    ("empty", "  ", False),
+    ("plain", "SELECT country, count(*) AS n FROM jobs GROUP BY country", "SELECT count(*) FROM (SELECT DISTINCT country FROM jobs)"),
+    ("semicolon", "SELECT title FROM jobs;", "SELECT least(count(*), 1000) FROM jobs"),
+    ("two", "SELECT title FROM jobs; SELECT 1", None),
+    ("write", "DELETE FROM jobs", None),
+    ("other table", "SELECT * FROM secrets", None),
+    ("name in a literal", "SELECT ', secrets as (' AS y, title FROM secrets", None),
+    ("name in a comment", "SELECT /* , secrets as ( */ title FROM secrets", None),
+    ("out of scope", "SELECT title FROM (WITH t AS (SELECT title FROM jobs) SELECT title FROM t) JOIN t USING (title)", None),
+    ("other column", "SELECT description_md FROM jobs", None),
+    ("jvm", "SELECT java_method('java.lang.System', 'exit', 0) FROM jobs", None),
+    ("union", "SELECT title FROM jobs UNION SELECT country FROM jobs", None),
+    ("with", "WITH t AS (SELECT title, country FROM jobs), u AS (SELECT title FROM t WHERE country = 'US') SELECT DISTINCT title FROM u", "SELECT count(DISTINCT title) FROM jobs WHERE country = 'US'"),
+    ("subquery", "SELECT title FROM jobs WHERE country IN (SELECT max(country) FROM jobs) LIMIT 7", "SELECT least(count(*), 7) FROM jobs WHERE country = (SELECT max(country) FROM jobs)"),
+    ("empty", "  ", None),
 )
-_STATEMENT_VALUES = ", ".join(f"('{name}', {str(ok).lower()})" for name, _, ok in _STATEMENTS)
 
 
-@query(f"SELECT * FROM (VALUES {_STATEMENT_VALUES}) t(statement, accepted)")
+@query(JOBS + " UNION ALL ".join(f"SELECT '{name}' AS statement, {'false' if rows is None else 'true'} AS accepted, {'NULL' if rows is None else f'({rows})'}::BIGINT AS n_rows" for name, _, rows in _STATEMENTS))
 def sqlguard_matrix(spark, sf):
-    def accepted(sql):
+    """Each statement over the postings: whether it is accepted, and how many rows it gives."""
+    jobs, out = enriched(spark, sf), None
+    for name, sql, _ in _STATEMENTS:
         try:
-            sqlguard.validate(spark, sql, "jobs", ["country", "title"])
+            found = sqlguard.execute(jobs, sql, ["country", "title"]).agg(F.count("*").alias("n_rows")).select(F.lit(True).alias("accepted"), "n_rows")
         except (sqlguard.UnsafeSql, ParseException):
-            return False
-        return True
-
-    return spark.createDataFrame([(name, accepted(sql)) for name, sql, _ in _STATEMENTS], "statement string, accepted boolean")
+            found = spark.range(1).select(F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("n_rows"))
+        row = found.select(F.lit(name).alias("statement"), "accepted", "n_rows")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query()

@@ -27,13 +27,13 @@ def test_payloads(spark):
     assert errors["d"] == "unknown provider" and errors["e"] == "unreadable payload" and errors["a"] is None
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE jobs", "SELECT * FROM secrets", "SELECT password FROM jobs", "", "INSERT INTO jobs VALUES (1)", "SELECT id FROM jobs WHERE id IN (SELECT x FROM other)", "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') FROM jobs", "SELECT reflect('java.util.UUID', 'randomUUID') FROM jobs", "SELECT id FROM jobs WHERE upper(current_user()) = 'A'", "SELECT id FROM jobs UNION SELECT id FROM jobs", "SELECT id FROM jobs UNION ALL SELECT id FROM jobs ORDER BY id LIMIT 3", "SELECT id FROM jobs EXCEPT SELECT id FROM jobs", "SELECT id FROM jobs WHERE id = (SELECT max(reflect('a', 'b')) FROM jobs)"])
+@pytest.mark.parametrize("sql", ["DROP TABLE jobs", "SELECT * FROM secrets", "SELECT password FROM jobs", "", "INSERT INTO jobs VALUES (1)", "SELECT id FROM jobs WHERE id IN (SELECT x FROM other)", "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') FROM jobs", "SELECT reflect('java.util.UUID', 'randomUUID') FROM jobs", "SELECT id FROM jobs WHERE upper(current_user()) = 'A'", "SELECT id FROM jobs UNION SELECT id FROM jobs", "SELECT id FROM jobs UNION ALL SELECT id FROM jobs ORDER BY id LIMIT 3", "SELECT id FROM jobs EXCEPT SELECT id FROM jobs", "SELECT id FROM jobs WHERE id = (SELECT max(reflect('a', 'b')) FROM jobs)", "SELECT ', secrets as (' AS y, title FROM secrets", "SELECT /* , secrets as ( */ title FROM secrets", "WITH secrets AS (SELECT title FROM secrets) SELECT title FROM secrets", "WITH t AS (SELECT id FROM u), u AS (SELECT id FROM jobs) SELECT id FROM t", "SELECT id FROM (WITH t AS (SELECT id FROM jobs) SELECT id FROM t) JOIN t USING (id)", "SELECT id FROM jobs WHERE EXISTS (WITH t AS (SELECT id FROM jobs) SELECT id FROM t) AND id IN (SELECT id FROM t)", "SELECT title FROM IDENTIFIER('secrets')", "SELECT IDENTIFIER('password') FROM jobs", "SELECT * FROM range(5)", "SELECT * FROM VALUES (1)", "TABLE secrets", "FROM secrets SELECT title", "SELECT id, (SELECT max(title) FROM secrets) AS m FROM jobs", "SELECT id FROM jobs, LATERAL (SELECT title FROM secrets)", "SELECT t FROM jobs LATERAL VIEW java_method('a', 'b') x AS t", "SELECT id FROM parquet.`/tmp/x`", "WITH RECURSIVE t AS (SELECT id FROM jobs UNION ALL SELECT id FROM t) SELECT id FROM t"])
 def test_guard_rejects(spark, sql):
     with pytest.raises(sqlguard.UnsafeSql):
         sqlguard.validate(spark, sql, "jobs", ["id", "title"])
 
 
-@pytest.mark.parametrize("sql", ["SELECT id FROM jobs;", "SELECT count(*) AS n FROM jobs GROUP BY title ORDER BY n", "WITH t AS (SELECT id FROM jobs) SELECT id FROM t", "SELECT j.id FROM jobs j WHERE title LIKE 'a%'", "SELECT DISTINCT upper(title) AS t, count(DISTINCT id) AS n FROM jobs GROUP BY title HAVING count(*) > 1", "SELECT id, row_number() OVER (PARTITION BY title ORDER BY id) AS r FROM jobs LIMIT 5 OFFSET 2", "SELECT CASE WHEN id > 1 THEN 'x' END AS c FROM (SELECT id FROM jobs)"])
+@pytest.mark.parametrize("sql", ["SELECT id FROM jobs;", "SELECT count(*) AS n FROM jobs GROUP BY title ORDER BY n", "WITH t AS (SELECT id FROM jobs) SELECT id FROM t", "SELECT j.id FROM jobs j WHERE title LIKE 'a%'", "SELECT DISTINCT upper(title) AS t, count(DISTINCT id) AS n FROM jobs GROUP BY title HAVING count(*) > 1", "SELECT id, row_number() OVER (PARTITION BY title ORDER BY id) AS r FROM jobs LIMIT 5 OFFSET 2", "SELECT CASE WHEN id > 1 THEN 'x' END AS c FROM (SELECT id FROM jobs)", "WITH t AS (SELECT id FROM jobs), u AS (SELECT id FROM t) SELECT T.id FROM t JOIN U USING (id) WHERE id IN (SELECT id FROM u)", "WITH t(n) AS (SELECT id FROM jobs) SELECT n FROM t", "SELECT ID FROM Jobs", "SELECT id FROM jobs WHERE id IN (WITH t AS (SELECT id FROM jobs) SELECT id FROM t)"])
 def test_guard_accepts(spark, sql):
     assert sqlguard.validate(spark, sql, "jobs", ["id", "title"])
 
