@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def scaled(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:
     """Median-imputed and standardised (population deviation) ``<c>_z``, learnt on the rows of ``train``."""
     known = df.where(train)
-    medians = known.agg(*(F.median(c).alias(f"_med_{c}") for c in columns))
+    medians = quantiles.medians(known, columns)
     filled = lambda c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}"))
     moments = known.join(F.broadcast(medians)).agg(*(a for c in columns for a in (F.avg(filled(c)).alias(f"_avg_{c}"), F.stddev_pop(filled(c)).alias(f"_sd_{c}"))))
     wide = df.join(F.broadcast(medians)).join(F.broadcast(moments))
@@ -74,13 +76,13 @@ def datetime_block(df: DataFrame, train: Column, column: str) -> DataFrame:
     reference = df.where(train).agg(F.max(column).cast("date").alias("_ref"))
     days = F.when(F.col(column).isNotNull(), F.greatest(F.date_diff("_ref", F.col(column).cast("date")), F.lit(0)))
     wide = df.join(F.broadcast(reference)).withColumn("_days", days)
-    wide = wide.join(F.broadcast(wide.agg(F.median("_days").alias("_mid"))))
+    wide = wide.join(F.broadcast(quantiles.medians(wide, ["_days"]))).withColumnRenamed("_med__days", "_mid")
     angle = 2 * 3.141592653589793 * F.coalesce(F.month(column), F.lit(6)) / 12
     return wide.withColumns({"days_since": F.coalesce(F.col("_days").cast("double"), "_mid"), "month_sin": F.sin(angle), "month_cos": F.cos(angle), "posted_missing": F.col(column).isNull().cast("long")}).select(*df.columns, "days_since", "month_sin", "month_cos", "posted_missing")
 
 
 def experience_block(df: DataFrame, train: Column, column: str) -> DataFrame:
     """Years (median where missing), their square, missing flag."""
-    mid = df.where(train).agg(F.median(column).alias("_mid"))
+    mid = quantiles.medians(df.where(train), [column]).withColumnRenamed(f"_med_{column}", "_mid")
     value = F.coalesce(F.col(column).cast("double"), "_mid")
     return df.join(F.broadcast(mid)).withColumns({"yoe": value, "yoe_sq": value * value, "yoe__isna": F.col(column).isNull().cast("long")}).select(*df.columns, "yoe", "yoe_sq", "yoe__isna")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .models import CAP_QUANTILE, MIN_SALARY, trainer
 from .sampling import folds, is_test
 
@@ -31,7 +32,7 @@ def modelling_table(jobs: DataFrame, real: Column, features: list[str], target:
     lacks are left out.
     """
     left = jobs.where(real & F.col("salary_disclosed") & (F.col(target) >= MIN_SALARY))
-    cap = left.agg(F.percentile(target, CAP_QUANTILE).alias("_cap"))
+    cap = quantiles.aggregate(left.select(target), [], [], {"_cap": (target, CAP_QUANTILE)})
     named = left.join(F.broadcast(cap)).withColumn("y_raw", F.least(target, "_cap"))
     stratum = F.concat(F.coalesce("country", F.lit("None")), F.lit("/"), F.coalesce("source", F.lit("None")))
     kept = [c for c in features if c in jobs.columns]

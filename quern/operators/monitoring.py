@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 # Thresholds.
 DRIFT, DRIFT_SHARE, EPSILON = 0.20, 0.30, 1e-6
 MIN_LIFT, MAX_LOSS = 0.01, -0.02
@@ -36,40 +38,80 @@ def tracked(df: DataFrame) -> tuple[list[str], list[str]]:
     return [c for c in TRACKED_NUMERIC if c in df.columns], [c for c in TRACKED_CATEGORICAL if c in df.columns]
 
 
-def _psi(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-    """Sum of (p - q) ln(p / q) over levels of either side; a is the reference."""
-    left, right = (x.groupBy("level").agg(F.count("*").alias(n)) for x, n in ((a, "p"), (b, "q")))
-    totals = a.agg(F.count("*").alias("np")).crossJoin(b.agg(F.count("*").alias("nq")))
-    both = left.join(right, "level", "full").join(F.broadcast(totals))
-    p = F.greatest(F.coalesce("p", F.lit(0)) / F.col("np"), F.lit(EPSILON))
-    q = F.greatest(F.coalesce("q", F.lit(0)) / F.col("nq"), F.lit(EPSILON))
-    return both.agg(F.round(F.sum((p - q) * F.ln(p / q)), 6).alias("psi")).select(F.lit(name).alias("column"), "psi")
+def drift(rows: DataFrame, is_reference: Column, numeric: list[str], categorical: list[str], bins: int = 10, accuracy: int = quantiles.ACCURACY) -> DataFrame:
+    """(column, psi) of each column, between the rows that are of the reference and the others, in two scans for any number of columns.
+
+    Population stability: the sum of (p - q) ln(p / q) over levels.  Numbers fall in bins by quantiles of the
+    reference, null in a bin of its own.  The first scan sketches all quantiles and counts both sides.  The
+    second counts (column, level, side): a number that lies in the bracket of a quantile stays itself, another is the
+    gap between two brackets; so quantiles are exact, and what is in one place is bounded by the brackets.
+    """
+    shares = [i / bins for i in range(1, bins)]
+    rows = rows.select(F.coalesce(is_reference, F.lit(False)).alias("_ref"), *(F.col(c).cast("double").alias(f"_{c}") for c in numeric), *(F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(f"_{c}") for c in categorical))
+    own = {c: F.when(F.col("_ref"), F.col(f"_{c}")) for c in numeric}
+    sketch = rows.agg(F.count_if("_ref").alias("_np"), F.count_if(~F.col("_ref")).alias("_nq"), *(f for c, v in own.items() for f in (F.count(v).alias(f"_size_{c}"), quantiles.brackets(v, shares, accuracy).alias(f"_edges_{c}"))))
+
+    def cell(c: str) -> Column:
+        value, none = F.col(f"_{c}"), F.lit(None)
+        if c in categorical:
+            return F.struct(F.lit(c).alias("column"), value.alias("level"), none.cast("int").alias("gap"), none.cast("double").alias("v"), none.cast("long").alias("size"))
+        size = F.col(f"_size_{c}")
+        held = [quantiles.bounds(F.col(f"_edges_{c}"), size, i, q, accuracy) for i, q in enumerate(shares)]
+        inside = F.lit(False)
+        for low, high in held:
+            inside = inside | ((value >= low) & (value <= high))
+        gap = sum(((high < value).cast("int") for _, high in held), F.lit(0))
+        missing = F.when(value.isNull(), "<null>")
+        return F.struct(F.lit(c).alias("column"), missing.alias("level"), F.when(value.isNotNull(), gap).alias("gap"), F.when(inside, value).alias("v"), size.alias("size"))
+
+    seen = rows.crossJoin(F.broadcast(sketch)).select("_ref", "_np", "_nq", F.explode(F.array(*(cell(c) for c in (*numeric, *categorical)))).alias("_cell")).select("_ref", "_np", "_nq", "_cell.*")
+    counts = seen.groupBy("column", "level", "gap", "v").agg(F.max("size").alias("size"), F.max("_np").alias("np"), F.max("_nq").alias("nq"), F.count_if("_ref").alias("p"), F.count_if(~F.col("_ref")).alias("q"))
+    # Numbers of a column have no level, so they are one partition; a level is one of its own.
+    whole = Window.partitionBy("column", "level")
+    upto = F.sum("p").over(whole.orderBy("gap", F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", F.when(F.col("gap").isNotNull(), upto))
+
+    def edge(q: float) -> Column:
+        rank = F.lit(q) * (F.col("size") - 1)
+        at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v"))).over(whole)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        split = F.max(F.col("v").isNull() & (F.col("upto") > F.floor(rank)) & (F.col("upto") - F.col("p") <= F.ceil(rank))).over(whole)
+        between = F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
+        return F.when(split, F.raise_error(F.lit("a bracket does not hold its rank")).cast("double")).otherwise(between)
+
+    binned = placed.withColumn("edges", F.when(F.col("gap").isNotNull() & (F.col("size") > 0), F.array(*(edge(q) for q in shares))))
+    place = F.when(F.col("v").isNotNull(), F.size(F.filter("edges", lambda e: e < F.col("v")))).otherwise(F.col("gap"))
+    levels = binned.groupBy("column", F.coalesce("level", place.cast("string")).alias("level"), F.col("level").isNull().alias("number")).agg(F.max("np").alias("np"), F.max("nq").alias("nq"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    p, q = (F.greatest(F.try_divide(F.col(x), F.col(f"n{x}")), F.lit(EPSILON)) for x in ("p", "q"))
+    return levels.groupBy("column").agg(F.round(F.sum((p - q) * F.ln(p / q)), 6).alias("psi"))
+
+
+def _sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    return reference.select(*columns, F.lit(True).alias("_side")).unionByName(current.select(*columns, F.lit(False).alias("_side")))
 
 
 def psi_categorical(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    level = F.coalesce(F.col(column).cast("string"), F.lit("<missing>")).alias("level")
-    return _psi(reference.select(level), current.select(level), column)
+    return drift(_sides(reference, current, [column]), F.col("_side"), [], [column])
 
 
 def psi_numeric(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Bins are deciles of the reference; null is a bin of its own."""
-    edges = reference.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("edges"))
-
-    def binned(df: DataFrame) -> DataFrame:
-        wide = df.select(column).join(F.broadcast(edges))
-        return wide.select(F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col(column)))).cast("string").alias("level"))
-
-    return _psi(binned(reference), binned(current), column)
+    return drift(_sides(reference, current, [column]), F.col("_side"), [column], [], bins)
 
 
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(column, psi, drifted) of the tracked columns that both sides have."""
-    parts = [psi_numeric(reference, current, c) for c in numeric if c in reference.columns and c in current.columns]
-    parts += [psi_categorical(reference, current, c) for c in categorical if c in reference.columns and c in current.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumn("drifted", F.col("psi") >= DRIFT)
+    numeric, categorical = ([c for c in names if c in reference.columns and c in current.columns] for names in (numeric, categorical))
+    return _drifted(drift(_sides(reference, current, [*numeric, *categorical]), F.col("_side"), numeric, categorical))
+
+
+def drift_of_halves(rows: DataFrame, is_reference: Column) -> DataFrame:
+    """``drift_report`` of all watched columns that one table of both sides has."""
+    return _drifted(drift(rows, is_reference, *tracked(rows)))
+
+
+def _drifted(found: DataFrame) -> DataFrame:
+    return found.withColumn("drifted", F.col("psi") >= DRIFT)
 
 
 def drift_priority(report: DataFrame) -> DataFrame:

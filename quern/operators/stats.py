@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ROLES
+from . import quantiles
 
 
 def column_roles(df: DataFrame) -> DataFrame:
@@ -34,15 +35,16 @@ def co_missing(df: DataFrame, columns: list[str]) -> DataFrame:
 def target_summary(df: DataFrame, column: str) -> DataFrame:
     """Moments and quantiles; skewness and kurtosis are bias-corrected."""
     n, g1, g2 = F.count(column), F.skewness(column), F.kurtosis(column)
-    return df.agg(
+    plain = [
         n.alias("n"),
         F.round(F.avg(column), 4).alias("mean"),
-        F.median(column).alias("median"),
         F.round(F.stddev_samp(column), 4).alias("sd"),
-        *(F.round(F.percentile(column, q / 100), 4).alias(f"p{q}") for q in (10, 25, 75, 90, 99)),
         F.round(g1 * F.sqrt(n * (n - 1)) / (n - 2), 6).alias("skewness"),
         F.round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 6).alias("kurtosis"),
-    )
+    ]
+    shares = (10, 25, 75, 90, 99)
+    one = quantiles.aggregate(df.select(column), [], plain, {"median": (column, 0.5)} | {f"p{q}": (column, q / 100) for q in shares})
+    return one.select("n", "mean", "median", "sd", *(F.round(f"p{q}", 4).alias(f"p{q}") for q in shares), "skewness", "kurtosis")
 
 
 def ranked(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -147,9 +149,10 @@ def vif(df: DataFrame, columns: list[str]) -> tuple[dict[str, float], float]:
 
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, low, high, n_iqr, n_z) with fences at 1.5 interquartile ranges and z beyond 3."""
-    stats = df.agg(*(a for c in columns for a in (F.percentile(c, [0.25, 0.75]).alias(f"q_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))))
+    moments = [a for c in columns for a in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]
+    stats = quantiles.aggregate(df.select(*columns), [], moments, {f"{side}_{c}": (c, q) for c in columns for side, q in (("a", 0.25), ("b", 0.75))})
     wide = df.select(*columns).join(F.broadcast(stats))
-    fence = {c: (F.get(f"q_{c}", F.lit(0)), F.get(f"q_{c}", F.lit(1))) for c in columns}
+    fence = {c: (F.col(f"a_{c}"), F.col(f"b_{c}")) for c in columns}
     low = {c: a - 1.5 * (b - a) for c, (a, b) in fence.items()}
     high = {c: b + 1.5 * (b - a) for c, (a, b) in fence.items()}
     one = wide.agg(*(x for c in columns for x in (F.max(low[c]).alias(f"low_{c}"), F.max(high[c]).alias(f"high_{c}"), F.count_if((F.col(c) < low[c]) | (F.col(c) > high[c])).alias(f"i_{c}"), F.count_if(F.abs(F.col(c) - F.col(f"m_{c}")) > 3 * F.col(f"s_{c}")).alias(f"z_{c}"))))
@@ -163,7 +166,8 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def grouped_medians(df: DataFrame, group: str, value: str, n: int = 10) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(group).agg(F.round(F.median(value), 4).alias("median")).orderBy(F.desc("median"), group).limit(n)
+    known = df.where(F.col(value).isNotNull()).select(group, value)
+    return quantiles.aggregate(known, [group], [], {"median": (value, 0.5)}).withColumn("median", F.round("median", 4)).orderBy(F.desc("median"), group).limit(n)
 
 
 def bootstrap(df: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 42) -> DataFrame:

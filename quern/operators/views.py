@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
+_MAX = "salary_max_usd_yearly"
+
 
-def quantile(column: str, q: float, approx: bool = False) -> Column:
-    """Exact by default; approximate where exactness costs too much."""
-    return F.percentile_approx(column, q, 10_000) if approx else F.percentile(column, q)
+def grouped(df: DataFrame, keys: Sequence[str], plain: Sequence[Column], wanted: dict[str, tuple[str, float]], approx: bool = False) -> DataFrame:
+    """Aggregates and quantiles by group: exact in two passes by default, approximate in one."""
+    if not approx:
+        return quantiles.aggregate(df, keys, plain, wanted)
+    return df.groupBy(*keys).agg(*plain, *(F.percentile_approx(c, q, 10_000).alias(n) for n, (c, q) in wanted.items()))
 
 
 def _disclosed() -> Column:
@@ -16,7 +24,8 @@ def _disclosed() -> Column:
 
 
 def by_country(jobs: DataFrame, approx: bool = False) -> DataFrame:
-    return jobs.groupBy("country").agg(F.count("*").alias("n_jobs"), _disclosed().alias("n_disclosed"), F.avg("salary_max_usd_yearly").alias("avg_max"), quantile("salary_max_usd_yearly", 0.5, approx).alias("p50_max"), quantile("salary_max_usd_yearly", 0.75, approx).alias("p75_max")).orderBy(F.desc("n_jobs"), F.asc_nulls_last("country"))
+    plain = [F.count("*").alias("n_jobs"), _disclosed().alias("n_disclosed"), F.avg(_MAX).alias("avg_max")]
+    return grouped(jobs, ["country"], plain, {"p50_max": (_MAX, 0.5), "p75_max": (_MAX, 0.75)}, approx).orderBy(F.desc("n_jobs"), F.asc_nulls_last("country"))
 
 
 def by_source(jobs: DataFrame) -> DataFrame:
@@ -24,11 +33,12 @@ def by_source(jobs: DataFrame) -> DataFrame:
 
 
 def by_role_family(jobs: DataFrame, approx: bool = False) -> DataFrame:
-    return jobs.groupBy("role_family_extracted").agg(F.count("*").alias("n_jobs"), F.avg("salary_max_usd_yearly").alias("avg_max"), quantile("salary_max_usd_yearly", 0.5, approx).alias("median_max"), F.avg("min_years_experience").alias("avg_years")).orderBy(F.desc("n_jobs"), "role_family_extracted")
+    plain = [F.count("*").alias("n_jobs"), F.avg(_MAX).alias("avg_max"), F.avg("min_years_experience").alias("avg_years")]
+    return grouped(jobs, ["role_family_extracted"], plain, {"median_max": (_MAX, 0.5)}, approx).orderBy(F.desc("n_jobs"), "role_family_extracted")
 
 
 def by_seniority(jobs: DataFrame, approx: bool = False) -> DataFrame:
-    return jobs.where("salary_disclosed").groupBy("seniority_extracted").agg(F.count("*").alias("n_jobs"), *(quantile("salary_max_usd_yearly", q, approx).alias(f"p{int(q * 100)}_max") for q in (0.25, 0.5, 0.75)))
+    return grouped(jobs.where("salary_disclosed"), ["seniority_extracted"], [F.count("*").alias("n_jobs")], {f"p{int(q * 100)}_max": (_MAX, q) for q in (0.25, 0.5, 0.75)}, approx)
 
 
 def by_company(jobs: DataFrame) -> DataFrame:
@@ -40,8 +50,8 @@ def remote_mix(jobs: DataFrame) -> DataFrame:
 
 
 def salary_distribution(jobs: DataFrame, role: str, seniority: str, value: str) -> DataFrame:
-    known = jobs.where(F.col(role).isNotNull() & F.col(seniority).isNotNull())
-    return known.groupBy(F.col(role).alias("role_family"), F.col(seniority).alias("seniority")).agg(F.count(value).alias("n"), *(F.percentile(value, q).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    known = jobs.where(F.col(role).isNotNull() & F.col(seniority).isNotNull()).select(F.col(role).alias("role_family"), F.col(seniority).alias("seniority"), F.col(value).alias("value"))
+    return grouped(known, ["role_family", "seniority"], [F.count("value").alias("n")], {f"p{int(q * 100)}": ("value", q) for q in (0.25, 0.5, 0.75)})
 
 
 def top_companies(jobs: DataFrame, role: str, families: tuple[str, ...], n: int) -> DataFrame:
@@ -67,13 +77,10 @@ def top_values(jobs: DataFrame, list_col: str, n: int, name: str = "skill") -> D
 
 def headline(jobs: DataFrame) -> DataFrame:
     disclosed = F.col("salary_disclosed")
-    return jobs.agg(
-        F.count("*").alias("n_jobs"),
-        F.count_distinct("company_slug").alias("n_companies"),
-        F.median(F.when(disclosed, F.col("salary_max_usd_yearly"))).alias("median_max"),
-        F.median("predicted_salary_usd_v1").alias("median_predicted"),
-        F.round(F.avg(disclosed.cast("double")), 3).alias("disclosure_rate"),
-    )
+    rows = jobs.select("company_slug", "salary_disclosed", F.when(disclosed, F.col(_MAX)).alias("_max"), "predicted_salary_usd_v1")
+    plain = [F.count("*").alias("n_jobs"), F.count_distinct("company_slug").alias("n_companies"), F.round(F.avg(disclosed.cast("double")), 3).alias("disclosure_rate")]
+    one = grouped(rows, [], plain, {"median_max": ("_max", 0.5), "median_predicted": ("predicted_salary_usd_v1", 0.5)})
+    return one.select("n_jobs", "n_companies", "median_max", "median_predicted", "disclosure_rate")
 
 
 def search(jobs: DataFrame, text: str | None = None, country: str | None = None, role: str | None = None, disclosed: bool = False, limit: int = 50) -> DataFrame:
@@ -140,5 +147,5 @@ def filter_funnel(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
 
 def winsorized(df: DataFrame, column: str, q: float = 0.995) -> DataFrame:
     """The column capped at its q-quantile, which is one row."""
-    cap = df.agg(F.percentile(column, q).alias("_cap"))
+    cap = quantiles.aggregate(df.select(column), [], [], {"_cap": (column, q)})
     return df.join(F.broadcast(cap)).withColumn(column, F.least(column, "_cap")).drop("_cap")

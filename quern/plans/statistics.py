@@ -153,8 +153,7 @@ _DRIFT = JOBS + f", h AS (SELECT *, {_HALF} AS half FROM jobs), report AS ({' UN
 def _drift(spark, sf):
     """All watched columns that derived postings have, between two hashed halves."""
     rows = sampling.halves(enriched(spark, sf), 7, "id")
-    numeric, categorical = monitoring.tracked(rows)
-    return monitoring.drift_report(rows.where("half = 'reference'"), rows.where("half = 'current'"), numeric, categorical)
+    return monitoring.drift_of_halves(rows, F.col("half") == "reference")
 
 
 @query(_DRIFT + 'SELECT "column", psi, psi >= 0.2 AS drifted FROM report')
