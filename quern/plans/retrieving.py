@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
+from ..sources import collection, files, stages
 from .registry import query
 
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
@@ -127,3 +130,90 @@ def hydrate_parents(spark, sf):
 def embed_documents(spark, sf):
     docs = fixtures.table(spark, sf, "documents")
     return docs.select("doc_id", retrieval.hashing_embedder(64)(F.col("text")).alias("embedding"))
+
+
+# --- the stored index and the keyed collection ------------------------------------------
+
+
+def _index(spark, sf):
+    """The index of ``embeddings``, built once for the table's files."""
+    vectors = fixtures.table(spark, sf, "embeddings")
+    path = f"{stages.shared_folder(spark)}/index-{stages.fingerprint(vectors, 'cells')}"
+    if not files.exists(spark, f"{path}/index.json"):
+        return vector_index.VectorIndex.build(vectors, path, "vec_id", "embedding", ["label"])
+    return vector_index.VectorIndex(spark, path)
+
+
+def _approximate(spark, sf, where=None):
+    vectors = fixtures.table(spark, sf, "embeddings")
+    return _index(spark, sf).search(vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, where, own=False)
+
+
+def _recalled(found, exact):
+    """``found`` with the share of its query's true neighbours that it holds."""
+    hits = exact.select("query", "item").join(found.select("query", "item", F.lit(1).alias("hit")), ["query", "item"], "left")
+    return found.join(hits.groupBy("query").agg((F.count("hit") / F.count("*")).alias("recall")), "query")
+
+
+@query()
+def ann_topk(spark, sf):
+    return _recalled(_approximate(spark, sf), _dense(spark, sf))
+
+
+@query("SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def ann_recall(spark, sf):
+    """Whether the index finds nine in ten of the true neighbours of all queries."""
+    return ann_topk(spark, sf).groupBy("query").agg(F.max("recall").alias("recall")).agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+@query("SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def ann_filtered_recall(spark, sf):
+    """The same among rows of one label: filtered before they are scored."""
+    rows = _recalled(_approximate(spark, sf, F.col("label") == 1), _dense(spark, sf, where=F.col("label") == 1))
+    return rows.groupBy("query").agg(F.max("recall").alias("recall")).agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+_BUCKET = f"CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS UBIGINT) % {collection.BUCKETS} AS INT)"
+_STEPS = {"first": "vec_id % 3 > 0", "second": "vec_id % 60 = 0 OR vec_id % 60 = 1", "third": "vec_id % 200 = 1"}
+_TOUCHED = "(SELECT count(DISTINCT {b}) FROM embeddings WHERE {w})"
+
+
+def _step_sql(step, replaced, added, deleted):
+    n = lambda w: f"(SELECT count(*) FROM embeddings WHERE {w})"
+    touched = _TOUCHED.format(b=_BUCKET, w=_STEPS[step])
+    return f"SELECT '{step}' AS step, {n(replaced)} AS replaced, {n(added)} AS added, {n(deleted)} AS deleted, {touched} AS touched, {collection.BUCKETS} - {touched} AS untouched"
+
+
+_UPSERTS = " UNION ALL ".join(
+    (
+        _step_sql("first", "false", _STEPS["first"], "false"),
+        _step_sql("second", f"({_STEPS['second']}) AND {_STEPS['first']}", f"({_STEPS['second']}) AND NOT {_STEPS['first']}", "false"),
+        _step_sql("third", "false", "false", f"{_STEPS['third']} AND ({_STEPS['first']} OR {_STEPS['second']})"),
+    )
+)
+
+
+def _upserted(spark, sf):
+    """Three changes of one collection: most vectors, some of them again with others that are new, and some deleted."""
+    vectors = fixtures.table(spark, sf, "embeddings")
+    # A collection of this run: the counts are those of changes from nothing.
+    path = f"{stages.shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    held = collection.Collection.create(spark, path, "vec_id long, embedding array<float>, label int", "vec_id", "embedding", 64)
+    changes = {
+        "first": held.upsert(vectors.where(_STEPS["first"])),
+        "second": held.upsert(vectors.where(_STEPS["second"]).withColumn("label", F.lit(-1))),
+        "third": held.upsert(vectors.where("false"), vectors.where(_STEPS["third"])),
+    }
+    held.vacuum()
+    return held, changes
+
+
+@query(_UPSERTS)
+def vector_upsert(spark, sf):
+    _, changes = _upserted(spark, sf)
+    return spark.createDataFrame([(name, *vars(c).values()) for name, c in changes.items()], "step string, replaced long, added long, deleted long, touched long, untouched long")
+
+
+@query(f"SELECT vec_id, embedding, CASE WHEN {_STEPS['second']} THEN -1 ELSE label END AS label FROM embeddings WHERE ({_STEPS['first']} OR {_STEPS['second']}) AND NOT ({_STEPS['third']})")
+def vector_collection(spark, sf):
+    return _upserted(spark, sf)[0].read()
