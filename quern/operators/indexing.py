@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..sources import collection, files, stages
 from . import retrieval
 
 # What an indexed chunk carries of its posting, in order.
@@ -54,12 +55,16 @@ def payload(jobs: DataFrame, fields: tuple[str, ...] = PAYLOAD) -> DataFrame:
     return jobs.select(*(one(n).alias(n) for n in fields if n in kinds))
 
 
-def create_collection(spark: SparkSession, path: str, dimensions: int, recreate: bool = False) -> bool:
-    """Make an empty table of chunks and vectors; one that is there stays unless ``recreate``.  Whether one was made."""
-    if files.exists(spark, path) and not recreate:
-        return False
-    empty = spark.createDataFrame([], "point_id string, chunk_id string, parent_id string, text string, vector array<float>")
-    empty.withMetadata("vector", {"dimensions": dimensions}).write.mode("overwrite").parquet(path)
+_POINT = "point_id string, chunk_id string, parent_id string, text string, vector array<float>"
+
+
+def create_collection(spark: SparkSession, path: str, dimensions: int, recreate: bool = False, buckets: int = collection.BUCKETS) -> bool:
+    """Make an empty collection of chunks and vectors; one that is there stays unless ``recreate``.  Whether one was made."""
+    if files.exists(spark, path):
+        if not recreate:
+            return False
+        stages.delete(spark, path)
+    collection.Collection.create(spark, path, _POINT, "point_id", "vector", dimensions, buckets)
     return True
 
 
@@ -73,10 +78,7 @@ class Indexed:
 
 
 def index(jobs: DataFrame, path: str, embed: Callable[[Column], Column], dimensions: int, key: str = "id", title: str = "title", body: str = "description_md") -> Indexed:
-    """Chunk, embed and upsert into the collection at ``path``; a chunk that is there already is replaced.
-
-    The new table is written beside the old one, which goes when the new one is whole.
-    """
+    """Chunk, embed and upsert into the collection at ``path``; a chunk that is there already is replaced, and no bucket without new chunks is touched."""
     spark = jobs.sparkSession
     create_collection(spark, path, dimensions)
     chunks = retrieval.chunk(jobs, key, title, body)
@@ -87,30 +89,69 @@ def index(jobs: DataFrame, path: str, embed: Callable[[Column], Column], dimensi
         F.col("child_text").alias("text"),
         embed(F.col("child_text")).alias("vector"),
     ).withColumn("vector", retrieval.renormalized(F.col("vector")))
-    fresh = f"{path.rstrip('/')}.new"
-    rows.write.mode("overwrite").parquet(f"{fresh}-rows")
-    rows = spark.read.parquet(f"{fresh}-rows")
-    files.upsert(spark, path, rows, "point_id", "vector").write.mode("overwrite").parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
-    one = rows.agg(F.count_distinct(F.substring_index("chunk_id", "::c", 1)).alias("p"), F.count_distinct("parent_id").alias("q"), F.count("*").alias("c")).first()
+    # Made once: the upsert and the counts read what was written.
+    made = f"{path.rstrip('/')}/_incoming-made-{uuid.uuid4().hex}"
+    rows.write.parquet(made)
+    try:
+        rows = spark.read.parquet(made)
+        collection.Collection(spark, path).upsert(rows)
+        one = rows.agg(F.count_distinct(F.substring_index("chunk_id", "::c", 1)).alias("p"), F.count_distinct("parent_id").alias("q"), F.count("*").alias("c")).first()
+    finally:
+        stages.delete(spark, made)
     return Indexed(one.p, one.q, one.c)
 
 
-def search(questions: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], scorer: Callable[[Column, Column], Column] | None, query_id: str, question: str, k: int = 10, where: Column | None = None) -> DataFrame:
+@dataclass
+class Prepared:
+    """What searches read: chunks, the children's vectors and lexical weights, and parents once each."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    weights: DataFrame
+    parents: DataFrame
+
+    @staticmethod
+    def of(chunks: DataFrame, embed: Callable[[Column], Column]) -> Prepared:
+        """Not stored: every use makes them again."""
+        children = chunks.select("child_chunk_id", "child_text")
+        vectors = children.select("child_chunk_id", embed(F.col("child_text")).alias("v"))
+        return Prepared(chunks, vectors, retrieval.bm25_weights(children, "child_chunk_id", "child_text"), _parents(chunks))
+
+
+def _parents(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("parent_chunk_id").agg(F.any_value("parent_text").alias("parent_text"))
+
+
+def prepare(docs: DataFrame, key: str, title: str, body: str, embed: Callable[[Column], Column], embedder: str, folder: str | None = None) -> Prepared:
+    """Chunks, vectors, weights and parents of ``docs``, each made and written once for the files behind ``docs``.
+
+    ``embedder`` names the embedder and its version: another name gives other vectors.
+    """
+    spark = docs.sparkSession
+    name = stages.fingerprint(docs, key, title, body, retrieval.PARENT_CHARS, retrieval.CHILD_CHARS, retrieval.CHILD_OVERLAP)
+    chunks = stages.staged(spark, "chunks", name, lambda: retrieval.chunk(docs, key, title, body), folder)
+    children = chunks.select("child_chunk_id", "child_text")
+    vectors = stages.staged(spark, f"vectors-{embedder}", name, lambda: children.select("child_chunk_id", embed(F.col("child_text")).alias("v")), folder)
+    terms = stages.staged(spark, "terms", name, lambda: retrieval.terms(children, "child_chunk_id", "child_text"), folder)
+    weights = stages.staged(spark, "weights", name, lambda: retrieval.weights_of(terms, "child_chunk_id"), folder)
+    return Prepared(chunks, vectors, weights, stages.staged(spark, "parents", name, lambda: _parents(chunks), folder))
+
+
+def search(questions: DataFrame, prepared: Prepared, embed: Callable[[Column], Column], scorer: Callable[[Column, Column], Column] | None, query_id: str, question: str, k: int = 10, where: Column | None = None) -> DataFrame:
     """(query, rank, parent_chunk_id, score, best_child, contributors, parent_text): the whole search of every question at once.
 
     Dense and sparse first passes over the children, fused by reciprocal rank, reranked by the scorer, hydrated to
-    parents.  ``chunks`` is what ``retrieval.chunk`` makes; no questions, or no chunks, give no rows.
+    parents.  ``where`` is a condition on chunks; no questions, or no chunks, give no rows.
     """
-    pool = chunks if where is None else chunks.where(where)
+    children, vectors, weights = prepared.chunks.select("child_chunk_id", "parent_chunk_id", "child_text"), prepared.vectors, prepared.weights
+    if where is not None:
+        pool = prepared.chunks.where(where).select("child_chunk_id")
+        children, vectors, weights = (t.join(pool, "child_chunk_id", "left_semi") for t in (children, vectors, weights))
     asked = questions.select(F.col(query_id).alias("query"), F.coalesce(F.col(question), F.lit("")).alias("question"))
-    children = pool.select("child_chunk_id", "parent_chunk_id", "child_text")
-    vectors = children.select("child_chunk_id", embed(F.col("child_text")).alias("v"))
     dense = retrieval.dense_top_k(asked.select("query", embed(F.col("question")).alias("v")), vectors, "query", "v", "child_chunk_id", "v", retrieval.FIRST_PASS)
-    sparse = retrieval.sparse_top_k(asked, retrieval.bm25_weights(children, "child_chunk_id", "child_text"), "query", "question", "child_chunk_id", retrieval.FIRST_PASS)
+    sparse = retrieval.sparse_top_k(asked, weights, "query", "question", "child_chunk_id", retrieval.FIRST_PASS)
     fused = retrieval.fuse({"dense": dense, "sparse": sparse})
     texts = fused.withColumnRenamed("item", "child_chunk_id").join(children, "child_chunk_id").join(asked, "query")
     ranked = retrieval.rerank(texts, scorer, "question", "child_text", retrieval.RERANKED)
     ranked = ranked.withColumn("score", retrieval.effective_score("rerank_score", "rrf_score"))
-    parents = pool.select("parent_chunk_id", "parent_text")
-    return retrieval.hydrate(ranked.select("query", "child_chunk_id", "parent_chunk_id", "rank", "score"), parents, "score", k)
+    return retrieval.hydrate(ranked.select("query", "child_chunk_id", "parent_chunk_id", "rank", "score"), prepared.parents, "score", k)

@@ -76,7 +76,7 @@ def chunk(docs: DataFrame, key: str, title: str, body: str, parent: Callable[[Co
     parents = whole.select(key, F.posexplode(parent(F.col("_t"))).alias("p", "parent_text"))
     children = parents.select(key, "p", "parent_text", F.posexplode(child(F.col("parent_text"))).alias("i", "child_text"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("p", "i")) - 1
-    return children.select(key, F.concat(F.col(key).cast("string"), F.lit("::p"), "p").alias("parent_chunk_id"), F.concat(F.col(key).cast("string"), F.lit("::c"), F.lpad(number.cast("string"), 4, "0")).alias("child_chunk_id"), "parent_text", "child_text")
+    return children.select(key, F.concat(F.col(key).cast("string"), F.lit("::p"), "p").alias("parent_chunk_id"), F.concat(F.col(key).cast("string"), F.lit("::c"), F.format_string("%04d", number)).alias("child_chunk_id"), "parent_text", "child_text")
 
 
 # --- vectors ----------------------------------------------------------------------------
@@ -121,10 +121,14 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
 
 def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
     """Rows of about ``size`` keys and vectors each, as lists."""
-    own = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-own.count() // size))
+    # Keys alone are counted: vectors may have to be made.
+    blocks = max(1, -(-rows.where(F.col(key).isNotNull()).select(key).count() // size))
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     dealt = own.withColumn("_block", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-    return dealt.groupBy("_block").agg(F.collect_list("k").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_values"), F.max(F.size("v")).alias(f"{name}_width")).drop("_block")
+    # No filter on the vector, which would have it made a second time: keys without one are left out here.
+    keys = F.collect_list(F.when(F.col("v").isNotNull(), F.col("k")))
+    packed = dealt.groupBy("_block").agg(keys.alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_values"), F.max(F.size("v")).alias(f"{name}_width"))
+    return packed.where(F.size(f"{name}_keys") > 0).drop("_block")
 
 
 def _block_scorer(k: int, own: bool):
@@ -184,7 +188,11 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def bm25_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): the sparse vector of each document."""
-    tf = terms(docs, key, text)
+    return weights_of(terms(docs, key, text), key)
+
+
+def weights_of(tf: DataFrame, key: str) -> DataFrame:
+    """``bm25_weights`` of (key, term, tf), which four branches read: a stored table is read, anything else made again."""
     lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

@@ -12,6 +12,7 @@ from ..operators import indexing, ingest, models, retrieval, sqlguard, stats, vi
 from ..sources import payloads
 from .postings import enriched
 from .registry import JOBS, query
+from .retrieving import prepared
 
 
 def _extracted(spark, sf):
@@ -59,9 +60,7 @@ def payload_projection(spark, sf):
 @query()
 def search_end_to_end(spark, sf):
     """Every benchmark text against the chunks of every document: dense, sparse, fused, reranked, hydrated."""
-    docs = fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang"))
-    chunks = retrieval.chunk(docs, "doc_id", "title", "text")
-    return indexing.search(fixtures.table(spark, sf, "benchmark"), chunks, retrieval.hashing_embedder(64), retrieval.lexical_overlap, "item_id", "text", 5).drop("parent_text")
+    return indexing.search(fixtures.table(spark, sf, "benchmark"), prepared(spark, sf), retrieval.hashing_embedder(64), retrieval.lexical_overlap, "item_id", "text", 5).drop("parent_text")
 
 
 @query(JOBS + "SELECT id, title FROM jobs WHERE country = 'US' AND salary_max_usd_yearly >= 100000 AND contains(lower(title), 'engineer') ORDER BY id LIMIT 40")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..operators import retrieval, vector_index
+from ..operators import indexing, retrieval, vector_index
 from ..sources import collection, files, stages
 from .registry import query
 
@@ -45,7 +45,8 @@ r AS (SELECT query, item, round(score, 4) AS score, row_number() OVER (PARTITION
 
 def _sparse(spark, sf, k=10):
     docs, items = fixtures.table(spark, sf, "documents"), fixtures.table(spark, sf, "benchmark")
-    return retrieval.sparse_top_k(items, retrieval.bm25_weights(docs, "doc_id", "text"), "item_id", "text", "doc_id", k)
+    terms = stages.staged(spark, "terms", stages.fingerprint(docs, "doc_id", "text"), lambda: retrieval.terms(docs, "doc_id", "text"))
+    return retrieval.sparse_top_k(items, retrieval.weights_of(terms, "doc_id"), "item_id", "text", "doc_id", k)
 
 
 @query(f"WITH {_BM25} SELECT query, item, score, rank FROM r WHERE rank <= 10")
@@ -104,9 +105,15 @@ def chunk_fixed_parent(spark, sf):
     return docs.select("doc_id", F.posexplode(retrieval.fixed_width(F.col("text"), 4096)).alias("place", "piece")).withColumn("place", F.col("place").cast("long"))
 
 
+def prepared(spark, sf):
+    """What searches of ``documents`` read, made once for the table's files; the language stands for a title."""
+    docs = fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang"))
+    return indexing.prepare(docs, "doc_id", "title", "text", retrieval.hashing_embedder(64), "hashed-64")
+
+
 @query()
 def chunk_recursive(spark, sf):
-    return retrieval.chunk(fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang")), "doc_id", "title", "text")
+    return prepared(spark, sf).chunks
 
 
 @query()
@@ -117,13 +124,42 @@ def rerank_overlap(spark, sf):
     return retrieval.rerank(first, retrieval.lexical_overlap, "question", "text", 10).select("query", "item", "rank", "rerank_score")
 
 
+def _hydrated(items, chunks, weights, parents):
+    """The lexical leg: children ranked, the best parents of each item with their contributors."""
+    ranked = retrieval.sparse_top_k(items, weights, "item_id", "text", "child_chunk_id", 20)
+    children = ranked.withColumnRenamed("item", "child_chunk_id").join(chunks.select("child_chunk_id", "parent_chunk_id"), "child_chunk_id")
+    return retrieval.hydrate(children, parents, "score", 5)
+
+
 @query()
 def hydrate_parents(spark, sf):
-    chunks = retrieval.chunk(fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang")), "doc_id", "title", "text", child=lambda t: retrieval.fixed_width(t, 1024))
-    items = fixtures.table(spark, sf, "benchmark")
-    ranked = retrieval.sparse_top_k(items, retrieval.bm25_weights(chunks.select("child_chunk_id", "child_text"), "child_chunk_id", "child_text"), "item_id", "text", "child_chunk_id", 20)
-    children = ranked.withColumnRenamed("item", "child_chunk_id").join(chunks.select("child_chunk_id", "parent_chunk_id"), "child_chunk_id")
-    return retrieval.hydrate(children, chunks.select("parent_chunk_id", "parent_text"), "score", 5)
+    made = prepared(spark, sf)
+    return _hydrated(fixtures.table(spark, sf, "benchmark"), made.chunks, made.weights, made.parents)
+
+
+_CHILDREN = r"""
+whole AS (SELECT doc_id, '# ' || coalesce(lang, '') || chr(10) || chr(10) || text AS t FROM documents WHERE trim(text, ' ') <> ''),
+parents AS (SELECT doc_id, p, substr(t, CAST(p * 4096 + 1 AS BIGINT), 4096) AS parent_text FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 4096) AS BIGINT))) AS p FROM whole)),
+children AS (SELECT doc_id, p, i, parent_text, substr(parent_text, CAST(i * 1024 + 1 AS BIGINT), 1024) AS child_text FROM (SELECT *, unnest(range(0, CAST(ceil(length(parent_text) / 1024) AS BIGINT))) AS i FROM parents)),
+named AS (SELECT doc_id || '::p' || p AS parent_chunk_id, doc_id || '::c' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, i) - 1 AS VARCHAR), 4, '0') AS child_chunk_id, parent_text, child_text FROM children),
+"""
+_LEXICAL = _BM25.replace("doc_id, unnest", "child_chunk_id AS doc_id, unnest").replace(r"lower(text), '[\p{L}\p{N}]+')) AS term FROM documents", r"lower(child_text), '[\p{L}\p{N}]+')) AS term FROM named")
+
+
+@query(f"""WITH {_CHILDREN} {_LEXICAL},
+hits AS (SELECT r.*, n.parent_chunk_id FROM r JOIN named n ON r.item = n.child_chunk_id WHERE rank <= 20),
+best AS (SELECT query, parent_chunk_id, max(score) AS score, list(item ORDER BY score DESC, rank)[1] AS best_child, list(item ORDER BY rank) AS contributors FROM hits GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, parent_chunk_id) AS rank FROM best)
+SELECT query, top.parent_chunk_id, score, best_child, contributors, parent_text, rank FROM top JOIN (SELECT DISTINCT parent_chunk_id, parent_text FROM named) USING (parent_chunk_id) WHERE rank <= 5""")
+def search_lexical(spark, sf):
+    """Ranks and hydration of the lexical leg, over pieces of fixed width, which SQL can cut too."""
+    docs = fixtures.table(spark, sf, "documents").withColumn("title", F.col("lang"))
+    width = lambda n: lambda t: retrieval.fixed_width(t, n)
+    name = stages.fingerprint(docs, "fixed")
+    chunks = stages.staged(spark, "chunks", name, lambda: retrieval.chunk(docs, "doc_id", "title", "text", width(4096), width(1024)))
+    terms = stages.staged(spark, "terms", name, lambda: retrieval.terms(chunks.select("child_chunk_id", "child_text"), "child_chunk_id", "child_text"))
+    parents = chunks.select("parent_chunk_id", "parent_text").distinct()
+    return _hydrated(fixtures.table(spark, sf, "benchmark"), chunks, retrieval.weights_of(terms, "child_chunk_id"), parents)
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Files in and out: snapshots, JSON lines, reports, idempotent vector tables."""
+"""Files in and out: snapshots, JSON lines, reports."""
 
 from __future__ import annotations
 
@@ -109,18 +109,6 @@ def _few(df: DataFrame, most: int) -> list:
     return rows
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """The table at ``path`` with ``rows`` in place of equal keys; vectors of another length are an error."""
-    new = rows.dropDuplicates([key])
-    if not exists(spark, path):
-        return new
-    old = spark.read.parquet(path)
-    sizes = old.select(F.size(vector).alias("s")).union(new.select(F.size(vector))).agg(F.min("s").alias("a"), F.max("s").alias("b")).first()
-    if sizes.a != sizes.b:
-        raise ValueError(f"vectors of {sizes.a} and {sizes.b} dimensions")
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
 # Fixed value: the namespace of chunk ids.
 NAMESPACE = "4f3a9b321d2c4f4e8f2a9b3c4d5e6f70"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import cascade
 from quern.operators import indexing, modelling, retrieval, sampling, views
+from quern.sources import collection
 
 
 @pytest.fixture(scope="module")
@@ -125,12 +126,13 @@ def test_payload_index_and_bound_parameters(spark, tmp_path):
     assert shown["a"].salary_max_usd_yearly is None and shown["b"].salary_max_usd_yearly == 5.0 and "secret" not in shown["a"].asDict()
     path = f"file://{tmp_path}/index"
     embed = retrieval.hashing_embedder(32)
+    held = lambda: collection.Collection(spark, path).read()
     first = indexing.index(jobs, path, embed, 32)
-    assert (first.postings, first.parents) == (2, 2) and first.chunks == spark.read.parquet(path).count() > 2
+    assert (first.postings, first.parents) == (2, 2) and first.chunks == held().count() > 2
     assert indexing.index(jobs.where("id = 'a'"), path, embed, 32).postings == 1
-    assert spark.read.parquet(path).count() == first.chunks
+    assert held().count() == first.chunks
     assert not indexing.create_collection(spark, path, 32) and indexing.create_collection(spark, path, 32, recreate=True)
-    assert spark.read.parquet(path).count() == 0
+    assert held().count() == 0
     sneaky = views.bound(jobs, "SELECT id FROM {jobs} WHERE title = :title", title="x' OR '1' = '1")
     assert sneaky.count() == 0 and views.bound(jobs, "SELECT id FROM {jobs} WHERE title = :title", title="Baker").first().id == "b"
 
@@ -141,12 +143,29 @@ def test_search_finds_the_text_that_was_asked_for(spark):
     docs = spark.createDataFrame([(i, "T", " ".join(rng.choice(t.split()) for _ in range(400))) for i, t in enumerate(topics)], "k int, title string, body string")
     chunks = retrieval.chunk(docs, "k", "title", "body")
     asked = spark.createDataFrame([(i, t) for i, t in enumerate(topics)] + [(9, None)], "q int, question string")
-    search = lambda questions, scorer: indexing.search(questions, chunks, retrieval.hashing_embedder(64), scorer, "q", "question", 3)
+    search = lambda questions, scorer: indexing.search(questions, indexing.Prepared.of(chunks, retrieval.hashing_embedder(64)), retrieval.hashing_embedder(64), scorer, "q", "question", 3)
     for scorer in (None, retrieval.lexical_overlap):
         best = {r.query: r for r in search(asked, scorer).where("rank = 1").collect()}
         assert all(best[i].parent_chunk_id == f"{i}::p0" and best[i].best_child in best[i].contributors for i in range(4))
     assert search(asked.where("false"), None).count() == 0
-    assert indexing.search(asked, chunks.where("false"), retrieval.hashing_embedder(64), None, "q", "question").count() == 0
+    assert indexing.search(asked, indexing.Prepared.of(chunks, retrieval.hashing_embedder(64)), retrieval.hashing_embedder(64), None, "q", "question", where=F.lit(False)).count() == 0
+
+
+def test_search_of_stored_stages(spark, tmp_path):
+    """The same result as without storage, from tables made once; the plan makes the questions' vectors and scores, nothing else, in Python."""
+    folder, embed = f"file://{tmp_path}", retrieval.hashing_embedder(32)
+    spark.createDataFrame([(i, f"title {i % 3}", f"word{i % 7} word{i % 5} other text " * 60) for i in range(20)], "k long, title string, body string").write.parquet(f"{folder}/docs")
+    docs = spark.read.parquet(f"{folder}/docs")
+    asked = spark.createDataFrame([(1, "word3 word4"), (2, "other word1")], "q int, question string")
+    plain = indexing.Prepared.of(retrieval.chunk(docs, "k", "title", "body"), embed)
+    stored = indexing.prepare(docs, "k", "title", "body", embed, "hashed-32", folder)
+    one, two = (sorted(tuple(r) for r in indexing.search(asked, p, embed, retrieval.lexical_overlap, "q", "question", 4).drop("contributors").collect()) for p in (plain, stored))
+    assert one == two and len(one) == 8
+    found = indexing.search(asked, indexing.prepare(docs, "k", "title", "body", embed, "hashed-32", folder), embed, retrieval.lexical_overlap, "q", "question", 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") <= 2
+    kept = indexing.search(asked, stored, embed, None, "q", "question", 9, where=F.col("child_chunk_id").startswith("3::"))
+    assert {r.parent_chunk_id.split("::")[0] for r in kept.collect()} == {"3"}
 
 
 def test_provenance_counts_equal_the_maps(spark):

@@ -85,11 +85,6 @@ def test_files(spark, tmp_path):
     assert files.known_ids(spark, f"{root}/none").count() == 0
     (tmp_path / "q.jsonl").write_text('{"query_id": "1", "query": "x"}\nbroken\n\n{"query": "y"}\n')
     assert files.read_jsonl(spark, f"{root}/q.jsonl", "query_id string, query string", ("query_id",)).count() == 1
-    vectors = spark.createDataFrame([("a", [1.0, 0.0])], "k string, v array<double>")
-    files.upsert(spark, f"{root}/v", vectors, "k", "v").write.parquet(f"{root}/v")
-    assert files.upsert(spark, f"{root}/v", vectors, "k", "v").count() == 1
-    with pytest.raises(ValueError):
-        files.upsert(spark, f"{root}/v", spark.createDataFrame([("b", [1.0])], "k string, v array<double>"), "k", "v")
     assert "| id | v |" in files.report_markdown(df, "t") and json.loads(files.report_json(df))[0]["id"] == "a"
 
 
