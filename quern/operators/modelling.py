@@ -19,6 +19,7 @@ from .sampling import folds, is_test
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 BOOSTED_RANGES = {"maxIter": (200, 1500), "maxDepth": (3, 9), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0), "minInstancesPerNode": (1, 20)}
 TRIALS, FOLDS = 50, 5
+ADDERS = 16
 MAE_REPLICATES, F1_REPLICATES = 500, 1000
 
 
@@ -76,20 +77,48 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: list[str], label: str, by: str | None = None) -> dict[object, Moments]:
-    """Moments of each level of ``by`` (a few), or of all rows under None: one aggregate of as many numbers as pairs of columns."""
+    """Moments of each level of ``by`` (a few), or of all rows under None: sums of block products, one matrix a task and level."""
     names = [*columns, label]
-    full = df.na.drop(subset=names).select(*(F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(names)), *([F.col(by).alias("level")] if by else [F.lit(None).alias("level")])).withColumn("x0", F.lit(1.0))
-    pairs = [(i, j) for i in range(len(names) + 1) for j in range(i, len(names) + 1)]
-    rows = full.groupBy("level").agg(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs)).collect()
-    out = {}
+    level = F.col(by) if by else F.lit(None).cast("int")
+    values = F.transform(F.array(*(F.col(f"`{c}`").cast("double") for c in names)), lambda v: F.nanvl(v, F.lit(None).cast("double")))
+    full = df.select(level.alias("level"), F.concat(F.array(F.lit(1.0)), values).alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    # Tasks return one matrix a level; a few tasks add them before the driver does.
+    products = full.mapInArrow(_products(len(names) + 1), f"level {full.schema['level'].dataType.simpleString()}, matrix binary")
+    rows = products.repartition(ADDERS).mapInArrow(_add_matrices, products.schema).collect()
+    out: dict[object, Moments] = {}
     for row in rows:
-        matrix = np.zeros((len(names) + 1, len(names) + 1))
-        for i, j in pairs:
-            matrix[i, j] = matrix[j, i] = row[f"s{i}_{j}"]
-        out[row.level] = Moments(columns, matrix)
+        matrix = np.frombuffer(bytes(row.matrix)).reshape(len(names) + 1, -1)
+        out[row.level] = Moments(columns, out[row.level].matrix + matrix if row.level in out else matrix)
     return out
 
 
+def _products(width: int):
+    def run(batches):
+        sums: dict[object, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            x = pa.compute.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).reshape(-1, width)
+            for level in batch.column(0).unique().to_pylist():
+                own = x if level is None else x[np.array(pa.compute.fill_null(pa.compute.equal(batch.column(0), level), False))]
+                sums[level] = sums.get(level, 0.0) + own.T @ own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["level", "matrix"])
+
+    return run
+
+
+def _add_matrices(batches):
+    sums: dict[object, np.ndarray] = {}
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for level, matrix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[level] = sums.get(level, 0.0) + np.frombuffer(matrix)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["level", "matrix"])
+
+
 @dataclass
 class LinearModel:
     columns: list[str]
@@ -98,7 +127,7 @@ class LinearModel:
     alpha: float = 0.0
 
     def column(self) -> Column:
-        return sum((F.col(c).cast("double") * float(w) for c, w in zip(self.columns, self.coef, strict=True)), F.lit(self.intercept))
+        return sum((F.col(f"`{c}`").cast("double") * float(w) for c, w in zip(self.columns, self.coef, strict=True)), F.lit(self.intercept))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.column())

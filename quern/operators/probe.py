@@ -27,7 +27,7 @@ from .sampling import unit_hash
 # Penalties tried, and folds.
 C_GRID = (0.1, 1.0, 10.0)
 FOLDS = 5
-MEMORY, MOST_PASSES, TOLERANCE = 10, 200, 1e-5
+MEMORY, MOST_PASSES, TOLERANCE = 10, 100, 1e-4
 MOST_CLASSES, SALTS, ADDERS = 1000, 64, 16
 
 

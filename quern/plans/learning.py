@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..functions import cascade
-from ..operators import encode, models, sampling
+from ..functions import cascade, title
+from ..operators import encode, features, modelling, models, probe, retrieval, sampling
+from ..sources import files, stages
 from ..schema import SENIORITY_LEVELS
 from .postings import enriched
 from .registry import JOBS, query
@@ -118,33 +119,117 @@ def clf_report(spark, sf):
     return models.classification_report(both.withColumn("guess", (F.col("n_chars") > 500).cast("int")), "quality", "guess")
 
 
-# --- trained models: rows only ----------------------------------------------------------
+# --- the feature block ------------------------------------------------------------------
+
+_VISA = cascade.VISA.sql("title || chr(10) || description_md")
+_BLOCK = {
+    "continuous": ["min_years_experience"],
+    "ordinal": {"seniority_extracted": list(SENIORITY_LEVELS)},
+    "onehot": ["country", "source", "role_family_extracted", "remote_policy"],
+    "target": ["region", "city"],
+    "boolean": ["salary_disclosed"],
+    "tristate": {"offers_visa_sponsorship": "sponsorship"},
+    "tech": {"tech_stack": 5},
+    "dates": {"posted_at": "posted"},
+}
+
+
+def raw_matrix(spark, sf):
+    """Disclosed postings with the columns of the block and log10 of their salary, made once for the tables' files."""
+
+    def build():
+        both = F.concat("title", F.lit("\n"), "description_md")
+        jobs = enriched(spark, sf).where("salary_disclosed and salary_max_usd_yearly > 0")
+        jobs = jobs.withColumns({"y": F.log10("salary_max_usd_yearly"), "offers_visa_sponsorship": cascade.VISA.column(both)})
+        return jobs.select("id", "k", sampling.is_test(42, F.col("id")).alias("held"), "title", "description_md", "y", *(c for kind, of in _BLOCK.items() for c in of))
+
+    name = stages.fingerprint([fixtures.table(spark, sf, t) for t in ("orders", "customer")], "matrix", _BLOCK, 42)
+    return stages.staged(spark, "matrix", name, build)
+
+
+def _matrix(spark, sf, spec=None, train="not held"):
+    """(rows with the block and its vector, the block's names): all of it learnt on the training rows."""
+    rows = raw_matrix(spark, sf)
+    block = features.FeatureBlock(spec=spec or _BLOCK).fit(rows.where(train))
+    return block.transform(rows), block.names()
+
+
+def _hot(column):
+    return f"""SELECT '{column}_' || level AS feature, CAST(count(*) FILTER ({column} = level) AS DOUBLE) AS total FROM t, (SELECT DISTINCT {column} AS level FROM t WHERE {_TRAIN} AND {column} IS NOT NULL) GROUP BY level
+UNION ALL SELECT '{column}_missing', CAST(count(*) FILTER ({column} IS NULL) AS DOUBLE) FROM t"""
+
+
+def _mean(column):
+    return f"""SELECT '{column}__mean' AS feature, sum(coalesce(e, g)) AS total FROM t LEFT JOIN (
+    SELECT {column} AS c, s * n / (s * n + v) * m + (1 - s * n / (s * n + v)) * g AS e FROM (SELECT {column}, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM t WHERE {_TRAIN} GROUP BY 1), g) w ON t.{column} IS NOT DISTINCT FROM w.c, g"""
+
+
+_MODERN = ", ".join(f"'{t}'" for t in cascade.MODERN_ML)
+_PARTS = [
+    "SELECT 'min_years_experience__z' AS feature, sum((coalesce(min_years_experience, mid) - mean) / sd) AS total FROM t, years",
+    f"SELECT 'seniority_extracted__code' AS feature, CAST(sum(coalesce(list_position([{', '.join(repr(s) for s in SENIORITY_LEVELS)}], seniority_extracted), 0) - 1) AS DOUBLE) AS total FROM t",
+    *(_hot(c) for c in _BLOCK["onehot"]),
+    *(_mean(c) for c in _BLOCK["target"]),
+    "SELECT unnest(['salary_disclosed__true', 'salary_disclosed__isna']) AS feature, unnest([count(*) FILTER (salary_disclosed), count(*) FILTER (salary_disclosed IS NULL)])::DOUBLE AS total FROM t",
+    "SELECT unnest(['sponsorship__yes', 'sponsorship__no', 'sponsorship__unspecified', 'sponsorship__missing']) AS feature, unnest([count(*) FILTER (visa = 'yes'), count(*) FILTER (visa = 'no'), count(*) FILTER (visa = 'unspecified'), count(*) FILTER (coalesce(visa NOT IN ('yes', 'no', 'unspecified'), true))])::DOUBLE AS total FROM t",
+    "SELECT 'tech__' || token AS feature, CAST(count(*) FILTER (list_contains(tech_stack, token)) AS DOUBLE) AS total FROM t, tokens GROUP BY token",
+    f"SELECT unnest(['tech__has_any', 'tech__count', 'tech__modern_ml']) AS feature, unnest([count(*) FILTER (list_has_any(tech_stack, (SELECT list(token) FROM tokens))), sum(coalesce(len(tech_stack), 0)), count(*) FILTER (list_has_any(tech_stack, [{_MODERN}]))])::DOUBLE AS total FROM t",
+    """SELECT unnest(['posted__days_since', 'posted__sin_month', 'posted__cos_month', 'posted__is_missing']) AS feature,
+    unnest([sum(coalesce(days, mid)), sum(sin(2 * pi() * coalesce(month(posted_at), 6) / 12)), sum(cos(2 * pi() * coalesce(month(posted_at), 6) / 12)), count(*) FILTER (posted_at IS NULL)::DOUBLE]) AS total
+    FROM (SELECT *, CASE WHEN posted_at IS NOT NULL THEN CAST(greatest(date_diff('day', CAST(posted_at AS DATE), ref), 0) AS DOUBLE) END AS days FROM t, (SELECT CAST(max(posted_at) AS DATE) AS ref FROM t WHERE """
+    + _TRAIN
+    + f")), (SELECT median(greatest(date_diff('day', CAST(posted_at AS DATE), (SELECT CAST(max(posted_at) AS DATE) FROM t WHERE {_TRAIN})), 0)) AS mid FROM t WHERE posted_at IS NOT NULL AND {_TRAIN})",
+]
+
+
+@query(
+    JOBS
+    + f""", t AS MATERIALIZED (SELECT *, log10(salary_max_usd_yearly) AS y, {_VISA} AS visa FROM jobs WHERE salary_disclosed AND salary_max_usd_yearly > 0),
+g AS (SELECT avg(y) AS g, var_pop(y) AS s FROM t WHERE {_TRAIN}),
+mids AS (SELECT median(min_years_experience) AS mid FROM t WHERE {_TRAIN}),
+years AS (SELECT mid, avg(coalesce(min_years_experience, mid)) AS mean, stddev_pop(coalesce(min_years_experience, mid)) AS sd FROM t, mids WHERE {_TRAIN} GROUP BY mid),
+tokens AS (SELECT token FROM (SELECT unnest(tech_stack) AS token FROM t WHERE {_TRAIN}) GROUP BY token ORDER BY count(*) DESC, token LIMIT 5)
+SELECT feature, round(total, 3) + 0.0 AS total FROM ({' UNION ALL '.join(f'({p})' for p in _PARTS)})"""
+)
+def feature_block(spark, sf):
+    """The sum of every column of the block over all rows; what it learns is of the training rows."""
+    data, names = _matrix(spark, sf, train=_TRAIN)
+    one = data.agg(*(F.sum(F.col(f"`{n}`")).alias(f"s{i}") for i, n in enumerate(names)))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), (F.round(f"s{i}", 3) + 0.0).alias("total")) for i, n in enumerate(names)))))
 
 
-def _matrix(spark, sf):
-    jobs = enriched(spark, sf).where("salary_disclosed and salary_max_usd_yearly > 0")
-    x = jobs.select("id", "k", F.log10("salary_max_usd_yearly").alias("y"), encode.ordinal(F.col("seniority_extracted"), SENIORITY_LEVELS).cast("double").alias("level"), F.coalesce(F.col("min_years_experience"), F.lit(3)).cast("double").alias("years"), F.log10("predicted_salary_usd_v1").alias("hint"))
-    return models.assemble(x, ["level", "years", "hint"])
+# --- trained models: rows only ----------------------------------------------------------
 
 
-def _trained(kind):
+def _trained(kind, **settings):
     def run(spark, sf):
-        data = _matrix(spark, sf)
-        fitted = models.trainer(kind, "y").fit(data.where(_TRAIN))
-        return models.overall(fitted.transform(data.where(f"not ({_TRAIN})")), "y", "prediction")
+        data, _ = _matrix(spark, sf)
+        fitted = models.trainer(kind, "y", **settings).fit(data.where("not held"))
+        return models.overall(fitted.transform(data.where("held")), "y", "prediction")
 
     run.__name__ = {"ols": "train_ols", "ridge": "train_ridge", "forest": "train_rf", "boosted": "train_gbt"}[kind]
     return query()(run)
 
 
-for _kind in ("ols", "ridge", "forest", "boosted"):
-    _trained(_kind)
+_trained("ols")
+_trained("ridge")
+# A tenth of the forest's trees, and of less depth: the trainer's own defaults are 500 of depth 30.
+_trained("forest", numTrees=50, maxDepth=10)
+_trained("boosted")
+
+
+@query()
+def train_importances(spark, sf):
+    """What a forest makes of each column of the block."""
+    data, names = _matrix(spark, sf)
+    fitted = models.trainer("forest", "y", numTrees=20, maxDepth=8).fit(data.where("not held"))
+    return spark.createDataFrame(models.importances(names, fitted.featureImportances.toArray()), "feature string, importance double")
 
 
 @query()
 def train_oof(spark, sf):
-    data = sampling.folds(_matrix(spark, sf), 3, 5, "id")
-    done = models.out_of_fold(data, "fold", 3, lambda train: models.trainer("ridge", "y").fit(train).transform)
+    data = sampling.folds(_matrix(spark, sf)[0], 5, 5, "id")
+    done = models.out_of_fold(data, "fold", 5, lambda train: models.trainer("ridge", "y").fit(train).transform)
     return models.overall(done, "y", "prediction")
 
 
@@ -157,3 +242,36 @@ def train_lr(spark, sf):
     train = train.join(models.class_weights(train, "quality").select("quality", "weight"), "quality").withColumn("quality", F.col("quality").cast("string"))
     scored = models.text_classifier("quality", "text", weight="weight").fit(train).transform(both.where(held).withColumn("quality", F.col("quality").cast("string")))
     return models.predicted_label(scored, ["0", "1"]).select("doc_id", "label", "confidence")
+
+
+# --- the linear probe -------------------------------------------------------------------
+
+_LABEL = "role_family_extracted"
+
+
+def _probed(spark, sf):
+    """(rows with the embedded title and text, a fitted probe): of role families that say something, a fifth held out."""
+    rows = raw_matrix(spark, sf)
+    vague = modelling.VAGUE["role_family"]
+    rows = modelling.confident(rows, _LABEL, vague).withColumn("words", title.classifier_text(F.col("title"), F.col("description_md"), 1500))
+    rows = rows.select("id", _LABEL, retrieval.hashing_embedder(64)(F.col("words")).alias("features"), "held")
+    name = stages.fingerprint([fixtures.table(spark, sf, t) for t in ("orders", "customer")], "probe", vague)
+    rows = stages.staged(spark, "embedded", name, lambda: rows)
+    path = f"{stages.shared_folder(spark)}/probe-model-{name}"
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        probe.fit(rows.where("not held"), "features", _LABEL, "id", name).save(spark, path)
+    return rows, probe.Probe.load(spark, path)
+
+
+@query()
+def probe_search(spark, sf):
+    """(c, f1_mean, f1_sd, chosen) of each penalty over five stratified folds."""
+    _, fitted = _probed(spark, sf)
+    return spark.createDataFrame([(*s, s[0] == fitted.c) for s in fitted.scores], "c double, f1_mean double, f1_sd double, chosen boolean")
+
+
+@query()
+def probe_report(spark, sf):
+    """Precision, recall and F1 of each label on the rows held out."""
+    rows, fitted = _probed(spark, sf)
+    return models.classification_report(fitted.transform(rows.where("held")), _LABEL, "label")

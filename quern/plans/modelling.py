@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions import cascade
 from ..functions.rules import quoted
-from ..operators import modelling, models, sampling
-from ..schema import ROLE_FAMILIES
-from .learning import _TRAIN, _matrix, _preds
+from ..operators import features, modelling, models, sampling
+from ..schema import ROLE_FAMILIES, SENIORITY_LEVELS
+from .learning import _matrix, _preds
 from .postings import _QUALITY, enriched
 from .registry import JOBS, query
 
@@ -47,36 +47,34 @@ def ols_errors(spark, sf):
     return done.select("term", *(F.round(c, 4).alias(c) for c in ("coef", "std_err", "t_value")))
 
 
-_X = ["level", "years", "hint"]
-
-
 @query()
 def train_mincer(spark, sf):
     """Coefficients with standard errors, p-values and intervals."""
-    return modelling.ols_table(_matrix(spark, sf).where(_TRAIN), _X, "y")
+    data, names = _matrix(spark, sf, features.WAGE_BLOCK | {"ordinal": {"seniority_extracted": list(SENIORITY_LEVELS)}})
+    return modelling.ols_table(data.where("not held"), names, "y")
 
 
 @query()
 def train_ridge_cv(spark, sf):
-    data = _matrix(spark, sf)
-    model = modelling.ridge_cv(data.where(_TRAIN), _X, "y", "id")
-    return models.overall(model.transform(data.where(f"not ({_TRAIN})")), "y", "prediction").withColumn("alpha", F.lit(model.alpha))
+    data, names = _matrix(spark, sf)
+    model = modelling.ridge_cv(data.where("not held"), names, "y", "id")
+    return models.overall(model.transform(data.where("held")), "y", "prediction").withColumn("alpha", F.lit(model.alpha))
 
 
 @query()
 def train_boosted_search(spark, sf):
     """Three trials of three folds over small trees: the search itself takes its ranges and number of trials as parameters."""
-    data = _matrix(spark, sf)
+    data, _ = _matrix(spark, sf)
     ranges = {"maxIter": (4, 12), "maxDepth": (2, 4), "stepSize": (0.05, 0.3)}
-    model, settings, error = modelling.boosted_search(data.where(_TRAIN), "y", "id", trials=3, k=3, ranges=ranges)
-    return models.overall(model.transform(data.where(f"not ({_TRAIN})")), "y", "prediction").withColumn("cv_error", F.lit(error))
+    model, settings, error = modelling.boosted_search(data.where("not held"), "y", "id", trials=3, k=3, ranges=ranges)
+    return models.overall(model.transform(data.where("held")), "y", "prediction").withColumn("cv_error", F.lit(error))
 
 
 @query()
 def score_salaries(spark, sf):
-    data = _matrix(spark, sf)
-    model = modelling.ridge_cv(data.where(_TRAIN), _X, "y", "id")
-    return modelling.scored_salaries(data.drop("features"), model.transform).select("id", "predicted_salary_usd_v1")
+    data, names = _matrix(spark, sf)
+    model = modelling.ridge_cv(data.where("not held"), names, "y", "id")
+    return modelling.scored_salaries(data.select("id", *(F.col(f"`{n}`") for n in names)), model.transform).select("id", "predicted_salary_usd_v1")
 
 
 @query()
