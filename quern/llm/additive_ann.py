@@ -12,10 +12,14 @@ precision; so is every other row that the bound does not place below the k-th of
 these, however many they are.  No neighbour is lost to the codes.
 
 Cost at scale.  The fit uses ``FIT_ROWS`` rows (those with the smallest hashed
-ids); every row is coded.  Codes and vectors are packed in blocks of ``BLOCK_BYTES``
-of vectors; queries are packed too, and each task scores one block of queries
-against one block of rows and returns k rows a query.  A block is sent once for
-``QUERY_ROWS`` queries.
+ids); every row is coded.  Rows are dealt to cells around centres fitted to the same
+rows, and packed cell by cell in blocks of ``BLOCK_BYTES`` of vectors; queries are packed by their most
+promising cell.  Each task scores one pack of queries against one block and returns k rows a
+query.  A pack first meets the blocks of its own cell, which gives its queries their
+k-th score so far; after that it meets a cell only if one of its queries could still find a row
+there: no row of a cell is further from the centre than the cell's radius, so none scores
+above the centre's product plus the radius times the query's length.  So rows in clusters
+meet few packs, and a block is sent once for ``QUERY_ROWS`` queries at most.
 Tied scores go to the smaller id in every step, so any number of equal vectors
 gives the same result.
 
@@ -42,8 +46,8 @@ from .scratch import materialize
 
 CODEBOOKS, CODEWORDS, BEAM = 24, 128, 8
 FIT_ROWS = 8192
-BLOCK_BYTES = 1 << 24
-QUERY_ROWS = 512
+BLOCK_BYTES, MOST_CELLS = 1 << 23, 1024
+QUERY_ROWS = 2048
 CANDIDATES = 400
 
 
@@ -104,11 +108,22 @@ def in_units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x / scale[:, None]).astype(np.float32), scale
 
 
-def _encoder(books: np.ndarray):
+def _away(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, distance to it, rounded up) of each row; what cannot be told is infinitely far."""
+    with np.errstate(all="ignore"):
+        cell = np.argmin(np.nan_to_num((centres * centres).sum(1) - 2 * (x @ centres.T), nan=np.inf, posinf=np.inf, neginf=-np.inf), 1)
+        rest = x - centres[cell]
+        size = np.abs(rest).max(1)
+        far = size * np.sqrt(((rest / np.where(size > 0, size, 1)[:, None]) ** 2).sum(1)) * (1 + 1e-9)
+    return cell.astype(np.int32), np.where(np.isfinite(far), far, np.inf)
+
+
+def _encoder(books: np.ndarray, centres: np.ndarray):
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
+                cell, far = _away(_matrix(part.column(1), books.shape[2]), centres)
                 x, scale = in_units(_matrix(part.column(1), books.shape[2]))
                 codes = encode(x, books)
                 decoded = decode(codes, books)
@@ -118,7 +133,7 @@ def _encoder(books: np.ndarray):
                 error = np.linalg.norm(x - ratio[:, None] * decoded, axis=1) + 1e-4 * (size + ratio * np.abs(books).max() * len(books))
                 with np.errstate(over="ignore"):
                     ratio, error = ratio * scale, error * scale
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio), pa.array(error), part.column(1)], ["id", "code", "ratio", "error", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio), pa.array(error), part.column(1), pa.array(cell), pa.array(far)], ["id", "code", "ratio", "error", "vector", "cell", "far"])
 
     return run
 
@@ -127,12 +142,48 @@ def _pack_codes(table: pa.Table) -> pa.Table:
     table = table.sort_by("id")
     packed = lambda name: pa.array([table[name].to_numpy().tobytes()])
     vectors = pc.list_flatten(table["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
-    return pa.table({"block": table["block"][:1], "ids": packed("id"), "codes": pa.array([b"".join(table["code"].to_pylist())]), "ratios": packed("ratio"), "errors": packed("error"), "rows": pa.array([vectors.tobytes()])})
+    return pa.table({"cell": table["cell"][:1], "ids": packed("id"), "codes": pa.array([b"".join(table["code"].to_pylist())]), "ratios": packed("ratio"), "errors": packed("error"), "rows": pa.array([vectors.tobytes()])})
 
 
 def _pack_queries(table: pa.Table) -> pa.Table:
     vectors = pc.list_flatten(table["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
-    return pa.table({"group": table["group"][:1], "queries": pa.array([table["id"].to_numpy().tobytes()]), "vectors": pa.array([vectors.tobytes()])})
+    packed = lambda name: pa.array([table[name].to_numpy().tobytes()])
+    return pa.table({"own": table["own"][:1], "queries": packed("id"), "vectors": pa.array([vectors.tobytes()]), "least": packed("least")})
+
+
+def _promising(centres: np.ndarray):
+    """The cell whose centre scores best, for each query."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                with np.errstate(all="ignore"):
+                    score = np.nan_to_num(_matrix(batch.column(1), centres.shape[1]) @ centres.T, nan=-np.inf)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.argmax(1).astype(np.int32))], ["id", "vector", "own"])
+
+    return run
+
+
+def _reachable(centres: np.ndarray, radii: np.ndarray):
+    """Each pack with each cell, but its own, that may hold a row as good as the k-th of one of its queries."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vectors, least = (np.frombuffer(batch.column(c)[i].as_py()) for c in (2, 3))
+                vectors = vectors.reshape(len(least), -1)
+                with np.errstate(all="ignore"):
+                    best = vectors @ centres.T + np.linalg.norm(vectors, axis=1)[:, None] * radii
+                    # A hair is given to what adding in another order may change.
+                    size = np.abs(vectors) @ np.abs(centres).T + np.linalg.norm(vectors, axis=1)[:, None] * radii
+                    open_ = ~(best + 1e-9 * size < least[:, None]) & (radii >= 0)
+                cells = np.flatnonzero(open_.any(0))
+                cells = cells[cells != batch.column(0)[i].as_py()]
+                if len(cells):
+                    rows = pa.array(np.full(len(cells), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), *(batch.column(c).take(rows) for c in (1, 2, 3))], ["cell", "queries", "vectors", "least"])
+
+    return run
 
 
 def best_of(scores: np.ndarray, count: int) -> np.ndarray:
@@ -179,7 +230,8 @@ def _exact_best(query: np.ndarray, approximate: np.ndarray, errors: np.ndarray,
 def _scorer(books: np.ndarray, k: int, candidates: int, slice_rows: int = 64):
     def run(batches):
         for batch in batches:
-            for queries, vectors, ids, codes, ratios, errors, rows in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for queries, vectors, least, ids, codes, ratios, errors, rows in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                least = np.frombuffer(least)
                 queries, ids = np.frombuffer(queries, np.int64), np.frombuffer(ids, np.int64)
                 ratios, errors = np.frombuffer(ratios), np.frombuffer(errors)
                 vectors, rows = np.frombuffer(vectors).reshape(len(queries), -1), np.frombuffer(rows).reshape(len(ids), -1)
@@ -190,9 +242,11 @@ def _scorer(books: np.ndarray, k: int, candidates: int, slice_rows: int = 64):
                     for table, code in zip(tables, codes, strict=True):
                         scores += table[:, code]
                     out_query, out_id, out_score = [], [], []
-                    for query, vector, row in zip(queries[i : i + slice_rows], vectors[i : i + slice_rows], scores, strict=True):
+                    for query, vector, row, known in zip(queries[i : i + slice_rows], vectors[i : i + slice_rows], scores, least[i : i + slice_rows], strict=True):
                         with np.errstate(over="ignore", invalid="ignore"):
                             best, exact = _exact_best(vector, row * ratios, errors, rows, ids != query, k, candidates)
+                        some = ~(exact < known)
+                        best, exact = best[some], exact[some]
                         out_query.append(np.full(len(best), query))
                         out_id.append(ids[best])
                         out_score.append(exact)
@@ -225,15 +279,34 @@ def _nearest_of(base: DataFrame, width: int, count: int, k: int, candidates: int
     sample = base.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
     books = fit(in_units(_matrix(sample["vector"].combine_chunks(), width))[0], codebooks, min(codewords, max(1, sample.num_rows)))
 
-    blocks = max(1, -(-count * width * 8 // BLOCK_BYTES))
-    coded = base.select("id", "vector").mapInArrow(_encoder(books), "id long, code binary, ratio double, error double, vector array<double>")
-    coded = coded.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_pack_codes, "block int, ids binary, codes binary, ratios binary, errors binary, rows binary")
-    asking = base.where("asks").select("id", "vector")
-    groups = max(1, -(-asking.count() // QUERY_ROWS))
-    asked = asking.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("group").applyInArrow(_pack_queries, "group int, queries binary, vectors binary")
-
-    grid = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = coded.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    scored = grid.join(cells, ["group", "block"]).select("queries", "vectors", "ids", "codes", "ratios", "errors", "rows").mapInArrow(_scorer(books, k, candidates), "query_id long, vec_id long, score double")
+    cells = min(MOST_CELLS, sample.num_rows, max(1, -(-count * width * 8 // BLOCK_BYTES)))
+    rows = _matrix(sample["vector"].combine_chunks(), width)
+    with np.errstate(all="ignore"):
+        centres = np.nan_to_num(_kmeans(rows, cells, np.random.default_rng(23))[0], nan=0.0, posinf=0.0, neginf=0.0)
+    coded = base.select("id", "vector").mapInArrow(_encoder(books, centres), "id long, code binary, ratio double, error double, vector array<double>, cell int, far double")
+    coded = materialize(coded, "coded")
+    # One row a cell.
+    held = {r.cell: r for r in coded.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+    radii = np.array([held[c].far if c in held else -np.inf for c in range(cells)])
+    pieces = [-(-held[c].n * width * 8 // BLOCK_BYTES) if c in held else 1 for c in range(cells)]
+    piece = lambda cell, sizes: F.pmod(F.xxhash64("id"), F.get(F.array(*(F.lit(n) for n in sizes)), F.col(cell)))
+    packed = coded.withColumn("piece", piece("cell", pieces)).groupBy("cell", "piece").applyInArrow(_pack_codes, "cell int, ids binary, codes binary, ratios binary, errors binary, rows binary")
+    packed = materialize(packed, "blocks")
+
+    asking = materialize(base.where("asks").select("id", "vector").mapInArrow(_promising(centres), "id long, vector array<double>, own int"), "asking")
+    asked = {r.own: r.n for r in asking.groupBy("own").agg(F.count("*").alias("n")).collect()}
+    shares = [max(1, -(-asked.get(c, 0) // QUERY_ROWS)) for c in range(cells)]
+
+    def packs(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("piece", piece("own", shares)).groupBy("own", "piece").applyInArrow(_pack_queries, "own int, queries binary, vectors binary, least binary")
+
+    columns = ("queries", "vectors", "least", "ids", "codes", "ratios", "errors", "rows")
+    scored = "query_id long, vec_id long, score double"
+    near = packs(asking.withColumn("least", F.lit(float("-inf")))).withColumnRenamed("own", "cell")
+    first = materialize(near.join(packed, "cell").select(*columns).mapInArrow(_scorer(books, k, candidates), scored), "first")
     last = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kth = first.withColumn("rank", F.row_number().over(last)).where((F.col("rank") == k) & ~F.isnan("score")).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    known = asking.join(kth, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    far = packs(known).mapInArrow(_reachable(centres, radii), "cell int, queries binary, vectors binary, least binary")
+    second = far.join(packed, "cell").select(*columns).mapInArrow(_scorer(books, k, candidates), scored)
+    return first.union(second).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -230,3 +230,40 @@ def test_slices_add_and_rank_like_numbers():
         k = int(rng.integers(1, 25))
         best = np.lexsort((np.arange(size), -plain))[:k]
         assert impact_index.top(total, k) == [(int(p), int(plain[p])) for p in best if plain[p] > 0]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e200])
+def test_nearest_neighbours_across_many_cells(spark, monkeypatch, scale):
+    """Cells and packs of a few rows: brute force again, in clusters and out of them."""
+    from quern.llm import additive_ann
+
+    monkeypatch.setattr(additive_ann, "BLOCK_BYTES", 1 << 13)
+    monkeypatch.setattr(additive_ann, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(9, 16))
+    x = np.concatenate([centres[rng.integers(0, 9, 500)] + 0.05 * rng.normal(size=(500, 16)), rng.normal(size=(300, 16)), np.repeat(centres[:1], 40, 0)]) * scale
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in additive_ann.nearest(frame, F.col("vec_id") % 7 == 0, k=6, candidates=12, codebooks=4, codewords=16).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(got) == set(range(0, len(x), 7))
+    for q, found in got.items():
+        with np.errstate(all="ignore"):
+            s = np.zeros(len(x))
+            for d in range(16):
+                s += x[q, d] * x[:, d]
+        order = [i for i in np.lexsort((np.arange(len(x)), -s, np.isnan(s))) if i != q][:6]
+        assert [found[k + 1][0] for k in range(6)] == order
+        assert all(found[k + 1][1] == s[i] or s[i] != s[i] for k, i in enumerate(order))
+
+
+def test_packs_pass_over_cells_that_cannot_help():
+    from quern.llm import additive_ann
+
+    import pyarrow as pa
+
+    centres = np.array([[10.0, 0.0], [0.0, 10.0], [9.0, 1.0], [-10.0, 0.0]])
+    queries, least = np.array([[1.0, 0.0], [2.0, 0.1]]), np.array([8.0, 17.0])
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b"q"]), pa.array([queries.tobytes()]), pa.array([least.tobytes()])], ["own", "queries", "vectors", "least"])
+    met = [c for out in additive_ann._reachable(centres, np.array([1.0, 1.0, 1.0, -np.inf]))([batch]) for c in out.column(0).to_pylist()]
+    assert met == [2]
