@@ -114,15 +114,6 @@ def mine_salary(text: Column) -> Column:
     return F.when(text.rlike(unicode(RANGE)), best["mined"])
 
 
-#: The unanchored range that SQL can express too: groups 1 and 2 are its ends.
-SIMPLE_RANGE = r"\$\s*(\d[\d,]*)\s*(?:-|to)\s*\$\s*(\d[\d,]*)"
-
-
-def simple_range(text: Column) -> tuple[Column, Column]:
-    end = lambda g: parse_amount(F.nullif(F.regexp_extract(text, SIMPLE_RANGE, g), F.lit("")))
-    return end(1), end(2)
-
-
 def cross_fill(disclosed: Column, listed: Column, mined: Column) -> Column:
     """A mined value counts only where no structured one is disclosed."""
     return F.when(~F.coalesce(disclosed, F.lit(False)) & mined.isNotNull(), mined).otherwise(listed)

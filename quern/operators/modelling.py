@@ -303,6 +303,12 @@ def _interval(metric: DataFrame, name: str) -> DataFrame:
     return metric.agg(F.avg(name).alias("mean"), F.percentile(name, 0.025).alias("low"), F.percentile(name, 0.975).alias("high"), F.count("*").alias("replicates"))
 
 
+def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = MAE_REPLICATES, seed: int = 42) -> DataFrame:
+    """(mean, low, high, replicates) of a mean."""
+    sums = resampled(df, key, F.lit(0), F.col(value), replicates, seed)
+    return _interval(sums.where("w > 0").select((F.col("wx") / F.col("w")).alias("mean_of")), "mean_of")
+
+
 def bootstrap_mae(df: DataFrame, y: str, p: str, key: str, replicates: int = MAE_REPLICATES, seed: int = 42) -> DataFrame:
     """(mean, low, high, replicates) of the back-transformed absolute error of log10 predictions."""
     error = F.abs(F.pow(F.lit(10.0), F.col(y)) - F.pow(F.lit(10.0), F.col(p)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stages
 from . import quantiles
 
 # Thresholds.
@@ -119,6 +122,39 @@ def drift_priority(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("n_columns"), F.count_if("drifted").alias("n_drifted"), share.alias("share"), ((F.count_if("drifted") > 0) | (share >= DRIFT_SHARE)).alias("breach"))
 
 
+def write_drift(rows: DataFrame, is_reference: Column, folder: str, date: str) -> bool:
+    """Write ``<date>.metrics.json``, and ``<date>.priority.json`` where a watched column drifted.  Whether one did.
+
+    One row a watched column reaches the driver.
+    """
+    spark = rows.sparkSession
+    numeric, categorical = tracked(rows)
+    report = drift_of_halves(rows, is_reference).orderBy("column").collect()
+    sizes = rows.agg(F.count_if(is_reference).alias("a"), F.count_if(~F.coalesce(is_reference, F.lit(False))).alias("b")).first()
+    drifted, total = [r.column for r in report if r.drifted], len(numeric) + len(categorical)
+    share = round(len(drifted) / total, 4) if total else 0.0
+    breach = bool(drifted) or share >= DRIFT_SHARE
+    metrics = {
+        "snapshot_date": date,
+        "n_current": sizes.b,
+        "n_reference": sizes.a,
+        "columns_total": total,
+        "columns_drifted": drifted,
+        "columns_drifted_count": len(drifted),
+        "drift_share": share,
+        "psi_per_column": {r.column: round(r.psi, 4) for r in report},
+        "priority_breach": breach,
+        "breached_features": drifted,
+        "psi_threshold": DRIFT,
+        "drift_share_threshold": DRIFT_SHARE,
+    }
+    stages.create_once(spark, f"{folder}/{date}.metrics.json", json.dumps(metrics, indent=2))
+    if breach:
+        reason = "PSI threshold breach" if drifted else "drift_share threshold"
+        stages.create_once(spark, f"{folder}/{date}.priority.json", json.dumps({"snapshot_date": date, "reason": reason, "breached_features": drifted, "drift_share": share}, indent=2))
+    return breach
+
+
 def relative_lift(champion: Column, challenger: Column, lower_is_better: Column) -> Column:
     """Relative gain of the challenger; null over a zero champion."""
     gain = (challenger - champion) / F.nullif(F.abs(champion), F.lit(0.0))

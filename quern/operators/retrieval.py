@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import sample_n
+
 # Sizes, separators and constants of retrieval.
 SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", ". ", " ")
 PARENT_CHARS, CHILD_CHARS, CHILD_OVERLAP = 4096, 1024, 128
@@ -248,6 +250,29 @@ def hydrate(children: DataFrame, parents: DataFrame, score: str, k: int) -> Data
     return top_k(out, "query", "parent_chunk_id", "score", k)
 
 
+# --- gold pools -------------------------------------------------------------------------
+
+MIN_POOL, MAX_POOL = 2, 50
+
+
+def gold_pools(rows: DataFrame, keys: list[str], item: str, least: int = MIN_POOL, most: int = MAX_POOL) -> DataFrame:
+    """(keys.., pool): the first ``most`` items of each group of ``least`` or more, by rank, so that no group is gathered whole."""
+    own = Window.partitionBy(*keys).orderBy(item)
+    first = rows.select(*keys, item, F.row_number().over(own).alias("_n")).where(F.col("_n") <= most)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("pool")).where(F.size("pool") >= least)
+
+
+def gold_queries(rows: DataFrame, n: int, seed: int, item: str, text: str, name: str, place: str) -> DataFrame:
+    """(item, query, pool, stratum) of ``n`` rows, by seeded hash, whose ``name`` another row has too; the pool is of the same name and place."""
+    counts = rows.groupBy(F.col(name).alias("_name")).agg(F.count("*").alias("_c")).where(F.col("_c") >= MIN_POOL).select("_name")
+    valid = rows.join(counts, F.col(name) == F.col("_name"), "left_semi")
+    drawn = sample_n(valid.select(item, F.col(text).alias("query"), name, place), n, seed, item)
+    pools = gold_pools(rows, [name, place], item, 1).withColumnsRenamed({name: "_pool_name", place: "_pool_place"})
+    stratum = F.concat(F.lit("title="), F.substring(name, 1, 40), F.lit(" country="), F.coalesce(place, F.lit("None")))
+    found = drawn.join(pools, (F.col(name) == F.col("_pool_name")) & F.col(place).eqNullSafe(F.col("_pool_place")))
+    return found.select(item, "query", "pool", stratum.alias("stratum"))
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ROLES
+from ..sources import stages
 from . import quantiles
 
 
@@ -47,36 +51,54 @@ def target_summary(df: DataFrame, column: str) -> DataFrame:
     return one.select("n", "mean", "median", "sd", *(F.round(f"p{q}", 4).alias(f"p{q}") for q in shares), "skewness", "kurtosis")
 
 
-def ranked(df: DataFrame, column: str, into: str) -> DataFrame:
-    """``df`` with average ranks, from counts of distinct values: ranks are running sums over range blocks.
-
-    Rows are counted by value first; values fall into blocks by quantile; a value's
-    rank is the rows of earlier blocks, plus those before it in its own block.
+def _running(batches):
+    """Of (column, side, v, n) in order: the rows of smaller values of the same column and side in this partition."""
+    held, total = None, 0
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+        n = batch.column(3).to_numpy()
+        if held != key[0]:
+            total = 0
+        sums = np.cumsum(n) - n
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        base = sums[starts].copy()
+        base[0] -= total
+        before = sums - np.repeat(base, np.diff(np.append(starts, len(key))))
+        held, total = key[-1], before[-1] + n[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.full(len(key), part, np.int32))], ["column", "side", "v", "n", "before", "part"])
+
+
+def ranks(values: DataFrame) -> DataFrame:
+    """(column, side, v, rank): average ranks of the distinct values of every (column, side) at once.
+
+    Values are counted, dealt by range and numbered within their range; how many rows lie in the ranges before is one sum a
+    range.  Rows of one value are one row here, however many they are.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
-    edges = counts.agg(F.percentile_approx(column, [i / 64 for i in range(1, 64)], 2000).alias("e")).first().e or []
-    edges = sorted(set(edges))
-    block = F.lit(0)
-    for edge in edges:
-        block = block + (F.col(column) > edge).cast("int")
-    counts = counts.withColumn("_b", block)
-    # At most 64 rows, so the order over blocks is one small task.
-    offsets = counts.groupBy("_b").agg(F.sum("_c").alias("_s"))
-    offsets = offsets.withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_o")
-    inside = Window.partitionBy("_b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_i", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(F.broadcast(offsets), "_b")
-    placed = placed.select(F.col(column).alias("_v"), (F.col("_o") + F.col("_i") + (F.col("_c") + 1) / 2).alias(into))
-    return df.join(placed, F.col(column) == F.col("_v"), "left").drop("_v")
+    counts = values.groupBy("column", "side", "v").agg(F.count("*").alias("n"))
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = counts.repartitionByRange(parts, "column", "side", "v").sortWithinPartitions("column", "side", "v")
+    local = stages.temporary(ordered.mapInArrow(_running, "column int, side int, v double, n long, before long, part int"), "ranks")
+    # As many rows as ranges, a column and side.
+    own = Window.partitionBy("column", "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = local.groupBy("column", "side", "part").agg(F.sum("n").alias("rows")).withColumn("offset", F.coalesce(F.sum("rows").over(own), F.lit(0))).drop("rows")
+    return local.join(F.broadcast(ranges), ["column", "side", "part"]).select("column", "side", "v", (F.col("offset") + F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """(column, pearson, spearman) over rows that have both values."""
-    out = None
-    for c in columns:
-        both = df.where(F.col(c).isNotNull() & F.col(target).isNotNull()).select(F.col(c).cast("double").alias("x"), F.col(target).cast("double").alias("y"))
-        one = ranked(ranked(both, "x", "rx"), "y", "ry").agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman")).select(F.lit(c).alias("column"), "pearson", "spearman")
-        out = one if out is None else out.union(one)
-    return out
+    """(column, pearson, spearman) of each column with the target, over rows that have both values."""
+    value = lambda c: F.col(c).cast("double")
+    pairs = F.array(*(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), F.struct(F.lit(i).alias("column"), value(c).alias("x"), value(target).alias("y"))) for i, c in enumerate(columns)))
+    rows = df.select(F.inline(F.array_compact(pairs)))
+    sides = F.inline(F.array(F.struct("column", F.lit(0).alias("side"), F.col("x").alias("v")), F.struct("column", F.lit(1).alias("side"), F.col("y").alias("v"))))
+    placed = ranks(rows.select(sides))
+    of = lambda side, v, name: placed.where(F.col("side") == side).select("column", F.col("v").alias(v), F.col("rank").alias(name))
+    both = rows.join(of(0, "x", "rx"), ["column", "x"]).join(of(1, "y", "ry"), ["column", "y"])
+    found = both.groupBy("column").agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    names = F.array(*(F.lit(c) for c in columns))
+    return found.select(F.get(names, F.col("column")).alias("column"), "pearson", "spearman")
 
 
 def anova(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
@@ -170,16 +192,6 @@ def grouped_medians(df: DataFrame, group: str, value: str, n: int = 10) -> DataF
     return quantiles.aggregate(known, [group], [], {"median": (value, 0.5)}).withColumn("median", F.round("median", 4)).orderBy(F.desc("median"), group).limit(n)
 
 
-def bootstrap(df: DataFrame, value: str, key: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """(mean, low, high): Poisson bootstrap of a mean; a row's weights come from hashes, so it is one pass and repeats exactly."""
-    u = lambda i: F.pmod(F.xxhash64(F.lit(seed), i, F.col(key)), F.lit(1_000_003)) / 1_000_003.0
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    weight = lambda i: sum(((u(i) >= s).cast("int") for s in steps), F.lit(0))
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("x"), key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    means = rows.groupBy("r").agg((F.sum(F.col("x") * weight(F.col("r"))) / F.sum(weight(F.col("r")))).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
 def principal_plane(df: DataFrame, columns: list[str]) -> DataFrame:
     """Two principal components of complete, standardised rows."""
     from pyspark.ml import Pipeline

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions import cascade, text
 from ..operators import indexing, ingest, models, retrieval, sqlguard, stats, views
-from ..sources import payloads
 from .postings import enriched
 from .registry import JOBS, query
 from .retrieving import prepared
@@ -139,29 +138,6 @@ def salary_bands(spark, sf):
     return fixtures.jobs(spark, sf).select("id", low.alias("low"), high.alias("high"))
 
 
-_GREEN = '{"jobs": [{"absolute_url": "https://x/1", "title": "Miller", "location": {"name": "Boston, MA"}, "content": "&lt;p&gt;Grind&lt;/p&gt;", "first_published": "2026-05-01T00:00:00Z", "pay_input_ranges": [{"min_cents": 10000000, "max_cents": 12000000, "currency_type": "USD", "interval": "annual"}]}, {"title": "no url"}]}'
-_LEVER = '[{"text": "Baker", "hostedUrl": "https://y/1", "categories": {"location": "Remote", "commitment": "Full-time"}, "createdAt": 1777593600000, "description": "Bake", "salaryRange": {"min": 30, "max": 41.5, "currency": "CAD", "interval": "per-hour-wage"}}]'
-_ASHBY = '{"jobs": [{"jobUrl": "https://z/1", "title": "Sower", "isRemote": true, "location": "", "secondaryLocations": "[{\\"location\\":\\"Toronto\\"}]", "descriptionPlain": "Sow", "compensation": {"compensationTiers": [{"components": [{"compensationType": "Equity"}, {"compensationType": "Salary", "compensationValue": {"minValue": 1.0, "maxValue": 2.0, "currencyCode": "CAD", "interval": "1 WEEK"}}]}]}}]}'
-
-
-@query(
-    """SELECT * FROM (VALUES ('a', 'greenhouse', 'Miller', 'Boston, MA', 'Grind', 100000.0::DOUBLE, 120000.0::DOUBLE, 'USD', 'year'), ('b', 'lever', 'Baker', 'Remote', 'Commitment: Full-time' || chr(10) || chr(10) || 'Bake', 30.0, 41.5, 'CAD', 'hour'),
-('c', 'ashby', 'Sower', 'Remote – Toronto', 'Sow', 1.0, 2.0, 'CAD', NULL)) t(company_slug, source, title, location_raw, description_md, salary_min, salary_max, salary_currency, salary_period)"""
-)
-def board_payloads(spark, sf):
-    rows = [("a", "A", "greenhouse", _GREEN), ("b", "B", "lever", _LEVER), ("c", "C", "ashby", _ASHBY), ("d", "D", "none", "{}"), ("e", "E", "lever", "{broken")]
-    jobs, _ = payloads.extract_all(spark.createDataFrame(rows, "company_slug string, company_name string, provider string, payload string"))
-    return jobs.select("company_slug", "source", "title", "location_raw", "description_md", "salary_min", "salary_max", "salary_currency", "salary_period")
-
-
-@query("SELECT * FROM (VALUES ('a', 2, NULL), ('b', 0, 'unreadable payload'), ('c', 0, 'unknown provider')) t(company_slug, jobs, error)")
-def payload_errors(spark, sf):
-    two = _GREEN.replace('{"title": "no url"}', '{"title": "Second", "absolute_url": "https://x/2"}')
-    rows = [("a", "A", "greenhouse", two), ("b", "B", "lever", "{broken"), ("c", "C", "none", "{}")]
-    _, stats = payloads.extract_all(spark.createDataFrame(rows, "company_slug string, company_name string, provider string, payload string"))
-    return stats.select("company_slug", F.col("jobs").cast("int").alias("jobs"), "error")
-
-
 #: (name, statement over postings, what it gives in DuckDB, or None where it must be refused).
 _STATEMENTS = (
     ("plain", "SELECT country, count(*) AS n FROM jobs GROUP BY country", "SELECT count(*) FROM (SELECT DISTINCT country FROM jobs)"),

@@ -88,18 +88,6 @@ def bootstrap_f1(spark, sf):
     return modelling.bootstrap_f1(both.withColumn("guess", (F.col("n_chars") > 500).cast("int")), "quality", "guess", "doc_id", [0, 1])
 
 
-_COEFS = tuple((f"x{i}", ((i * 37) % 23 - 11) / 7) for i in range(20))
-_COEF_VALUES = ", ".join(f"('{n}', {c!r}::DOUBLE)" for n, c in _COEFS)
-
-
-@query(f"SELECT name, round(abs(coef), 9) AS abs_coef, round(coef, 9) AS coef FROM (VALUES {_COEF_VALUES}) t(name, coef) ORDER BY abs(coef) DESC, name LIMIT 15")
-def coefficient_join(spark, sf):
-    signed = spark.createDataFrame(list(_COEFS), "name string, coef double")
-    return modelling.coefficients(signed).select("name", F.round("abs_coef", 9).alias("abs_coef"), F.round("coef", 9).alias("coef"))
-
-
-
-
 def _labelled_sql(column):
     return JOBS + f", l AS (SELECT *, CASE WHEN k % 50 <> 0 THEN {column} END AS label FROM jobs) "
 

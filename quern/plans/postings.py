@@ -75,29 +75,6 @@ def salary_usd_yearly(spark, sf):
     return enriched(spark, sf).select("id", F.round("salary_min_usd_yearly", 4).alias("low"), F.round("salary_max_usd_yearly", 4).alias("high"))
 
 
-_SIMPLE = r"TRY_CAST(replace(regexp_extract(description_md, '" + salary.SIMPLE_RANGE + r"', {}), ',', '') AS DOUBLE)"
-
-
-@query(JOBS + f"SELECT id, {_SIMPLE.format(1)} AS low, {_SIMPLE.format(2)} AS high FROM jobs0")
-def feat_salary_simple(spark, sf):
-    low, high = salary.simple_range(F.col("description_md"))
-    return fixtures.jobs(spark, sf).select("id", low.alias("low"), high.alias("high"))
-
-
-_SAYS = "contains(low, '{}')"
-#: The derived texts hold one range at most, so the first match is the best one.
-_MINED = f"""m0 AS (SELECT *, regexp_extract(description_md, {quoted(salary.RANGE)}, 0) AS m FROM jobs0),
-m1 AS (SELECT *, strpos(description_md, m) - 1 AS s, replace(regexp_extract(m, {quoted(salary.RANGE)}, 1), ',', '')::DOUBLE AS a, replace(regexp_extract(m, {quoted(salary.RANGE)}, 2), ',', '')::DOUBLE AS b FROM m0 WHERE m <> ''),
-m2 AS (SELECT *, substr(description_md, greatest(s - 100, 0) + 1, s + length(m) + 100 - greatest(s - 100, 0)) AS w, s - greatest(s - 100, 0) AS place FROM m1),
-m3 AS (SELECT *, lower(w) AS low, strpos(w, regexp_extract(w, {quoted(salary.ANCHOR)}, 0)) - 1 AS anchor FROM m2 WHERE regexp_matches(w, {quoted(salary.ANCHOR)})),
-m4 AS (SELECT *, CASE WHEN ({_SAYS.format('hour')} OR {_SAYS.format('/hr')} OR (NOT {_SAYS.format('/yr')} AND {_SAYS.format('/h')})) AND NOT ({_SAYS.format('annual')} OR {_SAYS.format('per year')}) THEN 'hour'
-    WHEN {_SAYS.format('month')} THEN 'month' WHEN {_SAYS.format('day')} THEN 'day' WHEN greatest(a, b) < 5000 THEN 'hour' ELSE 'year' END AS period FROM m3),
-m5 AS (SELECT *, CASE WHEN period = 'year' THEN 1.0 ELSE 0.7 END * (1 - least(abs(anchor - place), 100) / 200) AS score FROM m4
-    WHERE greatest(a, b) BETWEEN CASE period WHEN 'year' THEN 30000 WHEN 'month' THEN 2000 WHEN 'day' THEN 200 ELSE 10 END AND CASE period WHEN 'year' THEN 1500000 WHEN 'month' THEN 100000 WHEN 'day' THEN 4000 ELSE 500 END),
-mined AS (SELECT id, least(a, b) AS salary_min, greatest(a, b) AS salary_max, CASE WHEN regexp_matches(upper(w), 'CAD|CDN|C\\$|CANADIAN') THEN 'CAD' ELSE 'USD' END AS salary_currency, period AS salary_period,
-    round(least(0.95, 0.7 + 0.25 * score), 3) AS confidence FROM m5)"""
-
-
 @query(JOBS + f", {_MINED} SELECT j.id, m.salary_min, m.salary_max, m.salary_currency, m.salary_period, m.confidence FROM jobs0 j LEFT JOIN mined m USING (id)")
 def feat_salary_mined(spark, sf):
     return fixtures.jobs(spark, sf).select("id", salary.mine_salary(F.col("description_md")).alias("m")).select("id", "m.*")
@@ -117,10 +94,19 @@ def remote_promote(spark, sf):
 
 
 
-@query()
+_FRENCH_DOCS = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Analyste de ' || lang WHEN doc_id % 4 = 1 THEN 'Analystes' WHEN doc_id % 4 = 2 THEN lang || ' analyste' END AS title,
+    CASE WHEN doc_id % 3 = 0 THEN 'QC' WHEN doc_id % 3 = 1 THEN 'ON' END AS region, CASE WHEN doc_id % 5 = 0 THEN 'Ville de Québec' WHEN doc_id % 5 = 1 THEN 'Toronto' END AS location, text FROM {docs}"""
+
+
+@query(rf"""WITH d AS ({_FRENCH_DOCS.format(docs="documents")}),
+-- DuckDB's boundaries know ASCII alone: words are runs of letters, digits and underscores, counted one by one.
+w AS (SELECT doc_id, title, region, location, len(list_filter(regexp_extract_all(lower(substr(coalesce(text, ''), 1, {text.FRENCH_CHARS})), '[\p{{L}}\p{{M}}\p{{N}}_]+'),
+    lambda x: regexp_full_match(x, '{text.FRENCH_WORDS.removeprefix("(?i)" + chr(92) + "b(").removesuffix(")" + chr(92) + "b")}'))) AS hits FROM d)
+SELECT doc_id, regexp_matches(coalesce(title, ''), '(?i)^\s*analyste($|[^\p{{L}}\p{{N}}_])') OR (hits >= {text.FRENCH_HITS} AND (coalesce(region, '') = 'QC' OR contains(lower(coalesce(location, '')), 'québec'))) AS french FROM w""")
 def french_filter(spark, sf):
-    docs = fixtures.table(spark, sf, "documents")
-    return docs.select("doc_id", text.is_french(F.lit(""), F.col("text"), F.lit("QC"), F.lit("")).alias("french"))
+    """By the title alone, or by five French words in a text from Quebec: a region or a place that says so."""
+    docs = spark.sql(_FRENCH_DOCS, docs=fixtures.table(spark, sf, "documents"))
+    return docs.select("doc_id", text.is_french(F.col("title"), F.col("text"), F.col("region"), F.col("location")).alias("french"))
 
 
 _STRIP = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
@@ -141,9 +127,11 @@ def json_and_epoch(spark, sf):
     return fixtures.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), text.parse_epoch_ms(F.col("event_id") * 1000).cast("timestamp_ntz").alias("at"))
 
 
-@query(JOBS + "SELECT id, title || ' — ' || substr(description_md, 1, 1000) AS t FROM jobs0")
+@query("SELECT doc_id, lang || ' — ' || substr(coalesce(text, ''), 1, 1000) AS short, lang || ' — ' || substr(coalesce(text, ''), 1, 1500) AS long FROM documents")
 def classifier_text(spark, sf):
-    return fixtures.jobs(spark, sf).select("id", title.classifier_text(F.col("title"), F.col("description_md"), 1000).alias("t"))
+    """Both lengths: 1,000 characters for seniority, 1,500 for role families."""
+    made = lambda n: title.classifier_text(F.col("lang"), F.col("text"), n)
+    return fixtures.table(spark, sf, "documents").select("doc_id", made(1000).alias("short"), made(1500).alias("long"))
 
 
 @query(JOBS + "SELECT id, CASE WHEN length(d) > 280 THEN substr(d, 1, 277) || '…' ELSE d END AS snippet FROM (SELECT id, replace(description_md, chr(10), ' ') AS d FROM jobs0)")

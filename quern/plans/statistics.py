@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..operators import monitoring, sampling, stats
+from ..operators import modelling, monitoring, sampling, stats
+from ..sources import files, stages
 from .postings import enriched
 from .registry import JOBS, query
 
@@ -22,9 +25,14 @@ _ROLES = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in _ROLES) + ') t("column", role)')
+@query(JOBS + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{r}' AS role, count({c}) AS n_known FROM jobs" for c, r in _ROLES))
 def column_roles(spark, sf):
-    return stats.column_roles(enriched(spark, sf)).select("column", "role")
+    """Each column's role, and how many rows have a value in it."""
+    rows = enriched(spark, sf)
+    roles = stats.column_roles(rows).select("column", "role")
+    one = rows.agg(*(F.count(c).alias(c) for c, _ in _ROLES))
+    known = one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_known")) for c, _ in _ROLES))))
+    return roles.join(known, "column")
 
 
 _COLS = ("country", "region", "city", "salary_max")
@@ -59,9 +67,9 @@ def target_summary(spark, sf):
     return stats.target_summary(_orders(spark, sf), _P)
 
 
-@query("WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rx, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS ry FROM lineitem) SELECT 'l_quantity' AS \"column\", round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r")
+@query("WITH v AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS c, unnest([l_quantity, l_discount, l_tax]) AS x, l_extendedprice AS y FROM lineitem), r AS (SELECT c, x, y, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY c ORDER BY y) + (count(*) OVER (PARTITION BY c, y) - 1) / 2.0 AS ry FROM v) SELECT c AS \"column\", round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY c")
 def correlations(spark, sf):
-    return stats.correlations(fixtures.table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return stats.correlations(fixtures.table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 
 
 @query("WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1 HAVING count(*) >= 5), s AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * m) AS s1, sum(n * m * m) AS s2, sum((n - 1) * v) AS w FROM g) SELECT k, n, round(((s2 - s1 * s1 / n) / (k - 1)) / (w / (n - k)), 4) AS f FROM s")
@@ -101,7 +109,7 @@ def grouped_medians(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap(fixtures.table(spark, sf, "customer"), "c_acctbal", "c_custkey")
+    return modelling.bootstrap_mean(fixtures.table(spark, sf, "customer"), "c_acctbal", "c_custkey")
 
 
 # --- monitoring -------------------------------------------------------------------------
@@ -166,20 +174,27 @@ def drift_share(spark, sf):
     return monitoring.drift_priority(_drift(spark, sf))
 
 
-_METRICS = (
-    ("a", "f1", True, False, 0.80, 0.82), ("a", "acc", False, False, 0.90, 0.91), ("b", "f1", True, False, 0.80, 0.805), ("b", "acc", False, False, 0.90, 0.90),
-    ("c", "mae", True, True, 100.0, 95.0), ("c", "mape", False, True, 20.0, 21.0), ("d", "acc", False, False, 0.5, 0.9), ("e", "f1", True, False, 0.0, 0.9),
-)
-_VALUES = ", ".join(f"('{p}', '{m}', {str(a).lower()}, {str(b).lower()}, {x}::DOUBLE, {y}::DOUBLE)" for p, m, a, b, x, y in _METRICS)
+#: (metric, primary, lower is better, measure) of each priority's orders: those of odd keys challenge those of even ones.
+_MEASURES = (("price", True, False, "avg(o_totalprice)"), ("spread", False, True, "stddev_samp(o_totalprice)"), ("least", False, False, "-min(o_totalprice)"))
+
+
+def _measured(side):
+    return ", ".join(f"{m} FILTER (WHERE o_orderkey % 2 = {side}) AS {n}_{side}" for n, _, _, m in _MEASURES)
+
 
+_GATE = f"SELECT o_orderpriority AS pair, {_measured(0)}, {_measured(1)} FROM orders GROUP BY 1"
 
-@query(f"""WITH m AS (SELECT *, CASE WHEN lower THEN -1 ELSE 1 END * (b - a) / nullif(abs(a), 0) AS lift FROM (VALUES {_VALUES}) t(pair, metric, prim, lower, a, b)),
-g AS (SELECT pair, count(*) FILTER (prim) AS has, coalesce(max(lift) FILTER (prim), 0) AS lift, min(lift) FILTER (NOT prim) AS worst FROM m GROUP BY pair)
+
+@query(f"""WITH o AS ({_GATE}), m AS (SELECT *, CASE WHEN lower THEN -1 ELSE 1 END * (b - a) / nullif(abs(a), 0) AS lift FROM (
+{' UNION ALL '.join(f"SELECT pair, {str(p).lower()} AS prim, {str(low).lower()} AS lower, {n}_0 AS a, {n}_1 AS b FROM o" for n, p, low, _ in _MEASURES)})),
+g AS (SELECT pair, count(*) FILTER (prim AND a IS NOT NULL AND b IS NOT NULL) AS has, coalesce(max(lift) FILTER (prim), 0) AS lift, min(lift) FILTER (NOT prim) AS worst FROM m GROUP BY pair)
 SELECT pair, round(lift, 6) AS lift, round(worst, 6) AS worst_secondary, CASE WHEN has > 0 AND NOT coalesce(worst < -0.02, false) AND lift >= 0.01 THEN 'promote' ELSE 'hold' END AS decision,
     CASE WHEN has = 0 THEN 'primary metric missing' WHEN worst < -0.02 THEN 'secondary regression' WHEN lift < 0.01 THEN 'lift below threshold' ELSE 'promote' END AS reason FROM g""")
 def gate_decision(spark, sf):
-    rows = spark.createDataFrame(list(_METRICS), "pair string, metric string, is_primary boolean, lower_is_better boolean, champion double, challenger double")
-    return monitoring.gate(rows)
+    """Whether a priority's orders of odd keys would take the place of those of even keys."""
+    wide = spark.sql(_GATE.replace("FROM orders", "FROM {orders}"), orders=_orders(spark, sf))
+    rows = F.array(*(F.struct(F.lit(n).alias("metric"), F.lit(p).alias("is_primary"), F.lit(low).alias("lower_is_better"), F.col(f"{n}_0").alias("champion"), F.col(f"{n}_1").alias("challenger")) for n, p, low, _ in _MEASURES))
+    return monitoring.gate(wide.select("pair", F.inline(rows)))
 
 
 @query(JOBS + "SELECT source, count(*) AS n_jobs, max(posted_at) AS last_seen FROM jobs0 GROUP BY 1")
@@ -190,3 +205,31 @@ def health_fallback(spark, sf):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events")
 def metric_path(spark, sf):
     return fixtures.table(spark, sf, "events").select("event_id", monitoring.metric_at(F.col("props"), "k").alias("v"))
+
+
+@query(_DRIFT + """SELECT '2026-05-22' AS snapshot_date, (SELECT count(*) FROM h WHERE half) AS n_reference, (SELECT count(*) FROM h WHERE NOT half) AS n_current, count(*) AS columns_total,
+    count(*) FILTER (psi >= 0.2) AS columns_drifted_count, round(count(*) FILTER (psi >= 0.2) / count(*), 4) AS drift_share, count(*) FILTER (psi >= 0.2) > 0 OR count(*) FILTER (psi >= 0.2) / count(*) >= 0.3 AS priority_breach,
+    coalesce(list_sort(list("column") FILTER (psi >= 0.2)), []) AS breached_features, round(sum(round(psi, 4)), 4) AS psi_sum FROM report""")
+def drift_artifacts(spark, sf):
+    """What a drift run writes for a date, read back from the file."""
+    rows = sampling.halves(enriched(spark, sf), 7, "id")
+    folder = f"{stages.shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    monitoring.write_drift(rows, F.col("half") == "reference", folder, "2026-05-22")
+    kinds = "snapshot_date string, n_reference long, n_current long, columns_total long, columns_drifted_count long, drift_share double, priority_breach boolean, breached_features array<string>, psi_per_column map<string, double>"
+    read = spark.read.schema(kinds).option("multiLine", "true").json(f"{folder}/2026-05-22.metrics.json")
+    total = F.aggregate(F.map_values("psi_per_column"), F.lit(0.0), lambda s, v: s + v)
+    return read.select("*", F.round(total, 4).alias("psi_sum")).drop("psi_per_column")
+
+
+_RUNS = "SELECT event_type AS source, CAST(ts AS DATE) AS day, max(ts) AS finished_at, count(*) AS n_jobs, count(*) FILTER (WHERE value < 10) AS n_errors FROM {events} GROUP BY 1, 2"
+
+
+@query(f"SELECT source, max(finished_at) AS finished_at, arg_max(n_jobs, finished_at) AS n_jobs, arg_max(n_errors, finished_at) AS n_errors FROM ({_RUNS.format(events='events')}) GROUP BY 1")
+def health_rollup(spark, sf):
+    """The latest of each source's daily runs, from the artefacts that the runs left: one JSON line each."""
+    runs = spark.sql(_RUNS, events=fixtures.table(spark, sf, "events"))
+    path = f"{stages.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    # As text, since JSON would keep milliseconds alone.
+    runs.withColumn("finished_at", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.json(path)
+    read = files.read_jsonl(spark, path, "source string, finished_at string, n_jobs long, n_errors long", ("source",))
+    return monitoring.health_rollup(read.withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz")))

@@ -47,18 +47,6 @@ def join_optional_key(spark, sf):
     return enriched(spark, sf).join(F.broadcast(v), on).select("t", "id")
 
 
-@query(JOBS + "SELECT title, country, list_sort(list(id))[1:50] AS pool FROM jobs GROUP BY title, country HAVING count(*) > 1")
-def self_join_pool(spark, sf):
-    """At most 50 ids a pool, by rank, so that no pool is gathered whole."""
-    from pyspark.sql import Window
-
-    from .postings import enriched
-
-    own = Window.partitionBy("title", "country").orderBy("id")
-    rows = enriched(spark, sf).select("id", "title", "country", F.row_number().over(own).alias("n")).where("n <= 50")
-    return rows.groupBy("title", "country").agg(F.array_sort(F.collect_list("id")).alias("pool")).where(F.size("pool") > 1)
-
-
 @query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_dup_docs(spark, sf):
     return fixtures.table(spark, sf, "documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import stages
+
 REPORT_ROWS = 10_000
 
 
@@ -27,11 +29,25 @@ def known_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
     return spark.read.parquet(path).select(key).distinct()
 
 
-def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """All ``<date>/jobs.parquet`` below a folder, by column name, with ``snapshot_date``."""
+def read_snapshots(spark: SparkSession, root: str, *dates: str) -> DataFrame:
+    """The snapshot table of ``write_snapshot``, by column name, or the partitions of some dates alone."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}/snapshots").withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+    return rows.where(F.col("snapshot_date").isin([F.lit(d).cast("date") for d in dates])) if dates else rows
+
+
+def read_dated(spark: SparkSession, root: str) -> DataFrame:
+    """All ``<date>/jobs.parquet`` below a folder, as other writers leave them, with ``snapshot_date`` from the file's path."""
     pattern = f"{root.rstrip('/')}/[0-9][0-9][0-9][0-9]*/jobs.parquet"
     rows = spark.read.option("mergeSchema", "true").parquet(pattern)
-    return rows.withColumn("snapshot_date", F.regexp_extract(F.input_file_name(), r"/(\d{4}-\d{2}-\d{2})/jobs\.parquet", 1).cast("date"))
+    return rows.select("*", F.regexp_extract("_metadata.file_path", r"/(\d{4}-\d{2}-\d{2})/jobs\.parquet", 1).cast("date").alias("snapshot_date"))
+
+
+def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The snapshot that was written last."""
+    folder = f"{root.rstrip('/')}/latest"
+    fs, where = stages.file_system(spark, folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(where))
+    return read_snapshots(spark, root, stages.read_text(spark, f"{folder}/{names[-1]}"))
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -49,9 +65,18 @@ def last_by_key(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, root: str, date: str) -> None:
-    """The dated table, and the latest one over it."""
-    for name in (date, "latest"):
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/jobs.parquet")
+    """One date's partition of the snapshot table, in place of what that date held; other dates are not touched.
+
+    ``latest`` is a pointer, a new small file a write, and no second copy: a reader sees the old one or the new one.
+    """
+    spark = df.sparkSession
+    own = df.drop("snapshot_date").withColumn("snapshot_date", F.lit(date))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(f"{root.rstrip('/')}/snapshots")
+    folder = f"{root.rstrip('/')}/latest"
+    fs, where = stages.file_system(spark, folder)
+    number = len(fs.listStatus(where)) if fs.exists(where) else 0
+    while not stages.create_once(spark, f"{folder}/{number:010d}", date):
+        number += 1
 
 
 def write_curated(active: DataFrame, history: DataFrame, root: str) -> None:

@@ -67,11 +67,11 @@ def extract_all(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     for provider, extractor in EXTRACTORS.items():
         one = extractor(payloads.where(F.col("provider") == provider))
         out = one if out is None else out.unionByName(one)
-    counts = out.groupBy("company_slug").agg(F.count("*").alias("jobs"))
+    counts = out.groupBy("company_slug", F.col("source").alias("provider")).agg(F.count("*").alias("jobs"))
     known = F.col("provider").isin(*EXTRACTORS)
     readable = F.try_parse_json("payload").isNotNull()
     error = F.when(~known, "unknown provider").when(~F.coalesce(readable, F.lit(False)), "unreadable payload")
-    return out, payloads.join(counts, "company_slug", "left").select("company_slug", "provider", F.coalesce("jobs", F.lit(0)).alias("jobs"), error.alias("error"))
+    return out, payloads.join(counts, ["company_slug", "provider"], "left").select("company_slug", "provider", F.coalesce("jobs", F.lit(0)).alias("jobs"), error.alias("error"))
 
 
 def registry(spark: SparkSession, companies: list[dict]) -> DataFrame:

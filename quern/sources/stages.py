@@ -97,6 +97,16 @@ def staged(spark: SparkSession, name: str, key: str, build: Callable[[], DataFra
     return spark.read.parquet(f"{home}/{read_text(spark, f'{home}/_committed')}")
 
 
+def temporary(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again; the file system deletes it when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/temporary/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = file_system(spark, path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, where = file_system(spark, path)
     return fs.exists(where)

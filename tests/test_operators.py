@@ -79,6 +79,11 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     files.write_snapshot(df, f"{root}/s", "2026-05-01")
     files.write_snapshot(df.withColumn("more", F.lit(1)), f"{root}/s", "2026-05-08")
+    files.write_snapshot(df.limit(1), f"{root}/s", "2026-05-01")
+    assert files.read_snapshots(spark, f"{root}/s", "2026-05-01").count() == 1 and files.latest_snapshot(spark, f"{root}/s").count() == 1
+    files.write_snapshot(df, f"{root}/s", "2026-05-01")
+    df.write.parquet(f"{root}/d/2026-05-01/jobs.parquet")
+    assert [str(r.snapshot_date) for r in files.read_dated(spark, f"{root}/d").collect()] == ["2026-05-01"] * 2
     rows = files.read_snapshots(spark, f"{root}/s")
     assert {str(r.snapshot_date) for r in rows.collect()} == {"2026-05-01", "2026-05-08"}
     assert history.history(rows).count() == 2
