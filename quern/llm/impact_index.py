@@ -39,7 +39,7 @@ from .exprs import LOWER, UPPER
 from .scratch import materialize
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK, BLOCK_POSTINGS, GROUP = 1 << 14, 1 << 21, 256
+BLOCK, BLOCK_POSTINGS, GROUP = 1 << 14, 1 << 20, 256
 LENGTH_PERCENT, SATURATION, ONE, WEIGHT_SCALE = 25, 12, 1_000_000_000, 1000
 
 _POSTINGS = "block long, term string, documents binary, counts binary, n_documents long, ids array<long>, lengths binary, n_terms long"
