@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stages
 from . import quantiles
 from .models import CAP_QUANTILE, MIN_SALARY, trainer
 from .sampling import folds, is_test
@@ -239,23 +242,62 @@ def boosted_settings(trial: int, seed: int = 42, ranges: dict[str, tuple[float,
     return out
 
 
-def boosted_search(df: DataFrame, label: str, key: str, trials: int = TRIALS, k: int = FOLDS, seed: int = 42, ranges: dict[str, tuple[float, float]] = BOOSTED_RANGES):
-    """(model, settings, squared error): boosted trees at the best of ``trials`` settings by k folds, refitted to all rows."""
-    dealt = folds(df, k, seed, key).cache()
-    best = None
-    for trial in range(trials):
-        settings = boosted_settings(trial, seed, ranges)
+@dataclass
+class Trial:
+    """One setting: the last rung that it reached, and its mean squared error over that rung's folds."""
+
+    number: int
+    settings: dict[str, float]
+    rung: int = -1
+    error: float = math.inf
+
+
+@dataclass
+class Search:
+    model: object
+    best: Trial
+    trials: list[Trial]
+
+
+#: Of each rung: the share of a setting's trees, and of the folds, that it is tried with.
+RUNGS = ((1 / 9, 0.2), (1 / 3, 0.4), (1.0, 1.0))
+KEPT, WORKERS = 1 / 3, 8
+
+
+def boosted_search(df: DataFrame, label: str, key: str, trials: int = TRIALS, k: int = FOLDS, seed: int = 42, ranges: dict[str, tuple[float, float]] = BOOSTED_RANGES, rungs: tuple[tuple[float, float], ...] = RUNGS, workers: int = WORKERS) -> Search:
+    """Boosted trees at the best of ``trials`` settings, refitted to all rows.
+
+    Settings are halved rung by rung: all are tried with few trees on few folds, the best third with more, and what is left with
+    all of its trees on all ``k`` folds.  Trials of a rung run at once, each from a thread and scheduler pool of its own, so a
+    cluster is filled by many small fits.  Folds are written once.  Ties go to the lower number, so a rerun has the same winner.
+    """
+    spark = df.sparkSession
+    dealt = stages.temporary(folds(df.select(label, key, "features"), k, seed, key), "folds")
+
+    def error(trial: Trial, rung: int) -> float:
+        share, of_folds = rungs[rung]
+        settings = trial.settings | {"maxIter": max(1, round(trial.settings["maxIter"] * share))}
         errors = []
-        for fold in range(k):
-            fitted = trainer("boosted", label, seed, **settings).fit(dealt.where(F.col("fold") != fold))
-            one = fitted.transform(dealt.where(F.col("fold") == fold)).agg(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)).alias("e")).first()
+        for fold in range(max(1, round(of_folds * k))):
+            train, held = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
+            fitted = trainer("boosted", label, seed, **settings).fit(train)
+            one = fitted.transform(held).agg(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)).alias("e")).first()
             errors += [one.e] if one.e is not None else []
-        error = sum(errors) / max(1, len(errors))
-        if best is None or error < best[1]:
-            best = (settings, error)
-    model = trainer("boosted", label, seed, **best[0]).fit(dealt)
-    dealt.unpersist()
-    return model, *best
+        return sum(errors) / len(errors) if errors else math.inf
+
+    def run(trial: Trial, rung: int) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial.number}")
+        trial.rung, trial.error = rung, error(trial, rung)
+
+    every = [Trial(i, boosted_settings(i, seed, ranges)) for i in range(trials)]
+    left = every
+    for rung in range(len(rungs)):
+        with ThreadPoolExecutor(workers) as pool:
+            list(pool.map(inheritable_thread_target(spark)(run), left, [rung] * len(left)))
+        left = sorted(left, key=lambda t: (t.error, t.number))
+        if rung < len(rungs) - 1:
+            left = left[: max(1, math.ceil(len(left) * KEPT))]
+    return Search(trainer("boosted", label, seed, **left[0].settings).fit(dealt), left[0], every)
 
 
 # --- bootstraps -------------------------------------------------------------------------

@@ -63,11 +63,16 @@ def train_ridge_cv(spark, sf):
 
 @query()
 def train_boosted_search(spark, sf):
-    """Three trials of three folds over small trees: the search itself takes its ranges and number of trials as parameters."""
+    """All fifty trials by number: settings, the rung each reached, its error, and which one won.
+
+    Trees are few and shallow here; the search takes its ranges as a parameter, and their defaults go to 1,500 trees.
+    """
     data, _ = _matrix(spark, sf)
-    ranges = {"maxIter": (4, 12), "maxDepth": (2, 4), "stepSize": (0.05, 0.3)}
-    model, settings, error = modelling.boosted_search(data.where("not held"), "y", "id", trials=3, k=3, ranges=ranges)
-    return models.overall(model.transform(data.where("held")), "y", "prediction").withColumn("cv_error", F.lit(error))
+    ranges = modelling.BOOSTED_RANGES | {"maxIter": (3, 9), "maxDepth": (2, 4)}
+    found = modelling.boosted_search(data.where("not held"), "y", "id", ranges=ranges)
+    names = list(ranges)
+    rows = [(t.number, *(float(t.settings[n]) for n in names), t.rung, t.error, t is found.best) for t in found.trials]
+    return spark.createDataFrame(rows, f"trial int, {', '.join(f'{n} double' for n in names)}, rung int, error double, won boolean")
 
 
 @query()

@@ -104,9 +104,11 @@ def test_boosted_search_keeps_the_best_settings(data):
     frame, _, _ = data
     ranges = {"maxIter": (2, 6), "maxDepth": (1, 3), "stepSize": (0.05, 0.5)}
     full = assemble(frame.where("id < 120"), ["a", "b", "c"])
-    model, settings, error = modelling.boosted_search(full, "y", "id", trials=2, k=2, ranges=ranges)
-    assert settings in [modelling.boosted_settings(t, 42, ranges) for t in range(2)] and error > 0
-    assert model.transform(full).where("prediction is null").count() == 0
+    one, two = (modelling.boosted_search(full, "y", "id", trials=5, k=2, ranges=ranges, rungs=((0.5, 0.5), (1.0, 1.0)), workers=w) for w in (1, 3))
+    assert [t.settings for t in one.trials] == [modelling.boosted_settings(t, 42, ranges) for t in range(5)]
+    assert sorted(t.rung for t in one.trials) == [0, 0, 0, 1, 1] and one.best.error == min(t.error for t in one.trials if t.rung == 1)
+    assert [(t.rung, t.error) for t in one.trials] == [(t.rung, t.error) for t in two.trials] and one.best.number == two.best.number
+    assert one.model.transform(full).where("prediction is null").count() == 0
     wide = [modelling.boosted_settings(t) for t in range(200)]
     for name, (low, high) in modelling.BOOSTED_RANGES.items():
         assert all(low <= s[name] <= high for s in wide)
