@@ -17,7 +17,7 @@ in half precision (its error is bounded by ``SLACK``), and a node meets at most
 moves a fixed number of rows a node, however many point to one hub; what is left
 out of one round is in a list still.  Lists and counts are written after each round.
 
-Balls.  Members of a component with a saturated node are cut into blocks of
+Balls.  Members of a component that has a pair not known to link are cut into blocks of
 ``BLOCK`` in a sorted order; a block knows its centre and radius.  Two blocks whose
 centres are so near that all their vectors link are counted without being read;
 blocks too far for any link are passed over; only the rest are multiplied out,
@@ -44,7 +44,7 @@ from .additive_ann import usable
 from .components import components
 from .scratch import discard, materialize
 
-ORDERS, REACH = 8, 2
+ORDERS, REACH = 16, 3
 SHORTEST, LONGEST = 8, 32
 MEET = 8
 ROUNDS, SETTLED = 8, 0.01
@@ -376,11 +376,12 @@ def _linked(nodes: DataFrame, threshold: float, longest: int) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         weights = nodes.select(F.col("node").alias("b"), "weight")
         labels = components(links, "a", "b").withColumnRenamed("vertex", "node")
-        counted = both.join(weights, "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("more"))
+        counted = both.join(weights, "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("more"), F.count("*").alias("ends"))
         known = nodes.select("node", "weight", "min_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counted, "node", "left")
         known = materialize(known.withColumn("linked", F.col("weight") + F.coalesce("more", F.lit(0))), "counted")
-        full = lists.where(_full_of_links(link, longest)).select("node")
-        crowded = known.join(full, "node").select("component").distinct()
+        # Where not all pairs of a component are known links, its members are counted again, pair by pair or by balls.
+        whole = known.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.coalesce("ends", F.lit(0))).alias("ends"))
+        crowded = whole.where(F.col("ends") < F.col("n") * (F.col("n") - 1)).select("component")
         members = known.join(crowded, "component", "left_semi").select("component", "node").join(nodes.select("node", "weight", "unit", "half"), "node")
         members = materialize(members, "members")
         if not members.isEmpty():
