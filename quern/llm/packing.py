@@ -8,11 +8,10 @@ are placed, each bin is downsized to the shortest permitted length that holds it
 contents.  A document longer than the longest length is cut into full sequences,
 and its rest is packed like any item; no token is lost or repeated.
 
-Cost at scale.  Nothing is shuffled.  Tokens are counted in the partitions of the scan,
-and ids and lengths are written; texts go no further.  Partitions of that small table are
-put together, where they lie, until there is one for about each ``RUN_ITEMS`` documents,
-and each task packs what it reads in runs of that many items, so a task holds no more
-and a lost one is repeated alone.
+Cost at scale.  Tokens are counted in the partitions of the scan, and ids and lengths are
+written; texts go no further.  That small table is dealt to one partition for about each
+``RUN_ITEMS`` documents, and each task packs what it reads in runs of that many
+items, so a task holds no more and a lost one is repeated alone.
 What this gives away against one global packing is the last open bins of each run.  A best fit is found in a bit set of the rooms that occur.
 
 Defined results.  Empty and null texts have no token and are in no bin.  Rows are
@@ -119,7 +118,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     length = F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)) if length is None else length
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"))
-    # Counted before partitions are merged, so that the work on texts keeps the tasks of the scan.
+    # Counted first, so that the work on texts keeps the tasks of the scan, and only two numbers a document move.
     own = materialize(own, "lengths")
-    own = own.coalesce(max(1, -(-own.count() // run_items)))
+    own = own.repartition(max(1, -(-own.count() // run_items)))
     return own.mapInArrow(_packer(tuple(capacities), run_items, cost), SCHEMA)
