@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lets import unnested
 from . import quantiles
 
 _MAX = "salary_max_usd_yearly"
@@ -72,7 +73,7 @@ def top_values(jobs: DataFrame, list_col: str, n: int, name: str = "skill") -> D
     """The n most frequent items of a list column; no rows where the column is missing."""
     if list_col not in jobs.columns:
         return jobs.sparkSession.createDataFrame([], f"{name} string, n long")
-    return jobs.select(F.explode(list_col).alias(name)).groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
+    return unnested(jobs, list_col, name).groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
 
 
 def headline(jobs: DataFrame) -> DataFrame:
