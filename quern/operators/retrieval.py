@@ -7,15 +7,20 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lets import unnested
+from ..sources import stages
 from .sampling import sample_n
 
 # Sizes, separators and constants of retrieval.
 SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", ". ", " ")
 PARENT_CHARS, CHILD_CHARS, CHILD_OVERLAP = 4096, 1024, 128
 RRF_K, FIRST_PASS, RERANKED = 60, 100, 20
+#: Queries and (item, term) entries that meet in one task.
+SPARSE_QUERIES, SPARSE_ENTRIES = 512, 1_000_000
 BM25_K1, BM25_B = 1.2, 0.75
 TERM = r"[\p{L}\p{N}]+"
 
@@ -76,8 +81,11 @@ def chunk(docs: DataFrame, key: str, title: str, body: str, parent: Callable[[Co
     text = F.concat(F.lit("# "), F.coalesce(F.col(title), F.lit("")), F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")))
     whole = docs.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(key, text.alias("_t"))
     parents = whole.select(key, F.posexplode(parent(F.col("_t"))).alias("p", "parent_text"))
-    children = parents.select(key, "p", "parent_text", F.posexplode(child(F.col("parent_text"))).alias("i", "child_text"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("p", "i")) - 1
+    # Parents are put in order with their children in one row each: children's rows would carry their parent's text along.
+    before = F.coalesce(F.sum(F.size("_own")).over(Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parents.withColumn("_own", child(F.col("parent_text"))).withColumn("_before", before)
+    children = placed.select(key, "p", "parent_text", "_before", F.posexplode_outer("_own").alias("i", "child_text")).where("i is not null")
+    number = F.col("_before") + F.col("i")
     return children.select(key, F.concat(F.col(key).cast("string"), F.lit("::p"), "p").alias("parent_chunk_id"), F.concat(F.col(key).cast("string"), F.lit("::c"), F.format_string("%04d", number)).alias("child_chunk_id"), "parent_text", "child_text")
 
 
@@ -184,18 +192,28 @@ def dense_top_k(queries: DataFrame, items: DataFrame, query_id: str, query_vecto
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    return df.select(F.col(key).alias(key), F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return unnested(df, _words(text), "term", key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): the sparse vector of each document."""
-    return weights_of(terms(docs, key, text), key)
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def weights_of(tf: DataFrame, key: str) -> DataFrame:
+def bm25_weights(docs: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, weight): the sparse vector of each document; of the terms in ``asked`` (term) alone, if there are such.
+
+    Other terms count for the lengths then, but are no rows.
+    """
+    if asked is None:
+        return weights_of(terms(docs, key, text), key)
+    lengths = docs.select(key, F.size(_words(text)).alias("n")).groupBy(key).agg(F.sum("n").alias("dl")).where("dl > 0")
+    own = unnested(docs, _words(text), "term", key).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    return weights_of(own.groupBy(key, "term").agg(F.count("*").alias("tf")), key, lengths)
+
+
+def weights_of(tf: DataFrame, key: str, lengths: DataFrame | None = None) -> DataFrame:
     """``bm25_weights`` of (key, term, tf), which four branches read: a stored table is read, anything else made again."""
-    lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
+    lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl")) if lengths is None else lengths
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -203,10 +221,55 @@ def weights_of(tf: DataFrame, key: str) -> DataFrame:
     return tf.join(df, "term").join(lengths, key).join(F.broadcast(corpus)).select(key, "term", weight.alias("weight"))
 
 
+def _sparse_scorer(k: int):
+    """The k best items of each query of a pack among a pack of items, from lists of (query, term) and of (item, term, weight)."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_names, q_terms, items, terms_, weights = (batch.column(i)[row].values for i in range(5))
+                own = items.dictionary_encode()
+                order = pc.sort_indices(own.dictionary).to_numpy()
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                names = own.dictionary.take(pa.array(order))
+                words = terms_.dictionary_encode()
+                by_term = np.argsort(words.indices.to_numpy(), kind="stable")
+                code = words.indices.to_numpy()[by_term]
+                at, w = place[own.indices.to_numpy()][by_term], weights.to_numpy()[by_term]
+                starts = np.searchsorted(code, np.arange(len(words.dictionary) + 1))
+                asking = q_names.dictionary_encode()
+                wanted = pc.index_in(q_terms, value_set=words.dictionary).to_numpy(zero_copy_only=False)
+                out = []
+                for q in range(len(asking.dictionary)):
+                    mine = wanted[asking.indices.to_numpy() == q]
+                    # Sums of one order, whatever order the lists came in.
+                    spans = [slice(starts[int(t)], starts[int(t) + 1]) for t in np.sort(mine[~np.isnan(mine.astype(np.float64))])]
+                    if not spans:
+                        continue
+                    hit = np.concatenate([at[s] for s in spans])
+                    scores = np.round(np.bincount(hit, np.concatenate([w[s] for s in spans]), len(names)), 10)
+                    met = np.unique(hit)
+                    best = met[np.argsort(-scores[met], kind="stable")[:k]]
+                    out.append((np.full(len(best), q), best, scores[best]))
+                if out:
+                    q, i, s = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([asking.dictionary.take(pa.array(q)), names.take(pa.array(i)), pa.array(s)], ["query", "item", "score"])
+
+    return run
+
+
 def sparse_top_k(queries: DataFrame, weights: DataFrame, query_id: str, query_text: str, item_id: str, k: int = FIRST_PASS) -> DataFrame:
     """Dot product over shared terms; a query term counts once.  Ranks go by ten decimals, below which sums depend on their order."""
-    asked = terms(queries, query_id, query_text).select(F.col(query_id).alias("query"), "term")
-    scored = asked.join(weights, "term").groupBy("query", F.col(item_id).alias("item")).agg(F.round(F.sum("weight"), 10).alias("score"))
+    asked = terms(queries, query_id, query_text).select(F.col(query_id).alias("query"), "term").where("query is not null")
+    known = weights.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").where(F.col(item_id).isNotNull())
+    packs = max(1, -(-queries.count() // SPARSE_QUERIES)), max(1, -(-weights.count() // SPARSE_ENTRIES))
+    packed = lambda rows, name, n: rows.groupBy(F.pmod(F.xxhash64(name), F.lit(n)).alias("_b")).agg(*(F.collect_list(c).alias(f"{name}_{c}") for c in rows.columns)).drop("_b")
+    left = packed(asked.select("query", "term"), "query", packs[0])
+    right = packed(known.select(F.col(item_id).alias("item"), "term", F.col("weight").cast("double").alias("weight")), "item", packs[1])
+    kinds = dict(asked.dtypes)["query"], dict(weights.dtypes)[item_id]
+    # A query meets a pack of items in one task and leaves k rows, so no pair of query and item is a row.
+    scored = left.crossJoin(right).mapInArrow(_sparse_scorer(k), f"query {kinds[0]}, item {kinds[1]}, score double")
     return top_k(scored, "query", "item", "score", k).withColumn("score", F.round("score", 4))
 
 
@@ -246,8 +309,11 @@ def hydrate(children: DataFrame, parents: DataFrame, score: str, k: int) -> Data
     """One row a parent: its best child, its contributors in order, its text; the k best a query."""
     own = F.coalesce("parent_chunk_id", "child_chunk_id")
     best = children.withColumn("_p", own).groupBy("query", "_p").agg(F.max(score).alias("score"), F.max_by("child_chunk_id", F.struct(F.col(score), -F.col("rank"))).alias("best_child"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "child_chunk_id"))), lambda s: s["child_chunk_id"]).alias("contributors"))
-    out = best.join(parents.select(F.col("parent_chunk_id").alias("_p"), "parent_text").distinct(), "_p", "left").withColumnRenamed("_p", "parent_chunk_id")
-    return top_k(out, "query", "parent_chunk_id", "score", k)
+    # k rows a query: made once, and only their parents' texts are looked up.
+    top = stages.temporary(top_k(best, "query", "_p", "score", k), "hydrated")
+    texts = parents.select(F.col("parent_chunk_id").alias("_p"), "parent_text").join(F.broadcast(top.select("_p").distinct()), "_p", "left_semi").distinct()
+    out = top.join(texts, "_p", "left").withColumnRenamed("_p", "parent_chunk_id")
+    return out.select(*(c for c in out.columns if c != "rank"), "rank")
 
 
 # --- gold pools -------------------------------------------------------------------------
