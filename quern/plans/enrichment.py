@@ -7,8 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures
-from ..functions import cascade, text
+from ..functions import cascade, text, title
 from ..operators import indexing, ingest, models, retrieval, sqlguard, stats, views
+from ..sources import stages
 from .postings import enriched
 from .registry import JOBS, query
 from .retrieving import prepared
@@ -42,11 +43,15 @@ def enriched_table(spark, sf):
 @query()
 def match_cards(spark, sf):
     """Cards of the postings that a question finds by its words."""
-    jobs = ingest.normalize(_extracted(spark, sf))
+    rows = _extracted(spark, sf)
+    words = F.concat_ws(" ", title.strip_suffix(F.col("title")), "description_md")
     question = spark.createDataFrame([(0, "remote machine learning engineer with PyTorch and Kubernetes")], "q int, question string")
-    weights = retrieval.bm25_weights(jobs.select("id", F.concat_ws(" ", "title", "description_md").alias("words")), "id", "words")
+    weights = retrieval.bm25_weights(rows.select("id", words.alias("words")), "id", "words", retrieval.terms(question, "q", "question"))
     hits = retrieval.sparse_top_k(question, weights, "q", "question", "id", 25)
-    return ingest.matches(jobs, hits.select(F.col("item").alias("id"), "score"), 10)
+    found = stages.temporary(hits.select(F.col("item").alias("id"), "score"), "hits")
+    # Only what is shown is normalised.
+    shown = rows.join(F.broadcast(found.select("id").distinct()), "id", "left_semi")
+    return ingest.matches(ingest.normalize(shown), found, 10)
 
 
 @query(JOBS + """SELECT id, company_slug, company_name, title, url, country, region, city, remote_policy, source, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') AS posted_at, round(salary_min_usd_yearly, 4) AS salary_min_usd_yearly,
