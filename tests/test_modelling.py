@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import cascade
 from quern.operators import indexing, modelling, retrieval, sampling, views
+from quern.plans import learning
 from quern.sources import collection
 
 
@@ -122,6 +123,19 @@ def test_labels(spark):
     assert sorted(tuple(r) for r in packet.select("id", F.coalesce("label", F.lit("-")), F.coalesce("p", F.lit(-1.0))).collect()) == [(1, "a", -1.0), (2, "-", 0.5), (3, "-", -1.0)]
 
 
+def test_text_classifier_in_a_session_with_a_tag(spark):
+    """What a classifier of two labels learnt goes to tasks, the session it was fitted in does not."""
+    other = spark.newSession()
+    other.addTag("tests")
+    try:
+        found = learning.train_lr(other, "/root/testdata/sf0.001").collect()
+    finally:
+        other.removeTag("tests")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where(sampling.is_test(42, F.col("doc_id")))
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in labels.collect()) != []
+    assert all(r.label in ("0", "1") and 0.5 <= r.confidence <= 1 for r in found)
+
+
 def test_payload_index_and_bound_parameters(spark, tmp_path):
     jobs = spark.createDataFrame([("a", "Miller", "Grind grain. " * 200, float("nan"), "x"), ("b", "Baker", "Bake bread with rye and sourdough. " * 90, 5.0, "y"), ("c", "Nobody", "  ", 1.0, "z")], "id string, title string, description_md string, salary_max_usd_yearly double, secret string")
     shown = {r.id: r for r in indexing.payload(jobs).collect()}
