@@ -37,18 +37,18 @@ def co_missing(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def target_summary(df: DataFrame, column: str) -> DataFrame:
-    """Moments and quantiles; skewness and kurtosis are bias-corrected."""
-    n, g1, g2 = F.count(column), F.skewness(column), F.kurtosis(column)
+    """Moments and quantiles; skewness and kurtosis are bias-corrected, and null for no more than two and three values."""
+    n, g1, g2 = F.count(column).cast("double"), F.skewness(column), F.kurtosis(column)
     plain = [
-        n.alias("n"),
+        F.count(column).alias("n"),
         F.round(F.avg(column), 4).alias("mean"),
         F.round(F.stddev_samp(column), 4).alias("sd"),
-        F.round(g1 * F.sqrt(n * (n - 1)) / (n - 2), 6).alias("skewness"),
-        F.round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 6).alias("kurtosis"),
+        F.round(F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2), 6).alias("skewness"),
+        F.round(F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 6).alias("kurtosis"),
     ]
     shares = (10, 25, 75, 90, 99)
     one = quantiles.aggregate(df.select(column), [], plain, {"median": (column, 0.5)} | {f"p{q}": (column, q / 100) for q in shares})
-    return one.select("n", "mean", "median", "sd", *(F.round(f"p{q}", 4).alias(f"p{q}") for q in shares), "skewness", "kurtosis")
+    return one.select(F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "sd", *(F.round(f"p{q}", 4).alias(f"p{q}") for q in shares), "skewness", "kurtosis")
 
 
 def _running(batches):

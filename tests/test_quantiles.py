@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import harness
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import monitoring, quantiles
+from quern.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +45,13 @@ def test_global_quantiles(spark, table):
     assert [r.m for r in empty] in ([], [None])
 
 
+@pytest.mark.parametrize("values", [[1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 9.0], [1.0, 2.0, 4.0], [1.0, 2.0], [1.0], [None, None], []], ids=len)
+def test_summary_of_repeated_and_few_values(spark, tmp_path, values):
+    """Two or three values, in all or alike, are too few to correct a kurtosis for."""
+    spark.createDataFrame([(v,) for v in values], "o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert harness.differences(spark, "target_summary", catalog.QUERIES["target_summary"], catalog.ORACLE_SQL["target_summary"], str(tmp_path)) == []
+
+
 def test_no_exact_percentile_in_the_plan(table):
     plan = quantiles.aggregate(table, ["g"], [], {"m": ("x", 0.5)})._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" in plan and "percentile(" not in plan
