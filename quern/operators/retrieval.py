@@ -89,6 +89,34 @@ def chunk(docs: DataFrame, key: str, title: str, body: str, parent: Callable[[Co
     return children.select(key, F.concat(F.col(key).cast("string"), F.lit("::p"), "p").alias("parent_chunk_id"), F.concat(F.col(key).cast("string"), F.lit("::c"), F.format_string("%04d", number)).alias("child_chunk_id"), "parent_text", "child_text")
 
 
+def _nested(text: Column) -> Column:
+    """Parents with their children as array<struct<parent_text, own>>, both by the splitter."""
+
+    @F.arrow_udf("array<struct<parent_text: string, own: array<string>>>")
+    def split(column: pa.Array) -> pa.Array:
+        out = [[{"parent_text": p, "own": split_text(p, CHILD_CHARS, CHILD_OVERLAP)} for p in split_text(t or "", PARENT_CHARS, 0)] for t in column.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("parent_text", pa.string()), ("own", pa.list_(pa.string()))])))
+
+    return split(text)
+
+
+def chunk_in_place(docs: DataFrame, key: str, title: str, body: str, parent: Callable[[Column], Column] | None = None, child: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``chunk`` with no text leaving its row: a document's children are numbered in the list that they are cut into.
+
+    ``parent`` and ``child`` are built-in expressions, given both or neither.  Where a key occurs twice its children count on
+    from row to row, which takes ``chunk``.
+    """
+    if docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return chunk(docs, key, title, body, parent, child)
+    text = F.concat(F.lit("# "), F.coalesce(F.col(title), F.lit("")), F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")))
+    whole = docs.where(F.trim(F.coalesce(F.col(body), F.lit(""))) != "").select(key, text.alias("_t"))
+    cut = _nested(F.col("_t")) if parent is None else F.transform(parent(F.col("_t")), lambda p: F.struct(p.alias("parent_text"), child(p).alias("own")))
+    of = lambda p, i: F.transform(p["own"], lambda c: F.struct(i.alias("p"), p["parent_text"].alias("parent_text"), c.alias("child_text")))
+    pieces = whole.select(key, cut.alias("_cut")).select(key, F.posexplode_outer(F.flatten(F.transform("_cut", of))).alias("_n", "_piece")).where("_n is not null")
+    name = F.col(key).cast("string")
+    return pieces.select(key, F.concat(name, F.lit("::p"), "_piece.p").alias("parent_chunk_id"), F.concat(name, F.lit("::c"), F.format_string("%04d", F.col("_n"))).alias("child_chunk_id"), "_piece.parent_text", "_piece.child_text")
+
+
 # --- vectors ----------------------------------------------------------------------------
 
 
@@ -273,6 +301,70 @@ def sparse_top_k(queries: DataFrame, weights: DataFrame, query_id: str, query_te
     return top_k(scored, "query", "item", "score", k).withColumn("score", F.round("score", 4))
 
 
+def _word_packs(batches):
+    """A row a batch: the lists (item, term, tf, dl) of its items, from (item, words)."""
+    for batch in batches:
+        items, words = batch.column(0), batch.column(1)
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.list_flatten(words).dictionary_encode()
+        if not len(flat):
+            continue
+        own = np.repeat(np.arange(len(items)), lengths) * len(flat.dictionary) + flat.indices.to_numpy()
+        met, tf = np.unique(own, return_counts=True)
+        at, term = np.divmod(met, len(flat.dictionary))
+        columns = [items.take(pa.array(at)), flat.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64)), pa.array(lengths[at])]
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["items", "terms", "tf", "dl"])
+
+
+def _word_scorer(k: int):
+    """``_sparse_scorer`` of packs of items whose weights are still to be made, for the terms that the queries ask for."""
+
+    def weighed(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_names, q_terms, q_idf, items, terms_, tf, dl = (batch.column(i)[row].values for i in range(7))
+                asked = q_terms.dictionary_encode()
+                idf = np.empty(len(asked.dictionary))
+                idf[asked.indices.to_numpy()] = q_idf.to_numpy()
+                place = pc.index_in(terms_, value_set=asked.dictionary)
+                known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                if not len(known):
+                    continue
+                n, length, mean = tf.to_numpy()[known], dl.to_numpy()[known], batch.column(7)[row].as_py()
+                weight = idf[place.take(pa.array(known)).to_numpy()] * n * (BM25_K1 + 1) / (n + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
+                columns = [q_names, q_terms, items.take(pa.array(known)), terms_.take(pa.array(known)), pa.array(weight)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], ["q", "qt", "i", "t", "w"])
+
+    return lambda batches: _sparse_scorer(k)(weighed(batches))
+
+
+def word_top_k(queries: DataFrame, texts: DataFrame, query_id: str, query_text: str, item_id: str, item_text: str, k: int = FIRST_PASS, pool: DataFrame | None = None) -> DataFrame:
+    """``sparse_top_k`` by the weights of (item, text), one text an item, or of those in ``pool`` alone, without a row for a word.
+
+    Words are counted where their text is read, and a batch of texts meets the queries there; what is shuffled are counts of
+    the asked terms and k rows a query and batch.
+    """
+    asked = terms(queries, query_id, query_text).select(F.col(query_id).alias("query"), "term").where("query is not null")
+    vocabulary = F.broadcast(asked.select("term").distinct())
+    cut = texts.select(F.col(item_id).alias("item"), F.coalesce(_words(item_text), F.array().cast("array<string>")).alias("words"))
+    named = cut.where("item is not null")
+    # Texts without an id are one item for the counts, and no candidate.
+    loose = terms(texts.where(F.col(item_id).isNull()), item_id, item_text)
+    held = unnested(named, F.array_distinct("words"), "term").join(vocabulary, "term", "left_semi").select("term").unionByName(loose.join(vocabulary, "term", "left_semi").select("term"))
+    lengths = named.select(F.size("words").cast("long").alias("dl")).unionByName(loose.agg(F.sum("tf").alias("dl"))).where("dl > 0")
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rated = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(corpus)).select("query", "term", idf.alias("idf"), "avgdl")
+    packs = max(1, -(-queries.count() // SPARSE_QUERIES))
+    left = rated.groupBy(F.pmod(F.xxhash64("query"), F.lit(packs)).alias("_b")).agg(*(F.collect_list(c).alias(f"q_{c}") for c in ("query", "term", "idf")), F.first("avgdl").alias("avgdl"))
+    own = named if pool is None else named.join(pool.select(F.col(item_id).alias("item")), "item", "left_semi")
+    kinds = dict(asked.dtypes)["query"], dict(own.dtypes)["item"]
+    right = own.mapInArrow(_word_packs, f"items array<{kinds[1]}>, terms array<string>, tf array<long>, dl array<long>")
+    met = right.crossJoin(F.broadcast(left)).select("q_query", "q_term", "q_idf", "items", "terms", "tf", "dl", "avgdl")
+    scored = met.mapInArrow(_word_scorer(k), f"query {kinds[0]}, item {kinds[1]}, score double")
+    return top_k(scored, "query", "item", "score", k).withColumn("score", F.round("score", 4))
+
+
 # --- fusion, reranking, hydration -------------------------------------------------------
 
 
